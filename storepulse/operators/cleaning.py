@@ -29,11 +29,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import (
-    band_left_closed, band_right_closed, exact_round, round_dec, title_case,
+    band_left_closed, band_right_closed, exact_round, round_dec, safe_div, title_case,
 )
 
 def DEC(v: str) -> Column:
@@ -93,9 +93,35 @@ def _keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
             .select(*key, *[F.col(f"_r.{c}").alias(c) for c in cols], "_dups"))
 
 
-def run_rules(df: DataFrame, table: str, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Apply ``rules`` in order; return (clean_df, audit_df)."""
+class ObservedAudit:
+    """Audit counts collected by ``DataFrame.observe`` while the cleaned table
+    is written (no second pass).  ``to_df`` is valid after that action."""
+
+    def __init__(self, table: str, rules: list[Rule], parts: list[tuple[Observation, list[int]]]):
+        self.table, self.rules, self.parts = table, rules, parts
+
+    def rows(self) -> list[tuple]:
+        out = []
+        for obs, idx in self.parts:
+            got = obs.get
+            for i in idx:
+                r = self.rules[i]
+                n = int(got.get(f"_n{i}") or 0)
+                if n > 0 or r.always or r.kind == "derive":
+                    out.append((self.table, r.issue, r.action, n))
+        return out
+
+
+def run_rules(df: DataFrame, table: str, rules: list[Rule],
+              observe: bool = False) -> tuple[DataFrame, DataFrame | ObservedAudit]:
+    """Apply ``rules`` in order; return (clean_df, audit).
+
+    ``observe=False``: audit is a lazy DataFrame (one aggregate per segment).
+    ``observe=True``: audit counts ride along the write of ``clean_df``
+    (``DataFrame.observe``) and come back as an ``ObservedAudit``.
+    """
     out_cols = list(df.columns)
+    observed: list[tuple[Observation, list[int]]] = []
     df = df.withColumn("_alive", F.lit(True))
     segments: list[tuple[DataFrame, list[tuple[int, str]]]] = []
     flags: list[tuple[int, str]] = []
@@ -111,7 +137,12 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule]) -> tuple[DataFrame,
         elif r.kind == "derive":
             df = df.withColumn(fc, F.col("_alive"))
         elif r.kind == "dedup":
-            segments.append((df, flags))
+            if observe:
+                if flags:
+                    df, o = _observe(df, rules, flags)
+                    observed.append((o, [i for i, _ in flags]))
+            else:
+                segments.append((df, flags))
             flags = []
             base = df.filter(F.col("_alive")).select(*out_cols)
             df = _keep_first(base, r.key, r.order).withColumn("_alive", F.lit(True))
@@ -125,6 +156,12 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule]) -> tuple[DataFrame,
             out_cols += [c for c in r.updates if c not in out_cols]
         if r.audited:
             flags.append((i, fc))
+    if observe:
+        if flags:
+            df, o = _observe(df, rules, flags)
+            observed.append((o, [i for i, _ in flags]))
+        clean = df.filter(F.col("_alive")).select(*out_cols)
+        return clean, ObservedAudit(table, rules, observed)
     segments.append((df, flags))
 
     clean = df.filter(F.col("_alive")).select(*out_cols)   # drops stats and flag columns
@@ -152,6 +189,16 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule]) -> tuple[DataFrame,
     return clean, audit
 
 
+def _count_expr(rule: Rule, i: int, fc: str) -> Column:
+    c = F.sum(F.col(fc)) if rule.kind == "dedup" else F.sum(F.col(fc).cast("int"))
+    return F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(f"_n{i}")
+
+
+def _observe(df: DataFrame, rules: list[Rule], flags: list[tuple[int, str]]):
+    o = Observation()
+    return df.observe(o, *[_count_expr(rules[i], i, fc) for i, fc in flags]), o
+
+
 def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: bool = False) -> DataFrame:
     """Left join a marker telling whether ``key`` exists in ``parent``.
 
@@ -166,7 +213,7 @@ def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: b
 
 # ---------------------------------------------------------------- dimensions
 
-def clean_stores(raw: DataFrame, as_of: str = AS_OF["stores"]) -> tuple[DataFrame, DataFrame]:
+def clean_stores(raw: DataFrame, as_of: str = AS_OF["stores"], observe: bool = False):
     lat, lon = F.col("latitude"), F.col("longitude")
     bad_coord = ~F.coalesce(lat.between(8.0, 37.0), F.lit(False)) | \
         ~F.coalesce(lon.between(68.0, 97.0), F.lit(False))
@@ -176,17 +223,17 @@ def clean_stores(raw: DataFrame, as_of: str = AS_OF["stores"]) -> tuple[DataFram
         Rule("derive", "Derived columns", "store_age_days, cost_per_sqft added; city title-cased",
              updates={
                  "store_age_days": F.datediff(F.lit(as_of).cast("date"), F.col("launch_date")),
-                 "cost_per_sqft": exact_round(F.col("monthly_fixed_cost_inr").cast("double")
-                                              / F.col("store_area_sqft"), 2),
+                 "cost_per_sqft": exact_round(safe_div("monthly_fixed_cost_inr", "store_area_sqft"), 2),
                  "city": title_case(F.trim(F.col("city"))),
              }),
     ]
-    return run_rules(raw, "dim_stores", rules)
+    return run_rules(raw, "dim_stores", rules, observe)
 
 
-def clean_skus(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clean_skus(raw: DataFrame, observe: bool = False):
     price, cost, mrp = F.col("unit_price_inr"), F.col("cost_price_inr"), F.col("mrp_inr")
-    margin = exact_round((price.cast("double") - cost.cast("double")) / price.cast("double"), 4)
+    # updates are evaluated on every row (dead rows too): divisions are null-safe
+    margin = exact_round(safe_div(price.cast("double") - cost.cast("double"), price), 4)
     rules = [
         Rule("remove", "Unit price not positive", "Rows removed", price > 0),
         Rule("repair", "Cost at or above selling price", "Cost set to 80% of selling price",
@@ -206,10 +253,10 @@ def clean_skus(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         Rule("remove", "Shelf life not positive", "Rows removed", F.col("shelf_life_days") > 0),
         Rule("derive", "Derived columns", "gross_margin_pct_actual, is_high_margin added"),
     ]
-    return run_rules(raw, "dim_skus", rules)
+    return run_rules(raw, "dim_skus", rules, observe)
 
 
-def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"]) -> tuple[DataFrame, DataFrame]:
+def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"], observe: bool = False):
     basket = F.col("avg_basket_size_inr")
     asof = F.lit(as_of).cast("date")
     rules = [
@@ -232,11 +279,11 @@ def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"]) -> tuple[Da
         Rule("dedup", "Duplicate emails", "Kept first occurrence", key=["email"], order=["customer_id"]),
         Rule("derive", "Derived columns", "tenure_days added"),
     ]
-    return run_rules(raw, "dim_customers", rules)
+    return run_rules(raw, "dim_customers", rules, observe)
 
 
 def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
-                  as_of: str = AS_OF["pickers"]) -> tuple[DataFrame, DataFrame]:
+                  as_of: str = AS_OF["pickers"], observe: bool = False):
     sal = F.col("monthly_salary_inr")
     asof = F.lit(as_of).cast("date")
     bad_sal = ~F.coalesce(sal.between(10000, 35000), F.lit(False))
@@ -254,7 +301,7 @@ def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
                  "annual_cost_inr": (F.col("monthly_salary_inr") * 12).cast("bigint"),
              }),
     ]
-    clean, audit = run_rules(df, "dim_pickers", rules)
+    clean, audit = run_rules(df, "dim_pickers", rules, observe)
     return clean.drop("_store_ok"), audit
 
 
@@ -264,7 +311,7 @@ TIME_COLS = ["pick_time_mins", "pack_time_mins", "dispatch_time_mins", "travel_t
 
 
 def clean_orders(raw: DataFrame, stores_clean: DataFrame,
-                 sla_minutes: float = 10.0, max_minutes: float = 120.0) -> tuple[DataFrame, DataFrame]:
+                 sla_minutes: float = 10.0, max_minutes: float = 120.0, observe: bool = False):
     df = _fk_flag(raw, stores_clean, "store_id", "_store_ok", broadcast=True)
     order_cols = ["order_timestamp"] + [c for c in raw.columns if c not in ("order_id", "order_timestamp")]
     total = F.col("total_delivery_mins")
@@ -303,11 +350,11 @@ def clean_orders(raw: DataFrame, stores_clean: DataFrame,
         Rule("derive", "Profit flag", "is_profitable added", audited=False,
              updates={"is_profitable": F.col("gross_profit_inr") > 0}),
     ]
-    clean, audit = run_rules(df, "fact_orders", rules)
+    clean, audit = run_rules(df, "fact_orders", rules, observe)
     return clean.drop("_store_ok"), audit
 
 
-def clean_order_items(raw: DataFrame, orders_clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clean_order_items(raw: DataFrame, orders_clean: DataFrame, observe: bool = False):
     df = _fk_flag(raw, orders_clean, "order_id", "_order_ok")
     price, cost, qty = F.col("unit_price_inr"), F.col("unit_cost_inr"), F.col("quantity")
     rules = [
@@ -318,15 +365,14 @@ def clean_order_items(raw: DataFrame, orders_clean: DataFrame) -> tuple[DataFram
                       "item_margin_inr": round_dec((price - cost) * qty)}),
         Rule("remove", "Orphan items", "Rows removed", F.col("_order_ok")),
         Rule("derive", "Margin share", "item_margin_pct added", audited=False,
-             updates={"item_margin_pct": exact_round(
-                 F.col("item_margin_inr").cast("double") / F.col("item_total_inr").cast("double"), 4)}),
+             updates={"item_margin_pct": exact_round(safe_div("item_margin_inr", "item_total_inr"), 4)}),
     ]
-    clean, audit = run_rules(df, "fact_order_items", rules)
+    clean, audit = run_rules(df, "fact_order_items", rules, observe)
     return clean.drop("_order_ok"), audit
 
 
 def clean_picker_activity(raw: DataFrame, pickers_clean: DataFrame,
-                          max_rate: float = 20.0) -> tuple[DataFrame, DataFrame]:
+                          max_rate: float = 20.0, observe: bool = False):
     df = _fk_flag(raw, pickers_clean, "picker_id", "_picker_ok")
     rate = F.col("pick_rate_per_min")
     rules = [
@@ -338,11 +384,11 @@ def clean_picker_activity(raw: DataFrame, pickers_clean: DataFrame,
         Rule("derive", "Productivity band", "productivity_band added", audited=False,
              updates={"productivity_band": band_right_closed(rate, PRODUCTIVITY_EDGES, PRODUCTIVITY_LABELS)}),
     ]
-    clean, audit = run_rules(df, "fact_picker_activity", rules)
+    clean, audit = run_rules(df, "fact_picker_activity", rules, observe)
     return clean.drop("_picker_ok"), audit
 
 
-def clean_substitutions(raw: DataFrame, orders_clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clean_substitutions(raw: DataFrame, orders_clean: DataFrame, observe: bool = False):
     df = _fk_flag(raw, orders_clean, "order_id", "_order_ok")
     acc = F.col("customer_accepted")
     rules = [
@@ -352,7 +398,7 @@ def clean_substitutions(raw: DataFrame, orders_clean: DataFrame) -> tuple[DataFr
         Rule("derive", "Acceptance label", "acceptance_label added", audited=False,
              updates={"acceptance_label": F.when(acc, "Accepted").when(~acc, "Rejected")}),
     ]
-    clean, audit = run_rules(df, "fact_substitutions", rules)
+    clean, audit = run_rules(df, "fact_substitutions", rules, observe)
     return clean.drop("_order_ok"), audit
 
 
@@ -376,3 +422,31 @@ def clean_all(raw: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFram
     for a in audits[1:]:
         audit = audit.unionByName(a)
     return out, audit
+
+
+def clean_and_write(raw: dict[str, DataFrame], write_and_read) -> tuple[dict[str, DataFrame], list[tuple]]:
+    """Clean in dependency order, writing each table as it is produced.
+
+    ``write_and_read(name, df) -> DataFrame`` persists a cleaned table and
+    returns it re-read, so children check keys against the *written* parent
+    (no recomputation of the parent's cleaning), and lineage is cut at every
+    table.  Audit counts are observed during the writes; returns
+    (tables, audit rows).
+    """
+    out: dict[str, DataFrame] = {}
+    rows: list[tuple] = []
+
+    def step(name, fn, *args):
+        clean, audit = fn(*args, observe=True)
+        out[name] = write_and_read(name, clean)
+        rows.extend(audit.rows())
+
+    step("dim_stores", clean_stores, raw["dim_stores"])
+    step("dim_skus", clean_skus, raw["dim_skus"])
+    step("dim_customers", clean_customers, raw["dim_customers"])
+    step("dim_pickers", clean_pickers, raw["dim_pickers"], out["dim_stores"])
+    step("fact_orders", clean_orders, raw["fact_orders"], out["dim_stores"])
+    step("fact_order_items", clean_order_items, raw["fact_order_items"], out["fact_orders"])
+    step("fact_picker_activity", clean_picker_activity, raw["fact_picker_activity"], out["dim_pickers"])
+    step("fact_substitutions", clean_substitutions, raw["fact_substitutions"], out["fact_orders"])
+    return out, rows

@@ -12,18 +12,17 @@ from storepulse.functions.exprs import exact_mean, exact_round, month_start, rat
 from storepulse.operators import features as X
 from storepulse.operators import mutations as M
 from storepulse.operators import profiling as D
-from storepulse.operators.cleaning import _keep_first, clean_all
+from storepulse.operators.cleaning import _keep_first
 from storepulse.plans.common import delivered, rank_desc, store_dim
 from storepulse.plans.sla import time_band
 from storepulse.sources import tables as IO
-from storepulse.sources.fixtures import raw_tables
+from storepulse.plans.tableset import raw_table_set as raw_tables, table_sets
 from storepulse.sources.schemas import TABLE_NAMES
 
 
 def _both(spark: SparkSession, sf_dir: str):
-    raw = raw_tables(spark, sf_dir)
-    clean, audit = clean_all(raw)
-    return raw, clean, audit
+    raw, clean = table_sets(spark, sf_dir)
+    return raw, clean, clean["cleaning_audit"]
 
 
 def _clean(spark, sf_dir):
