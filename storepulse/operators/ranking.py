@@ -29,15 +29,15 @@ def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = Tr
                buckets: int = 64) -> DataFrame:
     v = F.col(value_col)
     vals = df.filter(v.isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_n"))
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = vals.agg(F.percentile_approx(v, qs, 10000).alias("_b"))
-    if desc:
-        bucket = F.size(F.filter(F.col("_b"), lambda b: b > v))
-        inner = Window.partitionBy("_bucket").orderBy(v.desc())
+    inner = Window.partitionBy("_bucket").orderBy(v.desc() if desc else v.asc())
+    if buckets <= 1:
+        keyed = vals.withColumn("_bucket", F.lit(0))
     else:
-        bucket = F.size(F.filter(F.col("_b"), lambda b: b < v))
-        inner = Window.partitionBy("_bucket").orderBy(v.asc())
-    keyed = vals.crossJoin(F.broadcast(bounds)).withColumn("_bucket", bucket).drop("_b")
+        qs = [i / buckets for i in range(1, buckets)]
+        bounds = vals.agg(F.percentile_approx(v, qs, 10000).alias("_b"))
+        better = (lambda b: b > v) if desc else (lambda b: b < v)
+        bucket = F.coalesce(F.size(F.filter(F.col("_b"), better)), F.lit(0))
+        keyed = vals.crossJoin(F.broadcast(bounds)).withColumn("_bucket", bucket).drop("_b")
     per_bucket = keyed.groupBy("_bucket").agg(F.sum("_n").alias("_bn"))
     offsets = per_bucket.withColumn(
         "_off", F.coalesce(F.sum("_bn").over(

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference processes static tables only — no streams, watermarks, late
+data or stateful operators (its loads are batch replace-loads).  Nothing is
+built here so as not to add operators the reference does not have; the
+batch pipeline in ``plans.tableset`` covers ingestion.
+"""
