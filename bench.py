@@ -32,14 +32,21 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    import uuid
+    # a fresh namespace so the one-time derive+clean build is timed, not reused
+    os.environ.setdefault("STOREPULSE_NAMESPACE", f"bench-{uuid.uuid4().hex[:8]}")
     from storepulse.session import get_spark
     from storepulse.plans.registry import queries
+    from storepulse.plans.tableset import table_sets
     spark = get_spark(master=f"local[{cpus}]")
     qs = queries()
+    t0 = time.perf_counter()
+    table_sets(spark, sf_dir)          # derive raw tables → clean → write (once)
+    build = round(time.perf_counter() - t0, 3)
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(qs) if wanted == "all" else ([w for w in wanted.split(",") if w] or HEADLINE)
     names = [n for n in names if n in qs and n not in ("sink_roundtrip", "insights_export")]
-    times, warm = {}, {}
+    times, warm = {"materialize_tables": build}, {}
     for n in names:
         for r in range(repeat):
             t0 = time.perf_counter()

@@ -32,8 +32,23 @@ LAYOUT_VERSION = "v1"
 _MEMO: dict[tuple[str, str], tuple[dict[str, DataFrame], dict[str, DataFrame]]] = {}
 
 
+_CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "functions/exprs.py",
+         "plans/tableset.py"]
+
+
+def _code_version() -> str:
+    """Hash of the modules that decide the stored tables' content: any change
+    to derivation or cleaning code writes a new set instead of reusing one."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1(LAYOUT_VERSION.encode())
+    for rel in _CODE:
+        with open(os.path.join(root, rel), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
 def _fingerprint(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, LAYOUT_VERSION]
+    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, _code_version()]
     for n in TPCH_TABLES:
         try:
             st = os.stat(f"{sf_dir}/{n}.parquet")
@@ -66,8 +81,12 @@ def _touch(spark: SparkSession, path: str) -> None:
             pass
 
 
+def _namespace() -> str:
+    return os.environ.get("STOREPULSE_NAMESPACE", "shared")
+
+
 def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    base = f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_fingerprint(sf_dir)}"
+    base = f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir)}"
     names = TABLE_NAMES
     if not _exists(spark, f"{base}/_COMPLETE"):
         raw = raw_tables(spark, sf_dir)
@@ -102,7 +121,7 @@ def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None
         clean, audit = clean_all(raw)
         clean["cleaning_audit"] = audit
         return raw, clean
-    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, _namespace() + "/" + _fingerprint(sf_dir))
     if key not in _MEMO:
         _MEMO[key] = _materialize(spark, sf_dir)
     raw_m, clean_m = _MEMO[key]
