@@ -112,13 +112,16 @@ class ObservedAudit:
         return out
 
 
-def run_rules(df: DataFrame, table: str, rules: list[Rule],
-              observe: bool = False) -> tuple[DataFrame, DataFrame | ObservedAudit]:
+def run_rules(df: DataFrame, table: str, rules: list[Rule], observe: bool = False,
+              persist=None) -> tuple[DataFrame, DataFrame | ObservedAudit]:
     """Apply ``rules`` in order; return (clean_df, audit).
 
     ``observe=False``: audit is a lazy DataFrame (one aggregate per segment).
     ``observe=True``: audit counts ride along the write of ``clean_df``
     (``DataFrame.observe``) and come back as an ``ObservedAudit``.
+    ``persist(name, df) -> df``: materializes the de-duplicated frame so the
+    statistics passes after it read the stored rows instead of repeating the
+    de-duplication shuffle (their pruned column sets defeat exchange reuse).
     """
     out_cols = list(df.columns)
     observed: list[tuple[Observation, list[int]]] = []
@@ -145,7 +148,10 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule],
                 segments.append((df, flags))
             flags = []
             base = df.filter(F.col("_alive")).select(*out_cols)
-            df = _keep_first(base, r.key, r.order).withColumn("_alive", F.lit(True))
+            kept = _keep_first(base, r.key, r.order)
+            if persist is not None:
+                kept = persist(f"{table}__dedup", kept)
+            df = kept.withColumn("_alive", F.lit(True))
             df = df.withColumn(fc, F.col("_dups")).drop("_dups")
             flags.append((i, fc))
             continue
@@ -256,7 +262,7 @@ def clean_skus(raw: DataFrame, observe: bool = False):
     return run_rules(raw, "dim_skus", rules, observe)
 
 
-def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"], observe: bool = False):
+def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"], observe: bool = False, persist=None):
     basket = F.col("avg_basket_size_inr")
     asof = F.lit(as_of).cast("date")
     rules = [
@@ -279,7 +285,7 @@ def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"], observe: bo
         Rule("dedup", "Duplicate emails", "Kept first occurrence", key=["email"], order=["customer_id"]),
         Rule("derive", "Derived columns", "tenure_days added"),
     ]
-    return run_rules(raw, "dim_customers", rules, observe)
+    return run_rules(raw, "dim_customers", rules, observe, persist)
 
 
 def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
@@ -311,7 +317,8 @@ TIME_COLS = ["pick_time_mins", "pack_time_mins", "dispatch_time_mins", "travel_t
 
 
 def clean_orders(raw: DataFrame, stores_clean: DataFrame,
-                 sla_minutes: float = 10.0, max_minutes: float = 120.0, observe: bool = False):
+                 sla_minutes: float = 10.0, max_minutes: float = 120.0, observe: bool = False,
+                 persist=None):
     df = _fk_flag(raw, stores_clean, "store_id", "_store_ok", broadcast=True)
     order_cols = ["order_timestamp"] + [c for c in raw.columns if c not in ("order_id", "order_timestamp")]
     total = F.col("total_delivery_mins")
@@ -350,7 +357,7 @@ def clean_orders(raw: DataFrame, stores_clean: DataFrame,
         Rule("derive", "Profit flag", "is_profitable added", audited=False,
              updates={"is_profitable": F.col("gross_profit_inr") > 0}),
     ]
-    clean, audit = run_rules(df, "fact_orders", rules, observe)
+    clean, audit = run_rules(df, "fact_orders", rules, observe, persist)
     return clean.drop("_store_ok"), audit
 
 
@@ -424,7 +431,8 @@ def clean_all(raw: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFram
     return out, audit
 
 
-def clean_and_write(raw: dict[str, DataFrame], write_and_read) -> tuple[dict[str, DataFrame], list[tuple]]:
+def clean_and_write(raw: dict[str, DataFrame], write_and_read,
+                    stage=None) -> tuple[dict[str, DataFrame], list[tuple]]:
     """Clean in dependency order, writing each table as it is produced.
 
     ``write_and_read(name, df) -> DataFrame`` persists a cleaned table and
@@ -437,7 +445,8 @@ def clean_and_write(raw: dict[str, DataFrame], write_and_read) -> tuple[dict[str
     rows: list[tuple] = []
 
     def step(name, fn, *args):
-        clean, audit = fn(*args, observe=True)
+        kw = {"persist": stage} if stage is not None and fn in (clean_customers, clean_orders) else {}
+        clean, audit = fn(*args, observe=True, **kw)
         out[name] = write_and_read(name, clean)
         rows.extend(audit.rows())
 

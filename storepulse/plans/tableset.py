@@ -98,7 +98,11 @@ def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
             df.write.mode("overwrite").parquet(f"{base}/clean/{name}")
             return spark.read.parquet(f"{base}/clean/{name}")
 
-        _, rows = clean_and_write(raw_m, write_and_read)
+        def stage(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
+            return spark.read.parquet(f"{base}/stage/{name}")
+
+        _, rows = clean_and_write(raw_m, write_and_read, stage)
         # the audit is a few dozen rows of counts observed during the writes
         spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("overwrite") \
             .parquet(f"{base}/clean/cleaning_audit")
