@@ -32,6 +32,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from storepulse.operators.ranking import exact_percentiles
 from storepulse.functions.exprs import (
     band_left_closed, band_right_closed, exact_round, round_dec, safe_div, title_case,
 )
@@ -76,6 +77,7 @@ class Rule:
     order: list[str] = field(default_factory=list)
     always: bool = False
     audited: bool = True
+    stats_fn: object = None   # alive rows -> one-row DataFrame (distributed statistics)
 
 
 def _with_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
@@ -131,6 +133,8 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], observe: bool = Fals
     for i, r in enumerate(rules):
         if r.stats:
             df = _with_stats(df, r.stats)
+        if r.stats_fn is not None:
+            df = df.crossJoin(F.broadcast(r.stats_fn(df.filter(F.col("_alive")))))   # one row
         fc = f"_f{i}"
         if r.kind == "remove":
             keep = F.coalesce(r.pred, F.lit(False))
@@ -270,7 +274,9 @@ def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"], observe: bo
         Rule("remove", "Basket size not positive", "Rows removed", basket > 0),
         Rule("repair", "Basket size above the 99th percentile", "Capped at the 99th percentile",
              basket > F.col("_p99"),
-             stats={"_p99": F.percentile(basket.cast("double"), 0.99)},
+             # money has an open-ended value domain: distributed exact percentile
+             stats_fn=lambda alive: exact_percentiles(alive, "avg_basket_size_inr", [0.99])
+             .select(F.col("p0").alias("_p99")),
              updates={"avg_basket_size_inr": F.when(basket > F.col("_p99"), round_dec(F.col("_p99")))
                       .otherwise(basket)}),
         Rule("repair", "Negative lifetime orders", "Set to 0", F.col("lifetime_orders") < 0,

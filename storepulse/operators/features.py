@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import exact_round, round_dec, weekday_name, is_weekend
+from storepulse.operators.ranking import exact_rank
 from storepulse.sources.fixtures import SKILL_EFFICIENCY, shift_from_hour
 
 # fixed values: free-delivery threshold, delivery fee, platform fee rate
@@ -47,13 +48,14 @@ def pick_activity_build(orders: DataFrame, pickers: DataFrame) -> DataFrame:
     """X3: one pick activity per Delivered order.
 
     The picker is drawn from the order's store by hashing the order id onto
-    the store's roster: pickers get a per-store index (a window over the
-    picker *dimension*, one store's roster per partition), orders pick index
-    = hash(order) mod roster size, and the two meet in an equi-join on
-    (store, index) — no orders × pickers pairs.
+    the store's roster: pickers get a dense per-store index (distributed
+    ``exact_rank``), orders pick index = hash(order) mod roster size, and the
+    two meet in an equi-join on (store, index) — no orders × pickers pairs.
     """
-    roster = pickers.select("picker_id", "store_id", "skill_level").withColumn(
-        "_idx", F.row_number().over(Window.partitionBy("store_id").orderBy("picker_id")) - 1)
+    # dense per-store index by picker id; exact_rank keeps one store's roster
+    # out of a single task (picker ids are unique, so rank - 1 is dense)
+    roster = exact_rank(pickers.select("picker_id", "store_id", "skill_level"), "picker_id", "_rk", desc=False,
+                        partition_cols=["store_id"]).withColumn("_idx", F.col("_rk") - 1).drop("_rk")
     size = roster.groupBy("store_id").agg(F.count(F.lit(1)).alias("_m"))
     d = (orders.filter(F.col("order_status") == "Delivered")
          .join(F.broadcast(size), "store_id")                     # ≤ one row per store

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storepulse.functions.exprs import exact_mean, exact_round
+from storepulse.operators.ranking import exact_percentiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -61,15 +62,23 @@ def describe_numeric(df: DataFrame, table: str) -> DataFrame:
             else F.avg(x)
         aggs += [F.count(c).alias(f"_n{i}"), exact_round(mean, 2).alias(f"_m{i}"),
                  exact_round(F.stddev_samp(x), 2).alias(f"_s{i}"), F.min(x).alias(f"_lo{i}"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"_q{i}"), F.max(x).alias(f"_hi{i}")]
+                 F.max(x).alias(f"_hi{i}")]
     a = df.agg(*aggs)
     rows = F.array(*[F.struct(
         F.lit(f.name).alias("column_name"), F.col(f"_n{i}").alias("count"), F.col(f"_m{i}").alias("mean"),
         F.col(f"_s{i}").alias("std"), exact_round(F.col(f"_lo{i}"), 2).alias("min"),
-        exact_round(F.col(f"_q{i}")[0], 2).alias("p25"), exact_round(F.col(f"_q{i}")[1], 2).alias("p50"),
-        exact_round(F.col(f"_q{i}")[2], 2).alias("p75"), exact_round(F.col(f"_hi{i}"), 2).alias("max"))
+        exact_round(F.col(f"_hi{i}"), 2).alias("max"))
         for i, f in enumerate(fields)])
-    return a.select(F.lit(table).alias("table_name"), F.inline(rows))
+    stats = a.select(F.inline(rows))
+    # exact quartiles without a per-column value map in one task: unpivot to
+    # (column, value) and take distributed exact percentiles per column
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"),
+                                                 F.col(f.name).cast("double").alias("_x")) for f in fields])))
+    q = exact_percentiles(long, "_x", [0.25, 0.5, 0.75], ["column_name"])
+    q = q.select("column_name", *[exact_round(F.col(f"p{i}"), 2).alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
+    out = stats.join(F.broadcast(q), "column_name", "left")       # one row per numeric column
+    return out.select(F.lit(table).alias("table_name"), "column_name", "count", "mean", "std", "min",
+                      "p25", "p50", "p75", "max")
 
 
 def table_shape(df: DataFrame, table: str) -> DataFrame:

@@ -1,54 +1,109 @@
-"""Exact RANK() over a large result without a single-partition window.
-
-``Window.orderBy(...)`` with no partition moves every row into one task.  For
-rankings over dimensions that grow with the data (pickers, SKUs, customers)
-``exact_rank`` computes the same numbers distributedly:
-
-1. collapse equal values: ``groupBy(value).count()`` (partial aggregation, so
-   a value shared by a third of all rows is just one row here);
-2. cut the distinct values into ``buckets`` ranges with ``percentile_approx``
-   (one small aggregate; boundaries only need to be roughly even — exactness
-   never depends on them, equal values always share a bucket);
-3. per bucket: total count → exclusive running total over the few buckets
-   (the only global window, over ``buckets`` rows);
-4. within a bucket: running count of strictly better distinct values
-   (window partitioned by bucket);
-5. rank = 1 + rows in better buckets + better rows in the same bucket,
-   joined back to the rows on the value.
-
-Nulls rank after every non-null value (NULLS LAST), as RANK() ... DESC does.
+"""Exact order statistics over large data without a single-partition window.
+
+``Window.orderBy(...)`` with no partition (or a partition that grows with
+the data) moves every row of that partition into one task, and the exact
+``percentile`` aggregate merges one value→count map per group in one task.
+The operators here compute the same numbers distributedly from
+``cumulative_counts``:
+
+1. collapse equal values: ``groupBy(partition, value).count()`` (partial
+   aggregation: a value shared by a third of all rows is one row here);
+2. cut each partition's distinct values into ``buckets`` ranges with
+   ``percentile_approx`` (one small aggregate; exactness never depends on the
+   boundaries — equal values always share a bucket);
+3. per bucket: total count → exclusive running total over buckets (a window
+   over at most ``buckets`` rows per partition);
+4. inside a bucket: running count of the values before it (window
+   partitioned by partition × bucket).
+
+Every distinct value then knows ``_before`` = number of rows strictly before
+it.  ``exact_rank`` = 1 + ``_before``; ``exact_percentiles`` picks the values
+whose row span covers the interpolation positions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True,
-               buckets: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, value_col: str, partition_cols: Sequence[str] = (), desc: bool = False,
+                      buckets: int = 64) -> DataFrame:
+    """Distinct non-null (partition, value) rows with ``_n`` (multiplicity) and
+    ``_before`` (rows of the partition strictly before the value in order)."""
+    P = list(partition_cols)
     v = F.col(value_col)
-    vals = df.filter(v.isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_n"))
-    inner = Window.partitionBy("_bucket").orderBy(v.desc() if desc else v.asc())
+    vals = df.filter(v.isNotNull()).groupBy(*P, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    if dict(df.dtypes)[value_col] == "string":
+        # order-preserving numeric bucket key: the first 7 UTF-8 bytes as a
+        # big-endian integer (equal prefixes share a bucket; the inner window
+        # orders by the full string)
+        bkey = F.conv(F.rpad(F.hex(F.substring(F.encode(v, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    else:
+        bkey = v
     if buckets <= 1:
         keyed = vals.withColumn("_bucket", F.lit(0))
     else:
         qs = [i / buckets for i in range(1, buckets)]
-        bounds = vals.agg(F.percentile_approx(v, qs, 10000).alias("_b"))
-        better = (lambda b: b > v) if desc else (lambda b: b < v)
-        bucket = F.coalesce(F.size(F.filter(F.col("_b"), better)), F.lit(0))
-        keyed = vals.crossJoin(F.broadcast(bounds)).withColumn("_bucket", bucket).drop("_b")
-    per_bucket = keyed.groupBy("_bucket").agg(F.sum("_n").alias("_bn"))
-    offsets = per_bucket.withColumn(
-        "_off", F.coalesce(F.sum("_bn").over(
-            Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_bucket", "_off")
-    ranked = (keyed.join(F.broadcast(offsets), "_bucket")
-              .withColumn("_before", F.coalesce(
-                  F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select(v.alias("_rv"), (F.lit(1) + F.col("_off") + F.col("_before")).cast("bigint").alias(out)))
-    n_valid = vals.agg(F.sum("_n").alias("_nv"))
-    joined = df.join(ranked, v.eqNullSafe(F.col("_rv")), "left").drop("_rv")
-    return (joined.crossJoin(F.broadcast(n_valid))
-            .withColumn(out, F.coalesce(F.col(out), (F.coalesce(F.col("_nv"), F.lit(0)) + 1).cast("bigint")))
+        vals = vals.withColumn("_bk", bkey)
+        bounds = vals.groupBy(*P).agg(F.percentile_approx("_bk", qs, 10000).alias("_b"))   # one row per partition
+        bk = F.col("_bk")
+        better = (lambda b: b > bk) if desc else (lambda b: b < bk)
+        joined = vals.join(bounds, P) if P else vals.crossJoin(F.broadcast(bounds))
+        keyed = joined.withColumn("_bucket", F.coalesce(F.size(F.filter(F.col("_b"), better)), F.lit(0))) \
+            .drop("_b", "_bk")
+    per_bucket = keyed.groupBy(*P, "_bucket").agg(F.sum("_n").alias("_bn"))
+    wb = (Window.partitionBy(*P) if P else Window.partitionBy()).orderBy("_bucket") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
+    inner = Window.partitionBy(*P, "_bucket").orderBy(v.desc() if desc else v.asc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return (keyed.join(offsets, P + ["_bucket"])
+            .withColumn("_before", (F.col("_off") + F.coalesce(F.sum("_n").over(inner), F.lit(0))).cast("bigint"))
+            .drop("_off", "_bucket"))
+
+
+def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True, buckets: int = 64,
+               partition_cols: Sequence[str] = ()) -> DataFrame:
+    """RANK() OVER (PARTITION BY partition_cols ORDER BY value [DESC] NULLS LAST)."""
+    P = list(partition_cols)
+    c = cumulative_counts(df, value_col, P, desc, buckets)
+    ranked = c.select(*[F.col(p).alias(f"_rp_{p}") for p in P], F.col(value_col).alias("_rv"),
+                      (F.col("_before") + 1).alias(out))
+    cond = F.col(value_col).eqNullSafe(F.col("_rv"))
+    for p in P:
+        cond = cond & F.col(p).eqNullSafe(F.col(f"_rp_{p}"))
+    joined = df.join(ranked, cond, "left").drop("_rv", *[f"_rp_{p}" for p in P])
+    n_valid = c.groupBy(*P).agg(F.sum("_n").alias("_nv")) if P else c.agg(F.sum("_n").alias("_nv"))
+    joined = joined.join(n_valid, P, "left") if P else joined.crossJoin(F.broadcast(n_valid))
+    return (joined.withColumn(out, F.coalesce(F.col(out), (F.coalesce(F.col("_nv"), F.lit(0)) + 1)).cast("bigint"))
             .drop("_nv"))
+
+
+def exact_percentiles(df: DataFrame, value_col: str, qs: Sequence[float], partition_cols: Sequence[str] = (),
+                      buckets: int = 64, prefix: str = "p") -> DataFrame:
+    """Exact linear-interpolation percentiles per partition, one column per q
+    (named ``{prefix}{i}``) — the same numbers as ``percentile(value, q)``:
+    position = q·(n−1); result = (hi−pos)·v[lo] + (pos−lo)·v[hi]."""
+    P = list(partition_cols)
+    c = cumulative_counts(df.select(*P, F.col(value_col).cast("double").alias("_x")), "_x", P, False, buckets)
+    n = c.groupBy(*P).agg(F.sum("_n").alias("_total")) if P else c.agg(F.sum("_n").alias("_total"))
+    c = c.join(n, P) if P else c.crossJoin(F.broadcast(n))
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_total") - 1).cast("double") * float(q)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        cover = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+        aggs += [F.max(F.when(cover(lo), F.col("_x"))).alias(f"_lo{i}"),
+                 F.max(F.when(cover(hi), F.col("_x"))).alias(f"_hi{i}"),
+                 F.first(pos).alias(f"_pos{i}")]
+    g = c.groupBy(*P).agg(*aggs) if P else c.agg(*aggs)
+    outs = []
+    for i in range(len(qs)):
+        pos, vlo, vhi = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        lo, hi = F.floor(pos).cast("double"), F.ceil(pos).cast("double")
+        outs.append(F.when((lo == hi) | (vlo == vhi), vlo)
+                    .otherwise((hi - pos) * vlo + (pos - lo) * vhi).alias(f"{prefix}{i}"))
+    return g.select(*P, *outs)

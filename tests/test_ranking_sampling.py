@@ -13,7 +13,7 @@ from storepulse.operators.sampling import exact_hash_select, hash_hex
 values = st.lists(st.one_of(st.none(), st.integers(min_value=-5, max_value=30)), min_size=1, max_size=120)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(vals=values, buckets=st.sampled_from([1, 2, 7, 64]))
 def test_exact_rank_matches_window_rank(spark, vals, buckets):
     df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(vals)], "id int, v double")
@@ -40,7 +40,7 @@ def _reference_select(df, key, k_by_stratum, strata, seed, tag):
     return sel
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(n=st.integers(min_value=0, max_value=400), share=st.sampled_from(["0", "0.12", "0.5", "1", "1.7"]),
        prefix=st.sampled_from([1, 2, 4]))
 def test_exact_hash_select_equals_row_number(spark, n, share, prefix):
@@ -61,3 +61,37 @@ def test_exact_hash_select_global(spark):
     df = spark.createDataFrame([(f"o{i}",) for i in range(1000)], "key string")
     got = exact_hash_select(df, "key", lambda t: F.round(t * F.lit(Decimal("0.12")), 0), tag="x")
     assert got.filter("selected").count() == 120
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(vals=st.lists(st.integers(min_value=-50, max_value=50), min_size=1, max_size=150),
+       buckets=st.sampled_from([1, 3, 64]))
+def test_exact_percentiles_match_percentile(spark, vals, buckets):
+    from storepulse.operators.ranking import exact_percentiles
+    rows = [(i % 3, v / 4.0) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    qs = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    want = {r.g: list(r.p) for r in df.groupBy("g").agg(F.percentile("x", qs).alias("p")).collect()}
+    got = {r.g: [r[f"p{i}"] for i in range(len(qs))]
+           for r in exact_percentiles(df, "x", qs, ["g"], buckets=buckets).collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        for a, b in zip(got[g], want[g]):
+            assert abs(a - b) <= 1e-9 * max(1.0, abs(b))
+
+
+def test_exact_rank_partitioned(spark):
+    df = spark.createDataFrame([(i % 4, float((i * 7) % 11)) for i in range(80)], "g int, v double")
+    want = {(r.g, r.v): r.rk for r in df.select(
+        "g", "v", F.rank().over(Window.partitionBy("g").orderBy("v")).alias("rk")).collect()}
+    got = {(r.g, r.v): r.rank for r in exact_rank(df, "v", desc=False, buckets=4, partition_cols=["g"]).collect()}
+    assert got == want
+
+
+def test_exact_rank_strings_partitioned(spark):
+    names = ["PKR_0001", "PKR_0010", "PKR_0002", "A", "PKR_00011", "b", "PKR_0003x", "ü", "PKR_0001"]
+    df = spark.createDataFrame([(i % 2, n) for i, n in enumerate(names)], "g int, s string")
+    want = {(r.g, r.s): r.rk for r in df.select(
+        "g", "s", F.rank().over(Window.partitionBy("g").orderBy("s")).alias("rk")).collect()}
+    got = {(r.g, r.s): r.rank for r in exact_rank(df, "s", desc=False, buckets=3, partition_cols=["g"]).collect()}
+    assert got == want
