@@ -209,13 +209,20 @@ def _observe(df: DataFrame, rules: list[Rule], flags: list[tuple[int, str]]):
     return df.observe(o, *[_count_expr(rules[i], i, fc) for i, fc in flags]), o
 
 
-def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: bool = False) -> DataFrame:
+def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: bool = False,
+             unique: bool = False) -> DataFrame:
     """Left join a marker telling whether ``key`` exists in ``parent``.
 
-    ``parent`` keys are unique after cleaning, so this never multiplies rows.
-    ``broadcast`` only for parents with a proven size bound (stores).
+    Keys are de-duplicated first so the join never multiplies rows, except
+    when ``unique`` says the parent is unique on ``key`` by construction (the
+    cleaned orders, after the keep-first rule) — that skips a full shuffle of
+    the parent's keys.  ``broadcast`` only for parents with a proven size
+    bound (stores).
     """
-    keys = parent.select(F.col(key).alias(f"_{flag}_k")).distinct().withColumn(flag, F.lit(True))
+    keys = parent.select(F.col(key).alias(f"_{flag}_k"))
+    if not unique:
+        keys = keys.distinct()
+    keys = keys.withColumn(flag, F.lit(True))
     if broadcast:
         keys = F.broadcast(keys)
     return df.join(keys, df[key] == keys[f"_{flag}_k"], "left").drop(f"_{flag}_k")
@@ -368,7 +375,7 @@ def clean_orders(raw: DataFrame, stores_clean: DataFrame,
 
 
 def clean_order_items(raw: DataFrame, orders_clean: DataFrame, observe: bool = False):
-    df = _fk_flag(raw, orders_clean, "order_id", "_order_ok")
+    df = _fk_flag(raw, orders_clean, "order_id", "_order_ok", unique=True)
     price, cost, qty = F.col("unit_price_inr"), F.col("unit_cost_inr"), F.col("quantity")
     rules = [
         Rule("remove", "Quantity not positive", "Rows removed", qty > 0, audited=False),
@@ -402,7 +409,7 @@ def clean_picker_activity(raw: DataFrame, pickers_clean: DataFrame,
 
 
 def clean_substitutions(raw: DataFrame, orders_clean: DataFrame, observe: bool = False):
-    df = _fk_flag(raw, orders_clean, "order_id", "_order_ok")
+    df = _fk_flag(raw, orders_clean, "order_id", "_order_ok", unique=True)
     acc = F.col("customer_accepted")
     rules = [
         Rule("remove", "Original equals substitute SKU", "Rows removed",

@@ -125,7 +125,11 @@ def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None
         clean, audit = clean_all(raw)
         clean["cleaning_audit"] = audit
         return raw, clean
-    key = (spark.sparkContext.applicationId, _namespace() + "/" + _fingerprint(sf_dir))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001  (Spark Connect)
+        app = str(id(spark))
+    key = (app, _namespace() + "/" + _fingerprint(sf_dir))
     if key not in _MEMO:
         _MEMO[key] = _materialize(spark, sf_dir)
     raw_m, clean_m = _MEMO[key]
