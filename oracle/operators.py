@@ -338,3 +338,21 @@ SQL["rows_before_after"] = "\nUNION ALL\n".join(
        f"(SELECT {RD(PCT('is_profitable'), 1)} FROM cl_orders) AS profitable_pct"
        if t == "fact_orders" else "CAST(NULL AS DOUBLE) AS sla_met_pct, CAST(NULL AS DOUBLE) AS profitable_pct")
     for t, c in CLEAN_TABLES.items())
+
+# ---------------------------------------------------------------- sinks (read back)
+
+SQL["sink_roundtrip"] = "SELECT * FROM cl_orders"
+
+
+def _insights() -> str:
+    from oracle import analytics as A
+    bodies = {
+        "01_store_scorecard": A.SQL["scorecard_export"], "02_sla_by_store": A.SLA_SLIM,
+        "03_store_pnl": A.PNL_SUMMARY, "04_category_performance": A.CATEGORY_PERF,
+        "05_picker_performance": A.PICKER_PROD, "06_substitution_analysis": A.SUB_BANDS,
+        "07_hourly_demand": A.HOURLY,
+    }
+    return "\nUNION ALL\n".join(f"SELECT '{k}' AS insight, COUNT(*) AS rows FROM ({v})" for k, v in bodies.items())
+
+
+SQL["insights_export"] = _insights()

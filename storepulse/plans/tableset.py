@@ -9,8 +9,9 @@ Parquet under ``spark.checkpoint.dir`` (a shared folder on a cluster):
   expensive part and must not run once per report);
 * lineage is cut at the written tables, so a lost executor only recomputes
   from the Parquet files, never from the start;
-* the write is all-or-nothing: a ``_COMPLETE`` marker is written last and a
-  half-written set is never read.
+* the write is all-or-nothing: each builder writes a private directory,
+  marks it ``_COMPLETE`` and publishes it with one rename; a half-written
+  set is never read and concurrent builders never clobber each other.
 
 ``STOREPULSE_MATERIALIZE=0`` (or ``materialize=False``) keeps everything as
 one lazy plan — used to inspect end-to-end plans.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,10 +87,26 @@ def _namespace() -> str:
     return os.environ.get("STOREPULSE_NAMESPACE", "shared")
 
 
+def _rename(spark: SparkSession, src: str, dst: str) -> bool:
+    try:
+        fs, p = _fs(spark, src)
+        _, q = _fs(spark, dst)
+        return bool(fs.rename(p, q))
+    except Exception:  # noqa: BLE001
+        try:
+            os.rename(src, dst)
+            return True
+        except OSError:
+            return False
+
+
 def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    base = f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir)}"
+    final = f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir)}"
     names = TABLE_NAMES
-    if not _exists(spark, f"{base}/_COMPLETE"):
+    if not _exists(spark, f"{final}/_COMPLETE"):
+        # build privately, then publish with one directory rename: concurrent
+        # builders never overwrite each other and readers never see a partial set
+        base = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
         raw = raw_tables(spark, sf_dir)
         for t in names:
             raw[t].write.mode("overwrite").parquet(f"{base}/raw/{t}")
@@ -107,8 +125,10 @@ def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
         spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("overwrite") \
             .parquet(f"{base}/clean/cleaning_audit")
         _touch(spark, f"{base}/_COMPLETE")
-    raw_m = {t: spark.read.parquet(f"{base}/raw/{t}") for t in names}
-    clean_m = {t: spark.read.parquet(f"{base}/clean/{t}") for t in names + ["cleaning_audit"]}
+        if not _rename(spark, base, final) and not _exists(spark, f"{final}/_COMPLETE"):
+            final = base                    # could not publish: use the private copy
+    raw_m = {t: spark.read.parquet(f"{final}/raw/{t}") for t in names}
+    clean_m = {t: spark.read.parquet(f"{final}/clean/{t}") for t in names + ["cleaning_audit"]}
     return raw_m, clean_m
 
 
