@@ -29,11 +29,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+VALUES_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 4096
+
+
+def auto_buckets(df: DataFrame, value_col: str, partition_cols: Sequence[str] = ()) -> int:
+    """Bucket count so each (partition, bucket) window holds ~1M distinct values.
+
+    One small aggregate (HyperLogLog ``approx_count_distinct``) sized on the
+    largest partition; its one-row result is the only thing read back.
+    """
+    P = list(partition_cols)
+    est = df.groupBy(*P).agg(F.approx_count_distinct(value_col).alias("_d")) if P else \
+        df.agg(F.approx_count_distinct(value_col).alias("_d"))
+    d = est.agg(F.max("_d")).collect()[0][0] or 0
+    return int(min(MAX_BUCKETS, max(1, -(-d // VALUES_PER_BUCKET))))
+
+
 def cumulative_counts(df: DataFrame, value_col: str, partition_cols: Sequence[str] = (), desc: bool = False,
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """Distinct non-null (partition, value) rows with ``_n`` (multiplicity) and
-    ``_before`` (rows of the partition strictly before the value in order)."""
+    ``_before`` (rows of the partition strictly before the value in order).
+    ``buckets=None`` sizes the buckets from the data (``auto_buckets``)."""
     P = list(partition_cols)
+    if buckets is None:
+        buckets = auto_buckets(df, value_col, P)
     v = F.col(value_col)
     vals = df.filter(v.isNotNull()).groupBy(*P, value_col).agg(F.count(F.lit(1)).alias("_n"))
     if dict(df.dtypes)[value_col] == "string":
@@ -65,7 +85,7 @@ def cumulative_counts(df: DataFrame, value_col: str, partition_cols: Sequence[st
             .drop("_off", "_bucket"))
 
 
-def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True, buckets: int = 64,
+def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True, buckets: int | None = None,
                partition_cols: Sequence[str] = ()) -> DataFrame:
     """RANK() OVER (PARTITION BY partition_cols ORDER BY value [DESC] NULLS LAST)."""
     P = list(partition_cols)
@@ -83,7 +103,7 @@ def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = Tr
 
 
 def exact_percentiles(df: DataFrame, value_col: str, qs: Sequence[float], partition_cols: Sequence[str] = (),
-                      buckets: int = 64, prefix: str = "p") -> DataFrame:
+                      buckets: int | None = None, prefix: str = "p") -> DataFrame:
     """Exact linear-interpolation percentiles per partition, one column per q
     (named ``{prefix}{i}``) — the same numbers as ``percentile(value, q)``:
     position = q·(n−1); result = (hi−pos)·v[lo] + (pos−lo)·v[hi]."""
