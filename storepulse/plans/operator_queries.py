@@ -212,7 +212,7 @@ def insights_export(spark, T):
     results = {
         "01_store_scorecard": pnl.scorecard_export(T), "02_sla_by_store": _sla_slim(T),
         "03_store_pnl": pnl.store_pnl_summary(T), "04_category_performance": products.category_performance(T),
-        "05_picker_performance": pickers.picker_productivity(T),
+        "05_picker_performance": pickers.picker_productivity(T, with_rank=False),
         "06_substitution_analysis": SB.substitution_bands(T), "07_hourly_demand": _hourly(T),
     }
     del S

@@ -31,7 +31,7 @@ def _per_picker(T: dict[str, DataFrame]) -> DataFrame:
         F.sum("errors_made").cast("bigint").alias("total_errors"))
 
 
-def picker_productivity(T: dict[str, DataFrame]) -> DataFrame:
+def picker_productivity(T: dict[str, DataFrame], with_rank: bool = True) -> DataFrame:
     p = (_per_picker(T)
          .join(T["dim_pickers"].select("picker_id", "picker_name", "skill_level", "shift"), "picker_id")
          .join(store_dim(T, "store_name"), "store_id"))
@@ -43,6 +43,8 @@ def picker_productivity(T: dict[str, DataFrame]) -> DataFrame:
         "total_errors",
         exact_round(safe_div(F.col("total_errors") * 100, "total_picks"), 2).alias("error_rate_pct"),
         "_rate")
+    if not with_rank:
+        return out.drop("_rate")
     return exact_rank(out, "_rate", "productivity_rank").drop("_rate")
 
 
@@ -101,7 +103,7 @@ def store_pick_rate(T: dict[str, DataFrame]) -> DataFrame:
 def picker_bands(T: dict[str, DataFrame]) -> DataFrame:
     """Picker report colouring: rate vs the network mean of (rounded) picker
     rates, and an error-rate flag."""
-    p = picker_productivity(T).select("picker_id", "picker_name", "skill_level", "shift", "store_name",
+    p = picker_productivity(T, with_rank=False).select("picker_id", "picker_name", "skill_level", "shift", "store_name",
                                       "total_picks", "avg_pick_rate", "total_errors", "error_rate_pct")
     net = p.agg(F.avg("avg_pick_rate").alias("network_avg_rate"))   # one row
     r = F.col("avg_pick_rate")

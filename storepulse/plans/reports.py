@@ -141,7 +141,7 @@ def key_findings(T: dict[str, DataFrame]) -> DataFrame:
     cat = cat.select(F.col("_c.category").alias("top_category"),
                      F.col("_c.total_revenue").alias("top_category_revenue"),
                      F.col("_c.avg_margin_pct").alias("top_category_margin_pct"))
-    pk = picker_productivity(T).agg(
+    pk = picker_productivity(T, with_rank=False).agg(
         F.min_by(F.struct("picker_name", "avg_pick_rate"), F.struct(-F.col("avg_pick_rate"), F.col("picker_id")))
         .alias("_p"), F.avg("avg_pick_rate").alias("_avg"))
     pk = pk.select(F.col("_p.picker_name").alias("top_picker"), F.col("_p.avg_pick_rate").alias("top_pick_rate"),
