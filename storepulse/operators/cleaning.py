@@ -26,6 +26,7 @@ when no other row breaks the rule.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -455,20 +456,28 @@ def clean_and_write(raw: dict[str, DataFrame], write_and_read,
     (tables, audit rows).
     """
     out: dict[str, DataFrame] = {}
-    rows: list[tuple] = []
+    audits: dict[str, list[tuple]] = {}
 
-    def step(name, fn, *args):
+    def step(name, fn, *parents):
         kw = {"persist": stage} if stage is not None and fn in (clean_customers, clean_orders) else {}
-        clean, audit = fn(*args, observe=True, **kw)
-        out[name] = write_and_read(name, clean)
-        rows.extend(audit.rows())
-
-    step("dim_stores", clean_stores, raw["dim_stores"])
-    step("dim_skus", clean_skus, raw["dim_skus"])
-    step("dim_customers", clean_customers, raw["dim_customers"])
-    step("dim_pickers", clean_pickers, raw["dim_pickers"], out["dim_stores"])
-    step("fact_orders", clean_orders, raw["fact_orders"], out["dim_stores"])
-    step("fact_order_items", clean_order_items, raw["fact_order_items"], out["fact_orders"])
-    step("fact_picker_activity", clean_picker_activity, raw["fact_picker_activity"], out["dim_pickers"])
-    step("fact_substitutions", clean_substitutions, raw["fact_substitutions"], out["fact_orders"])
-    return out, rows
+        clean, audit = fn(raw[name], *[out[p] for p in parents], observe=True, **kw)
+        written = write_and_read(name, clean)
+        return name, written, audit.rows()
+
+    # dependency waves; the tables of one wave are independent Spark jobs
+    # submitted concurrently (fills the cluster when single jobs are small)
+    waves = [
+        [("dim_stores", clean_stores), ("dim_skus", clean_skus), ("dim_customers", clean_customers)],
+        [("dim_pickers", clean_pickers, "dim_stores"), ("fact_orders", clean_orders, "dim_stores")],
+        [("fact_order_items", clean_order_items, "fact_orders"),
+         ("fact_picker_activity", clean_picker_activity, "dim_pickers"),
+         ("fact_substitutions", clean_substitutions, "fact_orders")],
+    ]
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        for wave in waves:
+            for name, written, rows in pool.map(lambda t: step(*t), wave):
+                out[name] = written
+                audits[name] = rows
+    order = ["dim_stores", "dim_skus", "dim_customers", "dim_pickers", "fact_orders", "fact_order_items",
+             "fact_picker_activity", "fact_substitutions"]
+    return out, [r for t in order for r in audits[t]]

@@ -20,6 +20,7 @@ one lazy plan — used to inspect end-to-end plans.
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 import os
 import uuid
 
@@ -108,8 +109,9 @@ def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
         # builders never overwrite each other and readers never see a partial set
         base = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
         raw = raw_tables(spark, sf_dir)
-        for t in names:
-            raw[t].write.mode("overwrite").parquet(f"{base}/raw/{t}")
+        # independent jobs, submitted concurrently from driver threads
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            list(pool.map(lambda t: raw[t].write.mode("overwrite").parquet(f"{base}/raw/{t}"), names))
         raw_m = {t: spark.read.parquet(f"{base}/raw/{t}") for t in names}
 
         def write_and_read(name: str, df: DataFrame) -> DataFrame:
