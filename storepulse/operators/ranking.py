@@ -64,7 +64,11 @@ def cumulative_counts(df: DataFrame, value_col: str, partition_cols: Sequence[st
     else:
         bkey = v
     if buckets <= 1:
-        keyed = vals.withColumn("_bucket", F.lit(0))
+        # one bucket (≤ ~1M distinct values per partition by auto_buckets):
+        # a running count over the distinct values, no offsets to join
+        w1 = (Window.partitionBy(*P) if P else Window.partitionBy()).orderBy(v.desc() if desc else v.asc()) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        return vals.withColumn("_before", F.coalesce(F.sum("_n").over(w1), F.lit(0)).cast("bigint"))
     else:
         qs = [i / buckets for i in range(1, buckets)]
         vals = vals.withColumn("_bk", bkey)
