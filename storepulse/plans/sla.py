@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storepulse.functions.exprs import exact_mean, exact_round, rate_pct, count_true
+from storepulse.functions.exprs import exact_mean, exact_round, rate_pct
 from storepulse.plans.common import delivered, store_dim
 
 DAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
