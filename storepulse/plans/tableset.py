@@ -108,7 +108,12 @@ def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
         # build privately, then publish with one directory rename: concurrent
         # builders never overwrite each other and readers never see a partial set
         base = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
-        raw = raw_tables(spark, sf_dir)
+
+        def stage(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
+            return spark.read.parquet(f"{base}/stage/{name}")
+
+        raw = raw_tables(spark, sf_dir, stage)
         # independent jobs, submitted concurrently from driver threads
         with ThreadPoolExecutor(max_workers=4) as pool:
             list(pool.map(lambda t: raw[t].write.mode("overwrite").parquet(f"{base}/raw/{t}"), names))
@@ -118,10 +123,6 @@ def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
             df.write.mode("overwrite").parquet(f"{base}/clean/{name}")
             return spark.read.parquet(f"{base}/clean/{name}")
 
-        def stage(name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
-            return spark.read.parquet(f"{base}/stage/{name}")
-
         _, rows = clean_and_write(raw_m, write_and_read, stage)
         # the audit is a few dozen rows of counts observed during the writes
         spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("overwrite") \

@@ -144,12 +144,18 @@ def raw_pickers(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _order_keys(t: dict[str, DataFrame]) -> DataFrame:
-    """orders ⋈ customer: the store (customer nation) of every order key."""
+def order_keys(t: dict[str, DataFrame]) -> DataFrame:
+    """orders ⋈ customer: every order with its customer's nation (the store)."""
     cust = t["customer"].select("c_custkey", "c_nationkey")
     return t["orders"].join(cust, F.col("o_custkey") == F.col("c_custkey"))
 
 
+def _order_keys(t: dict[str, DataFrame]) -> DataFrame:
+    """The enriched orders; a staged copy (``t["order_keys"]``) is used when
+    present so raw orders and raw items share ONE orders ⋈ customer join."""
+    return t["order_keys"] if "order_keys" in t else order_keys(t)
+
+
 def raw_orders(t: dict[str, DataFrame]) -> DataFrame:
     k, tp = F.col("o_orderkey"), F.col("o_totalprice")
     ok = F.col("o_custkey")
@@ -318,9 +324,15 @@ def raw_substitutions(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All eight raw tables as lazy DataFrames over ``sf_dir``."""
+def raw_tables(spark: SparkSession, sf_dir: str, stage=None) -> dict[str, DataFrame]:
+    """All eight raw tables as lazy DataFrames over ``sf_dir``.
+
+    ``stage(name, df) -> df`` (optional) persists shared intermediates — the
+    orders ⋈ customer join feeds both orders and items.
+    """
     t = read_tpch(spark, sf_dir)
+    if stage is not None:
+        t["order_keys"] = stage("order_keys", order_keys(t))
     return {
         "dim_stores": raw_stores(t),
         "dim_skus": raw_skus(t),
