@@ -30,3 +30,11 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "composite_rank_score" in df.columns
+
+
+@pytest.mark.parametrize("key", ["store_scorecard", "clean_orders", "describe_numeric", "demand_heatmap",
+                                 "picker_productivity", "cleaning_audit", "stratified_flag", "key_findings"])
+def test_column_types_match_oracle(spark, con, key):
+    a = E.queries()[key](spark, SMALL).toArrow().schema
+    b = con.sql(E.oracle_sql()[key]).to_arrow_table().schema
+    assert {f.name: str(f.type) for f in a} == {f.name: str(f.type) for f in b}
