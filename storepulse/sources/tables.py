@@ -69,3 +69,13 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.orderBy(F.col("rows").desc(), "table_name")
+
+
+def load_jdbc(tables: dict[str, DataFrame], url: str, properties: dict[str, str],
+              batchsize: int = 10000, mode: str = "overwrite") -> None:
+    """IO4: replace-load each table into a relational database in
+    ``batchsize``-row insert batches (``df.write.jdbc``), one writer per
+    partition.  Not exercised by the tests (no database is started here)."""
+    for name, df in tables.items():
+        df.write.option("batchsize", batchsize).option("truncate", "true").jdbc(
+            url, name, mode=mode, properties=properties)
