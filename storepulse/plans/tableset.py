@@ -50,14 +50,32 @@ def _code_version() -> str:
     return h.hexdigest()[:12]
 
 
-def _fingerprint(sf_dir: str) -> str:
+def _input_stamp(spark: SparkSession | None, path: str) -> str:
+    """Total size and newest modification time under ``path`` (any Hadoop
+    file system: local, HDFS, object stores); os.stat without a JVM gateway."""
+    if spark is not None:
+        try:
+            fs, p = _fs(spark, path)
+            it = fs.listFiles(p, True)
+            size, mtime = 0, 0
+            while it.hasNext():
+                st = it.next()
+                size += st.getLen()
+                mtime = max(mtime, st.getModificationTime())
+            return f"{size}:{mtime}"
+        except Exception:  # noqa: BLE001
+            pass
+    try:
+        st = os.stat(path)
+        return f"{st.st_size}:{int(st.st_mtime)}"
+    except OSError:
+        return "missing"
+
+
+def _fingerprint(sf_dir: str, spark: SparkSession | None = None) -> str:
     parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, _code_version()]
     for n in TPCH_TABLES:
-        try:
-            st = os.stat(f"{sf_dir}/{n}.parquet")
-            parts.append(f"{n}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(f"{n}:remote")
+        parts.append(f"{n}:{_input_stamp(spark, f'{sf_dir}/{n}.parquet')}")
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -102,7 +120,7 @@ def _rename(spark: SparkSession, src: str, dst: str) -> bool:
 
 
 def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    final = f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir)}"
+    final = f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir, spark)}"
     names = TABLE_NAMES
     if not _exists(spark, f"{final}/_COMPLETE"):
         # build privately, then publish with one directory rename: concurrent
@@ -152,7 +170,7 @@ def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None
         app = spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001  (Spark Connect)
         app = str(id(spark))
-    key = (app, _namespace() + "/" + _fingerprint(sf_dir))
+    key = (app, _namespace() + "/" + _fingerprint(sf_dir, spark))
     if key not in _MEMO:
         _MEMO[key] = _materialize(spark, sf_dir)
     raw_m, clean_m = _MEMO[key]
