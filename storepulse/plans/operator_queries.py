@@ -16,7 +16,7 @@ from storepulse.operators.cleaning import _keep_first
 from storepulse.plans.common import delivered, rank_desc, store_dim
 from storepulse.plans.sla import time_band
 from storepulse.sources import tables as IO
-from storepulse.plans.tableset import raw_table_set as raw_tables, table_sets
+from storepulse.plans.tableset import clean_tables, raw_table_set as raw_tables, table_sets
 from storepulse.sources.schemas import TABLE_NAMES
 
 
@@ -26,7 +26,7 @@ def _both(spark: SparkSession, sf_dir: str):
 
 
 def _clean(spark, sf_dir):
-    return _both(spark, sf_dir)[1]
+    return clean_tables(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- predicates
@@ -326,7 +326,7 @@ QUERIES = {
     "recompute_profitable": _o(_m5),
     "sample_exact_fraction": _o(_m6),
     "stratified_flag": _o(_m8),
-    "cleaning_audit": lambda s, d: _both(s, d)[2],
+    "cleaning_audit": lambda s, d: _clean(s, d)["cleaning_audit"],
     "rows_before_after": _rc(rows_before_after),
     "sink_roundtrip": _sc(sink_roundtrip),
     "insights_export": _sc(insights_export),

@@ -32,10 +32,10 @@ from storepulse.sources.fixtures import TPCH_TABLES, raw_tables
 from storepulse.sources.schemas import AUDIT, TABLE_NAMES
 
 LAYOUT_VERSION = "v1"
-_MEMO: dict[tuple[str, str], tuple[dict[str, DataFrame], dict[str, DataFrame]]] = {}
+_MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
-_CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "functions/exprs.py",
+_CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "operators/ranking.py", "functions/exprs.py",
          "plans/tableset.py"]
 
 
@@ -119,14 +119,53 @@ def _rename(spark: SparkSession, src: str, dst: str) -> bool:
             return False
 
 
-def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    final = f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir, spark)}"
+def _publish(spark: SparkSession, final: str, build) -> str:
+    """Build a table set privately and publish it with one directory rename.
+
+    Concurrent builders never overwrite each other and readers never see a
+    partial set (``_COMPLETE`` is written last).  Returns the readable path.
+    """
+    if _exists(spark, f"{final}/_COMPLETE"):
+        return final
+    base = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
+    build(base)
+    _touch(spark, f"{base}/_COMPLETE")
+    if not _rename(spark, base, final) and not _exists(spark, f"{final}/_COMPLETE"):
+        return base                          # could not publish: use the private copy
+    return final
+
+
+def _root(spark: SparkSession, sf_dir: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir, spark)}"
+
+
+def _materialize_clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Derive → clean → write the cleaned set (no raw copy is written)."""
+    names = TABLE_NAMES
+
+    def build(base: str) -> None:
+        def stage(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
+            return spark.read.parquet(f"{base}/stage/{name}")
+
+        def write_and_read(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+            return spark.read.parquet(f"{base}/{name}")
+
+        raw = raw_tables(spark, sf_dir, stage)      # lazy; orders ⋈ customer staged once
+        _, rows = clean_and_write(raw, write_and_read, stage)
+        # the audit is a few dozen rows of counts observed during the writes
+        spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("overwrite").parquet(f"{base}/cleaning_audit")
+
+    path = _publish(spark, f"{_root(spark, sf_dir)}/clean", build)
+    return {t: spark.read.parquet(f"{path}/{t}") for t in names + ["cleaning_audit"]}
+
+
+def _materialize_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The raw (pre-cleaning) set, written only when a raw-table query needs it."""
     names = TABLE_NAMES
-    if not _exists(spark, f"{final}/_COMPLETE"):
-        # build privately, then publish with one directory rename: concurrent
-        # builders never overwrite each other and readers never see a partial set
-        base = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
 
+    def build(base: str) -> None:
         def stage(name: str, df: DataFrame) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
             return spark.read.parquet(f"{base}/stage/{name}")
@@ -134,23 +173,10 @@ def _materialize(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
         raw = raw_tables(spark, sf_dir, stage)
         # independent jobs, submitted concurrently from driver threads
         with ThreadPoolExecutor(max_workers=4) as pool:
-            list(pool.map(lambda t: raw[t].write.mode("overwrite").parquet(f"{base}/raw/{t}"), names))
-        raw_m = {t: spark.read.parquet(f"{base}/raw/{t}") for t in names}
+            list(pool.map(lambda t: raw[t].write.mode("overwrite").parquet(f"{base}/{t}"), names))
 
-        def write_and_read(name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{base}/clean/{name}")
-            return spark.read.parquet(f"{base}/clean/{name}")
-
-        _, rows = clean_and_write(raw_m, write_and_read, stage)
-        # the audit is a few dozen rows of counts observed during the writes
-        spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("overwrite") \
-            .parquet(f"{base}/clean/cleaning_audit")
-        _touch(spark, f"{base}/_COMPLETE")
-        if not _rename(spark, base, final) and not _exists(spark, f"{final}/_COMPLETE"):
-            final = base                    # could not publish: use the private copy
-    raw_m = {t: spark.read.parquet(f"{final}/raw/{t}") for t in names}
-    clean_m = {t: spark.read.parquet(f"{final}/clean/{t}") for t in names + ["cleaning_audit"]}
-    return raw_m, clean_m
+    path = _publish(spark, f"{_root(spark, sf_dir)}/raw", build)
+    return {t: spark.read.parquet(f"{path}/{t}") for t in names}
 
 
 def _use_materialized(materialize: bool | None) -> bool:
@@ -159,28 +185,36 @@ def _use_materialized(materialize: bool | None) -> bool:
     return os.environ.get("STOREPULSE_MATERIALIZE", "1") != "0"
 
 
-def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None):
-    """(raw, clean) table dicts; clean also holds ``cleaning_audit``."""
-    if not _use_materialized(materialize):
-        raw = raw_tables(spark, sf_dir)
-        clean, audit = clean_all(raw)
-        clean["cleaning_audit"] = audit
-        return raw, clean
+def _memo_key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str]:
     try:
         app = spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001  (Spark Connect)
         app = str(id(spark))
-    key = (app, _namespace() + "/" + _fingerprint(sf_dir, spark))
-    if key not in _MEMO:
-        _MEMO[key] = _materialize(spark, sf_dir)
-    raw_m, clean_m = _MEMO[key]
-    return dict(raw_m), dict(clean_m)
+    return app, f"{_namespace()}/{_fingerprint(sf_dir, spark)}/{kind}"
 
 
 def clean_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> dict[str, DataFrame]:
     """Cleaned eight tables (+ ``cleaning_audit``)."""
-    return table_sets(spark, sf_dir, materialize)[1]
+    if not _use_materialized(materialize):
+        clean, audit = clean_all(raw_tables(spark, sf_dir))
+        clean["cleaning_audit"] = audit
+        return clean
+    key = _memo_key(spark, sf_dir, "clean")
+    if key not in _MEMO:
+        _MEMO[key] = _materialize_clean(spark, sf_dir)
+    return dict(_MEMO[key])
 
 
 def raw_table_set(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> dict[str, DataFrame]:
-    return table_sets(spark, sf_dir, materialize)[0]
+    """The eight raw tables (materialized on first use)."""
+    if not _use_materialized(materialize):
+        return raw_tables(spark, sf_dir)
+    key = _memo_key(spark, sf_dir, "raw")
+    if key not in _MEMO:
+        _MEMO[key] = _materialize_raw(spark, sf_dir)
+    return dict(_MEMO[key])
+
+
+def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None):
+    """(raw, clean) table dicts; clean also holds ``cleaning_audit``."""
+    return raw_table_set(spark, sf_dir, materialize), clean_tables(spark, sf_dir, materialize)
