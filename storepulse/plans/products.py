@@ -43,8 +43,10 @@ def category_by_store(T: dict[str, DataFrame]) -> DataFrame:
         F.countDistinct("order_id").alias("orders"),
         F.sum("quantity").cast("bigint").alias("total_qty"),
         F.sum("item_total_inr").alias("_rev"))
-    store_tot = per.groupBy("store_id").agg(F.sum("_rev").alias("_store_rev"))   # ≤ one row per store
-    j = per.join(F.broadcast(store_tot), "store_id").join(store_dim(T, "store_name", "city"), "store_id")
+    # share of the store's revenue: a window over the aggregate, one row per
+    # category in each store partition (bounded by the category count)
+    per = per.withColumn("_store_rev", F.sum("_rev").over(Window.partitionBy("store_id")))
+    j = per.join(store_dim(T, "store_name", "city"), "store_id")
     rev = exact_round("_rev", 0)
     return j.select(
         "store_id", "store_name", "city", "category", "orders", "total_qty", rev.alias("revenue"),
