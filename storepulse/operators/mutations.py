@@ -114,7 +114,16 @@ def stratified_flag(orders: DataFrame, rates: dict[str, str] = STORE_SLA_RATES,
     return flagged.unionByName(rest)
 
 
-def update_script(orders: DataFrame, seed=42) -> DataFrame:
-    """M1..M8 in the script's order."""
+def update_script(orders: DataFrame, seed=42, stage=None) -> DataFrame:
+    """M1..M8 in the script's order.
+
+    ``stage(name, df) -> df`` persists the table state after M6, as the
+    script's UPDATE statements do: M8 then reads that state instead of
+    re-deriving M6 inside each of its branches (M6 and M8 both read their
+    input several times — histogram, boundary, rest).
+    """
     o = recompute_profitable(recompute_profit(recompute_sla(recompute_total(resample_components(orders, seed=seed)))))
-    return stratified_flag(sample_exact_fraction(o, seed=seed).drop("repriced"), seed=seed)
+    o = sample_exact_fraction(o, seed=seed).drop("repriced")
+    if stage is not None:
+        o = stage("orders_after_m6", o)
+    return stratified_flag(o, seed=seed)

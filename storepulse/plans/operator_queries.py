@@ -285,7 +285,15 @@ def _m6(o):
 
 
 def _m8(o):
-    return M.update_script(o).select("order_id", "store_id", "order_status", "sla_met")
+    spark = o.sparkSession
+
+    def stage(name, df):
+        import uuid
+        path = IO.scratch_path(spark, "update_script", uuid.uuid4().hex, name)
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    return M.update_script(o, stage=stage).select("order_id", "store_id", "order_status", "sla_met")
 
 
 QUERIES = {
