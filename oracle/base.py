@@ -69,12 +69,12 @@ fx_stores AS (
   FROM nation JOIN region ON n_regionkey = r_regionkey),
 sku_px0 AS (
   SELECT p_partkey, p_name, p_brand, p_type, p_size,
-         CASE WHEN p_partkey % 83 = 5 THEN CAST(0.0 AS DOUBLE) ELSE p_retailprice END AS price_d
+         CASE WHEN p_partkey % 83 = 5 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(p_retailprice AS DECIMAL(18,2)) END AS price_d
   FROM part),
 sku_px AS (
   SELECT *, {R2('price_d')} AS unit_price_inr,
-         {R2('CASE WHEN p_partkey % 50 = 1 THEN price_d * CAST(1.1 AS DOUBLE) ELSE price_d * (p_size % 20 + 68) / 100 END')} AS cost_price_inr,
-         {R2('CASE WHEN p_partkey % 61 = 2 THEN price_d * CAST(0.9 AS DOUBLE) ELSE price_d * CAST(1.15 AS DOUBLE) END')} AS mrp_inr
+         {R2('CASE WHEN p_partkey % 50 = 1 THEN price_d * 1.1 ELSE price_d * CAST(p_size % 20 + 68 AS DECIMAL(18,0)) * 0.01 END')} AS cost_price_inr,
+         {R2('CASE WHEN p_partkey % 61 = 2 THEN price_d * 0.9 ELSE price_d * 1.15 END')} AS mrp_inr
   FROM sku_px0),
 fx_skus AS (
   SELECT printf('SKU_%06d', p_partkey) AS sku_id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS sku_name,
@@ -109,17 +109,21 @@ fx_pickers AS (
          CAST(CASE WHEN s_suppkey % 17 = 0 THEN 50000 ELSE 14000 + (s_suppkey * 100) % 10000 END AS BIGINT) AS monthly_salary_inr,
          TRUE AS is_active
   FROM supplier),
-ord_k AS (
-  SELECT o_orderkey AS k, o_totalprice AS tp, o_custkey AS ck, o_orderdate, c_nationkey,
-         CAST((o_orderkey * 7) % 24 AS INTEGER) AS hr, CAST(o_orderdate AS DATE) AS od,
-         o_totalprice * ((o_orderkey % 5) * 5) / 100 AS disc_raw,
-         {R2('CASE WHEN o_orderkey % 401 = 3 THEN CAST(0.0 AS DOUBLE) ELSE o_totalprice END')} AS val,
-         CASE WHEN o_orderstatus IN ('F', 'P') THEN 'Delivered' WHEN o_orderkey % 9 < 7 THEN 'Cancelled' ELSE 'RTO' END AS st,
-         {RM('CASE WHEN o_orderkey % 97 = 0 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(o_orderkey % 37 AS DOUBLE) / CAST(10.0 AS DOUBLE) + 2 END')} AS pick,
-         {RM('CAST(o_orderkey % 11 AS DOUBLE) / CAST(10.0 AS DOUBLE) + 1')} AS pack,
-         {RM('CAST(o_orderkey % 13 AS DOUBLE) / CAST(10.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)')} AS disp,
-         {RM('CASE WHEN o_orderkey % 211 = 0 THEN CAST(150.0 AS DOUBLE) WHEN o_orderkey % 307 = 0 THEN CAST(30.0 AS DOUBLE) WHEN o_orderkey % 149 = 0 THEN CAST(14.0 AS DOUBLE) ELSE CAST(o_orderkey % 41 AS DOUBLE) / CAST(10.0 AS DOUBLE) + 1 END')} AS travel
+ord_k0 AS (
+  SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS tp, o_custkey AS ck, o_orderdate, o_orderstatus,
+         c_nationkey
   FROM orders JOIN customer ON o_custkey = c_custkey),
+ord_k AS (
+  SELECT k, tp, ck, o_orderdate, c_nationkey,
+         CAST((k * 7) % 24 AS INTEGER) AS hr, CAST(o_orderdate AS DATE) AS od,
+         tp * CAST(k % 5 AS DECIMAL(18,0)) * 0.05 AS disc_raw,
+         {R2('CASE WHEN k % 401 = 3 THEN CAST(0 AS DECIMAL(18,2)) ELSE tp END')} AS val,
+         CASE WHEN o_orderstatus IN ('F', 'P') THEN 'Delivered' WHEN k % 9 < 7 THEN 'Cancelled' ELSE 'RTO' END AS st,
+         {RM('CASE WHEN k % 97 = 0 THEN -1.0 ELSE CAST(k % 37 AS DECIMAL(18,0)) * 0.1 + 2 END')} AS pick,
+         {RM('CAST(k % 11 AS DECIMAL(18,0)) * 0.1 + 1')} AS pack,
+         {RM('CAST(k % 13 AS DECIMAL(18,0)) * 0.1 + 0.5')} AS disp,
+         {RM('CASE WHEN k % 211 = 0 THEN 150.0 WHEN k % 307 = 0 THEN 30.0 WHEN k % 149 = 0 THEN 14.0 ELSE CAST(k % 41 AS DECIMAL(18,0)) * 0.1 + 1 END')} AS travel
+  FROM ord_k0),
 fx_orders_base AS (
   SELECT printf('ORD_%08d', k) AS order_id, printf('STR_%03d', c_nationkey + 1) AS store_id,
          printf('CUST_%06d', CASE WHEN ck % 40 < 4 THEN ck - ck % 40 ELSE ck END) AS customer_id,
@@ -129,13 +133,13 @@ fx_orders_base AS (
          val AS order_value_inr,
          {R2('CASE WHEN k % 89 = 0 THEN tp ELSE disc_raw END')} AS discount_amount_inr,
          CAST(CASE WHEN val >= 149 THEN 0 ELSE 25 END AS DECIMAL(18,2)) AS delivery_charge_inr,
-         {R2('tp * 3 / 100')} AS platform_fee_inr,
-         {R2('tp * 103 / 100 - disc_raw')} AS net_order_value_inr,
+         {R2('tp * 0.03')} AS platform_fee_inr,
+         {R2('tp * 1.03 - disc_raw')} AS net_order_value_inr,
          pick AS pick_time_mins, pack AS pack_time_mins, disp AS dispatch_time_mins, travel AS travel_time_mins,
          CAST(pick + pack + disp + travel + CASE WHEN k % 50 = 0 THEN 1 ELSE 0 END AS DECIMAL(9,2)) AS total_delivery_mins,
          CAST(pick + pack + disp + travel + CASE WHEN k % 50 = 0 THEN 1 ELSE 0 END AS DECIMAL(9,2)) <= 10 AS sla_met,
-         {RM('CAST(k % 27 AS DOUBLE) / CAST(10.0 AS DOUBLE) + CAST(0.3 AS DOUBLE)')} AS distance_km,
-         {R2('CASE WHEN k % 8 = 0 THEN tp * (k % 31 + 85) / 100 ELSE CAST(k % 27 * 8 AS DOUBLE) / CAST(10.0 AS DOUBLE) + 15 END')} AS delivery_cost_inr,
+         {RM('CAST(k % 27 AS DECIMAL(18,0)) * 0.1 + 0.3')} AS distance_km,
+         {R2('CASE WHEN k % 8 = 0 THEN tp * CAST(k % 31 + 85 AS DECIMAL(18,0)) * 0.01 ELSE CAST(k % 27 AS DECIMAL(18,0)) * 0.8 + 15 END')} AS delivery_cost_inr,
          st AS order_status, CAST(k % 11 + 1 AS INTEGER) AS num_items, k % 8 = 1 AS had_substitution,
          CAST(CASE WHEN st = 'Delivered' THEN k % 5 + 1 END AS INTEGER) AS customer_rating,
          k

@@ -19,6 +19,8 @@ Scale notes
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,11 +73,21 @@ def raw_stores(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def D(v: str):
+    """Exact decimal literal: money math stays in decimal, so rounding ties
+    resolve the same way on every engine (no double → decimal conversion)."""
+    return F.lit(Decimal(v))
+
+
+def _dec(c, scale: int = 0):
+    return c.cast(f"decimal(18,{scale})")
+
+
 def _sku_prices(part: DataFrame) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
-    price = F.when(k % 83 == 5, F.lit(0.0)).otherwise(F.col("p_retailprice"))
-    cost = F.when(k % 50 == 1, price * 1.1).otherwise(price * (size % 20 + 68) / 100)
-    mrp = F.when(k % 61 == 2, price * 0.9).otherwise(price * 1.15)
+    price = F.when(k % 83 == 5, D("0.00")).otherwise(_dec(F.col("p_retailprice"), 2))
+    cost = F.when(k % 50 == 1, price * D("1.1")).otherwise(price * _dec(size % 20 + 68) * D("0.01"))
+    mrp = F.when(k % 61 == 2, price * D("0.9")).otherwise(price * D("1.15"))
     return part.select(
         "*",
         _money(price).alias("unit_price_inr"),
@@ -157,19 +169,19 @@ def _order_keys(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def raw_orders(t: dict[str, DataFrame]) -> DataFrame:
-    k, tp = F.col("o_orderkey"), F.col("o_totalprice")
+    k, tp = F.col("o_orderkey"), _dec(F.col("o_totalprice"), 2)
     ok = F.col("o_custkey")
     hour = ((k * 7) % 24).cast("int")
     odate = F.col("o_orderdate").cast("date")
-    disc_raw = tp * ((k % 5) * 5) / 100
-    value = _money(F.when(k % 401 == 3, F.lit(0.0)).otherwise(tp))
+    disc_raw = tp * _dec(k % 5) * D("0.05")
+    value = _money(F.when(k % 401 == 3, D("0.00")).otherwise(tp))
     status = F.when(F.col("o_orderstatus").isin("F", "P"), "Delivered") \
         .when(k % 9 < 7, "Cancelled").otherwise("RTO")
-    pick = _mins(F.when(k % 97 == 0, F.lit(-1.0)).otherwise((k % 37).cast("double") / 10.0 + 2))
-    pack = _mins((k % 11).cast("double") / 10.0 + 1)
-    disp = _mins((k % 13).cast("double") / 10.0 + 0.5)
-    travel = _mins(F.when(k % 211 == 0, F.lit(150.0)).when(k % 307 == 0, F.lit(30.0))
-                   .when(k % 149 == 0, F.lit(14.0)).otherwise((k % 41).cast("double") / 10.0 + 1))
+    pick = _mins(F.when(k % 97 == 0, D("-1.0")).otherwise(_dec(k % 37) * D("0.1") + D("2")))
+    pack = _mins(_dec(k % 11) * D("0.1") + D("1"))
+    disp = _mins(_dec(k % 13) * D("0.1") + D("0.5"))
+    travel = _mins(F.when(k % 211 == 0, D("150.0")).when(k % 307 == 0, D("30.0"))
+                   .when(k % 149 == 0, D("14.0")).otherwise(_dec(k % 41) * D("0.1") + D("1")))
     base = _order_keys(t).select(
         fmt_id("ORD_", k, 8).alias("order_id"),
         fmt_id("STR_", F.col("c_nationkey") + 1, 3).alias("store_id"),
@@ -185,17 +197,17 @@ def raw_orders(t: dict[str, DataFrame]) -> DataFrame:
         value.alias("order_value_inr"),
         _money(F.when(k % 89 == 0, tp).otherwise(disc_raw)).alias("discount_amount_inr"),
         F.when(value >= 149, 0).otherwise(25).cast("decimal(18,2)").alias("delivery_charge_inr"),
-        _money(tp * 3 / 100).alias("platform_fee_inr"),
-        _money(tp * 103 / 100 - disc_raw).alias("net_order_value_inr"),
+        _money(tp * D("0.03")).alias("platform_fee_inr"),
+        _money(tp * D("1.03") - disc_raw).alias("net_order_value_inr"),
         pick.alias("pick_time_mins"),
         pack.alias("pack_time_mins"),
         disp.alias("dispatch_time_mins"),
         travel.alias("travel_time_mins"),
         (pick + pack + disp + travel + F.when(k % 50 == 0, 1).otherwise(0))
         .cast("decimal(9,2)").alias("total_delivery_mins"),
-        _mins((k % 27).cast("double") / 10.0 + 0.3).alias("distance_km"),
-        _money(F.when(k % 8 == 0, tp * (k % 31 + 85) / 100)
-               .otherwise((k % 27 * 8).cast("double") / 10.0 + 15)).alias("delivery_cost_inr"),
+        _mins(_dec(k % 27) * D("0.1") + D("0.3")).alias("distance_km"),
+        _money(F.when(k % 8 == 0, tp * _dec(k % 31 + 85) * D("0.01"))
+               .otherwise(_dec(k % 27) * D("0.8") + D("15"))).alias("delivery_cost_inr"),
         status.alias("order_status"),
         (k % 11 + 1).cast("int").alias("num_items"),
         (k % 8 == 1).alias("had_substitution"),
