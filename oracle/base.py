@@ -44,6 +44,13 @@ def PCT(pred: str, denom: str = "COUNT(*)") -> str:
             f"/ CAST(NULLIF({denom}, 0) AS DOUBLE))")
 
 
+def RATE4(items_x100: str, minutes_x100: str, eff: str) -> str:
+    """round(items / minutes × eff, 4) half-up in integer arithmetic."""
+    n = f"(({items_x100}) * CAST(({eff}) * 10000 AS BIGINT))"
+    d = f"NULLIF({minutes_x100}, 0)"
+    return f"(CAST(floor(({n} * 2 + {d}) / ({d} * 2)) AS DOUBLE) / 10000.0)"
+
+
 def PAY(k: str) -> str:
     return f"CASE {k} % 4 WHEN 0 THEN 'UPI' WHEN 1 THEN 'Card' WHEN 2 THEN 'Wallet' ELSE 'COD' END"
 
@@ -172,7 +179,7 @@ fx_picker_activity AS (
          l_shipdate + INTERVAL 1 HOUR * hr + INTERVAL 1 MINUTE * dur AS pick_end_time,
          CAST(dur AS DECIMAL(9,2)) AS pick_duration_mins,
          CAST(l_quantity AS INTEGER) AS items_picked,
-         {RD('l_quantity / NULLIF(CAST(dur AS DOUBLE), CAST(0.0 AS DOUBLE)) * eff', 4)} AS pick_rate_per_min,
+         {RATE4('CAST(l_quantity AS BIGINT) * 100', 'CAST(dur AS BIGINT) * 100', 'eff')} AS pick_rate_per_min,
          CAST(CASE WHEN l_orderkey % 20 = 0 THEN 2 WHEN l_orderkey % 20 IN (1, 2) THEN 1 ELSE 0 END AS INTEGER) AS errors_made,
          CAST(l_shipdate AS DATE) AS order_date,
          CASE WHEN hr < 12 THEN 'Morning' WHEN hr < 18 THEN 'Afternoon' ELSE 'Night' END AS shift

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.analytics import DLV, MONTH, TIME_BAND, _div
-from oracle.base import MEAN, PCT, R2, RD, RM
+from oracle.base import MEAN, PCT, R2, RATE4, RD, RM
 
 SQL: dict[str, str] = {}
 
@@ -193,7 +193,7 @@ q_o AS (
 SELECT q_o.order_id, r.picker_id, q_o.store_id, q_o.order_timestamp AS pick_start_time,
        q_o.order_timestamp + INTERVAL 1 SECOND * CAST(q_o.pick_time_mins * 60 AS INTEGER) AS pick_end_time,
        q_o.pick_time_mins AS pick_duration_mins, q_o.num_items AS items_picked,
-       {RD('CAST(q_o.num_items AS DOUBLE) / NULLIF(CAST(q_o.pick_time_mins AS DOUBLE), CAST(0.0 AS DOUBLE)) * ' + _EFF, 4)} AS pick_rate_per_min,
+       {RATE4('CAST(q_o.num_items AS BIGINT) * 100', 'CAST(q_o.pick_time_mins * 100 AS BIGINT)', _EFF)} AS pick_rate_per_min,
        CASE WHEN q_o.order_hour < 12 THEN 'Morning' WHEN q_o.order_hour < 18 THEN 'Afternoon' ELSE 'Night' END AS shift
 FROM q_o JOIN q_roster r ON q_o.store_id = r.store_id AND q_o.idx = r.idx"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import exact_round, round_dec, weekday_name, is_weekend
 from storepulse.operators.ranking import exact_rank
-from storepulse.sources.fixtures import SKILL_EFFICIENCY, shift_from_hour
+from storepulse.sources.fixtures import SKILL_EFFICIENCY, rate_4dp, shift_from_hour
 
 # fixed values: free-delivery threshold, delivery fee, platform fee rate
 FREE_DELIVERY_MIN = 149
@@ -70,7 +70,7 @@ def pick_activity_build(orders: DataFrame, pickers: DataFrame) -> DataFrame:
         "order_id", "picker_id", "store_id", start.alias("pick_start_time"),
         F.timestamp_add("SECOND", (mins * 60).cast("int"), start).alias("pick_end_time"),
         mins.alias("pick_duration_mins"), F.col("num_items").alias("items_picked"),
-        exact_round(F.col("num_items").cast("double") / F.nullif(mins.cast("double"), F.lit(0.0)) * eff, 4)
+        rate_4dp(F.col("num_items").cast("bigint") * 100, (mins * 100).cast("bigint"), eff)
         .alias("pick_rate_per_min"),
         shift_from_hour(F.col("order_hour")).alias("shift"))
 

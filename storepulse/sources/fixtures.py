@@ -259,6 +259,20 @@ def raw_order_items(t: dict[str, DataFrame]) -> DataFrame:
 SKILL_EFFICIENCY = {"Expert": 1.25, "Intermediate": 1.00, "Beginner": 0.78}
 
 
+def rate_4dp(items_x100, minutes_x100, eff):
+    """round(items / minutes × eff, 4) half-up, in integer arithmetic.
+
+    With integer inputs scaled by 100 and eff×10000 an integer, the rounded
+    rate×10000 is (2·N + d) div (2·d) for N = items·eff·10000·100 and
+    d = minutes·100 — exact, so ties round the same on every engine.  Null
+    when minutes is 0.
+    """
+    e = (eff * 10000).cast("bigint")
+    n = items_x100 * e
+    d = F.nullif(minutes_x100, F.lit(0).cast("bigint"))
+    return (F.floor((n * 2 + d) / (d * 2)).cast("double") / 10000.0)
+
+
 def shift_from_hour(hour):
     return F.when(hour < 12, "Morning").when(hour < 18, "Afternoon").otherwise("Night")
 
@@ -280,7 +294,7 @@ def raw_picker_activity(t: dict[str, DataFrame]) -> DataFrame:
     eff = F.when(F.col("skill_level") == "Expert", SKILL_EFFICIENCY["Expert"]) \
         .when(F.col("skill_level") == "Intermediate", SKILL_EFFICIENCY["Intermediate"]) \
         .otherwise(SKILL_EFFICIENCY["Beginner"])
-    rate = F.col("l_quantity") / F.nullif(dur.cast("double"), F.lit(0.0)) * eff
+    rate = rate_4dp(F.col("l_quantity").cast("bigint") * 100, dur.cast("bigint") * 100, eff)
     return j.select(
         _line_id("ACT").alias("activity_id"),
         fmt_id("ORD_", k, 8).alias("order_id"),
@@ -290,7 +304,7 @@ def raw_picker_activity(t: dict[str, DataFrame]) -> DataFrame:
         F.timestamp_add("MINUTE", dur, start).alias("pick_end_time"),
         dur.cast("decimal(9,2)").alias("pick_duration_mins"),
         F.col("l_quantity").cast("int").alias("items_picked"),
-        exact_round(rate, 4).alias("pick_rate_per_min"),
+        rate.alias("pick_rate_per_min"),
         F.when(k % 20 == 0, 2).when((k % 20 == 1) | (k % 20 == 2), 1).otherwise(0)
         .cast("int").alias("errors_made"),
         F.col("l_shipdate").cast("date").alias("order_date"),
