@@ -87,13 +87,32 @@ def _with_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
 
 
 def _keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """First row per key by ``order`` (then every other column); adds ``_dups``."""
+    """First row per key by ``order`` (then every other column); adds ``_dups``.
+
+    Two phases, so the fact table is not shuffled and sorted by key just to
+    find a few duplicates:
+    1. hash-count rows per key (only keys cross the shuffle);
+    2. rows of unique keys pass through an anti join against the duplicated
+       keys (broadcast by AQE when that set is small, measured at runtime);
+       only rows of duplicated keys go through the ``min(struct)`` aggregate,
+       whose map-side partial aggregation also collapses a hot key.
+    Null keys group together, as in a group-by.
+    """
     cols = [c for c in df.columns if c not in key]
     rest = [c for c in cols if c not in order]
     packed = F.struct(*[F.col(c) for c in order + rest])
-    return (df.groupBy(*key)
+    dup_keys = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
+                .filter(F.col("_c") > 1).select(*[F.col(k).alias(f"_dk_{k}") for k in key]))
+    match = None
+    for k in key:
+        cond = F.col(k).eqNullSafe(F.col(f"_dk_{k}"))
+        match = cond if match is None else match & cond
+    singles = df.join(dup_keys, match, "left_anti").select(*key, *cols, F.lit(0).cast("bigint").alias("_dups"))
+    repeated = df.join(dup_keys, match, "left_semi")
+    kept = (repeated.groupBy(*key)
             .agg(F.min(packed).alias("_r"), (F.count(F.lit(1)) - 1).alias("_dups"))
             .select(*key, *[F.col(f"_r.{c}").alias(c) for c in cols], "_dups"))
+    return singles.unionByName(kept)
 
 
 class ObservedAudit:
