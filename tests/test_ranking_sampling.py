@@ -95,3 +95,20 @@ def test_exact_rank_strings_partitioned(spark):
         "g", "s", F.rank().over(Window.partitionBy("g").orderBy("s")).alias("rk")).collect()}
     got = {(r.g, r.s): r.rank for r in exact_rank(df, "s", desc=False, buckets=3, partition_cols=["g"]).collect()}
     assert got == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "hot"])),
+                               st.integers(min_value=0, max_value=5), st.integers(min_value=0, max_value=3)),
+                     min_size=1, max_size=60))
+def test_keep_first_matches_row_number(spark, rows):
+    from storepulse.operators.cleaning import _keep_first
+    rows = rows + [("hot", 9, i % 4) for i in range(30)]          # one key holds many rows
+    df = spark.createDataFrame(rows, "k string, ts int, v int")
+    key = lambda t: tuple("" if x is None else str(x) for x in t)
+    got = sorted((tuple(r) for r in _keep_first(df, ["k"], ["ts"]).select("k", "ts", "v", "_dups").collect()),
+                 key=key)
+    w = Window.partitionBy("k").orderBy("ts", "v")
+    ref = (df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k")))
+           .filter("_rn = 1").select("k", "ts", "v", (F.col("_n") - 1).alias("_dups")))
+    assert got == sorted((tuple(r) for r in ref.collect()), key=key)
