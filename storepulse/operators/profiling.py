@@ -50,9 +50,13 @@ def _scale(dt) -> int:
     return dt.scale if isinstance(dt, T.DecimalType) else 0
 
 
-def describe_numeric(df: DataFrame, table: str) -> DataFrame:
+def describe_numeric(df: DataFrame, table: str, accuracy: int | None = None) -> DataFrame:
     """D3/G10: count, mean, std, min, quartiles (exact, linear), max of every
-    numeric column, rounded to 2 dp, one row per column."""
+    numeric column, rounded to 2 dp, one row per column.
+
+    ``accuracy`` opts into ``percentile_approx`` quartiles (one pass, bounded
+    sketch per column) instead of the distributed exact ones.
+    """
     fields = [f for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
     aggs = []
     for i, f in enumerate(fields):
@@ -74,7 +78,11 @@ def describe_numeric(df: DataFrame, table: str) -> DataFrame:
     # (column, value) and take distributed exact percentiles per column
     long = df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"),
                                                  F.col(f.name).cast("double").alias("_x")) for f in fields])))
-    q = exact_percentiles(long, "_x", [0.25, 0.5, 0.75], ["column_name"])
+    if accuracy is None:
+        q = exact_percentiles(long, "_x", [0.25, 0.5, 0.75], ["column_name"])
+    else:
+        q = long.groupBy("column_name").agg(F.percentile_approx("_x", [0.25, 0.5, 0.75], accuracy).alias("_q")) \
+            .select("column_name", *[F.col("_q")[i].alias(f"p{i}") for i in range(3)])
     q = q.select("column_name", *[exact_round(F.col(f"p{i}"), 2).alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
     out = stats.join(F.broadcast(q), "column_name", "left")       # one row per numeric column
     return out.select(F.lit(table).alias("table_name"), "column_name", "count", "mean", "std", "min",
