@@ -38,3 +38,15 @@ def test_column_types_match_oracle(spark, con, key):
     a = E.queries()[key](spark, SMALL).toArrow().schema
     b = con.sql(E.oracle_sql()[key]).to_arrow_table().schema
     assert {f.name: str(f.type) for f in a} == {f.name: str(f.type) for f in b}
+
+
+def test_results_do_not_depend_on_session_timezone(spark, con):
+    from storepulse.plans.tableset import clean_tables
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        T = clean_tables(spark, SMALL, materialize=False)       # fresh lazy derivation under this zone
+        ok, msg = compare(T["fact_orders"], E.oracle_sql()["clean_orders"], con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
