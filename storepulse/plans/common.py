@@ -30,9 +30,3 @@ def rank_desc(col: str, *tiebreak: str):
     """
     w = Window.orderBy(F.col(col).desc_nulls_last(), *[F.col(t) for t in tiebreak])
     return F.rank().over(w).cast("bigint")
-
-
-def total_over(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Attach the grand total of ``col`` (one-row aggregate, broadcast)."""
-    tot = df.agg(F.sum(col).alias(name))
-    return df.crossJoin(F.broadcast(tot))
