@@ -42,11 +42,19 @@ _CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "
 def _code_version() -> str:
     """Hash of the modules that decide the stored tables' content: any change
     to derivation or cleaning code writes a new set instead of reusing one."""
+    import importlib
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1(LAYOUT_VERSION.encode())
     for rel in _CODE:
-        with open(os.path.join(root, rel), "rb") as f:
-            h.update(f.read())
+        try:
+            with open(os.path.join(root, rel), "rb") as f:
+                h.update(f.read())
+        except OSError:   # shipped as a zip/egg: hash the compiled code instead
+            mod = importlib.import_module("storepulse." + rel[:-3].replace("/", "."))
+            for obj in vars(mod).values():
+                code = getattr(obj, "__code__", None)
+                if code is not None:
+                    h.update(code.co_code)
     return h.hexdigest()[:12]
 
 
