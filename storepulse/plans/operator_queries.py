@@ -206,7 +206,7 @@ def sink_roundtrip(spark, T):
 def insights_export(spark, T):
     """Export the seven insight result sets as CSV; return (insight, rows) read back."""
     import uuid
-    from storepulse.plans import pnl, pickers, products, sla as S, substitutions as SB
+    from storepulse.plans import pnl, pickers, products, substitutions as SB
     from storepulse.plans.reports import _hourly, _sla_slim
     out = IO.scratch_path(spark, "insights", uuid.uuid4().hex)
     results = {
@@ -215,7 +215,6 @@ def insights_export(spark, T):
         "05_picker_performance": pickers.picker_productivity(T, with_rank=False),
         "06_substitution_analysis": SB.substitution_bands(T), "07_hourly_demand": _hourly(T),
     }
-    del S
     IO.export_results(results, out)
     parts = [spark.read.option("header", True).csv(f"{out}/{n}").agg(F.count(F.lit(1)).alias("rows"))
              .select(F.lit(n).alias("insight"), "rows") for n in results]
