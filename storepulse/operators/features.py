@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.functions.exprs import exact_round, round_dec, weekday_name, is_weekend
+from storepulse.functions.exprs import round_dec, weekday_name, is_weekend
 from storepulse.operators.ranking import exact_rank
 from storepulse.sources.fixtures import SKILL_EFFICIENCY, rate_4dp, shift_from_hour
 
