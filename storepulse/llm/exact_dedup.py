@@ -76,18 +76,11 @@ def _range_of(key: Column, identifier: Column, cuts: list[str]) -> Column:
     return at
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                carry: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
-    """One row for each input row: id, ``keep_id``, ``group_size``, ``kept``,
-    ``text_sha256`` and, where asked for, the ``carry`` columns.
-
-    Only the named columns are read, so others may have any name.  An empty table
-    gives an empty result.
-    """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _compared(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], partitions: int | None) -> DataFrame:
+    """``_id``, ``_key``, ``_head`` (the row stays), ``_keep``, ``_size`` and the ``_carry`` columns."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"),
-                     F.struct(*carry).alias("_carry") if carry else F.lit(None).cast("int").alias("_carry"))
+                     F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry") if carry else F.lit(0).alias("_carry"))
     digest = F.sha2(normalised(F.col("_text")), 256)
     keyed = rows.withColumn("_key", sort_key(normalised(F.col("_text")), digest))
     cuts = splitters(keyed, partitions)
@@ -106,12 +99,27 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     run = Window.partitionBy("_part", "_run")
     found = (runs.withColumn("_size", F.count(F.lit(1)).over(run))
              .withColumn("_keep", F.max(F.when(F.col("_head"), F.col("_id"))).over(run)))
-    if repeated:
-        found = _joined_up(found, keyed.where(F.col("_key").isin(repeated)))
-    out = found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"),
-                       F.col("_size").alias("group_size"), F.col("_head").alias("kept"),
-                       F.substring_index("_key", "\u0000", -1).alias("text_sha256"), "_carry")
-    return out.select(*out.columns[:-1], "_carry.*") if carry else out.drop("_carry")
+    return _joined_up(found, keyed.where(F.col("_key").isin(repeated))) if repeated else found
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                partitions: int | None = None) -> DataFrame:
+    """One row for each input row: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+
+    Only the two named columns are read, so others may have any name.  An empty table
+    gives an empty result.
+    """
+    found = _compared(df, id_col, text_col, (), partitions)
+    return found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"),
+                        F.col("_size").alias("group_size"), F.col("_head").alias("kept"),
+                        F.substring_index("_key", "\u0000", -1).alias("text_sha256"))
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                partitions: int | None = None) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    found = _compared(df, id_col, text_col, tuple(df.columns), partitions)
+    return found.where("_head").select("_carry.*")
 
 
 def _joined_up(found: DataFrame, hot: DataFrame) -> DataFrame:

@@ -19,6 +19,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir), shards=24)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from storepulse.llm.bpe import encode
+    return encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                  public_tokenizers.PATTERN, digest=True)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from storepulse.llm.packing import pack_documents
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 OP1_SQL = r"""
 with n as (
   select doc_id, coalesce(text, '') as t,
@@ -35,7 +50,7 @@ select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_byte_bpe, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
