@@ -34,6 +34,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storepulse.llm.quality import classify
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 OP1_SQL = r"""
 with n as (
   select doc_id, coalesce(text, '') as t,
@@ -50,7 +55,7 @@ select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_byte_bpe, op8_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_byte_bpe, op8_packing, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
