@@ -39,6 +39,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storepulse.llm.html_text import extract
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 OP1_SQL = r"""
 with n as (
   select doc_id, coalesce(text, '') as t,
@@ -55,7 +60,8 @@ select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_byte_bpe, op8_packing, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_byte_bpe, op8_packing, op9_quality_classifier,
+                                    op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
