@@ -43,13 +43,18 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package on the workers' path where it is not installed."""
+def on_workers_path(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed."""
     root = str(Path(__file__).resolve().parents[2])
-    environment = df.sparkSession.sparkContext.environment
+    environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the workers' path."""
+    on_workers_path(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

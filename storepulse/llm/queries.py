@@ -19,6 +19,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir), shards=24)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storepulse.llm.pii import detect
+    return detect(_documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +32,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                   public_tokenizers.PATTERN, digest=True)
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storepulse.llm.topk import exact_top_k
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,11 +69,24 @@ r as (
 select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256 from r
 """
 
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda c: c is not null and isfinite(c) and abs(256 * c::double) < 8388608)) = len(embedding)),
+q as (select vec_id as query_id, unnest(x) as qc, generate_subscripts(x, 1) as d from v where vec_id % 50 = 0),
+c as (select vec_id, unnest(x) as cc, generate_subscripts(x, 1) as d from v),
+s as (select query_id, vec_id, sum(qc * cc)::bigint as score from q join c using (d) where query_id <> vec_id group by all)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op5_byte_bpe, op8_packing, op9_quality_classifier,
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_pii, op5_byte_bpe, op6_topk_search, op8_packing, op9_quality_classifier,
                                     op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_topk_search": OP6_SQL}
