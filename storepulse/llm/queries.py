@@ -19,6 +19,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir), shards=24)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storepulse.llm.jaccard_join import jaccard_components
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storepulse.llm.pii import detect
     return detect(_documents(spark, sf_dir))
@@ -84,7 +89,7 @@ select query_id, rank::int as rank, vec_id, score from (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_pii, op5_byte_bpe, op6_topk_search, op8_packing, op9_quality_classifier,
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_jaccard_join, op4_pii, op5_byte_bpe, op6_topk_search, op8_packing, op9_quality_classifier,
                                     op10_html_extraction)}
 
 
