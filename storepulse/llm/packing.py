@@ -16,6 +16,8 @@ identifier and the text are read.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,45 +27,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from storepulse.llm.common import map_batches, slices, text_or_empty, written
+from storepulse.llm.common import map_batches, slices, text_or_empty, utf8_buffer, written
+from storepulse.llm.words import words_of
 
 WINDOW = 2048
 #: Identifier buckets in which pieces are ranked, so that no task ranks all pieces of a length.
 BUCKETS = 4096
-#: Distinct words kept in a worker; beyond it the store starts anew.
-CACHE = 400_000
-#: Separators that Python splits at but the tokenizer does not.
-_INFO_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Distinct words kept in a worker, and pre-tokens; beyond it the store starts anew.
+CACHE = 600_000
+#: Pre-tokens that are encoded in one text.
+JOINED = 512
+# The tokenizer's own pattern for letters of ASCII and Latin-1, and the words it is certain for.
+_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+_CERTAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 PIECES = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class WordEncoder:
-    """Ids of a text by a tokenizer that drops white space; words are encoded once for a while."""
+    """Ids of texts by a byte-pair tokenizer that drops white space.
+
+    A slice of texts is cut into words, each distinct word is looked up once, and the ids are
+    gathered in order.  New words are cut into the tokenizer's pre-tokens where that is
+    certain (ASCII and Latin letters, digits, punctuation), and many pre-tokens are encoded
+    in one text: the last id of each stands for a token with the end-of-word mark.
+    Other words are encoded one by one.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         self._tool = Tokenizer.from_file(path)
         self._tool.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self._tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if any(c in text for c in _INFO_SEPARATORS):
-            return self._plain([text])[0]
-        words, known = text.split(), self._known
-        parts = list(map(known.get, words))
-        if None in parts:
-            new = list({w for w, part in zip(words, parts) if part is None})
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._plain(new)))
-            parts = map(known.__getitem__, words)
-        return b"".join(parts)
+        mark = self._tool.model.end_of_word_suffix
+        vocabulary = self._tool.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
+        self._words: dict[int, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self._tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add_pieces(self, new: list[str]) -> None:
+        if len(self._pieces) + len(new) > CACHE:
+            self._pieces.clear()
+        chunks = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
+        for chunk, ids in zip(chunks, self._plain([" ".join(c) for c in chunks])):
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(chunk) and ends[-1] == len(ids):
+                raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self._pieces.update((p, raw[a:b]) for p, a, b in zip(chunk, bounds, bounds[1:]))
+            else:
+                self._pieces.update((p, x.tobytes()) for p, x in zip(chunk, self._plain(chunk)))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        cut = [_PRE_TOKEN.findall(w.lower()) if _CERTAIN.fullmatch(w) else None for w in words]
+        distinct = {p for pieces in cut if pieces for p in pieces}
+        new = [p for p in distinct if p not in self._pieces]
+        self._add_pieces(list(distinct) if len(self._pieces) + len(new) > CACHE else new)
+        other = iter(self._plain([w for w, pieces in zip(words, cut) if pieces is None]))
+        known = self._pieces
+        return [next(other).tobytes() if pieces is None else b"".join([known[p] for p in pieces]) for pieces in cut]
+
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin)."""
+        words = words_of(data, starts)
+        code, first, which = np.unique(words.code, return_index=True, return_inverse=True)
+        code = code.tolist()
+        if len(self._words) > CACHE:
+            self._words.clear()
+        parts = list(map(self._words.get, code))
+        new = [k for k, part in enumerate(parts) if part is None]
+        if new:
+            at = first[new]
+            texts = [data[a:b].tobytes().decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
+            for k, ids in zip(new, self._encode_words(texts)):
+                parts[k] = self._words[code[k]] = ids
+        size = np.array(list(map(len, parts)), dtype=np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(size) - size
+        each = size[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], each)]
+        return ids, ends[words.first]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -86,11 +131,13 @@ def pieces(df: DataFrame, path: str, end_id: int, window: int = WINDOW,
         tool = encoder(path)
         for batch in slices(batches, 4 << 20):
             of, start, length, crc, tokens = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = tool.encode(text) + end
-                n = len(ids) // 4
+            ids, bounds = tool.encode(*utf8_buffer(batch.column("text")))
+            raw, bounds = ids.tobytes(), bounds.tolist()
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                own = raw[4 * a:4 * b] + end
+                n = b - a + 1
                 for at in range(0, n, window):
-                    part = ids[4 * at:4 * (at + window)]
+                    part = own[4 * at:4 * (at + window)]
                     of.append(i)
                     start.append(at)
                     length.append(len(part) // 4)

@@ -43,6 +43,11 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storepulse.llm.substrings import remove_repeats
+    return remove_repeats(_documents(spark, sf_dir), digest=True)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,7 +94,7 @@ select query_id, rank::int as rank, vec_id, score from (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_jaccard_join, op4_pii, op5_byte_bpe, op6_topk_search, op8_packing, op9_quality_classifier,
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_jaccard_join, op4_pii, op5_byte_bpe, op6_topk_search, op7_suffix_array_dedup, op8_packing, op9_quality_classifier,
                                     op10_html_extraction)}
 
 
