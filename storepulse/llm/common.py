@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six ASCII white-space characters, as a Java and DuckDB regular expression.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
@@ -52,7 +53,7 @@ def on_workers_path(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package on the workers' path."""
     on_workers_path(df.sparkSession)
     return df.mapInArrow(run, schema)

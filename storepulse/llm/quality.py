@@ -232,3 +232,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, model, id_col, text_col).select(
         id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model | float, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 << 20, text_col):
+            if isinstance(model, float):
+                found = np.full(batch.num_rows, model)
+            else:
+                found, _ = score_bags(model, *passages(*utf8_buffer(batch.column(text_col))))
+            yield batch.filter(pa.array(found >= threshold))
+
+    return map_batches(docs, run, docs.schema)
