@@ -38,11 +38,11 @@ from storepulse.llm.common import map_batches, mix64, slices, text_or_empty, utf
 LENGTH = 400
 GRAM = 64
 #: Different segments of an anchor that one suffix array takes.
-SHARD_SEGMENTS = 2000
+SHARD_SEGMENTS = 512
 #: Bytes whose suffixes are sorted at a time.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 19
 #: Bytes of text that anchors are sought in at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _CODES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _CODES2 = mix64(np.arange(256, dtype=np.uint64) + np.uint64(99991))
@@ -384,17 +384,15 @@ def _merged(slices_: DataFrame, length: int) -> DataFrame:
     """Spans of windows that repeat across the shards of an anchor."""
     def merge(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, np.int64).reshape(-1, 6) for b in table.column("slice").to_pylist()]
-        found = []
-        for i, own in enumerate(parts):
-            again = np.zeros(len(own), dtype=bool)
-            for other in parts[:i] + parts[i + 1:]:
-                low = np.searchsorted(other[:, 0], own[:, 0], side="left")
-                high = np.searchsorted(other[:, 0], own[:, 0], side="right")
-                for k in range(int((high - low).max(initial=0))):
-                    at = np.minimum(low + k, len(other) - 1)
-                    again |= (low + k < high) & (other[at, 1] == own[:, 1])
-            found.append(own[again & (own[:, 5] > 0)])
-        hit = np.concatenate(found)
+        while len(parts) > 1:  # two by two; each row's place in the other slice is found by binary search
+            parts = [np.insert(x, np.searchsorted(x[:, 0], y[:, 0]), y, axis=0) for x, y in zip(parts[0::2], parts[1::2])] + \
+                parts[len(parts) & ~1:]
+        like_next = parts[0][1:, 0] == parts[0][:-1, 0]
+        met = parts[0][np.append(like_next, False) | np.insert(like_next, 0, False)]
+        met = met[np.lexsort((met[:, 1], met[:, 0]))]
+        like_next = (met[1:, :2] == met[:-1, :2]).all(axis=1)
+        again = np.append(like_next, False) | np.insert(like_next, 0, False) if len(met) else np.empty(0, bool)
+        hit = met[again & (met[:, 5] > 0)]
         return pa.table({"doc": pa.array(hit[:, 2]), "mark": pa.array(hit[:, 3]), "start": pa.array(hit[:, 4]),
                          "end": pa.array(hit[:, 4] + length)})
 
