@@ -4,117 +4,103 @@
 the data) moves every row of that partition into one task, and the exact
 ``percentile`` aggregate merges one value→count map per group in one task.
 The operators here compute the same numbers distributedly from
-``cumulative_counts``:
+``cumulative_counts``, by one path at every size:
 
 1. collapse equal values: ``groupBy(partition, value).count()`` (partial
    aggregation: a value shared by a third of all rows is one row here);
-2. cut each partition's distinct values into ``buckets`` ranges with
-   ``percentile_approx`` (one small aggregate; exactness never depends on the
-   boundaries — equal values always share a bucket);
-3. per bucket: total count → exclusive running total over buckets (a window
-   over at most ``buckets`` rows per partition);
-4. inside a bucket: running count of the values before it (window
-   partitioned by partition × bucket).
+2. cut each partition's distinct values into ``width²`` ranges with
+   ``percentile_approx`` (one aggregate with a bounded sketch; exactness never
+   depends on the boundaries, as equal values always share a range); a value
+   finds its range in two steps of ``width`` comparisons;
+3. per range: total count → exclusive running total over the ranges (a window
+   over at most ``width²`` rows per partition);
+4. inside a range: running count of the values before it (window
+   partitioned by partition × range).
 
 Every distinct value then knows ``_before`` = number of rows strictly before
 it.  ``exact_rank`` = 1 + ``_before``; ``exact_percentiles`` picks the values
-whose row span covers the interpolation positions.
+whose row span covers the interpolation positions.  A null partition value is
+a partition like any other: every join is null-safe.  Nothing is collected
+and no job runs while the plan is built.  Values are numbers, dates or
+timestamps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Comparisons in each of the two steps; a partition is cut into the square of it.
+WIDTH = 64
 
-VALUES_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; without columns, ``right`` is one row that every row gets."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(right, cond, how).drop(*[f"_on_{c}" for c in on])
 
-def auto_buckets(df: DataFrame, value_col: str, partition_cols: Sequence[str] = ()) -> int:
-    """Bucket count so each (partition, bucket) window holds ~1M distinct values.
 
-    One small aggregate (HyperLogLog ``approx_count_distinct``) sized on the
-    largest partition; its one-row result is the only thing read back.
-    """
-    P = list(partition_cols)
-    est = df.groupBy(*P).agg(F.approx_count_distinct(value_col).alias("_d")) if P else \
-        df.agg(F.approx_count_distinct(value_col).alias("_d"))
-    d = est.agg(F.max("_d")).collect()[0][0] or 0
-    return int(min(MAX_BUCKETS, max(1, -(-d // VALUES_PER_BUCKET))))
+def _range_of(key: Column, bounds: Column, width: int) -> Column:
+    """Number of the ascending bounds below the key: first by block, then within the block."""
+    heads = F.filter(bounds, lambda _, i: i % width == 0)
+    block = F.greatest(F.size(F.filter(heads, lambda b: b < key)) - 1, F.lit(0))
+    inside = F.filter(F.slice(bounds, block * width + 1, F.lit(width)), lambda b: b < key)
+    return block * width + F.size(inside)
 
 
 def cumulative_counts(df: DataFrame, value_col: str, partition_cols: Sequence[str] = (), desc: bool = False,
-                      buckets: int | None = None) -> DataFrame:
-    """Distinct non-null (partition, value) rows with ``_n`` (multiplicity) and
-    ``_before`` (rows of the partition strictly before the value in order).
-    ``buckets=None`` sizes the buckets from the data (``auto_buckets``)."""
+                      width: int = WIDTH) -> DataFrame:
+    """Distinct non-null (partition, value) rows with ``_n`` (multiplicity),
+    ``_before`` (rows of the partition strictly before the value in order) and
+    ``_total`` (rows of the partition)."""
     P = list(partition_cols)
-    if buckets is None:
-        buckets = auto_buckets(df, value_col, P)
     v = F.col(value_col)
     vals = df.filter(v.isNotNull()).groupBy(*P, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    if dict(df.dtypes)[value_col] == "string":
-        # order-preserving numeric bucket key: the first 7 UTF-8 bytes as a
-        # big-endian integer (equal prefixes share a bucket; the inner window
-        # orders by the full string)
-        bkey = F.conv(F.rpad(F.hex(F.substring(F.encode(v, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    else:
-        bkey = v
-    if buckets <= 1:
-        # one bucket (≤ ~1M distinct values per partition by auto_buckets):
-        # a running count over the distinct values, no offsets to join
-        w1 = (Window.partitionBy(*P) if P else Window.partitionBy()).orderBy(v.desc() if desc else v.asc()) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        return vals.withColumn("_before", F.coalesce(F.sum("_n").over(w1), F.lit(0)).cast("bigint"))
-    else:
-        qs = [i / buckets for i in range(1, buckets)]
-        vals = vals.withColumn("_bk", bkey)
-        bounds = vals.groupBy(*P).agg(F.percentile_approx("_bk", qs, 10000).alias("_b"))   # one row per partition
-        bk = F.col("_bk")
-        better = (lambda b: b > bk) if desc else (lambda b: b < bk)
-        joined = vals.join(bounds, P) if P else vals.crossJoin(F.broadcast(bounds))
-        keyed = joined.withColumn("_bucket", F.coalesce(F.size(F.filter(F.col("_b"), better)), F.lit(0))) \
-            .drop("_b", "_bk")
-    per_bucket = keyed.groupBy(*P, "_bucket").agg(F.sum("_n").alias("_bn"))
-    wb = (Window.partitionBy(*P) if P else Window.partitionBy()).orderBy("_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
-    inner = Window.partitionBy(*P, "_bucket").orderBy(v.desc() if desc else v.asc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    return (keyed.join(offsets, P + ["_bucket"])
-            .withColumn("_before", (F.col("_off") + F.coalesce(F.sum("_n").over(inner), F.lit(0))).cast("bigint"))
-            .drop("_off", "_bucket"))
-
-
-def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True, buckets: int | None = None,
+    qs = [i / width**2 for i in range(1, width**2)]
+    bounds = vals.groupBy(*P).agg(F.percentile_approx(v, qs, 10000).alias("_bounds"))
+    ranged = join_null_safe(vals, bounds, P).withColumn("_range", _range_of(v, F.col("_bounds"), width)).drop("_bounds")
+    per_range = ranged.groupBy(*P, "_range").agg(F.sum("_n").alias("_rows"))
+    whole = Window.partitionBy(*P)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per_range.withColumn("_off", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+               .withColumn("_total", F.sum("_rows").over(whole)).drop("_rows"))
+    inner = Window.partitionBy(*P, "_range").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_off") + F.coalesce(F.sum("_n").over(inner), F.lit(0))
+    if desc:
+        before = F.col("_total") - F.col("_n") - before
+    return (join_null_safe(ranged, offsets, [*P, "_range"]).withColumn("_before", before.cast("bigint"))
+            .drop("_off", "_range"))
+
+
+def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True, width: int = WIDTH,
                partition_cols: Sequence[str] = ()) -> DataFrame:
-    """RANK() OVER (PARTITION BY partition_cols ORDER BY value [DESC] NULLS LAST)."""
+    """RANK() OVER (PARTITION BY partition_cols ORDER BY value [DESC] NULLS LAST).
+
+    ``df`` is read twice; stage it first where it is costly to compute."""
     P = list(partition_cols)
-    c = cumulative_counts(df, value_col, P, desc, buckets)
-    ranked = c.select(*[F.col(p).alias(f"_rp_{p}") for p in P], F.col(value_col).alias("_rv"),
-                      (F.col("_before") + 1).alias(out))
-    cond = F.col(value_col).eqNullSafe(F.col("_rv"))
-    for p in P:
-        cond = cond & F.col(p).eqNullSafe(F.col(f"_rp_{p}"))
-    joined = df.join(ranked, cond, "left").drop("_rv", *[f"_rp_{p}" for p in P])
-    n_valid = c.groupBy(*P).agg(F.sum("_n").alias("_nv")) if P else c.agg(F.sum("_n").alias("_nv"))
-    joined = joined.join(n_valid, P, "left") if P else joined.crossJoin(F.broadcast(n_valid))
-    return (joined.withColumn(out, F.coalesce(F.col(out), (F.coalesce(F.col("_nv"), F.lit(0)) + 1)).cast("bigint"))
-            .drop("_nv"))
+    c = cumulative_counts(df, value_col, P, desc, width)
+    ranked = c.select(*P, value_col, (F.col("_before") + 1).cast("bigint").alias(out))
+    # nulls come after all values of their partition
+    nulls = df.groupBy(*P).agg(F.count(value_col).alias("_n")) if P else df.agg(F.count(value_col).alias("_n"))
+    nulls = nulls.select(*P, F.lit(None).cast(dict(df.dtypes)[value_col]).alias(value_col),
+                         (F.col("_n") + 1).alias(out))
+    return join_null_safe(df, ranked.unionByName(nulls), [*P, value_col], "left")
 
 
 def exact_percentiles(df: DataFrame, value_col: str, qs: Sequence[float], partition_cols: Sequence[str] = (),
-                      buckets: int | None = None, prefix: str = "p") -> DataFrame:
+                      width: int = WIDTH, prefix: str = "p") -> DataFrame:
     """Exact linear-interpolation percentiles per partition, one column per q
     (named ``{prefix}{i}``) — the same numbers as ``percentile(value, q)``:
-    position = q·(n−1); result = (hi−pos)·v[lo] + (pos−lo)·v[hi]."""
+    position = q·(n−1); result = (hi−pos)·v[lo] + (pos−lo)·v[hi].  A partition
+    without a value gets nulls, as does a whole table without one."""
     P = list(partition_cols)
-    c = cumulative_counts(df.select(*P, F.col(value_col).cast("double").alias("_x")), "_x", P, False, buckets)
-    n = c.groupBy(*P).agg(F.sum("_n").alias("_total")) if P else c.agg(F.sum("_n").alias("_total"))
-    c = c.join(n, P) if P else c.crossJoin(F.broadcast(n))
+    rows = df.select(*P, F.col(value_col).cast("double").alias("_x"))
+    c = cumulative_counts(rows, "_x", P, False, width)
     aggs = []
     for i, q in enumerate(qs):
         pos = (F.col("_total") - 1).cast("double") * float(q)
@@ -122,8 +108,10 @@ def exact_percentiles(df: DataFrame, value_col: str, qs: Sequence[float], partit
         cover = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
         aggs += [F.max(F.when(cover(lo), F.col("_x"))).alias(f"_lo{i}"),
                  F.max(F.when(cover(hi), F.col("_x"))).alias(f"_hi{i}"),
-                 F.first(pos).alias(f"_pos{i}")]
+                 F.max(pos).alias(f"_pos{i}")]
     g = c.groupBy(*P).agg(*aggs) if P else c.agg(*aggs)
+    if P:
+        g = join_null_safe(rows.select(*P).distinct(), g, P, "left")
     outs = []
     for i in range(len(qs)):
         pos, vlo, vhi = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")

@@ -2,21 +2,21 @@
 
 ``exact_hash_select`` flags, in every stratum, exactly ``k`` rows: those with
 the smallest ``md5(seed|tag|key)``.  A naive ``ORDER BY random LIMIT k`` (or
-``row_number`` over a whole store) funnels a stratum into one task; here:
-
-1. each row gets a hash bucket = first ``prefix_hex`` hex digits of its hash
-   (order-preserving: a smaller bucket means a smaller hash);
-2. ``groupBy(strata, bucket).count()`` — a histogram of at most
-   16^prefix_hex rows per stratum (map-side combined);
-3. a running count over that histogram (window partitioned by stratum over
-   bucket counts, not rows) finds the boundary bucket where the running count
-   reaches ``k`` and how many rows are still needed there;
-4. rows below the boundary are in, above it out; only rows inside the
-   boundary bucket (≈ n / 16^prefix_hex per stratum) are ranked exactly.
-
-The per-stratum boundary table has one row per stratum and is broadcast.
-The draw is a pure function of (seed, key): a recomputed task after an
-executor loss selects the same rows.
+``row_number`` over a whole store) funnels a stratum into one task; here the
+k-th smallest hash of each stratum is found by histograms:
+
+1. counts by the first ``HEX`` hexadecimal digits of the hash (at most
+   16^HEX rows per stratum, map-side combined); a running count over them
+   finds the bucket that holds the k-th row and how many are needed there;
+2. the same by the next ``HEX`` digits, within that bucket;
+3. what is left, about n / 16^(2·HEX) rows per stratum, is ranked, which
+   gives the cut-off hash.
+
+One pass over the input then compares each row's hash with the cut-off of its
+stratum.  A null stratum is a stratum like any other; with k ≥ n every row is
+selected, with k ≤ 0 or null none.  The key identifies a row: rows that share
+it are selected together or not at all.  The draw is a pure function of
+(seed, key): a recomputed task after an executor loss selects the same rows.
 """
 
 from __future__ import annotations
@@ -26,37 +26,57 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storepulse.operators.ranking import join_null_safe
+
+#: Hexadecimal digits of the hash that each histogram counts by.
+HEX = 4
+
 
 def hash_hex(seed, tag: str, key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col(key).cast("string")))
 
 
+def _narrowed(rows: DataFrame, need: DataFrame, strata: list[str], at: int, digits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the bucket that holds the last needed row, how many are needed there) per stratum.
+
+    ``need`` has ``_need``, the number of rows to take of each stratum."""
+    bucketed = rows.withColumn("_b", F.substring("_h", at, digits))
+    counts = bucketed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = join_null_safe(counts.withColumn("_upto", F.sum("_n").over(running)), need, strata)
+    last = (counts.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+            .select(*strata, "_b", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need")))
+    inside = join_null_safe(bucketed, last.drop("_need"), [*strata, "_b"], "left_semi")
+    return inside.drop("_b"), last.drop("_b")
+
+
 def exact_hash_select(df: DataFrame, key: str, k_of_total: Callable[[Column], Column], seed=42,
                       tag: str = "sample", strata: Sequence[str] = (), flag: str = "selected",
-                      prefix_hex: int = 4) -> DataFrame:
+                      digits: int = HEX, stage=None) -> DataFrame:
     """Add boolean ``flag``: true for exactly ``k`` rows per stratum, where
-    ``k = k_of_total(stratum_row_count)`` (may reference strata columns)."""
+    ``k = k_of_total(stratum_row_count)`` (may reference strata columns).
+
+    ``stage(name, df) -> df`` may persist the two or three columns that are read
+    for each histogram."""
     strata = list(strata)
-    d = (df.withColumn("_h", hash_hex(seed, tag, key))
-           .withColumn("_b", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("int")))
-    hist = d.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = (Window.partitionBy(*strata) if strata else Window.partitionBy()).orderBy("_b") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum", F.sum("_cnt").over(w))
-    tot = hist.groupBy(*strata).agg(F.sum("_cnt").alias("_tot"))
-    tot = tot.withColumn("_k", k_of_total(F.col("_tot")).cast("bigint"))
-    h = hist.join(tot, strata) if strata else hist.crossJoin(tot)
-    bnd = (h.filter(F.col("_cum") >= F.col("_k"))
-             .groupBy(*strata, "_k").agg(F.min(F.struct("_b", "_cum", "_cnt")).alias("_m"))
-             .select(*strata, F.col("_m._b").alias("_bstar"),
-                     (F.col("_k") - F.col("_m._cum") + F.col("_m._cnt")).alias("_need")))
-    # one row per stratum (strata are bounded keys such as stores)
-    d = d.join(F.broadcast(bnd), strata, "left") if strata else d.crossJoin(F.broadcast(bnd))
-    at_boundary = F.col("_b") == F.col("_bstar")
-    # no boundary row means k ≥ stratum size: every row is selected
-    outside = d.filter(~F.coalesce(at_boundary, F.lit(False))).withColumn(
-        flag, F.when(F.col("_bstar").isNull(), F.lit(True)).otherwise(F.col("_b") < F.col("_bstar")))
-    inside = d.filter(F.coalesce(at_boundary, F.lit(False)))
-    wr = (Window.partitionBy(*strata) if strata else Window.partitionBy()).orderBy("_h", key)
-    inside = inside.withColumn(flag, F.row_number().over(wr) <= F.col("_need"))
-    return outside.unionByName(inside).drop("_h", "_b", "_bstar", "_need")
+    lean = df.select(*strata, hash_hex(seed, tag, key).alias("_h"))
+    if stage is not None:
+        lean = stage(f"hashes_{tag}", lean)
+    total = F.count(F.lit(1)).alias("_total")
+    sizes = (lean.groupBy(*strata).agg(total) if strata else lean.agg(total))
+    sizes = sizes.withColumn("_need", F.coalesce(k_of_total(F.col("_total")).cast("bigint"), F.lit(0)))
+    some = sizes.where((F.col("_need") > 0) & (F.col("_need") < F.col("_total"))).drop("_total")
+    rest, need = _narrowed(lean, some, strata, 1, digits)
+    rest, need = _narrowed(rest, need, strata, 1 + digits, digits)
+    in_order = Window.partitionBy(*strata).orderBy("_h")
+    cut = (join_null_safe(rest.withColumn("_row", F.row_number().over(in_order)), need, strata)
+           .where("_row = _need").select(*strata, F.col("_h").alias("_cut")))
+    # a hash has 32 digits, so "g" is above all of them and "" below
+    sizes = sizes.withColumn("_all", F.when(F.col("_need") >= F.col("_total"), F.lit("g")).otherwise(F.lit("")))
+    if strata:
+        cuts = join_null_safe(sizes.select(*strata, "_all"), cut, strata, "left")
+    else:
+        cuts = sizes.select("_all").crossJoin(F.broadcast(cut.agg(F.max("_cut").alias("_cut"))))
+    cuts = cuts.select(*strata, F.coalesce("_cut", "_all").alias("_cut"))
+    return (join_null_safe(df.withColumn("_h", hash_hex(seed, tag, key)), cuts, strata, "left")
+            .withColumn(flag, F.col("_h") <= F.col("_cut")).drop("_h", "_cut"))
