@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
+from oracle import analytics, operators
 from oracle.base import with_tables
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracle import analytics
-    bodies = dict(analytics.SQL)
-    try:
-        from oracle import operators
-        bodies.update(operators.SQL)
-    except ImportError:
-        pass
+    bodies = {**analytics.SQL, **operators.SQL}
     return {k: with_tables(v) for k, v in bodies.items()}

@@ -446,15 +446,15 @@ SCORECARD_AOV = f"SELECT {SCORECARD_COLS}, {COMPOSITE} AS composite_rank_score F
 SQL["executive_kpis"] = f"""
 WITH q_sc AS (
   SELECT {RD('SUM(revenue_lac)', 1)} AS total_revenue_lakh, CAST(SUM(total_orders) AS DOUBLE) AS total_orders,
-         {RD('AVG(sla_pct)', 2)} AS network_sla_pct, {RD('AVG(avg_delivery_mins)', 2)} AS avg_delivery_mins,
+         AVG(sla_pct) AS network_sla_pct, AVG(avg_delivery_mins) AS avg_delivery_mins,
          {RD('AVG(avg_order_value)', 0)} AS avg_order_value
   FROM ({SCORECARD_AOV})),
 q_pn AS (SELECT CAST(SUM(CASE WHEN store_status = 'PROFITABLE' THEN 1 ELSE 0 END) AS DOUBLE) AS profitable_stores
          FROM ({PNL_SUMMARY}))
 SELECT 'total_revenue_lakh' AS kpi, total_revenue_lakh AS value, 'info' AS status FROM q_sc
 UNION ALL SELECT 'total_orders', total_orders, 'info' FROM q_sc
-UNION ALL SELECT 'network_sla_pct', network_sla_pct, CASE WHEN network_sla_pct >= 85.0 THEN 'green' ELSE 'red' END FROM q_sc
-UNION ALL SELECT 'avg_delivery_mins', avg_delivery_mins, CASE WHEN avg_delivery_mins <= 10.0 THEN 'green' ELSE 'amber' END FROM q_sc
+UNION ALL SELECT 'network_sla_pct', {RD('network_sla_pct', 2)}, CASE WHEN network_sla_pct >= 85.0 THEN 'green' ELSE 'red' END FROM q_sc
+UNION ALL SELECT 'avg_delivery_mins', {RD('avg_delivery_mins', 2)}, CASE WHEN avg_delivery_mins <= 10.0 THEN 'green' ELSE 'amber' END FROM q_sc
 UNION ALL SELECT 'avg_order_value', avg_order_value, 'info' FROM q_sc
 UNION ALL SELECT 'profitable_stores', profitable_stores, CASE WHEN profitable_stores >= 7 THEN 'green' ELSE 'red' END FROM q_pn"""
 
@@ -538,3 +538,15 @@ SELECT a.*, s.store_name, s.city FROM (
   WHERE store_id IN (SELECT store_id FROM cl_stores WHERE city = 'Asia')
     AND order_date >= DATE '1996-01-01' AND order_date <= DATE '1998-12-31'
   GROUP BY store_id) a JOIN cl_stores s ON a.store_id = s.store_id"""
+
+SQL["slice_store"] = SQL["slice_orders"].replace(
+    """WHERE store_id IN (SELECT store_id FROM cl_stores WHERE city = 'Asia')
+    AND order_date >= DATE '1996-01-01' AND order_date <= DATE '1998-12-31'""", "WHERE store_id = 'STR_003'")
+
+
+def _sliced_pickers(condition: str) -> str:
+    return PICKER_PROD.replace("cl_pickers", f"(SELECT * FROM cl_pickers WHERE {condition})")
+
+
+SQL["slice_skill"] = _sliced_pickers("skill_level = 'Expert'")
+SQL["slice_shift"] = _sliced_pickers("shift = 'Morning'")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from oracle import analytics
 from oracle.analytics import DLV, MONTH, TIME_BAND, _div
-from oracle.base import MEAN, PCT, R2, RATE4, RD, RM
+from oracle.base import MEAN, PCT, R2, RD
 
 SQL: dict[str, str] = {}
 
@@ -83,24 +84,15 @@ FROM (SELECT store_id, {MONTH} AS month, COUNT(*) AS _n FROM cl_orders GROUP BY
 SQL["status_counts"] = "SELECT order_status, COUNT(*) AS row_count FROM cl_orders GROUP BY order_status"
 
 # numeric columns of cleaned orders with their decimal scale (0 = integer)
-_NUMERIC_ORDERS = [
-    ("order_hour", 0), ("month", 0), ("quarter", 0), ("order_value_inr", 2), ("discount_amount_inr", 2),
-    ("delivery_charge_inr", 2), ("platform_fee_inr", 2), ("net_order_value_inr", 2), ("pick_time_mins", 2),
-    ("pack_time_mins", 2), ("dispatch_time_mins", 2), ("travel_time_mins", 2), ("total_delivery_mins", 2),
-    ("distance_km", 2), ("delivery_cost_inr", 2), ("num_items", 0), ("customer_rating", 0),
-    ("gross_profit_inr", 2),
-]
-
-
-def _describe(c: str, scale: int) -> str:
+def _describe(table: str, source: str, c: str, dtype: str) -> str:
     x = f"CAST({c} AS DOUBLE)"
-    return (f"SELECT 'fact_orders' AS table_name, '{c}' AS column_name, COUNT({c}) AS count, "
-            f"{RD(MEAN(c, scale), 2)} AS mean, {RD(f'stddev_samp({x})', 2)} AS std, {RD(f'MIN({x})', 2)} AS min, "
+    scale = int(dtype.split(",")[1].rstrip(")")) if dtype.startswith("decimal") else 0
+    mean = f"AVG({c})" if dtype == "double" else MEAN(c, scale)
+    return (f"SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT({c}) AS count, "
+            f"{RD(mean, 2)} AS mean, {RD(f'stddev_samp({x})', 2)} AS std, {RD(f'MIN({x})', 2)} AS min, "
             f"{RD(f'quantile_cont({x}, 0.25)', 2)} AS p25, {RD(f'quantile_cont({x}, 0.5)', 2)} AS p50, "
-            f"{RD(f'quantile_cont({x}, 0.75)', 2)} AS p75, {RD(f'MAX({x})', 2)} AS max FROM cl_orders")
-
+            f"{RD(f'quantile_cont({x}, 0.75)', 2)} AS p75, {RD(f'MAX({x})', 2)} AS max FROM {source}")
 
-SQL["describe_numeric"] = "\nUNION ALL\n".join(_describe(c, s) for c, s in _NUMERIC_ORDERS)
 
 SQL["window_rank"] = f"""
 SELECT store_id, {RD('rev', 0)} AS total_revenue, CAST(RANK() OVER (ORDER BY rev DESC NULLS LAST) AS BIGINT) AS revenue_rank
@@ -119,22 +111,27 @@ SQL["table_row_counts"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, COUNT(*) AS rows FROM {c}" for t, c in CLEAN_TABLES.items())
 
 
-def _clean_columns():
-    from storepulse.sources.schemas import clean_schema
-    return {t: [(f.name, f.dataType.simpleString()) for f in clean_schema(t).fields] for t in CLEAN_TABLES}
+def _columns(clean: bool = False):
+    from storepulse.sources.schemas import RAW_SCHEMAS, clean_schema
+    return {t: [(f.name, f.dataType.simpleString()) for f in (clean_schema(t) if clean else RAW_SCHEMAS[t]).fields]
+            for t in RAW_TABLES}
 
 
 def _raw_columns():
-    from storepulse.sources.schemas import RAW_SCHEMAS
-    return {t: [f.name for f in RAW_SCHEMAS[t].fields] for t in RAW_TABLES}
+    return {t: [c for c, _ in cols] for t, cols in _columns().items()}
+
+
+SQL["describe_numeric"] = "\nUNION ALL\n".join(
+    _describe(t, RAW_TABLES[t], c, dt) for t, cols in _columns().items() for c, dt in cols
+    if dt in ("int", "bigint", "double") or dt.startswith("decimal"))
 
 
 def _profile_nulls() -> str:
     parts = []
-    for t, cols in _clean_columns().items():
+    for t, cols in _columns().items():
         for c, dt in cols:
             parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count, "
-                         f"COUNT(*) AS n, '{dt}' AS dtype FROM {CLEAN_TABLES[t]}")
+                         f"COUNT(*) AS n, '{dt}' AS dtype FROM {RAW_TABLES[t]}")
     u = "\nUNION ALL\n".join(parts)
     return (f"SELECT table_name, column_name, null_count, "
             f"{RD('CAST(null_count AS DOUBLE) / CAST(n AS DOUBLE) * 100', 2)} AS null_pct, dtype "
@@ -182,20 +179,14 @@ FROM cl_orders"""
 
 _EFF = ("CASE skill_level WHEN 'Expert' THEN CAST(1.25 AS DOUBLE) WHEN 'Intermediate' THEN CAST(1.0 AS DOUBLE) "
         "WHEN 'Beginner' THEN CAST(0.78 AS DOUBLE) END")
+_RATE_N, _RATE_D = f"(CAST(a.items_picked AS BIGINT) * 100 * CAST({_EFF} * 1000 AS BIGINT))", "NULLIF(CAST(a.pick_duration_mins * 100 AS BIGINT), 0)"
 SQL["pick_activity_build"] = f"""
-WITH q_roster AS (
-  SELECT picker_id, store_id, skill_level, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY picker_id) - 1 AS idx
-  FROM cl_pickers),
-q_size AS (SELECT store_id, COUNT(*) AS m FROM cl_pickers GROUP BY store_id),
-q_o AS (
-  SELECT o.*, ('0x' || substr(md5(o.order_id), 1, 8))::BIGINT % q_size.m AS idx
-  FROM cl_orders o JOIN q_size ON o.store_id = q_size.store_id WHERE o.order_status = 'Delivered')
-SELECT q_o.order_id, r.picker_id, q_o.store_id, q_o.order_timestamp AS pick_start_time,
-       q_o.order_timestamp + INTERVAL 1 SECOND * CAST(q_o.pick_time_mins * 60 AS INTEGER) AS pick_end_time,
-       q_o.pick_time_mins AS pick_duration_mins, q_o.num_items AS items_picked,
-       {RATE4('CAST(q_o.num_items AS BIGINT) * 100', 'CAST(q_o.pick_time_mins * 100 AS BIGINT)', _EFF)} AS pick_rate_per_min,
-       CASE WHEN q_o.order_hour < 12 THEN 'Morning' WHEN q_o.order_hour < 18 THEN 'Afternoon' ELSE 'Night' END AS shift
-FROM q_o JOIN q_roster r ON q_o.store_id = r.store_id AND q_o.idx = r.idx"""
+SELECT a.activity_id, a.order_id, a.picker_id, a.store_id, a.pick_start_time,
+       a.pick_start_time + INTERVAL 1 SECOND * CAST(a.pick_duration_mins * 60 AS INTEGER) AS pick_end_time,
+       a.pick_duration_mins, a.items_picked,
+       CAST(floor(({_RATE_N} * 2 + {_RATE_D}) / ({_RATE_D} * 2)) AS DOUBLE) / 1000.0 AS pick_rate_per_min,
+       CASE WHEN hour(a.pick_start_time) < 12 THEN 'Morning' WHEN hour(a.pick_start_time) < 18 THEN 'Afternoon' ELSE 'Night' END AS shift
+FROM cl_picker_activity a JOIN cl_pickers p ON a.picker_id = p.picker_id"""
 
 SQL["substitution_pairs"] = """
 SELECT x.substitution_id, x.original_sku_id, x.substitute_sku_id, o.category AS original_category,
@@ -216,17 +207,13 @@ def _u(tag: str) -> str:
             f"/ CAST(4294967296.0 AS DOUBLE))")
 
 
-_RANGES = {"pick_time_mins": (1.5, 2.0), "pack_time_mins": (0.5, 1.0), "dispatch_time_mins": (0.3, 0.5),
-           "travel_time_mins": (2.5, 4.0)}
-_M1 = ", ".join(f"{RM(_u(c) + f' * CAST({w!r} AS DOUBLE) + CAST({lo!r} AS DOUBLE)')} AS {c}"
-                for c, (lo, w) in _RANGES.items())
 _M2 = "CAST(pick_time_mins + pack_time_mins + dispatch_time_mins + travel_time_mins AS DECIMAL(9,2))"
 
-SQL["resample_components"] = f"SELECT order_id, {_M1} FROM cl_orders"
-SQL["recompute_total"] = f"SELECT *, {_M2} AS total_delivery_mins FROM (SELECT order_id, {_M1} FROM cl_orders)"
+SQL["recompute_total"] = f"""
+SELECT order_id, pick_time_mins, pack_time_mins, dispatch_time_mins, travel_time_mins, {_M2} AS total_delivery_mins FROM cl_orders"""
 SQL["recompute_sla"] = f"""
 SELECT order_id, total_delivery_mins, total_delivery_mins <= 10 AS sla_met
-FROM (SELECT order_id, {_M2} AS total_delivery_mins FROM (SELECT order_id, {_M1} FROM cl_orders))"""
+FROM (SELECT order_id, {_M2} AS total_delivery_mins FROM cl_orders)"""
 SQL["recompute_profit"] = f"""
 SELECT order_id, net_order_value_inr, delivery_cost_inr, {R2('net_order_value_inr - delivery_cost_inr')} AS gross_profit_inr
 FROM cl_orders"""
@@ -259,6 +246,35 @@ FROM (SELECT order_id, store_id, order_status,
              COUNT(*) OVER (PARTITION BY store_id, order_status = 'Delivered') AS total
       FROM cl_orders)"""
 
+_GP = R2("net_order_value_inr - delivery_cost_inr")
+UPDATED = f"""q_u1 AS (
+  SELECT * REPLACE ({_M2} AS total_delivery_mins, {_M2} <= 10 AS sla_met, {_GP} AS gross_profit_inr, {_GP} > 0 AS is_profitable)
+  FROM cl_orders),
+q_u2 AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', '42', 'reprice', order_id)), order_id)
+              <= ROUND(COUNT(*) OVER () * 0.12) AS repriced FROM q_u1),
+q_u3 AS (
+  SELECT * EXCLUDE (repriced) REPLACE (
+    CASE WHEN repriced THEN {_COST} ELSE delivery_cost_inr END AS delivery_cost_inr,
+    CASE WHEN repriced THEN {R2(f'net_order_value_inr - {_COST}')} ELSE gross_profit_inr END AS gross_profit_inr,
+    CASE WHEN repriced THEN {R2(f'net_order_value_inr - {_COST}')} > 0 ELSE is_profitable END AS is_profitable)
+  FROM q_u2),
+up_orders AS (
+  SELECT * EXCLUDE (rn, total) REPLACE (
+    CASE WHEN order_status = 'Delivered' THEN rn <= floor(total * {_RATES}) ELSE FALSE END AS sla_met)
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, order_status = 'Delivered'
+                                     ORDER BY md5(concat_ws('|', '42', 'sla', order_id)), order_id) AS rn,
+               COUNT(*) OVER (PARTITION BY store_id, order_status = 'Delivered') AS total
+        FROM q_u3))"""
+
+
+def _on_updated(body: str) -> str:
+    return f"WITH {UPDATED}\n" + body.replace("cl_orders", "up_orders")
+
+
+for _k in ("sla_share", "profitable_share", "delivery_summary", "sla_pct_by_store"):
+    SQL[f"{_k}_updated"] = _on_updated(analytics.SQL[_k])
+
 # ---------------------------------------------------------------- cleaning
 
 for _k, _t in {"clean_stores": "dim_stores", "clean_skus": "dim_skus", "clean_customers": "dim_customers",
@@ -339,20 +355,62 @@ SQL["rows_before_after"] = "\nUNION ALL\n".join(
        if t == "fact_orders" else "CAST(NULL AS DOUBLE) AS sla_met_pct, CAST(NULL AS DOUBLE) AS profitable_pct")
     for t, c in CLEAN_TABLES.items())
 
-# ---------------------------------------------------------------- sinks (read back)
+# ---------------------------------------------------------------- sources and sinks (read back)
+
+
+def _checksums(source: str, name: str, columns: list[tuple[str, str]], body: str) -> list[str]:
+    parts = []
+    for c, dtype in columns:
+        text = f"CAST({c} AS VARCHAR)"
+        if dtype == "double":
+            text = f"CAST(CAST({c} AS DECIMAL(28,6)) AS VARCHAR)"
+        elif dtype.startswith("timestamp"):
+            text = f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+        parts.append(f"SELECT '{source}' AS source, '{name}' AS table_name, COUNT(*) AS rows, '{c}' AS column_name, "
+                     f"COUNT({c}) AS non_null, CAST(COALESCE(SUM(('0x' || substr(md5({text}), 1, 8))::BIGINT), 0) AS BIGINT) AS checksum "
+                     f"FROM {body}")
+    return parts
+
+
+_AUDIT_COLUMNS = [("\"table\"", "string"), ("issue_found", "string"), ("action_taken", "string"), ("rows_affected", "bigint")]
+
+
+def _sinks() -> str:
+    parts = []
+    for fmt in ("parquet", "csv"):
+        for t, cols in _columns(clean=True).items():
+            parts += _checksums(fmt, t, cols, CLEAN_TABLES[t])
+        audit = _checksums(fmt, "cleaning_audit", _AUDIT_COLUMNS, f"({SQL['cleaning_audit']})")
+        parts += [p.replace("'\"table\"' AS column_name", "'table' AS column_name") for p in audit]
+    return "\nUNION ALL\n".join(parts)
+
 
-SQL["sink_roundtrip"] = "SELECT * FROM cl_orders"
+SQL["sink_roundtrip"] = _sinks()
+SQL["csv_source"] = "\nUNION ALL\n".join(p for t, cols in _columns().items() for p in _checksums("csv", t, cols, RAW_TABLES[t]))
 
 
 def _insights() -> str:
-    from oracle import analytics as A
-    bodies = {
-        "01_store_scorecard": A.SQL["scorecard_export"], "02_sla_by_store": A.SLA_SLIM,
-        "03_store_pnl": A.PNL_SUMMARY, "04_category_performance": A.CATEGORY_PERF,
-        "05_picker_performance": A.PICKER_PROD, "06_substitution_analysis": A.SUB_BANDS,
-        "07_hourly_demand": A.HOURLY,
+    A = analytics
+    S, I, F = "string", "bigint", "double"
+    tables = {
+        "01_store_scorecard": (A.SQL["scorecard_export"].replace("network_sla_share_pct", "sla_pct"), [
+            ("store_name", S), ("city", S), ("total_orders", I), ("revenue_lac", F), ("avg_delivery_mins", F), ("sla_pct", F),
+            ("avg_profit_per_order", F)]),
+        "02_sla_by_store": (A.SLA_SLIM, [
+            ("store_name", S), ("city", S), ("total_orders", I), ("avg_delivery_mins", F), ("avg_pick_mins", F),
+            ("avg_travel_mins", F), ("sla_pct", F)]),
+        "03_store_pnl": (A.PNL_SUMMARY, [
+            ("store_name", S), ("city", S), ("avg_monthly_revenue", F), ("avg_monthly_profit", F), ("fixed_cost", I), ("store_status", S)]),
+        "04_category_performance": (A.CATEGORY_PERF, [
+            ("category", S), ("total_qty", I), ("total_revenue", F), ("total_margin", F), ("avg_margin_pct", F)]),
+        "05_picker_performance": (A.PICKER_PROD, [
+            ("picker_name", S), ("skill_level", S), ("shift", S), ("store_name", S), ("total_picks", I), ("avg_pick_rate", F),
+            ("total_errors", I), ("error_rate_pct", F)]),
+        "06_substitution_analysis": (A.SUB_BANDS, [
+            ("original_category", S), ("same_category", S), ("reason_for_sub", S), ("total_subs", I), ("acceptance_rate_pct", F)]),
+        "07_hourly_demand": (A.HOURLY, [("order_hour", I), ("total_orders", I), ("avg_delivery_mins", F), ("sla_pct", F)]),
     }
-    return "\nUNION ALL\n".join(f"SELECT '{k}' AS insight, COUNT(*) AS rows FROM ({v})" for k, v in bodies.items())
+    return "\nUNION ALL\n".join(p for name, (body, cols) in tables.items() for p in _checksums("csv", name, cols, f"({body})"))
 
 
 SQL["insights_export"] = _insights()

@@ -5,7 +5,6 @@ Sub-packages:
   sources    schemas, star-schema fixtures derived from the driver tables, IO
   operators  cleaning rules, profiling, column rewrites, sampling, generic ops
   plans      the named analytics (SLA, P&L, pickers, products, demand, reports)
-  streaming  incremental (availableNow) ingestion of fact files
 """
 
-__all__ = ["functions", "sources", "operators", "plans", "streaming"]
+__all__ = ["functions", "sources", "operators", "plans"]

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storepulse.operators.ranking import exact_percentiles
+from storepulse.sources.tables import by_month, is_monthly
 from storepulse.functions.exprs import (
     band_left_closed, band_right_closed, exact_round, round_dec, safe_div, title_case,
 )
@@ -89,37 +90,33 @@ def _with_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
 def _keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """First row per key by ``order`` (then every other column); adds ``_dups``.
 
-    Two phases, so the fact table is not shuffled and sorted by key just to
-    find a few duplicates:
-    1. hash-count rows per key (only keys cross the shuffle);
-    2. rows of unique keys pass through an anti join against the duplicated
-       keys (broadcast by AQE when that set is small, measured at runtime);
-       only rows of duplicated keys go through the ``min(struct)`` aggregate,
-       whose map-side partial aggregation also collapses a hot key.
-    Null keys group together, as in a group-by.
+    One ``min(struct)`` per key: a single shuffle, before which each task keeps one row of
+    a key, so a key with very many rows is small by then.  Null keys group together, as
+    in a group-by.
     """
     cols = [c for c in df.columns if c not in key]
-    rest = [c for c in cols if c not in order]
-    packed = F.struct(*[F.col(c) for c in order + rest])
-    dup_keys = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
-                .filter(F.col("_c") > 1).select(*[F.col(k).alias(f"_dk_{k}") for k in key]))
-    match = None
-    for k in key:
-        cond = F.col(k).eqNullSafe(F.col(f"_dk_{k}"))
-        match = cond if match is None else match & cond
-    singles = df.join(dup_keys, match, "left_anti").select(*key, *cols, F.lit(0).cast("bigint").alias("_dups"))
-    repeated = df.join(dup_keys, match, "left_semi")
-    kept = (repeated.groupBy(*key)
-            .agg(F.min(packed).alias("_r"), (F.count(F.lit(1)) - 1).alias("_dups"))
+    packed = F.struct(*order, *[c for c in cols if c not in order])
+    return (df.groupBy(*key).agg(F.min(packed).alias("_r"), (F.count(F.lit(1)) - 1).alias("_dups"))
             .select(*key, *[F.col(f"_r.{c}").alias(c) for c in cols], "_dups"))
-    return singles.unionByName(kept)
+
+
+class CountedOnce:
+    """Audit counts of rows that a shuffle follows, by an aggregate of their own: a map task
+    that runs again would add to observed counts twice."""
+
+    def __init__(self, counts: DataFrame):
+        self._counts = counts
+
+    @property
+    def get(self) -> dict:
+        return self._counts.first().asDict()
 
 
 class ObservedAudit:
     """Audit counts collected by ``DataFrame.observe`` while the cleaned table
     is written (no second pass).  ``to_df`` is valid after that action."""
 
-    def __init__(self, table: str, rules: list[Rule], parts: list[tuple[Observation, list[int]]]):
+    def __init__(self, table: str, rules: list[Rule], parts: list[tuple[Observation | CountedOnce, list[int]]]):
         self.table, self.rules, self.parts = table, rules, parts
 
     def rows(self) -> list[tuple]:
@@ -146,7 +143,7 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], observe: bool = Fals
     de-duplication shuffle (their pruned column sets defeat exchange reuse).
     """
     out_cols = list(df.columns)
-    observed: list[tuple[Observation, list[int]]] = []
+    observed: list[tuple[Observation | CountedOnce, list[int]]] = []
     df = df.withColumn("_alive", F.lit(True))
     segments: list[tuple[DataFrame, list[tuple[int, str]]]] = []
     flags: list[tuple[int, str]] = []
@@ -166,8 +163,8 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], observe: bool = Fals
         elif r.kind == "dedup":
             if observe:
                 if flags:
-                    df, o = _observe(df, rules, flags)
-                    observed.append((o, [i for i, _ in flags]))
+                    counts = df.agg(*[_count_expr(rules[i], i, fc) for i, fc in flags])
+                    observed.append((CountedOnce(counts), [i for i, _ in flags]))
             else:
                 segments.append((df, flags))
             flags = []
@@ -187,6 +184,9 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], observe: bool = Fals
         if r.audited:
             flags.append((i, fc))
     if observe:
+        if is_monthly(table, df):
+            df = by_month(df)     # before the counts, so that they are taken by the writing tasks
+            out_cols += ["order_month"]
         if flags:
             df, o = _observe(df, rules, flags)
             observed.append((o, [i for i, _ in flags]))
@@ -330,7 +330,8 @@ def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
     rules = [
         Rule("remove", "Join date in the future", "Rows removed", F.col("join_date") <= asof),
         Rule("repair", "Salary out of range", "Replaced with median salary", bad_sal,
-             stats={"_med": F.percentile(sal.cast("double"), 0.5)},
+             stats_fn=lambda alive: exact_percentiles(alive, "monthly_salary_inr", [0.5])
+             .select(F.col("p0").alias("_med")),
              updates={"monthly_salary_inr": F.when(bad_sal, exact_round(F.col("_med"), 0).cast("bigint"))
                       .otherwise(sal)}),
         Rule("remove", "Store not found", "Rows removed", F.col("_store_ok")),
@@ -349,6 +350,13 @@ def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
 TIME_COLS = ["pick_time_mins", "pack_time_mins", "dispatch_time_mins", "travel_time_mins"]
 
 
+def _medians(alive: DataFrame) -> DataFrame:
+    """One row with the exact median of each time component, which is independent of the others' repair."""
+    long = alive.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in TIME_COLS])))
+    return exact_percentiles(long, "_x", [0.5], ["_c"]).agg(
+        *[F.max(F.when(F.col("_c") == c, F.col("p0"))).alias(f"_med_{c}") for c in TIME_COLS])
+
+
 def clean_orders(raw: DataFrame, stores_clean: DataFrame,
                  sla_minutes: float = 10.0, max_minutes: float = 120.0, observe: bool = False,
                  persist=None):
@@ -362,12 +370,10 @@ def clean_orders(raw: DataFrame, stores_clean: DataFrame,
         Rule("dedup", "Duplicate order ids", "Kept first occurrence", key=["order_id"], order=order_cols),
         Rule("remove", "Order value not positive", "Rows removed", value > 0),
     ]
-    # the four medians are independent of each other's repair: one stats pass
-    medians = {f"_med_{c}": F.percentile(F.col(c).cast("double"), 0.5) for c in TIME_COLS}
     for j, c in enumerate(TIME_COLS):
         rules.append(Rule(
             "repair", f"Negative {c}", "Replaced with median", F.col(c) < 0,
-            stats=medians if j == 0 else {},
+            stats_fn=_medians if j == 0 else None,
             updates={c: F.when(F.col(c) < 0, round_dec(F.col(f"_med_{c}"), 2, 9)).otherwise(F.col(c))}))
     rules += [
         Rule("repair", "Delivery time differs from its components", "Recalculated from components",

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import round_dec, weekday_name, is_weekend
-from storepulse.operators.ranking import exact_rank
-from storepulse.sources.fixtures import SKILL_EFFICIENCY, rate_4dp, shift_from_hour
+from storepulse.sources.fixtures import SKILL_EFFICIENCY, shift_from_hour
 
 # fixed values: free-delivery threshold, delivery fee, platform fee rate
 FREE_DELIVERY_MIN = 149
@@ -39,40 +38,26 @@ def order_value_build(orders: DataFrame, free_min=FREE_DELIVERY_MIN, fee=DELIVER
                          net.alias("net_order_value_inr"))
 
 
-def _bucket(key, n):
-    """Stable non-negative bucket of a string key (same on every engine)."""
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), n)
-
-
-def pick_activity_build(orders: DataFrame, pickers: DataFrame) -> DataFrame:
-    """X3: one pick activity per Delivered order.
-
-    The picker is drawn from the order's store by hashing the order id onto
-    the store's roster: pickers get a dense per-store index (distributed
-    ``exact_rank``), orders pick index = hash(order) mod roster size, and the
-    two meet in an equi-join on (store, index) — no orders × pickers pairs.
-    """
-    # dense per-store index by picker id; exact_rank keeps one store's roster
-    # out of a single task (picker ids are unique, so rank - 1 is dense)
-    roster = exact_rank(pickers.select("picker_id", "store_id", "skill_level"), "picker_id", "_rk", desc=False,
-                        partition_cols=["store_id"]).withColumn("_idx", F.col("_rk") - 1).drop("_rk")
-    size = roster.groupBy("store_id").agg(F.count(F.lit(1)).alias("_m"))
-    d = (orders.filter(F.col("order_status") == "Delivered")
-         .join(F.broadcast(size), "store_id")                     # ≤ one row per store
-         .withColumn("_idx", _bucket(F.col("order_id"), F.col("_m"))))
-    j = d.join(roster, ["store_id", "_idx"])
+def rate_3dp(items, minutes, eff):
+    """round(items / minutes × eff, 3) half-up, in integer arithmetic; null when minutes is 0."""
+    n = items.cast("bigint") * 100 * (eff * 1000).cast("bigint")
+    d = F.nullif((minutes * 100).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.floor((n * 2 + d) / (d * 2)).cast("double") / 1000.0
+
+
+def pick_activity_build(activity: DataFrame, pickers: DataFrame) -> DataFrame:
+    """X3: end time, pick rate and shift of each recorded pick activity, from its start,
+    duration and items and the picker's skill."""
+    skills = pickers.select("picker_id", "skill_level")
     eff = F.lit(None).cast("double")
     for skill, factor in SKILL_EFFICIENCY.items():
         eff = F.when(F.col("skill_level") == skill, F.lit(factor)).otherwise(eff)
-    mins = F.col("pick_time_mins")
-    start = F.col("order_timestamp")
-    return j.select(
-        "order_id", "picker_id", "store_id", start.alias("pick_start_time"),
+    mins, start = F.col("pick_duration_mins"), F.col("pick_start_time")
+    return activity.join(skills, "picker_id").select(
+        "activity_id", "order_id", "picker_id", "store_id", "pick_start_time",
         F.timestamp_add("SECOND", (mins * 60).cast("int"), start).alias("pick_end_time"),
-        mins.alias("pick_duration_mins"), F.col("num_items").alias("items_picked"),
-        rate_4dp(F.col("num_items").cast("bigint") * 100, (mins * 100).cast("bigint"), eff)
-        .alias("pick_rate_per_min"),
-        shift_from_hour(F.col("order_hour")).alias("shift"))
+        "pick_duration_mins", "items_picked", rate_3dp(F.col("items_picked"), mins, eff).alias("pick_rate_per_min"),
+        shift_from_hour(F.hour(start)).alias("shift"))
 
 
 def substitution_pairs(subs: DataFrame, skus: DataFrame) -> DataFrame:

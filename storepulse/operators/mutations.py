@@ -1,10 +1,11 @@
 """The post-load UPDATE script as pure ``orders -> orders`` column rewrites.
 
-Random draws become seeded hash draws (``hash_uniform``) so results repeat
-exactly, including on a recomputed task.  Order matters and is the
-script's: M1 → M2 → M3 → M4 → M5 → M6 → M7 → M8 (``update_script``); after
-M8 ``sla_met`` no longer equals total ≤ 10, and analytics read whichever
-state they are given.
+The script's redraw of the measured minutes (M1) is a simulation and is left
+out: M2 and M3 work on the measured components.  The draws of M6 and M8 choose
+rows; they are seeded hash draws, so results repeat exactly, including on a
+recomputed task.  Order matters and is the script's: M2 → M3 → M4 → M5 → M6 →
+M7 → M8 (``update_script``); after M8 ``sla_met`` no longer equals total ≤ 10,
+and analytics read whichever state they are given.
 """
 
 from __future__ import annotations
@@ -19,14 +20,6 @@ from storepulse.operators.sampling import exact_hash_select
 
 TIME_COLS = ["pick_time_mins", "pack_time_mins", "dispatch_time_mins", "travel_time_mins"]
 
-# fixed values: uniform redraw ranges as (low, width) per time component
-COMPONENT_RANGES = {
-    "pick_time_mins": (1.5, 2.0),
-    "pack_time_mins": (0.5, 1.0),
-    "dispatch_time_mins": (0.3, 0.5),
-    "travel_time_mins": (2.5, 4.0),
-}
-
 # fixed values: per-store share of Delivered orders flagged as SLA met
 STORE_SLA_RATES = {
     "STR_001": "0.78", "STR_002": "0.82", "STR_003": "0.65", "STR_004": "0.85", "STR_005": "0.72",
@@ -37,13 +30,6 @@ UNPROFITABLE_SHARE = "0.12"
 COST_FACTOR_LOW, COST_FACTOR_WIDTH = 0.85, 0.3
 
 
-def resample_components(orders: DataFrame, ranges=COMPONENT_RANGES, seed=42) -> DataFrame:
-    """M1: redraw the four time components uniformly in their ranges (2 dp)."""
-    return orders.withColumns({
-        c: round_dec(hash_uniform(seed, F.lit(c), F.col("order_id")) * width + lo, 2, 9)
-        for c, (lo, width) in ranges.items()})
-
-
 def recompute_total(orders: DataFrame) -> DataFrame:
     """M2: total = sum of the four components."""
     s = F.col(TIME_COLS[0])
@@ -68,7 +54,7 @@ def recompute_profitable(orders: DataFrame) -> DataFrame:
     return orders.withColumn("is_profitable", F.col("gross_profit_inr") > 0)
 
 
-def sample_exact_fraction(orders: DataFrame, share: str = UNPROFITABLE_SHARE, seed=42) -> DataFrame:
+def sample_exact_fraction(orders: DataFrame, share: str = UNPROFITABLE_SHARE, seed=42, stage=None) -> DataFrame:
     """M6: reprice exactly round(share × n) orders: delivery cost := net × U(0.85, 1.15).
 
     One draw per order drives cost, profit and flag together, so the row
@@ -76,7 +62,8 @@ def sample_exact_fraction(orders: DataFrame, share: str = UNPROFITABLE_SHARE, se
     independent randoms here.  Selection is ``exact_hash_select`` (no sort).
     """
     k = lambda total: F.round(total * F.lit(Decimal(share)), 0)  # noqa: E731  exact decimal, half up
-    s = exact_hash_select(orders, "order_id", k, seed=seed, tag="reprice", flag="_repriced")
+    s = exact_hash_select(orders, "order_id", k, seed=seed, tag="reprice", flag="_repriced",
+                          stage=stage)
     factor = hash_uniform(seed, F.lit("delivery_cost"), F.col("order_id")) * COST_FACTOR_WIDTH + COST_FACTOR_LOW
     cost = round_dec(F.col("net_order_value_inr").cast("double") * factor)
     gp = round_dec(F.col("net_order_value_inr") - cost)
@@ -101,29 +88,23 @@ def _rate_of(store_col: str, rates: dict[str, str]):
     return expr.otherwise(F.lit(Decimal("0")))
 
 
-def stratified_flag(orders: DataFrame, rates: dict[str, str] = STORE_SLA_RATES, seed=42) -> DataFrame:
+def stratified_flag(orders: DataFrame, rates: dict[str, str] = STORE_SLA_RATES, seed=42, stage=None) -> DataFrame:
     """M7+M8: reset ``sla_met``, then flag floor(total × rate(store)) Delivered
-    orders per store in hash order.  Stores without a rate and non-delivered
-    orders end false.  Per-store selection via ``exact_hash_select``."""
-    o = reset_flag(orders)
-    d = o.filter(F.col("order_status") == "Delivered")
-    rest = o.filter(~F.coalesce(F.col("order_status") == "Delivered", F.lit(False)))
-    k = lambda total: F.floor(total * _rate_of("store_id", rates))  # noqa: E731  exact decimal product
-    flagged = exact_hash_select(d, "order_id", k, seed=seed, tag="sla", strata=["store_id"], flag="_f")
-    flagged = flagged.withColumn("sla_met", F.col("_f")).drop("_f")
-    return flagged.unionByName(rest)
+    orders per store in hash order.  Stores without a rate, orders without a
+    store and non-delivered orders end false.  Per-store selection via
+    ``exact_hash_select``: one pass over the orders."""
+    is_delivered = F.coalesce(F.col("order_status") == "Delivered", F.lit(False))
+    d = reset_flag(orders).withColumn("_delivered", is_delivered)
+    k = lambda total: F.when(F.col("_delivered"), F.floor(total * _rate_of("store_id", rates)))  # noqa: E731  exact decimal product
+    flagged = exact_hash_select(d, "order_id", k, seed=seed, tag="sla", strata=["store_id", "_delivered"], flag="_f",
+                                stage=stage)
+    return flagged.withColumn("sla_met", F.col("_f")).drop("_f", "_delivered")
 
 
 def update_script(orders: DataFrame, seed=42, stage=None) -> DataFrame:
-    """M1..M8 in the script's order.
+    """M2..M8 in the script's order.
 
-    ``stage(name, df) -> df`` persists the table state after M6, as the
-    script's UPDATE statements do: M8 then reads that state instead of
-    re-deriving M6 inside each of its branches (M6 and M8 both read their
-    input several times — histogram, boundary, rest).
-    """
-    o = recompute_profitable(recompute_profit(recompute_sla(recompute_total(resample_components(orders, seed=seed)))))
-    o = sample_exact_fraction(o, seed=seed).drop("repriced")
-    if stage is not None:
-        o = stage("orders_after_m6", o)
-    return stratified_flag(o, seed=seed)
+    ``stage(name, df) -> df`` may persist the few columns that the samples are drawn from."""
+    o = recompute_profitable(recompute_profit(recompute_sla(recompute_total(orders))))
+    o = sample_exact_fraction(o, seed=seed, stage=stage).drop("repriced")
+    return stratified_flag(o, seed=seed, stage=stage)

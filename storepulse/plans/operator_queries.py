@@ -14,9 +14,10 @@ from storepulse.operators import mutations as M
 from storepulse.operators import profiling as D
 from storepulse.operators.cleaning import _keep_first
 from storepulse.plans.common import delivered, rank_desc, store_dim
+from storepulse.plans import sla
 from storepulse.plans.sla import time_band
 from storepulse.sources import tables as IO
-from storepulse.plans.tableset import clean_tables, raw_table_set as raw_tables, table_sets
+from storepulse.plans.tableset import clean_tables, published, raw_table_set as raw_tables, table_sets, updated_tables
 from storepulse.sources.schemas import TABLE_NAMES
 
 
@@ -195,33 +196,90 @@ def rows_before_after(raw, T):
 
 # ---------------------------------------------------------------- IO
 
-def sink_roundtrip(spark, T):
-    """Write cleaned orders (Parquet, partitioned by order month) and read back."""
-    import uuid
-    path = IO.scratch_path(spark, "sink_roundtrip", uuid.uuid4().hex, "fact_orders")
-    IO.write_table(T["fact_orders"], path, "fact_orders")
-    return IO.read_table(spark, path, "fact_orders", fmt="parquet", clean=True)
+def _plain_text(c: str, dtype: str):
+    """A value as text that does not depend on the engine."""
+    col = F.col(c)
+    if dtype == "double":
+        return col.cast("decimal(28,6)").cast("string")
+    if dtype.startswith("timestamp"):
+        return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+    return col.cast("string")
+
+
+def checksums(df, source: str, name: str):
+    """Per column: rows, non-null values and an order-free checksum of them.  One pass."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, (c, dtype) in enumerate(df.dtypes):
+        digest = F.conv(F.substring(F.md5(_plain_text(c, dtype)), 1, 8), 16, 10).cast("bigint")
+        aggs += [F.count(c).alias(f"_n{i}"), F.coalesce(F.sum(digest), F.lit(0)).alias(f"_s{i}")]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("non_null"), F.col(f"_s{i}").alias("checksum"))
+                      for i, c in enumerate(df.columns)])
+    return df.agg(*aggs).select(F.lit(source).alias("source"), F.lit(name).alias("table_name"), "rows", F.inline(cells))
+
+
+def _all(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def sink_roundtrip(spark, sf_dir):
+    """The eight cleaned tables and the audit, written as Parquet (facts by order month) and as
+    headed CSV, read back with their schemas: checksums of every column."""
+    T = clean_tables(spark, sf_dir)
+
+    def build(base):
+        for name, df in T.items():
+            for fmt in ("parquet", "csv"):
+                IO.write_table(df, f"{base}/{fmt}/{name}", name, fmt)
+
+    base = published(spark, sf_dir, "sink_roundtrip", build)
+    return _all([checksums(IO.read_table(spark, f"{base}/{fmt}/{name}", name, fmt, clean=True), fmt, name)
+                 for fmt in ("parquet", "csv") for name in T])
 
 
-def insights_export(spark, T):
-    """Export the seven insight result sets as CSV; return (insight, rows) read back."""
-    import uuid
+def csv_source(spark, sf_dir):
+    """The eight raw tables read from headed CSV files with their explicit schemas."""
+    T = raw_tables(spark, sf_dir)
+
+    def build(base):
+        for name, df in T.items():
+            IO.write_table(df, f"{base}/{name}", name, "csv")
+
+    base = published(spark, sf_dir, "csv_source", build)
+    return _all([checksums(IO.read_table(spark, f"{base}/{name}", name, "csv"), "csv", name) for name in T])
+
+
+def insights(T):
+    """The seven exported insight tables, with the columns and order of the reference."""
     from storepulse.plans import pnl, pickers, products, substitutions as SB
     from storepulse.plans.reports import _hourly, _sla_slim
-    out = IO.scratch_path(spark, "insights", uuid.uuid4().hex)
-    results = {
-        "01_store_scorecard": pnl.scorecard_export(T), "02_sla_by_store": _sla_slim(T),
-        "03_store_pnl": pnl.store_pnl_summary(T), "04_category_performance": products.category_performance(T),
-        "05_picker_performance": pickers.picker_productivity(T, with_rank=False),
-        "06_substitution_analysis": SB.substitution_bands(T), "07_hourly_demand": _hourly(T),
+    sc = pnl.scorecard_export(T).withColumnRenamed("network_sla_share_pct", "sla_pct")
+    return {
+        "01_store_scorecard": sc.orderBy(F.col("revenue_lac").desc(), "store_name").select(
+            "store_name", "city", "total_orders", "revenue_lac", "avg_delivery_mins", "sla_pct", "avg_profit_per_order"),
+        "02_sla_by_store": _sla_slim(T).orderBy("sla_pct", "store_name").select(
+            "store_name", "city", "total_orders", "avg_delivery_mins", "avg_pick_mins", "avg_travel_mins", "sla_pct"),
+        "03_store_pnl": pnl.store_pnl_summary(T).orderBy(F.col("avg_monthly_profit").desc(), "store_name").select(
+            "store_name", "city", "avg_monthly_revenue", "avg_monthly_profit", "fixed_cost", "store_status"),
+        "04_category_performance": products.category_performance(T).orderBy(F.col("total_revenue").desc(), "category").select(
+            "category", "total_qty", "total_revenue", "total_margin", "avg_margin_pct"),
+        "05_picker_performance": pickers.picker_productivity(T, with_rank=False).orderBy(F.col("avg_pick_rate").desc(), "picker_id")
+        .select("picker_name", "skill_level", "shift", "store_name", "total_picks", "avg_pick_rate", "total_errors", "error_rate_pct"),
+        "06_substitution_analysis": SB.substitution_bands(T)
+        .orderBy(F.col("acceptance_rate_pct").desc(), "original_category", "same_category", "reason_for_sub")
+        .select("original_category", "same_category", "reason_for_sub", "total_subs", "acceptance_rate_pct"),
+        "07_hourly_demand": _hourly(T).orderBy("order_hour").select("order_hour", "total_orders", "avg_delivery_mins", "sla_pct"),
     }
-    IO.export_results(results, out)
-    parts = [spark.read.option("header", True).csv(f"{out}/{n}").agg(F.count(F.lit(1)).alias("rows"))
-             .select(F.lit(n).alias("insight"), "rows") for n in results]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+
+
+def insights_export(spark, sf_dir):
+    """Export the seven insight tables as CSV; checksums of every column read back."""
+    results = insights(clean_tables(spark, sf_dir))
+    base = published(spark, sf_dir, "insights", lambda folder: IO.export_results(results, folder))
+    return _all([checksums(spark.read.schema(df.schema).option("header", True).csv(f"{base}/{name}"), "csv", name)
+                 for name, df in results.items()])
 
 
 # ---------------------------------------------------------------- registry
@@ -245,25 +303,16 @@ def _r(fn):
     return lambda spark, sf: fn(raw_tables(spark, sf))
 
 
-def _sc(fn):
-    return lambda spark, sf: fn(spark, _clean(spark, sf))
-
-
 def _o(fn):
     return lambda spark, sf: fn(_clean(spark, sf)["fact_orders"])
 
 
-def _m1(o):
-    return M.resample_components(o).select("order_id", *M.TIME_COLS)
-
-
 def _m2(o):
-    return M.recompute_total(M.resample_components(o)).select("order_id", *M.TIME_COLS, "total_delivery_mins")
+    return M.recompute_total(o).select("order_id", *M.TIME_COLS, "total_delivery_mins")
 
 
 def _m3(o):
-    return M.recompute_sla(M.recompute_total(M.resample_components(o))) \
-        .select("order_id", "total_delivery_mins", "sla_met")
+    return M.recompute_sla(M.recompute_total(o)).select("order_id", "total_delivery_mins", "sla_met")
 
 
 def _m4(o):
@@ -274,25 +323,14 @@ def _m5(o):
     return M.recompute_profitable(M.recompute_profit(o)).select("order_id", "gross_profit_inr", "is_profitable")
 
 
-def _m1_5(o):
-    return M.recompute_profitable(M.recompute_profit(M.recompute_sla(M.recompute_total(M.resample_components(o)))))
-
-
 def _m6(o):
-    return M.sample_exact_fraction(_m1_5(o)).select("order_id", "delivery_cost_inr", "gross_profit_inr",
-                                                    "is_profitable", "repriced")
-
-
-def _m8(o):
-    spark = o.sparkSession
+    o = M.recompute_profitable(M.recompute_profit(M.recompute_sla(M.recompute_total(o))))
+    return M.sample_exact_fraction(o).select("order_id", "delivery_cost_inr", "gross_profit_inr", "is_profitable", "repriced")
 
-    def stage(name, df):
-        import uuid
-        path = IO.scratch_path(spark, "update_script", uuid.uuid4().hex, name)
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
 
-    return M.update_script(o, stage=stage).select("order_id", "store_id", "order_status", "sla_met")
+def _updated(fn):
+    """A query on the tables as the update script leaves them."""
+    return lambda spark, sf: fn(updated_tables(spark, sf))
 
 
 QUERIES = {
@@ -313,33 +351,37 @@ QUERIES = {
     "agg_count_distinct": _c(agg_count_distinct),
     "agg_two_level": _c(agg_two_level),
     "status_counts": _c(status_counts),
-    "describe_numeric": lambda s, d: D.describe_numeric(_clean(s, d)["fact_orders"], "fact_orders"),
+    "describe_numeric": lambda s, d: D.profile_tables(raw_tables(s, d), D.describe_numeric),
     "window_rank": _c(window_rank),
     "dedup_keep_first": _r(dedup_keep_first),
     "table_row_counts": lambda s, d: IO.table_row_counts(_eight(_clean(s, d))),
-    "profile_nulls": lambda s, d: D.profile_tables(_eight(_clean(s, d)), D.profile_nulls),
+    "profile_nulls": lambda s, d: D.profile_tables(raw_tables(s, d), D.profile_nulls),
     "profile_duplicates": lambda s, d: D.profile_tables(raw_tables(s, d), D.profile_duplicates),
     "table_shape": lambda s, d: D.profile_tables(raw_tables(s, d), D.table_shape),
     "duplicate_key_count": lambda s, d: _dup_keys(raw_tables(s, d)),
     "order_calendar_features": _o(X.order_calendar_features),
     "order_value_build": _o(X.order_value_build),
-    "pick_activity_build": _c(lambda T: X.pick_activity_build(T["fact_orders"], T["dim_pickers"])),
+    "pick_activity_build": _c(lambda T: X.pick_activity_build(T["fact_picker_activity"], T["dim_pickers"])),
     "substitution_pairs": _c(lambda T: X.substitution_pairs(T["fact_substitutions"], T["dim_skus"])),
     "item_economics": _c(lambda T: X.item_economics(T["fact_order_items"], T["dim_skus"])),
-    "resample_components": _o(_m1),
     "recompute_total": _o(_m2),
     "recompute_sla": _o(_m3),
     "recompute_profit": _o(_m4),
     "recompute_profitable": _o(_m5),
     "sample_exact_fraction": _o(_m6),
-    "stratified_flag": _o(_m8),
+    "stratified_flag": _updated(lambda T: T["fact_orders"].select("order_id", "store_id", "order_status", "sla_met")),
+    "sla_share_updated": _updated(sla.sla_share),
+    "profitable_share_updated": _updated(sla.profitable_share),
+    "delivery_summary_updated": _updated(sla.delivery_summary),
+    "sla_pct_by_store_updated": _updated(sla.sla_pct_by_store),
     "cleaning_audit": lambda s, d: _clean(s, d)["cleaning_audit"],
     "rows_before_after": _rc(rows_before_after),
-    "sink_roundtrip": _sc(sink_roundtrip),
-    "insights_export": _sc(insights_export),
+    "sink_roundtrip": sink_roundtrip,
+    "csv_source": csv_source,
+    "insights_export": insights_export,
 }
 for _k, _t in CLEAN_KEYS.items():
-    QUERIES[_k] = (lambda t: (lambda s, d: _clean(s, d)[t]))(_t)
+    QUERIES[_k] = (lambda t: (lambda s, d: _clean(s, d)[t].drop("order_month")))(_t)
 
 DUP_KEYS = {
     "dim_stores": ["store_id"], "dim_skus": ["sku_id"], "dim_customers": ["email"], "dim_pickers": ["picker_id"],

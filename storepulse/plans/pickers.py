@@ -32,7 +32,14 @@ def _per_picker(T: dict[str, DataFrame]) -> DataFrame:
 
 
 def picker_productivity(T: dict[str, DataFrame], with_rank: bool = True) -> DataFrame:
-    p = (_per_picker(T)
+    """Per picker and store; with ``with_rank`` ranked by mean rate, best first."""
+    per = _per_picker(T)
+    if with_rank:
+        # ranked on identifiers and rates alone, among the rows that the joins below keep
+        per = (per.join(T["dim_pickers"].select("picker_id"), "picker_id", "left_semi")
+               .join(store_dim(T), "store_id", "left_semi"))
+        per = exact_rank(per, "_rate", "productivity_rank")
+    p = (per
          .join(T["dim_pickers"].select("picker_id", "picker_name", "skill_level", "shift"), "picker_id")
          .join(store_dim(T, "store_name"), "store_id"))
     out = p.select(
@@ -42,10 +49,8 @@ def picker_productivity(T: dict[str, DataFrame], with_rank: bool = True) -> Data
         exact_round("_items", 1).alias("avg_items_per_order"),
         "total_errors",
         exact_round(safe_div(F.col("total_errors") * 100, "total_picks"), 2).alias("error_rate_pct"),
-        "_rate")
-    if not with_rank:
-        return out.drop("_rate")
-    return exact_rank(out, "_rate", "productivity_rank").drop("_rate")
+        *(["productivity_rank"] if with_rank else []))
+    return out.orderBy("productivity_rank", "picker_id") if with_rank else out
 
 
 def picker_vs_store_avg(T: dict[str, DataFrame]) -> DataFrame:

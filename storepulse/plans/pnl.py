@@ -183,8 +183,8 @@ def store_scorecard(T: dict[str, DataFrame]) -> DataFrame:
 
 
 def scorecard_export(T: dict[str, DataFrame]) -> DataFrame:
-    """Scorecard variant whose SLA figure is each store's share of all SLA-met
-    Delivered orders network-wide (``network_sla_share_pct``)."""
+    """Scorecard variant whose SLA figure is the store's SLA-met Delivered orders as a
+    share of all Delivered orders network-wide (``network_sla_share_pct``)."""
     d = delivered(T["fact_orders"])
     net = d.agg(F.count(F.lit(1)).alias("_net"))          # one row
     m = d.groupBy("store_id").agg(

@@ -6,29 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import exact_mean, exact_round, safe_div
+from storepulse.operators.ranking import join_null_safe
 from storepulse.plans.common import store_dim
 
 # fixed values: category margin colour thresholds (percent)
 MARGIN_GREEN, MARGIN_RED = 25.0, 18.0
 
 
-def top_skus(T: dict[str, DataFrame], k: int = 20) -> DataFrame:
-    """Top-``k`` SKUs by item revenue, with RANK() by revenue.
+SKU_GROUP = ["sku_name", "category", "velocity_class"]
+
 
-    Items are aggregated per SKU before the SKU dimension join.  The top-k
-    is a TakeOrderedAndProject (per-partition top-k, then a k-row merge); the
-    rank is computed on those k rows only — exact, because every SKU with a
-    strictly larger revenue is itself inside the top k.  Ties at the cut are
-    broken by name, category and velocity class.
+def top_skus(T: dict[str, DataFrame], k: int = 20) -> DataFrame:
+    """Top-``k`` SKUs (by name, category and velocity class) by item revenue, with RANK().
+
+    Items are summed per SKU id before the SKU dimension join; ids that share a
+    name, category and class are one group, as in the reference.  The top-k is a
+    TakeOrderedAndProject (per-partition top-k, then a k-row merge).  Distinct
+    orders are counted for the items of the k winners alone.  The rank is
+    computed on those k rows only — exact, because every group with a strictly
+    larger revenue is itself inside the top k.  Ties at the cut are broken by
+    name, category and velocity class.
     """
+    skus = T["dim_skus"].select("sku_id", *SKU_GROUP)
+    pct = F.col("item_margin_pct").cast("decimal(18,4)")
     per = T["fact_order_items"].groupBy("sku_id").agg(
-        F.countDistinct("order_id").alias("orders_containing_sku"),
-        F.sum("quantity").cast("bigint").alias("total_qty_sold"),
-        F.sum("item_total_inr").alias("_rev"),
-        F.sum("item_margin_inr").alias("_margin"),
-        exact_mean("item_margin_pct", 4).alias("_pct"))
-    j = per.join(T["dim_skus"].select("sku_id", "sku_name", "category", "velocity_class"), "sku_id")
-    top = j.orderBy(F.col("_rev").desc(), "sku_name", "category", "velocity_class").limit(k)
+        F.sum("quantity").alias("_qty"), F.sum("item_total_inr").alias("_rev"), F.sum("item_margin_inr").alias("_margin"),
+        F.sum(pct).alias("_pct"), F.count(pct).alias("_n"))
+    groups = per.join(skus, "sku_id").groupBy(*SKU_GROUP).agg(*[F.sum(c).alias(c) for c in ("_qty", "_rev", "_margin", "_pct", "_n")])
+    best = groups.orderBy(F.col("_rev").desc(), *SKU_GROUP).limit(k)
+    winners = join_null_safe(skus, F.broadcast(best.select(*SKU_GROUP)), SKU_GROUP)      # k rows are broadcast
+    orders = (T["fact_order_items"].select("sku_id", "order_id").join(winners, "sku_id")
+              .groupBy(*SKU_GROUP).agg(F.countDistinct("order_id").alias("orders_containing_sku")))
+    top = (join_null_safe(orders, F.broadcast(best), SKU_GROUP)
+           .withColumn("total_qty_sold", F.col("_qty").cast("bigint"))
+           .withColumn("_pct", safe_div(F.col("_pct").cast("double"), "_n")))
     w = Window.orderBy(F.col("_rev").desc())
     return top.select(
         "sku_name", "category", "velocity_class", "orders_containing_sku", "total_qty_sold",

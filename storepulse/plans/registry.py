@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storepulse.plans import explore, pickers, pnl, products, reports, sla, substitutions
+from storepulse.plans import explore, operator_queries, pickers, pnl, products, reports, sla, substitutions
 from storepulse.plans.tableset import clean_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -98,15 +98,29 @@ def _slice_orders(T):
     return sla.sla_by_store(reports.apply_slicers(T, city="Asia", date_from="1996-01-01", date_to="1998-12-31"))
 
 
+def _slice_store(T):
+    """SLA of one store."""
+    return sla.sla_by_store(reports.apply_slicers(T, store="STR_003"))
+
+
+def _slice_skill(T):
+    """Productivity of the pickers of one skill level."""
+    return pickers.picker_productivity(reports.apply_slicers(T, skill="Expert"))
+
+
+def _slice_shift(T):
+    """Productivity of the pickers of one shift."""
+    return pickers.picker_productivity(reports.apply_slicers(T, shift="Morning"))
+
+
 QUERIES: dict[str, QueryFn] = {k: _on_clean(f) for k, f in ANALYTICS.items()}
 QUERIES["slice_orders"] = _on_clean(_slice_orders)
+QUERIES["slice_store"] = _on_clean(_slice_store)
+QUERIES["slice_skill"] = _on_clean(_slice_skill)
+QUERIES["slice_shift"] = _on_clean(_slice_shift)
 
 
 def queries() -> dict[str, QueryFn]:
     out = dict(QUERIES)
-    try:
-        from storepulse.plans import operator_queries
-        out.update(operator_queries.QUERIES)
-    except ImportError:
-        pass
+    out.update(operator_queries.QUERIES)
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import exact_mean, exact_round, rate_pct, safe_div
 from storepulse.plans.common import delivered, store_dim
-from storepulse.plans.pnl import store_pnl_summary, _store_metrics, rank_desc
+from storepulse.plans.pnl import store_pnl_summary, store_scorecard
 from storepulse.plans.pickers import picker_productivity
 from storepulse.plans.products import category_performance
 from storepulse.plans.substitutions import substitution_bands
@@ -26,25 +26,15 @@ COMPOSITE_GREEN, COMPOSITE_AMBER = 3.0, 6.0
 
 
 def _scorecard_with_aov(T: dict[str, DataFrame]) -> DataFrame:
-    m = _store_metrics(T).join(store_dim(T, "store_name", "city"), "store_id")
-    r = (m.withColumn("revenue_rank", rank_desc("_rev")).withColumn("sla_rank", rank_desc("_sla"))
-          .withColumn("profit_rank", rank_desc("_gp")))
-    return r.select(
-        "store_id", "store_name", "city", "total_orders",
-        exact_round(F.col("_rev").cast("double") / 100000.0, 1).alias("revenue_lac"),
-        exact_round("_mins", 2).alias("avg_delivery_mins"), exact_round("_sla", 1).alias("sla_pct"),
-        exact_round("_aov", 0).alias("avg_order_value"), exact_round("_gp", 2).alias("avg_profit_per_order"),
-        exact_round((F.col("revenue_rank") + F.col("sla_rank") + F.col("profit_rank")).cast("double") / 3.0, 1)
-        .alias("composite_rank_score"))
+    return store_scorecard(T).drop("revenue_rank", "sla_rank", "profit_rank")
 
 
 def executive_kpis(T: dict[str, DataFrame]) -> DataFrame:
-    """KPI tiles in long form: (kpi, value, status)."""
+    """KPI tiles in long form: (kpi, value, status).  A status judges the unrounded mean."""
     sc = _scorecard_with_aov(T).agg(
         exact_round(F.sum("revenue_lac"), 1).alias("total_revenue_lakh"),
         F.sum("total_orders").cast("double").alias("total_orders"),
-        exact_round(F.avg("sla_pct"), 2).alias("network_sla_pct"),
-        exact_round(F.avg("avg_delivery_mins"), 2).alias("avg_delivery_mins"),
+        F.avg("sla_pct").alias("_sla"), F.avg("avg_delivery_mins").alias("_mins"),
         exact_round(F.avg("avg_order_value"), 0).alias("avg_order_value"))
     pnl = store_pnl_summary(T).agg(
         F.sum(F.when(F.col("store_status") == "PROFITABLE", 1).otherwise(0)).cast("double")
@@ -55,10 +45,10 @@ def executive_kpis(T: dict[str, DataFrame]) -> DataFrame:
                  F.lit("info").alias("status")),
         F.struct(F.lit("total_orders").alias("kpi"), F.col("total_orders").alias("value"),
                  F.lit("info").alias("status")),
-        F.struct(F.lit("network_sla_pct").alias("kpi"), F.col("network_sla_pct").alias("value"),
-                 F.when(F.col("network_sla_pct") >= KPI_SLA_GREEN, "green").otherwise("red").alias("status")),
-        F.struct(F.lit("avg_delivery_mins").alias("kpi"), F.col("avg_delivery_mins").alias("value"),
-                 F.when(F.col("avg_delivery_mins") <= KPI_MINUTES_GREEN, "green").otherwise("amber")
+        F.struct(F.lit("network_sla_pct").alias("kpi"), exact_round("_sla", 2).alias("value"),
+                 F.when(F.col("_sla") >= KPI_SLA_GREEN, "green").otherwise("red").alias("status")),
+        F.struct(F.lit("avg_delivery_mins").alias("kpi"), exact_round("_mins", 2).alias("value"),
+                 F.when(F.col("_mins") <= KPI_MINUTES_GREEN, "green").otherwise("amber")
                  .alias("status")),
         F.struct(F.lit("avg_order_value").alias("kpi"), F.col("avg_order_value").alias("value"),
                  F.lit("info").alias("status")),
@@ -205,10 +195,11 @@ def apply_slicers(T: dict[str, DataFrame], city: str | None = None, store: str |
         df = T[t]
         if city is not None or store is not None:
             df = df.join(keep, "store_id", "left_semi")
-        if date_from is not None:
-            df = df.filter(F.col("order_date") >= F.lit(date_from).cast("date"))
-        if date_to is not None:
-            df = df.filter(F.col("order_date") <= F.lit(date_to).cast("date"))
+        for limit, beyond in ((date_from, "__ge__"), (date_to, "__le__")):
+            if limit is not None:
+                df = df.filter(getattr(F.col("order_date"), beyond)(F.lit(limit).cast("date")))
+                if "order_month" in df.columns:      # the stored facts' partition column: other months are not opened
+                    df = df.filter(getattr(F.col("order_month"), beyond)(F.lit(limit[:7])))
         out[t] = df
     pickers = T["dim_pickers"]
     if skill is not None:

@@ -31,8 +31,11 @@ def sku_stockout(T: dict[str, DataFrame], k: int = 20) -> DataFrame:
     per = T["fact_substitutions"].groupBy("original_sku_id").agg(
         F.count("substitution_id").alias("times_substituted"),
         count_true(~F.col("customer_accepted")).alias("_rej"))
+    # ids that share a name, category and class are one group, as in the reference
     j = (per.join(T["dim_skus"].select(F.col("sku_id").alias("original_sku_id"), "sku_name", "category",
                                        "velocity_class"), "original_sku_id")
+         .groupBy("sku_name", "category", "velocity_class")
+         .agg(F.sum("times_substituted").alias("times_substituted"), F.sum("_rej").alias("_rej"))
          .crossJoin(F.broadcast(n_del)))
     out = j.select(
         "sku_name", "category", "velocity_class", "times_substituted",

@@ -1,17 +1,18 @@
 """The table sets every named query runs on.
 
 Pipeline, as in the reference: derive raw tables → clean → (load) → query.
-The raw and cleaned sets are *materialized once* per input fingerprint as
-Parquet under ``spark.checkpoint.dir`` (a shared folder on a cluster):
+The raw, cleaned and updated sets are *materialized once* per input
+fingerprint as Parquet in the shared store (``session.store_dir``):
 
 * every report query then reads compact cleaned tables instead of
   re-deriving and re-cleaning the inputs (at 100 TB the cleaning job is the
   expensive part and must not run once per report);
 * lineage is cut at the written tables, so a lost executor only recomputes
   from the Parquet files, never from the start;
-* the write is all-or-nothing: each builder writes a private directory,
-  marks it ``_COMPLETE`` and publishes it with one rename; a half-written
-  set is never read and concurrent builders never clobber each other.
+* a builder writes a folder of its own and publishes it last, by a small
+  pointer file that names it; readers follow the pointer, so they never see
+  half a set, and nothing is renamed.  What a build stages is removed when it
+  is done.
 
 ``STOREPULSE_MATERIALIZE=0`` (or ``materialize=False``) keeps everything as
 one lazy plan — used to inspect end-to-end plans.
@@ -27,16 +28,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from storepulse.operators.cleaning import clean_all, clean_and_write
-from storepulse.session import checkpoint_dir
+from storepulse.operators.mutations import update_script
+from storepulse.session import store_dir
 from storepulse.sources.fixtures import TPCH_TABLES, raw_tables
 from storepulse.sources.schemas import AUDIT, TABLE_NAMES
+from storepulse.sources.tables import read_table, write_table
 
-LAYOUT_VERSION = "v1"
+LAYOUT_VERSION = "v2"
 _MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
-_CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "operators/ranking.py", "functions/exprs.py",
-         "plans/tableset.py"]
+_CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "operators/ranking.py", "operators/sampling.py",
+         "operators/mutations.py", "functions/exprs.py", "sources/tables.py", "plans/tableset.py"]
 
 
 def _code_version() -> str:
@@ -58,133 +61,122 @@ def _code_version() -> str:
     return h.hexdigest()[:12]
 
 
-def _input_stamp(spark: SparkSession | None, path: str) -> str:
-    """Total size and newest modification time under ``path`` (any Hadoop
-    file system: local, HDFS, object stores); os.stat without a JVM gateway."""
-    if spark is not None:
-        try:
-            fs, p = _fs(spark, path)
-            it = fs.listFiles(p, True)
-            size, mtime = 0, 0
-            while it.hasNext():
-                st = it.next()
-                size += st.getLen()
-                mtime = max(mtime, st.getModificationTime())
-            return f"{size}:{mtime}"
-        except Exception:  # noqa: BLE001
-            pass
-    try:
-        st = os.stat(path)
-        return f"{st.st_size}:{int(st.st_mtime)}"
-    except OSError:
-        return "missing"
-
-
-def _fingerprint(sf_dir: str, spark: SparkSession | None = None) -> str:
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, _code_version()]
-    for n in TPCH_TABLES:
-        parts.append(f"{n}:{_input_stamp(spark, f'{sf_dir}/{n}.parquet')}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
-
-
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        fs, p = _fs(spark, path)
-        return bool(fs.exists(p))
-    except Exception:  # noqa: BLE001  (no JVM gateway: local paths only)
-        return os.path.exists(path)
+def _input_stamp(spark: SparkSession, path: str) -> str:
+    """Size, number of files and modification time of an input, on any Hadoop
+    file system: two calls, however many files it has."""
+    fs, p = _fs(spark, path)
+    held = fs.getContentSummary(p)
+    return f"{held.getLength()}:{held.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}"
 
 
-def _touch(spark: SparkSession, path: str) -> None:
-    try:
-        fs, p = _fs(spark, path)
-        fs.create(p, True).close()
-    except Exception:  # noqa: BLE001
-        with open(path, "w"):
-            pass
+_FINGERPRINTS: dict[tuple[str, str], str] = {}
+
+
+def _fingerprint(sf_dir: str, spark: SparkSession) -> str:
+    """Stamp of inputs and code, taken once per session and path."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FINGERPRINTS:
+        parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, _code_version()]
+        parts += [f"{n}:{_input_stamp(spark, f'{sf_dir}/{n}.parquet')}" for n in TPCH_TABLES]
+        _FINGERPRINTS[key] = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+    return _FINGERPRINTS[key]
 
 
 def _namespace() -> str:
     return os.environ.get("STOREPULSE_NAMESPACE", "shared")
 
 
-def _rename(spark: SparkSession, src: str, dst: str) -> bool:
+def _published(spark: SparkSession, pointer: str) -> str | None:
+    """The folder that the pointer file names, if there is one."""
+    fs, p = _fs(spark, pointer)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
     try:
-        fs, p = _fs(spark, src)
-        _, q = _fs(spark, dst)
-        return bool(fs.rename(p, q))
-    except Exception:  # noqa: BLE001
-        try:
-            os.rename(src, dst)
-            return True
-        except OSError:
-            return False
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip() or None
+    finally:
+        stream.close()
 
 
 def _publish(spark: SparkSession, final: str, build) -> str:
-    """Build a table set privately and publish it with one directory rename.
-
-    Concurrent builders never overwrite each other and readers never see a
-    partial set (``_COMPLETE`` is written last).  Returns the readable path.
-    """
-    if _exists(spark, f"{final}/_COMPLETE"):
-        return final
-    base = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
+    """Build a set in a folder of its own, then point ``{final}.current`` at it.
+
+    Of concurrent builders the last one's pointer stays; every folder that a pointer has
+    named is complete.  Returns the folder to read."""
+    pointer = f"{final}.current"
+    there = _published(spark, pointer)
+    if there:
+        return there
+    base = f"{final}-{uuid.uuid4().hex[:12]}"
     build(base)
-    _touch(spark, f"{base}/_COMPLETE")
-    if not _rename(spark, base, final) and not _exists(spark, f"{final}/_COMPLETE"):
-        return base                          # could not publish: use the private copy
-    return final
+    fs, stage = _fs(spark, f"{base}/stage")
+    fs.delete(stage, True)
+    stream = fs.create(_fs(spark, pointer)[1], True)
+    stream.write(bytearray(base.encode()))
+    stream.close()
+    return base
 
 
 def _root(spark: SparkSession, sf_dir: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/storepulse/{_namespace()}/{_fingerprint(sf_dir, spark)}"
+    return f"{store_dir(spark)}/storepulse/{_namespace()}/{_fingerprint(sf_dir, spark)}"
+
+
+def published(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """The folder of a derived result of these inputs; ``build(folder)`` writes it the first time."""
+    return _publish(spark, f"{_root(spark, sf_dir)}/{name}", build)
+
+
+def _stage_in(spark: SparkSession, base: str):
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/stage/{name}")
+    return stage
 
 
 def _materialize_clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Derive → clean → write the cleaned set (no raw copy is written)."""
-    names = TABLE_NAMES
-
     def build(base: str) -> None:
-        def stage(name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
-            return spark.read.parquet(f"{base}/stage/{name}")
-
         def write_and_read(name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
-            return spark.read.parquet(f"{base}/{name}")
+            write_table(df, f"{base}/{name}", name)
+            return read_table(spark, f"{base}/{name}", name, "parquet", clean=True)
 
+        stage = _stage_in(spark, base)
         raw = raw_tables(spark, sf_dir, stage)      # lazy; orders ⋈ customer staged once
         _, rows = clean_and_write(raw, write_and_read, stage)
         # the audit is a few dozen rows of counts observed during the writes
         spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("overwrite").parquet(f"{base}/cleaning_audit")
 
-    path = _publish(spark, f"{_root(spark, sf_dir)}/clean", build)
-    return {t: spark.read.parquet(f"{path}/{t}") for t in names + ["cleaning_audit"]}
+    path = published(spark, sf_dir, "clean", build)
+    return {t: read_table(spark, f"{path}/{t}", t, "parquet", clean=True, month=True) for t in TABLE_NAMES + ["cleaning_audit"]}
 
 
 def _materialize_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The raw (pre-cleaning) set, written only when a raw-table query needs it."""
-    names = TABLE_NAMES
-
     def build(base: str) -> None:
-        def stage(name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{base}/stage/{name}")
-            return spark.read.parquet(f"{base}/stage/{name}")
-
-        raw = raw_tables(spark, sf_dir, stage)
+        raw = raw_tables(spark, sf_dir, _stage_in(spark, base))
         # independent jobs, submitted concurrently from driver threads
         with ThreadPoolExecutor(max_workers=4) as pool:
-            list(pool.map(lambda t: raw[t].write.mode("overwrite").parquet(f"{base}/{t}"), names))
+            list(pool.map(lambda t: raw[t].write.mode("overwrite").parquet(f"{base}/{t}"), TABLE_NAMES))
+
+    path = published(spark, sf_dir, "raw", build)
+    return {t: read_table(spark, f"{path}/{t}", t, "parquet") for t in TABLE_NAMES}
+
+
+def _materialize_updated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The cleaned set with the orders as the update script leaves them."""
+    clean = clean_tables(spark, sf_dir)
 
-    path = _publish(spark, f"{_root(spark, sf_dir)}/raw", build)
-    return {t: spark.read.parquet(f"{path}/{t}") for t in names}
+    def build(base: str) -> None:
+        orders = clean["fact_orders"].drop("order_month")
+        write_table(update_script(orders, stage=_stage_in(spark, base)), f"{base}/fact_orders", "fact_orders")
+
+    path = published(spark, sf_dir, "updated", build)
+    return {**clean, "fact_orders": read_table(spark, f"{path}/fact_orders", "fact_orders", "parquet", clean=True, month=True)}
 
 
 def _use_materialized(materialize: bool | None) -> bool:
@@ -194,11 +186,7 @@ def _use_materialized(materialize: bool | None) -> bool:
 
 
 def _memo_key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str]:
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001  (Spark Connect)
-        app = str(id(spark))
-    return app, f"{_namespace()}/{_fingerprint(sf_dir, spark)}/{kind}"
+    return spark.sparkContext.applicationId, f"{_namespace()}/{_fingerprint(sf_dir, spark)}/{kind}"
 
 
 def clean_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> dict[str, DataFrame]:
@@ -223,6 +211,14 @@ def raw_table_set(spark: SparkSession, sf_dir: str, materialize: bool | None = N
     return dict(_MEMO[key])
 
 
+def updated_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The cleaned tables after the update script (materialized on first use)."""
+    key = _memo_key(spark, sf_dir, "updated")
+    if key not in _MEMO:
+        _MEMO[key] = _materialize_updated(spark, sf_dir)
+    return dict(_MEMO[key])
+
+
 def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None):
     """(raw, clean) table dicts; clean also holds ``cleaning_audit``."""
     return raw_table_set(spark, sf_dir, materialize), clean_tables(spark, sf_dir, materialize)

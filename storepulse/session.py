@@ -1,15 +1,12 @@
 """SparkSession construction for tests, bench and local runs.
 
 On a cluster the session already exists; ``get_spark`` only fills in
-settings that are unset.  ``checkpoint_dir`` reads ``spark.checkpoint.dir``
-from the session and sets a scratch directory only when none is configured
-(local tests); on a cluster that setting must name a shared folder.
+settings that are unset.  ``store_dir`` names the shared folder of the table sets.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,15 +29,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; sets a scratch one only when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="storepulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001  (no SparkContext exposed, e.g. Spark Connect)
-        pass
-    return d
+def store_dir(spark: SparkSession) -> str:
+    """The folder that holds the table sets; driver and executors must share it.
+
+    ``STOREPULSE_STORE`` if set, else the session's ``spark.checkpoint.dir``, else a
+    folder in the session's warehouse.  No setting is changed.
+    """
+    folder = os.environ.get("STOREPULSE_STORE") or spark.conf.get("spark.checkpoint.dir", None) \
+        or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")

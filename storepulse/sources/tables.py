@@ -4,8 +4,6 @@
   Parquet with the table's StructType.
 * ``write_table`` writes Parquet (or CSV); fact tables are partitioned by
   order month so date filters prune files.
-* Paths for intermediate results come from ``spark.checkpoint.dir`` (a
-  shared folder on a cluster), never a machine-local temp folder.
 """
 
 from __future__ import annotations
@@ -13,31 +11,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.session import checkpoint_dir
-from storepulse.sources.schemas import RAW_SCHEMAS, clean_schema
+from storepulse.sources.schemas import AUDIT, RAW_SCHEMAS, clean_schema
+
+
+def month_of(date_col: str = "order_date"):
+    return F.date_format(date_col, "yyyy-MM")
+
+
+def is_monthly(name: str, df: DataFrame) -> bool:
+    """Fact tables are stored by order month."""
+    return name.startswith("fact_") and "order_date" in df.columns
+
+
+def by_month(df: DataFrame) -> DataFrame:
+    """``df`` with ``order_month``, dealt out by it for a partitioned write.
+
+    The rebalance hint lets Spark split a large month over several tasks and put small
+    ones together, by size, at run time."""
+    return df.withColumn("order_month", month_of()).hint("rebalance", "order_month")
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv", clean: bool = False,
-               date_format: str = "yyyy-MM-dd", timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
-    schema = clean_schema(name) if clean else RAW_SCHEMAS[name]
+               date_format: str = "yyyy-MM-dd", timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
+               month: bool = False) -> DataFrame:
+    """A table with its own schema.  ``month`` keeps the partition column of a stored fact table."""
+    schema = AUDIT if name == "cleaning_audit" else clean_schema(name) if clean else RAW_SCHEMAS[name]
     if fmt == "csv":
         return (spark.read.schema(schema).option("header", True).option("dateFormat", date_format)
-                .option("timestampFormat", timestamp_format).option("mode", "FAILFAST").csv(path))
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+                .option("timestampFormat", timestamp_format).option("timestampNTZFormat", timestamp_format)
+                .option("mode", "FAILFAST").csv(path))
+    names = [f.name for f in schema.fields]
+    if month and name.startswith("fact_") and "order_date" in names:
+        return spark.read.schema(schema.add("order_month", "string")).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*names)     # without a partition column
 
 
 def write_table(df: DataFrame, path: str, name: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    w = df
-    if name.startswith("fact_") and "order_date" in df.columns and fmt == "parquet":
-        # range-partition by month first: each task then writes one or two
-        # month directories (large files) instead of one small file per month
-        w = df.withColumn("order_month", F.date_format("order_date", "yyyy-MM")).repartitionByRange("order_month")
-        w.write.mode(mode).partitionBy("order_month").parquet(path)
-    elif fmt == "parquet":
-        w.write.mode(mode).parquet(path)
+    """Facts as Parquet by order month, other tables as they are; CSV with a header."""
+    if fmt == "csv":
+        # values keep their outer blanks; cleaning trims them
+        (df.drop("order_month").write.mode(mode).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    elif is_monthly(name, df):
+        # a table that already has its month column has been dealt out by it
+        out = df if "order_month" in df.columns else by_month(df)
+        out.write.mode(mode).partitionBy("order_month").parquet(path)
     else:
-        w.write.mode(mode).option("header", True).csv(path)
+        df.write.mode(mode).parquet(path)
 
 
 def register_views(tables: dict[str, DataFrame], prefix: str = "") -> None:
@@ -46,10 +66,6 @@ def register_views(tables: dict[str, DataFrame], prefix: str = "") -> None:
         df.createOrReplaceTempView(prefix + name)
 
 
-def scratch_path(spark: SparkSession, *parts: str) -> str:
-    return "/".join([checkpoint_dir(spark).rstrip("/"), *parts])
-
-
 def export_results(results: dict[str, DataFrame], out_dir: str) -> None:
     """IO6: write each result as a headed CSV folder.
 
