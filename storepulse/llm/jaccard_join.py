@@ -16,9 +16,18 @@ linked pair is missed.
 
 Candidates are verified exactly on their token sets.  Equal sets count once, under their
 smallest identifier.  Of the documents with one signature each is first compared with the
-smallest; links found so give components, and only those pairs of documents that share a
-signature and are still in different components are compared besides.  Pairs already
-connected need no test, so groups of copies cost little more than their size.
+smallest (in two steps, within a task and then across tasks, so that a signature that very
+many share is small before the shuffle); the links found give components.  Only documents
+that share a signature and are still in different components are looked at further:
+
+* where at most ``COMMON`` documents share it, they are compared with each other;
+* otherwise its cost is too high, as above: these documents index its pair of segments
+  together with the one-deletion neighbourhood, and again up to ``COMMON`` are compared;
+* where more agree even on that, they are near copies of one text.  They are compared with
+  the one among them that shares most (the hub).  Two of them differ by what their
+  differences from the hub do not have in common, so a link of a document that the hub does
+  not reach needs about half of the other's difference; each document is indexed by the
+  rarest tokens of its difference that must then hold a common one (a prefix filter).
 
 A null or empty text has no tokens and is linked with nothing.  Rows that repeat an
 identifier are one node.  Rows with a null identifier have a null component.  Only the
@@ -31,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +50,8 @@ from storepulse.llm.words import words_of
 
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.4
+#: Documents that may share a signature before its segments are indexed in pairs.
+COMMON = 8
 #: Signatures that a task sorts at a time.
 SORTED_AT_ONCE = 1 << 21
 
@@ -103,8 +115,12 @@ class Scheme:
         return (np.searchsorted(self.low, least, side="right") - 1, np.searchsorted(self.low, size, side="right") - 1)
 
 
-def signatures(tokens: np.ndarray, first: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of all segments in all bands of each text."""
+def signatures(tokens: np.ndarray, first: np.ndarray, scheme: Scheme,
+               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, text) of all segments in all bands of each text.
+
+    With ``common``, a sorted list of signatures that too many share, only those of the pairs
+    of segments that hold one of them."""
     size = np.diff(first)
     lowest, highest = scheme.bands(np.maximum(size, 1))
     out, of = [], []
@@ -128,9 +144,14 @@ def signatures(tokens: np.ndarray, first: np.ndarray, scheme: Scheme) -> tuple[n
         number = np.arange(len(held)) - np.repeat(offset, m)
         salt = mix64(np.repeat(band[texts], m).astype(np.uint64) << np.uint64(40) | number.astype(np.uint64) << _ONE)
         owner = np.repeat(texts, m)
-        cheap = held > 1
-        out.append(mix64(total[cheap] + salt[cheap]))
-        of.append(owner[cheap])
+        code = mix64(total + salt)
+        if common is None:
+            cheap = held > 1
+            out.append(code[cheap])
+            of.append(owner[cheap])
+        else:
+            at_most = np.minimum(np.searchsorted(common, code), len(common) - 1)
+            cheap = common[at_most] != code
         # twos with a costly segment; every text has an even number of segments
         costly = np.flatnonzero(~cheap[0::2] | ~cheap[1::2])
         if len(costly):
@@ -172,9 +193,11 @@ def _indexed(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
     return map_batches(rows, run, f"id {kind}, size long, sum1 long, sum2 long, signatures array<long>")
 
 
-def _stars(index: DataFrame) -> DataFrame:
-    """(signature, lead, id): within what one task sorts at a time, the smallest identifier of a
-    signature leads; ``id`` is the lead itself or another that is compared with it."""
+def _members(index: DataFrame) -> DataFrame:
+    """(signature, lead, id): documents that share a signature, as a tree over the smallest of them.
+
+    Each task links the ones that it sorts at a time to their smallest; those are linked to the
+    smallest of all after the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, ids, held = [], [], 0
 
@@ -202,17 +225,38 @@ def _stars(index: DataFrame) -> DataFrame:
         if held:
             yield sorted_out()
 
-    return map_batches(index.select("id", "signatures"), run, "signature long, lead long, id long")
+    rows = map_batches(index.select("id", "signatures"), run, "signature long, lead long, id long")
+    least = F.min("lead").over(Window.partitionBy("signature").orderBy("lead").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    linked = rows.withColumn("least", least)
+    return (linked.select("signature", F.when(F.col("lead") == F.col("id"), F.col("least")).otherwise(F.col("lead")).alias("lead"), "id")
+            .where("lead <> id").distinct())
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """Those of the pairs (lead, id) whose sets are similar enough, as links (a, b)."""
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _token_sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(id, tokens) of the named documents; their texts are compressed before the shuffle."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, 4 << 20):
-            found, first = token_sets(*utf8_buffer(batch.column("text")), width)
-            sets = [found[a:b].tobytes() for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "tokens"])
+            packed = [squeeze(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for packed in batches:
+            for at in range(0, packed.num_rows, 256):
+                some = packed.slice(at, 256)
+                texts = pa.array([unpack(p) for p in some.column("packed").to_pylist()], pa.large_binary())
+                found, first = token_sets(*utf8_buffer(texts), width)
+                sets = [found[a:b].tobytes() for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.binary())], names=["id", "tokens"])
+
+    packed = map_batches(rows, pack, "id long, packed binary")
+    # both sides grow with the data, so the join is a shuffled one at every size
+    return map_batches(packed.join(nodes.hint("merge"), "id", "left_semi"), tokens, "id long, tokens binary")
 
+
+def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Those of the pairs (lead, id) whose sets are similar enough, as links (a, b)."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -227,13 +271,112 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, part: int, whole: i
                 keep.append(whole * common >= part * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("id")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = pairs.select("id").union(pairs.select("lead")).distinct()
-    sets = written(map_batches(rows.join(nodes, "id", "left_semi"), tokens, "id long, tokens binary"), "token_sets")
     with_own = pairs.join(sets.withColumnRenamed("tokens", "x"), "id")
     both = with_own.join(sets.select(F.col("id").alias("lead"), F.col("tokens").alias("y")), "lead")
     return map_batches(both.select("lead", "id", "x", "y"), compare, "a long, b long")
 
 
+def _in_pairs(common: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """(signature, id, component) of the pairs of segments that hold one of the document's common signatures."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (tokens, codes) in enumerate(zip(batch.column("tokens").to_pylist(), batch.column("codes").to_pylist())):
+                tokens = np.frombuffer(tokens, np.uint64)
+                code, _ = signatures(tokens, np.array([0, len(tokens)]), scheme, np.sort(np.array(codes, np.int64).view(np.uint64)))
+                of = pa.array(np.full(len(code), i))
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64), pa.int64()), batch.column("id").take(of), batch.column("component").take(of)],
+                                                 names=["signature", "id", "component"])
+
+    by_document = common.groupBy("id", "component").agg(F.collect_list("signature").alias("codes"))
+    return map_batches(by_document.join(sets, "id").select("id", "component", "codes", "tokens"), run,
+                       "signature long, id long, component long")
+
+
+def _pairs_across(rows: DataFrame) -> DataFrame:
+    """(lead, id) of rows that share a signature in different components."""
+    x, y = rows.alias("x"), rows.alias("y")
+    return (x.join(y, "signature").where("x.id < y.id and x.component <> y.component")
+            .select(F.col("x.id").alias("lead"), F.col("y.id").alias("id")).distinct())
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Signatures shared by documents of several components, and by how many documents."""
+    return (rows.groupBy("signature").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"))
+            .where("c1 < c2").select("signature", "n"))
+
+
+def _from_hubs(rows: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """(hub, id, size, hub_size, linked, tokens): how each document of a common signature differs from its hub."""
+    degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
+    hubs = rows.join(degree, "id").groupBy("signature").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("best"))
+    pairs = (rows.join(hubs.select("signature", (-F.col("best.minus")).alias("hub")), "signature")
+             .where("hub <> id").select("hub", "id").distinct())
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, hub_size, linked, edits = [], [], [], []
+            for x, h in zip(batch.column("x").to_pylist(), batch.column("h").to_pylist()):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                edit = np.setxor1d(x, h, assume_unique=True)
+                size.append(len(x))
+                hub_size.append(len(h))
+                common = (len(x) + len(h) - len(edit)) // 2
+                linked.append(whole * common >= part * (common + len(edit)))
+                edits.append(edit.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("hub"), batch.column("id"), pa.array(size, pa.int64()), pa.array(hub_size, pa.int64()),
+                 pa.array(linked, pa.bool_()), pa.array(edits, pa.list_(pa.int64()))],
+                names=["hub", "id", "size", "hub_size", "linked", "tokens"])
+
+    both = (pairs.join(sets.withColumnRenamed("tokens", "x"), "id")
+            .join(sets.select(F.col("id").alias("hub"), F.col("tokens").alias("h")), "hub"))
+    return map_batches(both.select("hub", "id", "x", "h"), differ,
+                       "hub long, id long, size long, hub_size long, linked boolean, tokens array<long>")
+
+
+def _pairs_beside_hubs(edits: DataFrame, part: int, whole: int) -> DataFrame:
+    """(lead, id) of documents with the same hub that can be linked though the hub does not reach one of them.
+
+    Sets of sizes a and b are linked when they differ in at most (whole - part) / (whole + part) of
+    a + b.  With e the size of a document's difference from the hub, and another that the hub does
+    not reach, the two differences must have at least ``need`` tokens in common."""
+    least, most = F.lit(whole - part), F.lit(whole + part)
+    e = F.size("tokens")
+    need = F.ceil((e + 1 - F.ceil(e * least / most)) / 2)
+    token = edits.select("hub", "id", "size", "linked", e.alias("e"), need.alias("need"), F.explode("tokens").alias("token"))
+    often = token.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # a token that one document alone holds joins nothing, but takes its place in the order
+    held = token.join(often, ["hub", "token"], "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    in_order = Window.partitionBy("hub", "id").orderBy("held", "token")
+    held = held.withColumn("at", F.row_number().over(in_order)).where("held > 1")
+    x = held.where("at <= e - need + 1").alias("x")
+    s = held.where("not linked").alias("s")
+    # what the two can still have in common, from this token on, must be enough for their sizes
+    enough = ((F.col("x.e") + F.col("s.e") - 2 * (F.col("x.e") - F.col("x.at") + 1)) * most
+              <= (F.col("x.size") + F.col("s.size")) * least)
+    same = (F.col("x.hub") == F.col("s.hub")) & (F.col("x.token") == F.col("s.token")) & (F.col("x.id") != F.col("s.id"))
+    return (x.join(s, same & enough)
+            .select(F.least("x.id", "s.id").alias("lead"), F.greatest("x.id", "s.id").alias("id")).distinct())
+
+
+def _links_across(members: DataFrame, found: DataFrame, checked: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links between documents that share a signature, and where it is common the one of a pair of
+    segments, but are in different components; ``checked`` pairs are left out."""
+    part, whole = scheme.part, scheme.whole
+    both = members.select("signature", "id").union(members.select("signature", F.col("lead").alias("id"))).distinct()
+    labelled = both.join(found.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"))
+    rows = written(labelled.join(_open(labelled), "signature"), "open_signatures")
+    paired = written(_in_pairs(rows.where(F.col("n") > COMMON), sets, scheme).distinct(), "paired_segments")
+    paired = written(paired.join(_open(paired), "signature"), "open_pairs")
+    edits = written(_from_hubs(paired.where(F.col("n") > COMMON), sets, part, whole), "differences")
+    rest = (_pairs_across(rows.where(F.col("n") <= COMMON))
+            .union(_pairs_across(paired.where(F.col("n") <= COMMON)))
+            .union(_pairs_beside_hubs(edits, part, whole)).distinct()
+            .join(checked, ["lead", "id"], "left_anti"))
+    links = _verified(written(rest, "rest"), sets, part, whole)
+    return links.union(edits.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                        part: int = 90, whole: int = 100) -> DataFrame:
     """Identifier, ``n_shingles`` and ``component_id`` (smallest identifier reachable by links) of each row.
@@ -247,30 +390,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = lean.where("size > 0").groupBy("size", "sum1", "sum2").agg(F.min("id").alias("first"))
     classes = written(classes.where("first is not null"), "classes")
 
-    single = index.where("size > 0").join(classes.select(F.col("first").alias("id")), "id", "left_semi")
-    stars = written(_stars(single), "stars")
-    local = stars.where("lead <> id").select("lead", "id")
-    heads = stars.where("lead = id").select("signature", "id")
-    of_signature = Window.partitionBy("signature").orderBy("id")
-    across = (heads.withColumn("lead", F.first("id").over(of_signature)).where("lead <> id").select("lead", "id"))
-    pairs = written(local.union(across).distinct(), "pairs")
-    links = written(_verified(pairs, rows, width, part, whole), "links_of_stars")
+    single = index.where("size > 0").join(classes.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi")
+    members = written(_members(single), "members")
+    pairs = written(members.select("lead", "id").distinct(), "pairs")
+    nodes = pairs.select("id").union(pairs.select("lead")).distinct()
+    sets = written(_token_sets(rows, nodes, width), "token_sets")
+    links = written(_verified(pairs, sets, part, whole), "links")
     found = connected_components(links)
-
-    # documents that share a signature and are in different components
-    active = pairs.select("id").union(pairs.select(F.col("lead").alias("id"))).distinct()
-    labelled = (single.join(active, "id", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left")
-                .select("id", F.coalesce("component", "id").alias("component"), F.explode("signatures").alias("signature")))
-    shared = labelled.groupBy("signature").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    open_rows = written(labelled.join(shared.select("signature"), "signature"), "open_signatures")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = (x.join(y, "signature").where("x.id < y.id and x.component <> y.component")
-            .select(F.col("x.id").alias("lead"), F.col("y.id").alias("id")).distinct()
-            .join(pairs, ["lead", "id"], "left_anti"))
-    rest = written(rest, "open_pairs")
-    more = _verified(rest, rows, width, part, whole)
-    both = links.union(more)
-    found = connected_components(both)
+    more = written(_links_across(members, found, pairs, sets, scheme), "more_links")
+    found = connected_components(links.union(more)) if more.head(1) else found
     named = (classes.join(found.withColumnRenamed("node", "first"), "first", "left")
              .select("size", "sum1", "sum2", F.coalesce("component", "first").alias("component")))
     return (lean.join(named, ["size", "sum1", "sum2"], "left")

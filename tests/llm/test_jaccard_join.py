@@ -50,6 +50,22 @@ def test_equals_brute_force(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == brute(rows)
 
 
+def test_common_signatures(spark, monkeypatch):
+    # many variants of one text: most signatures are shared by more than COMMON of them
+    monkeypatch.setattr("storepulse.llm.jaccard_join.COMMON", 2)
+    rng = random.Random(7)
+    rows = []
+    for base in range(2):
+        words = [f"w{rng.random()}" for _ in range(90)]
+        for k in range(50):
+            copy = list(words)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randint(0, 3)}"
+            rows.append((1000 * base + k, " ".join(copy)))
+    found = jaccard_components(documents(spark, rows))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == brute(rows)
+
+
 def test_links_only_through_a_hub(spark):
     rng = random.Random(5)
     words = [f"w{rng.random()}" for _ in range(120)]
