@@ -267,19 +267,24 @@ def written_out(spans: list[Span]) -> str:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Weights:
     """Weights from the sample.  What reaches the driver is the sample's nodes, without their texts."""
     text = text_or_empty(text_col)
-    sample = (df.where(text.rlike("[0-9@]")).select(F.col(id_col).alias("id"), text.alias("text"))
-              .orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("training")), "id", F.xxhash64("text")).limit(TRAINING_ROWS))
+    rows = df.where(text.rlike("[0-9@]")).select(F.xxhash64(F.col(id_col).cast("string"), F.lit("training")).alias("at"),
+                                                 F.xxhash64(text).alias("mark"), text.alias("text"))
+    # hashes are chosen first, at most TRAINING_ROWS of them, and then their texts
+    chosen = rows.select("at", "mark").distinct().orderBy("at", "mark").limit(TRAINING_ROWS)
+    sample = rows.join(F.broadcast(chosen), ["at", "mark"]).select("at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1 << 20):
-            texts = batch.column("text").to_pylist()
-            g = graph(texts, [base_spans(t) for t in texts])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes()], pa.binary()) for x in (g.features, g.label, g.chain, g.skip)],
-                names=["features", "label", "chain", "skip"])
+        for batch in batches:
+            for at, text in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist()):
+                g = graph([text], [base_spans(text)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (g.features, g.label, g.chain, g.skip))],
+                    names=["at", "features", "label", "chain", "skip"])
 
     parts, before = [], 0
-    for r in map_batches(sample, run, "features binary, label binary, chain binary, skip binary").collect():
+    found = map_batches(sample, run, "at long, features binary, label binary, chain binary, skip binary").collect()
+    # in a fixed order, so that the weights do not depend on how the rows lie
+    for r in sorted(found, key=lambda r: (r["at"], bytes(r["features"]))):
         x, y = np.frombuffer(r["features"]).reshape(-1, FEATURES), np.frombuffer(r["label"], np.int64)
         parts.append((x, y, *(np.frombuffer(r[k], np.int64).reshape(-1, 2) + before for k in ("chain", "skip"))))
         before += len(y)
