@@ -20,8 +20,8 @@ def labelled(n=400, seed=1):
         words = sentence(rng, rng.randint(60, 250)).split()
         bad = i % 4 == 0
         if bad:
-            at = rng.randrange(len(words))
-            words[at:at + 40] = [w + rng.choice(["&&&", "%%%"]) for w in words[at:at + 40]] or ["x$$$"] * 20
+            at = rng.randrange(len(words) - 40)  # a whole passage, wherever it lies
+            words[at:at + 40] = [w + rng.choice(["&&&", "%%%"]) for w in words[at:at + 40]]
         rows.append((i, " ".join(words)))
         labels.append((i, 0 if bad else 1, "clash"))
     return rows, labels
