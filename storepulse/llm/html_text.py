@@ -178,15 +178,17 @@ def host_of(url_col: str) -> Column:
 
 
 CONTENT, STYLE, PAGE = 0, 1, 2
+KINDS = 3
 
 
 def page_features(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """For each page its host, a digest of its blocks, and its distinct (path, kind, feature)."""
+    """For each page its host, a digest of its blocks, its paths, and its distinct features, each with a
+    code that holds the place of its path and its kind."""
     rows = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            bodies, features = [], []
+            bodies, paths, codes, features = [], [], [], []
             for page in batch.column("text").to_pylist():
                 found, styles = blocks(page)
                 seen = {(path, PAGE, 0) for path, _ in found} | {(path, PAGE, 0) for path, _ in styles}
@@ -197,12 +199,16 @@ def page_features(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                         seen.update((path, CONTENT, _code(w)) for w in words)
                 seen.update((path, STYLE, _code(children)) for path, children in styles if children)
                 bodies.append(_code("\n".join(f"{path}\t{text}" for path, text in found)))
-                features.append([{"path": p, "kind": k, "feature": f} for p, k, f in seen])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(bodies, pa.int64()),
-                                              pa.array(features, kind)], names=["host", "body", "features"])
+                place = {path: i for i, path in enumerate({path for path, _, _ in seen})}
+                paths.append(list(place))
+                codes.append([place[path] * KINDS + kind for path, kind, _ in seen])
+                features.append([feature for _, _, feature in seen])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(bodies, pa.int64()), pa.array(paths, pa.list_(pa.string())),
+                 pa.array(codes, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int64()))],
+                names=["host", "body", "paths", "codes", "features"])
 
-    return map_batches(rows, run, "host string, body long, features array<struct<path string, kind int, feature long>>")
+    return map_batches(rows, run, "host string, body long, paths array<string>, codes array<int>, features array<long>")
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -224,7 +230,9 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, pages, importance) of every node of every host's tree."""
     features = page_features(pages, url_col, html_col).dropDuplicates(["host", "body"])
-    counts = (features.select("host", F.explode("features").alias("f")).select("host", "f.*")
+    each = features.select("host", "paths", F.explode(F.arrays_zip("codes", "features")).alias("f"))
+    counts = (each.select("host", F.element_at("paths", F.floor(F.col("f.codes") / KINDS).cast("int") + 1).alias("path"),
+                          (F.col("f.codes") % KINDS).alias("kind"), F.col("f.features").alias("feature"))
               .groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("pages")))
     counts = written(counts, "style_tree")
     own = _importance(counts, ["host", "path"])
