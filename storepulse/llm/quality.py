@@ -180,8 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .where(~held_out("id")).groupBy("id").agg(F.min("label").alias("label"))
              .orderBy(order, "id").limit(TRAINING_ROWS))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    # at most TRAINING_ROWS rows of an identifier and a label
-    sample = rows.join(F.broadcast(known), "id")
+    # at most TRAINING_ROWS rows of an identifier and a label; of rows that share one, a single text
+    def one_each(ids: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    sample = one_each(known.select("id")).join(F.broadcast(known), "id")
     sizes = sample.select("id", "label", F.octet_length("text").alias("bytes"), order.alias("at")).collect()
     sizes.sort(key=lambda r: (r["at"], r["id"], r["bytes"]))
     chosen, filled = {}, 0
@@ -202,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = rows.schema["id"].dataType.simpleString()
     picked = docs.sparkSession.createDataFrame([(k,) for k in chosen], f"id {kind}")
-    bags = map_batches(rows.join(F.broadcast(picked), "id"), measured, f"id {kind}, bag binary").collect()
+    bags = map_batches(one_each(picked), measured, f"id {kind}, bag binary").collect()
     bags.sort(key=lambda r: (r["id"], r["bag"]))
     x = [np.frombuffer(r["bag"], np.float32).reshape(-1, MEASURES) for r in bags]
     first = np.concatenate([[0], np.cumsum([len(b) for b in x])])
