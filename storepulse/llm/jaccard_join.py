@@ -53,7 +53,7 @@ BAND = 1.4
 #: Documents that may share a signature before its segments are indexed in pairs.
 COMMON = 8
 #: Signatures that a task sorts at a time.
-SORTED_AT_ONCE = 1 << 21
+SORTED_AT_ONCE = 1 << 20
 
 _ONE = np.uint64(1)
 

@@ -34,7 +34,7 @@ WINDOW = 2048
 #: Identifier buckets in which pieces are ranked, so that no task ranks all pieces of a length.
 BUCKETS = 4096
 #: Distinct words kept in a worker, and pre-tokens; beyond it the store starts anew.
-CACHE = 600_000
+CACHE = 350_000
 #: Pre-tokens that are encoded in one text.
 JOINED = 512
 # The tokenizer's own pattern for letters of ASCII and Latin-1, and the words it is certain for.
