@@ -271,7 +271,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Weight
                                                  F.xxhash64(text).alias("mark"), text.alias("text"))
     # hashes are chosen first, at most TRAINING_ROWS of them, and then their texts
     chosen = rows.select("at", "mark").distinct().orderBy("at", "mark").limit(TRAINING_ROWS)
-    sample = rows.join(F.broadcast(chosen), ["at", "mark"]).select("at", "text")
+    sample = rows.join(F.broadcast(chosen), ["at", "mark"]).dropDuplicates(["at", "mark"]).select("at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
