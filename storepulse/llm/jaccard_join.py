@@ -23,11 +23,14 @@ that share a signature and are still in different components are looked at furth
 * where at most ``COMMON`` documents share it, they are compared with each other;
 * otherwise its cost is too high, as above: these documents index its pair of segments
   together with the one-deletion neighbourhood, and again up to ``COMMON`` are compared;
-* where more agree even on that, they are near copies of one text.  They are compared with
-  the one among them that shares most (the hub).  Two of them differ by what their
-  differences from the hub do not have in common, so a link of a document that the hub does
-  not reach needs about half of the other's difference; each document is indexed by the
-  rarest tokens of its difference that must then hold a common one (a prefix filter).
+* where more agree even on that, or the signature is that of a pair from the start, they are
+  compared with the one among them that shares most (the hub).  Most are near copies of one
+  text.  Two of these differ by what their differences from the hub do not have in common,
+  so a link of a document that the hub does not reach needs about half of the other's
+  difference; each document is indexed by the rarest tokens of its difference that must then
+  hold a common one (a prefix filter).  A document that has more of its own than a link
+  allows (pairs of segments with hardly a token bring unrelated texts together) is indexed
+  by the rarest of its own tokens, of which a link needs all but that many.
 
 A null or empty text has no tokens and is linked with nothing.  Rows that repeat an
 identifier are one node.  Rows with a null identifier have a null component.  Only the
@@ -117,7 +120,7 @@ class Scheme:
 
 def signatures(tokens: np.ndarray, first: np.ndarray, scheme: Scheme,
                common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of all segments in all bands of each text.
+    """(signature, text) of all segments in all bands of each text; those of pairs of segments are odd.
 
     With ``common``, a sorted list of signatures that too many share, only those of the pairs
     of segments that hold one of them."""
@@ -144,7 +147,7 @@ def signatures(tokens: np.ndarray, first: np.ndarray, scheme: Scheme,
         number = np.arange(len(held)) - np.repeat(offset, m)
         salt = mix64(np.repeat(band[texts], m).astype(np.uint64) << np.uint64(40) | number.astype(np.uint64) << _ONE)
         owner = np.repeat(texts, m)
-        code = mix64(total + salt)
+        code = mix64(total + salt) & ~_ONE
         if common is None:
             cheap = held > 1
             out.append(code[cheap])
@@ -157,14 +160,14 @@ def signatures(tokens: np.ndarray, first: np.ndarray, scheme: Scheme,
         if len(costly):
             both = total[0::2][costly] + total[1::2][costly]
             mark = salt[0::2][costly] ^ _ONE
-            out.append(mix64(both + mark))
+            out.append(mix64(both + mark) | _ONE)
             of.append(owner[0::2][costly])
             which = np.full(len(held) // 2, -1)
             which[costly] = np.arange(len(costly))
             inside = which[segment // 2]
             token = np.flatnonzero(inside >= 0)
             inside = inside[token]
-            out.append(mix64(both[inside] - scrambled[at[token]] + mark[inside]))
+            out.append(mix64(both[inside] - scrambled[at[token]] + mark[inside]) | _ONE)
             of.append(owner[0::2][costly][inside])
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -306,7 +309,9 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _from_hubs(rows: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """(hub, id, size, hub_size, linked, tokens): how each document of a common signature differs from its hub."""
+    """(hub, id, size, linked, far, tokens): how each document of a common signature differs from its hub.
+
+    ``far`` documents have more tokens that the hub lacks than a link allows; of them only these are given."""
     degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
     hubs = rows.join(degree, "id").groupBy("signature").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("best"))
     pairs = (rows.join(hubs.select("signature", (-F.col("best.minus")).alias("hub")), "signature")
@@ -314,24 +319,24 @@ def _from_hubs(rows: DataFrame, sets: DataFrame, part: int, whole: int) -> DataF
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, hub_size, linked, edits = [], [], [], []
+            size, linked, far, edits = [], [], [], []
             for x, h in zip(batch.column("x").to_pylist(), batch.column("h").to_pylist()):
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
                 edit = np.setxor1d(x, h, assume_unique=True)
                 size.append(len(x))
-                hub_size.append(len(h))
                 common = (len(x) + len(h) - len(edit)) // 2
                 linked.append(whole * common >= part * (common + len(edit)))
-                edits.append(edit.view(np.int64))
+                far.append(whole * (len(x) - common) > (whole - part) * len(x))
+                edits.append((np.setdiff1d(x, h, assume_unique=True) if far[-1] else edit).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("hub"), batch.column("id"), pa.array(size, pa.int64()), pa.array(hub_size, pa.int64()),
-                 pa.array(linked, pa.bool_()), pa.array(edits, pa.list_(pa.int64()))],
-                names=["hub", "id", "size", "hub_size", "linked", "tokens"])
+                [batch.column("hub"), batch.column("id"), pa.array(size, pa.int64()), pa.array(linked, pa.bool_()),
+                 pa.array(far, pa.bool_()), pa.array(edits, pa.list_(pa.int64()))],
+                names=["hub", "id", "size", "linked", "far", "tokens"])
 
     both = (pairs.join(sets.withColumnRenamed("tokens", "x"), "id")
             .join(sets.select(F.col("id").alias("hub"), F.col("tokens").alias("h")), "hub"))
     return map_batches(both.select("hub", "id", "x", "h"), differ,
-                       "hub long, id long, size long, hub_size long, linked boolean, tokens array<long>")
+                       "hub long, id long, size long, linked boolean, far boolean, tokens array<long>")
 
 
 def _pairs_beside_hubs(edits: DataFrame, part: int, whole: int) -> DataFrame:
@@ -339,24 +344,31 @@ def _pairs_beside_hubs(edits: DataFrame, part: int, whole: int) -> DataFrame:
 
     Sets of sizes a and b are linked when they differ in at most (whole - part) / (whole + part) of
     a + b.  With e the size of a document's difference from the hub, and another that the hub does
-    not reach, the two differences must have at least ``need`` tokens in common."""
+    not reach, the two differences must have at least ``need`` tokens in common.
+
+    A link of a far document needs part / whole of its tokens, so all but (whole - part) / whole of
+    its size of those that the hub lacks; the other document's difference holds them too."""
     least, most = F.lit(whole - part), F.lit(whole + part)
     e = F.size("tokens")
     need = F.ceil((e + 1 - F.ceil(e * least / most)) / 2)
-    token = edits.select("hub", "id", "size", "linked", e.alias("e"), need.alias("need"), F.explode("tokens").alias("token"))
+    token = edits.select("hub", "id", "size", "linked", "far", e.alias("e"), need.alias("need"), F.explode("tokens").alias("token"))
     often = token.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     # a token that one document alone holds joins nothing, but takes its place in the order
     held = token.join(often, ["hub", "token"], "left").withColumn("held", F.coalesce("held", F.lit(1)))
     in_order = Window.partitionBy("hub", "id").orderBy("held", "token")
     held = held.withColumn("at", F.row_number().over(in_order)).where("held > 1")
-    x = held.where("at <= e - need + 1").alias("x")
-    s = held.where("not linked").alias("s")
+    x = held.where("not far and at <= e - need + 1").alias("x")
+    s = held.where("not far and not linked").alias("s")
     # what the two can still have in common, from this token on, must be enough for their sizes
     enough = ((F.col("x.e") + F.col("s.e") - 2 * (F.col("x.e") - F.col("x.at") + 1)) * most
               <= (F.col("x.size") + F.col("s.size")) * least)
     same = (F.col("x.hub") == F.col("s.hub")) & (F.col("x.token") == F.col("s.token")) & (F.col("x.id") != F.col("s.id"))
-    return (x.join(s, same & enough)
-            .select(F.least("x.id", "s.id").alias("lead"), F.greatest("x.id", "s.id").alias("id")).distinct())
+    pair = [F.least("x.id", "s.id").alias("lead"), F.greatest("x.id", "s.id").alias("id")]
+    near = x.join(s, same & enough).select(*pair)
+    own = held.where(~F.col("far") | (F.col("at") <= F.floor(F.col("size") * least / whole) + 1))
+    sizes = F.least("x.size", "s.size") * whole >= F.greatest("x.size", "s.size") * part
+    far = own.where("far").alias("x").join(own.alias("s"), same & sizes).select(*pair)
+    return near.union(far).distinct()
 
 
 def _links_across(members: DataFrame, found: DataFrame, checked: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -366,7 +378,10 @@ def _links_across(members: DataFrame, found: DataFrame, checked: DataFrame, sets
     both = members.select("signature", "id").union(members.select("signature", F.col("lead").alias("id"))).distinct()
     labelled = both.join(found.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"))
     rows = written(labelled.join(_open(labelled), "signature"), "open_signatures")
-    paired = written(_in_pairs(rows.where(F.col("n") > COMMON), sets, scheme).distinct(), "paired_segments")
+    common = rows.where(F.col("n") > COMMON)
+    of_one, of_pair = common.where("signature & 1 = 0"), common.where("signature & 1 = 1")
+    paired = _in_pairs(of_one, sets, scheme).union(of_pair.select("signature", "id", "component"))
+    paired = written(paired.distinct(), "paired_segments")
     paired = written(paired.join(_open(paired), "signature"), "open_pairs")
     edits = written(_from_hubs(paired.where(F.col("n") > COMMON), sets, part, whole), "differences")
     rest = (_pairs_across(rows.where(F.col("n") <= COMMON))

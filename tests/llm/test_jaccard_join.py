@@ -106,5 +106,35 @@ def test_tokens_fold_ascii_only_and_ignore_white_space():
     assert sets[6] == sets[7] == set()
 
 
+def test_common_signatures_of_pairs_of_segments(spark):
+    # nine shingles in two segments of which one holds at most one, and variants linked only through their base
+    rng = random.Random(11)
+    rows = []
+    while len(rows) < 8 * 25:
+        words = " ".join(f"w{rng.randrange(10**9)}" for _ in range(11))
+        tokens, _ = token_sets(*utf8_buffer(pa.array([words])), 3)
+        if int((tokens >> np.uint64(63)).sum()) not in (0, 1, 8, 9):
+            continue
+        base = 10 * len(rows)
+        rows += [(base + k, f"{words} v{rng.randrange(10**9)}") for k in range(24)] + [(base + 50, words)]
+    found = jaccard_components(documents(spark, rows))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == brute(rows)
+
+
+def test_documents_far_from_the_hub(spark, monkeypatch):
+    # few tokens a segment, so pairs of segments with hardly a token are shared by unrelated texts
+    monkeypatch.setattr("storepulse.llm.jaccard_join.COMMON", 1)
+    rng = random.Random(12)
+    rows = []
+    for base in range(60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(20, 60))]
+        for k in range(8):
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(3)}"
+            rows.append((100 * base + k, " ".join(copy[rng.randint(0, 2):len(copy) - rng.randint(0, 2)])))
+    found = jaccard_components(documents(spark, rows), part=60)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == brute(rows, 60)
+
+
 def test_empty_table(spark):
     assert jaccard_components(documents(spark, [])).count() == 0
