@@ -13,7 +13,8 @@ is entropy-based, as follows.
 A node's importance is mostly that of its contents, and a node without text takes that of its styles.
 Pages with identical bodies count once.  A host with few pages says little, so its tree is
 blended with the tree of all hosts merged.  What an element says of itself (landmarks such
-as ``nav`` and class names such as ``ad``) scales the importance of its branch.  Branches
+as ``nav`` and class names such as ``ad``) scales the importance of its branch; words in longer
+names (``entry-header``) do so where few pages have it, and less the more there are.  Branches
 below ``THRESHOLD`` are removed from each page; the blocks that stay are the main text.
 
 Contents are counted by grouping, so a host with any share of the pages is spread over
@@ -43,7 +44,8 @@ SHORT_WORDS = 24
 HOST_PAGES = 200
 #: Share of the styles in a node's importance.
 STYLE_SHARE = 0.1
-#: What the importance of a branch that names itself as something else is multiplied by.
+#: What the importance of a branch that names itself as something else is multiplied by.  For a word in a
+#: longer name ``HOST_PAGES`` pages of all hosts leave half of what it takes away, and so on.
 NOISE_FACTOR = 0.3
 
 # Elements of HTML by their role.
@@ -57,6 +59,8 @@ _LANDMARKS = frozenset("nav header footer aside form menu dialog".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
               "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article section main body div nav aside header footer form blockquote".split())
+#: Wrappers of whole pages or articles, whose names say nothing of what is in them.
+_WRAPPERS = frozenset("html body main article".split())
 _NOISE_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies "
                          "consent footer header menu nav navbar navigation newsletter notice popup promo related share "
                          "sharing sidebar signup social sponsor sponsored subscribe widget".split())
@@ -152,19 +156,33 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     return out, styles
 
 
-def markup_factor(path: str) -> float:
-    """``NOISE_FACTOR`` where an element of the path calls itself something other than main text.
+NONE, HINT, PLAIN = 0, 1, 2
+
+
+def markup_kind(path: str) -> int:
+    """``PLAIN`` where an element of the path calls itself something other than main text, by its tag or a
+    whole name; ``HINT`` where only a word of a longer name does.
 
     A page header inside an article is part of it.
     """
-    inside = False
+    inside, kind = False, NONE
     for step in path.split("/"):
         tag, *names = step.split(".")
-        if (tag in _LANDMARKS and not (inside and tag == "header")) or \
-                any(word in _NOISE_NAMES for name in names for word in re.split(r"[-_]", name)):
-            return NOISE_FACTOR
+        if tag in _LANDMARKS and not (inside and tag == "header"):
+            return PLAIN
+        if tag not in _WRAPPERS:
+            for name in names:
+                if name in _NOISE_NAMES and not (inside and name == "header"):
+                    return PLAIN
+                if name not in _NOISE_NAMES and any(word in _NOISE_NAMES for word in re.split(r"[-_]", name)):
+                    kind = HINT
         inside = inside or tag in ("article", "main")
-    return 1.0
+    return kind
+
+
+def markup_factor(path: str) -> float:
+    """What the path says of itself multiplies the importance of a branch on a single page by."""
+    return NOISE_FACTOR if markup_kind(path) else 1.0
 
 
 def _code(text: str) -> int:
@@ -228,7 +246,7 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of every node of every host's tree."""
+    """(host, path, pages, seen, importance) of every node of every host's tree; ``seen`` pages of all hosts have it."""
     features = page_features(pages, url_col, html_col).dropDuplicates(["host", "body"])
     each = features.select("host", "paths", F.explode(F.arrays_zip("codes", "features")).alias("f"))
     counts = (each.select("host", F.element_at("paths", F.floor(F.col("f.codes") / KINDS).cast("int") + 1).alias("path"),
@@ -239,7 +257,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     merged = _importance(counts.groupBy("path", "kind", "feature").agg(F.sum("pages").alias("pages")), ["path"])
     weight = F.col("own.pages") / (F.col("own.pages") + HOST_PAGES)
     return (own.alias("own").join(merged.alias("all"), "path")
-            .select("host", "path", F.col("own.pages").alias("pages"),
+            .select("host", "path", F.col("own.pages").alias("pages"), F.col("all.pages").alias("seen"),
                     (weight * F.col("own.importance") + (1 - weight) * F.col("all.importance")).alias("importance")))
 
 
@@ -247,18 +265,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             threshold: float = THRESHOLD) -> DataFrame:
     """Identifier, url, ``text`` (blocks joined by an empty line) and ``n_chars`` of every page."""
     tree = style_tree(pages, url_col, html_col)
-    factor = {}
+    kinds = {}
 
     def removed_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drop = []
-            for path, importance in zip(batch.column("path").to_pylist(), batch.column("importance").to_pylist()):
-                if path not in factor:
-                    factor[path] = markup_factor(path)
-                drop.append(importance * factor[path] < threshold)
+            for path, seen, importance in zip(*(batch.column(c).to_pylist() for c in ("path", "seen", "importance"))):
+                if path not in kinds:
+                    kinds[path] = markup_kind(path)
+                known = {NONE: 1.0, HINT: seen / (seen + HOST_PAGES), PLAIN: 0.0}[kinds[path]]
+                drop.append(importance * (known + (1 - known) * NOISE_FACTOR) < threshold)
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path")], names=["host", "path"]).filter(pa.array(drop, pa.bool_()))
 
-    dropped = map_batches(tree.select("host", "path", "importance"), removed_paths, "host string, path string")
+    dropped = map_batches(tree.select("host", "path", "seen", "importance"), removed_paths, "host string, path string")
     by_host = written(dropped.groupBy("host").agg(F.collect_set("path").alias("dropped")), "dropped")
 
     kind = pages.schema[id_col].dataType.simpleString()

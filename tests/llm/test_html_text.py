@@ -45,6 +45,17 @@ def test_article_page_without_other_pages(spark):
     assert found(pages(spark, [(1, "https://one.example.org/", html)])) == {1: "Title & more\n\nFirst bold, line two x\n\nSecond"}
 
 
+def test_names_do_not_decide_over_many_pages(spark):
+    rng = random.Random(4)
+    rows, texts = [], {}
+    for i in range(400):
+        title, price, body = sentence(rng, 8), sentence(rng, 30), sentence(rng, 40)
+        rows.append((i, f"https://a.example.org/{i}", f"<body class='has-sidebar'><nav>Home News</nav><article class='widget'><div class='entry-header'><h1>{title}</h1></div>"
+                     f"<div class='share-price'>{price}</div><p>{body}</article><footer>Made by us</footer>"))
+        texts[i] = "\n\n".join(" ".join(p.split()) for p in (title, price, body))
+    assert found(pages(spark, rows)) == texts
+
+
 def test_awkward_pages(spark):
     long_text = "word " * 40000
     rows = [(1, None, None), (2, "", ""), (3, "not a url", "plain text &lt;b&gt; only"), (4, "http://[bad", "<p>unclosed <b>tags <i>here"),
