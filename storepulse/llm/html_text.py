@@ -18,7 +18,7 @@ names (``entry-header``) do so where few pages have it, and less the more there
 below ``THRESHOLD`` are removed from each page; the blocks that stay are the main text.
 
 Contents are counted by grouping, so a host with any share of the pages is spread over
-tasks; what reaches a task for a page is the set of its host's paths that are removed.
+tasks; what reaches a task for a page is the set of its own paths that are removed.
 
 Null and empty pages have an empty text.  A page without a usable host belongs to the host
 ''.  Repeated rows give repeated results.  Only the named columns are read.
@@ -275,22 +275,35 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     kinds[path] = markup_kind(path)
                 known = {NONE: 1.0, HINT: seen / (seen + HOST_PAGES), PLAIN: 0.0}[kinds[path]]
                 drop.append(importance * (known + (1 - known) * NOISE_FACTOR) < threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path")], names=["host", "path"]).filter(pa.array(drop, pa.bool_()))
+            codes = pa.array([_code(path) for path in batch.column("path").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), codes], names=["host", "code"]).filter(pa.array(drop, pa.bool_()))
 
-    dropped = map_batches(tree.select("host", "path", "seen", "importance"), removed_paths, "host string, path string")
-    by_host = written(dropped.groupBy("host").agg(F.collect_set("path").alias("dropped")), "dropped")
+    def own_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 << 20):
+            codes = [[_code(path) for path in {path for path, _ in blocks(page)[0]}] for page in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(codes, pa.list_(pa.int64()))],
+                                             names=["host", "page", "codes"])
+
+    text = F.coalesce(F.col(html_col), F.lit(""))
+    # pages of a host with the same text have the same paths
+    page = F.unhex(F.md5(text.cast("binary"))).alias("page")
+    dropped = map_batches(tree.select("host", "path", "seen", "importance"), removed_paths, "host string, code long")
+    own = map_batches(pages.select(host_of(url_col).alias("host"), page, text.alias("text")), own_paths,
+                      "host string, page binary, codes array<long>")
+    by_page = written(own.select("host", "page", F.explode("codes").alias("code")).join(dropped, ["host", "code"])
+                      .groupBy("host", "page").agg(F.collect_set("code").alias("dropped")), "dropped")
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = (pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
-                         host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
-            .join(by_host, "host", "left").select("id", "url", "text", "dropped"))
+                         host_of(url_col).alias("host"), page, text.alias("text"))
+            .join(by_page, ["host", "page"], "left").select("id", "url", "text", "dropped"))
 
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
             texts = []
             for page, out in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
                 out = frozenset(out or ())
-                texts.append("\n\n".join(text for path, text in blocks(page)[0] if path not in out))
+                texts.append("\n\n".join(text for path, text in blocks(page)[0] if _code(path) not in out))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])

@@ -56,6 +56,19 @@ def test_names_do_not_decide_over_many_pages(spark):
     assert found(pages(spark, rows)) == texts
 
 
+def test_a_page_gets_only_its_own_paths(spark, monkeypatch):
+    from storepulse.llm import html_text
+    kept, written = {}, html_text.written
+    monkeypatch.setattr(html_text, "written", lambda df, name, *more: kept.setdefault(name, written(df, name, *more)))
+    rng = random.Random(9)
+    letters = "abcdefghij"
+    rows = [(i, f"https://a.example.org/{i}", f"<nav><div id='{''.join(rng.choice(letters) for _ in range(9))}'>Menu</div></nav><p>{sentence(rng, 30)}")
+            for i in range(60)]
+    out = found(pages(spark, rows))
+    assert all("Menu" not in text and text for text in out.values())
+    assert max(len(r["dropped"]) for r in kept["dropped"].collect()) == 1
+
+
 def test_awkward_pages(spark):
     long_text = "word " * 40000
     rows = [(1, None, None), (2, "", ""), (3, "not a url", "plain text &lt;b&gt; only"), (4, "http://[bad", "<p>unclosed <b>tags <i>here"),
