@@ -189,10 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes.sort(key=lambda r: (r["at"], r["id"], r["bytes"]))
     chosen, filled = {}, 0
     for r in sizes:
-        filled += r["bytes"]
-        if filled > TRAINING_BYTES and chosen:
-            break
-        chosen[r["id"]] = r["label"]
+        if filled + r["bytes"] <= TRAINING_BYTES:
+            filled += r["bytes"]
+            chosen[r["id"]] = r["label"]
     y = [float(v > 0) for v in chosen.values()]
     if len(set(y)) < 2:
         return y[0] if y else 0.5

@@ -52,6 +52,15 @@ def test_held_out_labels_are_not_learned(spark):
     assert all(np.array_equal(a, b) for a, b in zip(one, other))
 
 
+def test_a_text_that_does_not_fit_is_passed_over(spark, monkeypatch):
+    rows, labels = labelled(120)
+    monkeypatch.setattr("storepulse.llm.quality.TRAINING_BYTES", sum(len(t.encode()) for _, t in rows))
+    # one huge text among the first in the order of hashes
+    first = spark.sql("select id from range(120) where crc32(cast(id as string)) % 5 <> 0 order by xxhash64(cast(id as string), 'training')").first()[0]
+    rows = [(i, t * 150 if i == first else t) for i, t in rows]
+    assert isinstance(train(documents(spark, rows), spark.createDataFrame(labels, LABELS)), Model)
+
+
 def test_one_class_or_no_label(spark):
     df = documents(spark, [(i, "words here") for i in range(20)])
     assert train(df, spark.createDataFrame([], LABELS)) == 0.5
