@@ -220,7 +220,7 @@ def cluster(df: DataFrame, k: int = 8, rounds: int = 10, id_col: str = "vec_id",
     on_workers_path(spark)
     vectors = written(usable(df, id_col, vector_col, width), "vectors")
     greatest = vectors.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 0.0
-    wide = width * (2 * (greatest * SCALE + 1)) ** 2 >= NARROW
+    wide = 2 * (greatest * SCALE + 1) >= math.sqrt(NARROW / width)
     start = first_centroids(vectors, k, seed).select("vector").collect()         # k rows
     centroids = [[math.floor(Fraction(c) * SCALE) for c in r.vector] for r in start]
 
