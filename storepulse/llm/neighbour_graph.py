@@ -5,17 +5,16 @@
 that a third of all rows share costs one node.  A node carries an 8-bit code of its direction;
 codes steer the building and the search, original vectors give the scores.
 
-**Graph.**  A first graph comes from blocks of at most about ``BLOCK`` nodes that random
+**Graph.**  A first graph comes from blocks of at most about ``FIRST`` nodes that random
 hyperplanes (twice) and a hash (once) put together.  Each round of NN-descent then joins every
 node's neighbours with each other: ``joined(v)`` holds the ``degree`` neighbours of ``v`` and up
-to ``degree`` nodes that have ``v`` as a neighbour; of any two members of which one is new there, each is proposed to the
-other where it beats that one's worst neighbour.  Rounds end when fewer than ``settled`` of all
-entries change.  Rounds are joins by block: a block of rows fetches each node that it names once.
-Sampling is part of the method: of the reverse neighbours ``degree`` take part in a round, and a
-block proposes to a node its ``PROPOSED`` best; what is left out has further chances by other
-paths and in later rounds.
-
-**Search.**  A query starts at its own node if its vector is indexed, and at the best of
+to ``degree`` nodes that have ``v`` as a neighbour; of any two members of which one is new there,
+each is proposed to the other where it beats that one's worst neighbour.  Rounds end when fewer
+than ``settled`` of all entries change.  Rounds are joins by block: a block of rows fetches each node that it names once.
+Sampling is part of the method: of the reverse neighbours ``degree`` take part in a round, others
+in another one or by other paths; a block proposes to a node as many as its list can hold.
+
+**Search.**  A query starts at its own node if its vector is indexed, else at the best of
 ``ENTRIES`` fixed nodes.  Each round expands the ``EXPANDED`` best open nodes among its ``beam``
 best, until none of them is open.  The beam is then scored on the original vectors.
 
@@ -36,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import map_batches, on_workers_path, scratch_path
+from storepulse.llm.common import map_batches, mix64, on_workers_path, scratch_path
 
-#: Nodes of a block; queries of a block.
-BLOCK, QUERY_BLOCK = 1024, 256
-#: Proposals of a block to a node; fixed entry nodes of a search; nodes expanded in a round.
-PROPOSED, ENTRIES, EXPANDED = 16, 64, 12
+#: Nodes that are compared with each other for the first graph.
+FIRST = 1024
+#: Nodes and queries of a block.  What a block names is fetched once, so large blocks move little; a block of
+#: nodes names 2 * degree each at most, 100 MB of codes of 64 components at the degree of 48.
+BLOCK, QUERY_BLOCK = 16384, 2048
+#: Fixed entry nodes of a search; nodes expanded in a round.
+ENTRIES, EXPANDED = 64, 16
 #: Rows of a block that are joined at a time.
 AT_ONCE = 64
 
@@ -97,17 +99,23 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=[*batch.schema.names, "code"])
 
 
-def directions(codes: pa.Array) -> np.ndarray:
-    """Unit vectors of codes; shorter ones are padded with zeros."""
+def _codes(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as a matrix, shorter ones padded with zeros, and their lengths as vectors."""
     codes = codes.to_pylist()
     width = max((len(c) for c in codes), default=0)
     if all(len(c) == width for c in codes):
-        x = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), width).astype(np.float32)
+        x = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), width)
     else:
-        x = np.zeros((len(codes), width), np.float32)
+        x = np.zeros((len(codes), width), np.int8)
         for row, c in zip(x, codes):
             row[:len(c)] = np.frombuffer(c, np.int8)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    return x, np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x, dtype=np.int64), 1)).astype(np.float32)
+
+
+def directions(codes: pa.Array) -> np.ndarray:
+    """Unit vectors of codes; shorter ones are padded with zeros."""
+    x, length = _codes(codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes)
+    return x / length[:, None]
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,6 +167,26 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
+def _by_node(finish):
+    """``finish`` applied to rows in the order of ``node``, all rows of a node at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            if not table.num_rows:
+                continue
+            nodes = table.column("node").to_numpy()
+            whole = int(np.searchsorted(nodes, nodes[-1]))       # the last node may go on in the next batch
+            if whole:
+                yield finish(table.slice(0, whole))
+            left = table.slice(whole)
+        if left is not None and left.num_rows:
+            yield finish(left)
+
+    return run
+
+
 def merger(degree: int):
     """Rows of one node after another (``base`` marks the graph's own) to the node's best neighbours."""
     def finish(table: pa.Table) -> pa.RecordBatch:
@@ -178,22 +206,7 @@ def merger(degree: int):
              _lists(ids, held, pa.int64()), _lists(scores, held, pa.float32()), _lists(~old, held, pa.bool_())],
             names=["node", "block", "code", "ids", "scores", "fresh"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if left is None else pa.concat_tables([left, table])
-            if not table.num_rows:
-                continue
-            nodes = table.column("node").to_numpy()
-            whole = int(np.searchsorted(nodes, nodes[-1]))       # the last node may go on in the next batch
-            if whole:
-                yield finish(table.slice(0, whole))
-            left = table.slice(whole)
-        if left is not None and left.num_rows:
-            yield finish(left)
-
-    return run
+    return _by_node(finish)
 
 
 def _merged(base: DataFrame, found: DataFrame, degree: int) -> DataFrame:
@@ -249,25 +262,82 @@ def _inside(degree: int):
 
 # ------------------------------------------------------------------ a round of NN-descent
 
-def _reverse(edges: DataFrame, most: int, seed: int) -> DataFrame:
-    """For each node up to ``most`` nodes that have it as a neighbour, new ones first, else by a hash."""
-    some = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("member", F.lit(seed)))
-    back = edges.select(F.col("member").alias("node"), F.col("node").alias("member"), "fresh")
-    kept = back.withColumn("_row", F.row_number().over(some)).where(F.col("_row") <= most)
-    return kept.groupBy("node").agg(F.collect_list(F.struct("member", "fresh")).alias("back"))
+def _priority(node: np.ndarray, member: np.ndarray, fresh: np.ndarray, seed: int) -> np.ndarray:
+    """New entries before old ones, else by a hash."""
+    mixed = mix64(mix64(node.astype(np.uint64) + np.uint64(seed)) ^ member.astype(np.uint64)) >> np.uint64(2)
+    return mixed.astype(np.int64) + np.where(fresh, 0, 1 << 62)
+
+
+def _turned(most: int, seed: int):
+    """Rows of the graph as they are (``own``), and for the nodes that they name the rows that name them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lengths = table.column("ids").combine_chunks().value_lengths().to_numpy()
+            node, member, fresh = np.repeat(table.column("node").to_numpy(), lengths), _flat(table, "ids"), _flat(table, "fresh")
+            order = np.lexsort((_priority(node, member, fresh, seed), member))
+            node, member, fresh = node[order], member[order], fresh[order]
+            starts = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]])) if len(member) else np.empty(0, np.int64)
+            sizes = np.diff(np.append(starts, len(member)))
+            keep = np.arange(len(member)) - np.repeat(starts, sizes) < most
+            held = np.minimum(sizes, most)
+            yield batch.append_column("own", pa.array(np.ones(batch.num_rows, bool)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(member[starts], pa.int64()), pa.nulls(len(starts), pa.int64()), _lists(node[keep], held, pa.int64()),
+                 _lists(fresh[keep], held, pa.bool_()), pa.array(np.zeros(len(starts), bool))], names=[*batch.schema.names, "own"])
+    return run
 
 
-def _edges(graph: DataFrame) -> DataFrame:
-    return graph.select("node", F.inline(F.arrays_zip(F.col("ids").alias("member"), F.col("fresh").alias("fresh"))))
+def _gathered(most: int, seed: int):
+    """Rows of one node after another: its neighbours and up to ``most`` of the nodes that name it."""
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        lengths = table.column("ids").combine_chunks().value_lengths().to_numpy()
+        node, member, fresh = np.repeat(table.column("node").to_numpy(), lengths), _flat(table, "ids"), _flat(table, "fresh")
+        back = ~np.repeat(own, lengths)
+        order = np.lexsort((np.where(back, _priority(member, node, fresh, seed), -1), node))
+        node, member, fresh, back = node[order], member[order], fresh[order], back[order]
+        named = table.filter(table.column("own"))
+        nodes = named.column("node").to_numpy()
+        at = np.searchsorted(nodes, node)
+        before = np.concatenate([[0], np.cumsum(back)])
+        first = np.searchsorted(node, nodes)
+        keep = ~back | (before[:-1] - before[first[at]] < most)
+        counts = np.bincount(at[keep], minlength=len(nodes))
+        return pa.RecordBatch.from_arrays([named.column("node").combine_chunks(), named.column("block").combine_chunks(),
+                                           _lists(member[keep], counts, pa.int64()), _lists(fresh[keep], counts, pa.bool_())],
+                                          names=["node", "block", "members", "fresh"])
+    return _by_node(finish)
+
+
+def _around(graph: DataFrame, most: int, seed: int) -> DataFrame:
+    """``node``, ``block``, ``members``, ``fresh``: the neighbours of each node and up to ``most`` nodes that have it as one."""
+    schema = "node long, block long, ids array<long>, fresh array<boolean>"
+    turned = map_batches(graph.select("node", "block", "ids", "fresh"), _turned(most, seed), f"{schema}, own boolean")
+    return map_batches(turned.repartition("node").sortWithinPartitions("node"), _gathered(most, seed),
+                       "node long, block long, members array<long>, fresh array<boolean>")
+
+
+def _listed(table: pa.Table) -> pa.Table:
+    """A block's rows as one, with the nodes that they name."""
+    counts = table.column("members").combine_chunks().value_lengths().to_numpy()
+    members, fresh = _flat(table, "members"), _flat(table, "fresh")
+    one = lambda values, kind: _lists(values, np.array([len(values)]), kind)
+    return pa.table({"block": table.column("block")[:1], "counts": one(counts, pa.int32()), "members": one(members, pa.int64()),
+                     "fresh": one(fresh, pa.bool_()), "named": one(np.unique(members), pa.int64())})
+
+
+_LISTED = "block long, counts array<int>, members array<long>, fresh array<boolean>, named array<long>"
 
 
 def _joined(proposed: int):
     """A block's rows (``members``, ``fresh``) and the nodes that they name: proposals to each of these."""
     def run(rows: pa.Table, named: pa.Table) -> pa.Table:
         order = np.argsort(named.column("node").to_numpy())
-        nodes, x = named.column("node").to_numpy()[order], directions(named.column("code"))[order]
+        nodes = named.column("node").to_numpy()[order]
+        x, length = _codes(named.column("code").combine_chunks().take(pa.array(order)))
         worst = named.column("worst").to_numpy()[order].astype(np.float32)
-        lengths = rows.column("members").combine_chunks().value_lengths().to_numpy()
+        lengths = _flat(rows, "counts")
         width = int(lengths.max(initial=0))
         there = np.arange(width) < lengths[:, None]
         at, fresh = np.zeros(there.shape, np.int64), np.zeros(there.shape, bool)
@@ -287,7 +357,7 @@ def _joined(proposed: int):
         held = 0
         for begin in range(0, len(at), AT_ONCE):
             i, new, ok = at[begin:begin + AT_ONCE], fresh[begin:begin + AT_ONCE], there[begin:begin + AT_ONCE]
-            member = x[i]
+            member = x[i] / length[i][:, :, None]
             score = member @ member.transpose(0, 2, 1)
             better = (score > worst[i][:, :, None]) & (new[:, :, None] | new[:, None, :]) & ok[:, :, None] & ok[:, None, :]
             row, one, other = np.nonzero(better)
@@ -305,20 +375,15 @@ def _joined(proposed: int):
     return run
 
 
-def _descend(graph: DataFrame, degree: int, seed: int) -> DataFrame:
+def _descend(graph: DataFrame, degree: int, seed: int, tables: _Tables) -> DataFrame:
     """The graph after one round: neighbours of neighbours are joined, block by block."""
-    back = _reverse(_edges(graph), degree, seed)
-    rows = graph.select("node", "block", F.arrays_zip(F.col("ids").alias("member"), F.col("fresh").alias("fresh")).alias("ahead")) \
-        .join(back, "node", "left")
-    both = F.array_union("ahead", F.coalesce("back", F.array().cast("array<struct<member:bigint,fresh:boolean>>")))
-    rows = rows.select("block", F.col("node"), both.alias("both"))
-    rows = rows.where(F.exists("both", lambda m: m["fresh"])).select(
-        "block", F.col("both.member").alias("members"), F.col("both.fresh").alias("fresh"))
-    named = rows.select(F.col("block").alias("at"), F.explode("members").alias("node")).distinct()
+    around = _around(graph, degree, seed).where(F.exists("fresh", lambda f: f))
+    rows = tables.write("rows", around.groupBy("block").applyInArrow(_listed, _LISTED))
+    named = rows.select(F.col("block").alias("at"), F.explode("named").alias("node"))
     short = F.when(F.size("scores") < degree, F.lit(-2.0)).otherwise(F.element_at("scores", -1)).cast("float")
     named = named.join(graph.select("node", "code", short.alias("worst")), "node")
-    found = rows.groupBy("block").cogroup(named.groupBy("at")).applyInArrow(
-        _joined(PROPOSED), "node long, ids array<long>, scores array<float>")
+    found = rows.select("block", "counts", "members", "fresh").groupBy("block").cogroup(named.groupBy("at")).applyInArrow(
+        _joined(degree), "node long, ids array<long>, scores array<float>")
     return _merged(graph, found, degree)
 
 
@@ -326,15 +391,15 @@ class NeighbourGraph:
     """The nodes and the neighbour graph of all vectors of a table, in the shared folder."""
 
     def __init__(self, df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = 48,
-                 settled: float = 0.01, rounds: int = 12, block: int = BLOCK):
+                 settled: float = 0.02, rounds: int = 12, block: int = BLOCK):
         on_workers_path(df.sparkSession)
         self.k, self.degree, self.tables = k, degree, _Tables(df.sparkSession)
         self.nodes = self.tables.write("nodes", nodes_of(usable(df, id_col, vector_col), k))
         self.count = self.nodes.count()
-        first = [_blocked(self.nodes, seed, self.count, block) for seed in (1, 2)]
-        home = self.tables.write("home", first[0])
-        parts = max(1, -(-self.count // block))
-        first = [home, first[1], self.nodes.select("node", "code", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("long").alias("block"))]
+        home = self.tables.write("home", _blocked(self.nodes, 0, self.count, block))
+        first = [_blocked(self.nodes, seed, self.count, min(block, FIRST)) for seed in (1, 2)]
+        parts = max(1, -(-self.count // min(block, FIRST)))
+        first += [self.nodes.select("node", "code", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("long").alias("block"))]
         found = [b.groupBy("block").applyInArrow(_inside(degree), "node long, ids array<long>, scores array<float>") for b in first]
         empty = home.select("node", "block", "code", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("scores"))
         graph = _merged(empty, found[0].unionByName(found[1]).unionByName(found[2]), degree)
@@ -345,7 +410,7 @@ class NeighbourGraph:
             self.changes.append(fresh)
             if fresh <= settled * degree * self.count:
                 break
-            graph = _descend(graph, degree, seed)
+            graph = _descend(graph, degree, seed, self.tables)
         self.graph = self.tables.write("graph", graph) if len(self.changes) == rounds and rounds else graph
 
     # -------------------------------------------------------------- search
@@ -362,10 +427,7 @@ class NeighbourGraph:
         state = asked.select(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("long").alias("block"), F.col("id").alias("query"),
                              "vector", "code", "own")
         state = self.tables.write("state", map_batches(state, _started(entries, beam), _STATE))
-        edges = _edges(self.graph)
-        around = self.graph.select("node", F.col("ids").alias("ahead")).join(_reverse(edges, self.degree, 0), "node", "left").select(
-            "node", F.array_union("ahead", F.coalesce(F.col("back.member"), F.array().cast("array<long>"))).alias("around"))
-        around = self.tables.write("around", around)
+        around = self.tables.write("around", _around(self.graph, self.degree, 0).select("node", F.col("members").alias("around")))
         codes = self.nodes.select("node", "code")
         while state.where(F.size("open") > 0).limit(1).count():
             # the open nodes' neighbours, then these neighbours' codes, each once for a block
@@ -423,7 +485,7 @@ def _states(rows: pa.Table, owner, ids, scores, done, beam: int) -> pa.Table:
 
 
 def _started(entries: list[tuple[int, bytes]], beam: int):
-    """First beams: a query's own node, if its vector is indexed, and the fixed entry nodes."""
+    """First beams: a query's own node, if its vector is indexed, else the fixed entry nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = np.array([n for n, _ in entries], np.int64)
         for batch in batches:
@@ -434,10 +496,10 @@ def _started(entries: list[tuple[int, bytes]], beam: int):
             q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
             score = q @ x.T
             own = batch.column("own").to_pandas()
-            has = np.flatnonzero(own.notna())
-            owner = np.concatenate([np.repeat(np.arange(len(q)), len(nodes)), has])
-            ids = np.concatenate([np.tile(nodes, len(q)), own.iloc[has].to_numpy().astype(np.int64)])
-            scores = np.concatenate([score.ravel(), np.full(len(has), 2)]).astype(np.float32)
+            has, lost = np.flatnonzero(own.notna()), np.flatnonzero(own.isna())
+            owner = np.concatenate([np.repeat(lost, len(nodes)), has])
+            ids = np.concatenate([np.tile(nodes, len(lost)), own.iloc[has].to_numpy().astype(np.int64)])
+            scores = np.concatenate([score[lost].ravel(), np.full(len(has), 2)]).astype(np.float32)
             table = _states(pa.Table.from_batches([batch]).rename_columns(batch.schema.names), owner, ids, scores,
                             np.zeros(len(owner), bool), beam)
             yield from table.combine_chunks().to_batches()
