@@ -1,6 +1,7 @@
 """Validate → repair/remove → derive → audit, for each of the eight tables.
 
-Each ``clean_<table>`` returns ``(clean_df, audit_df)``; both are lazy.
+Each ``clean_<table>`` returns ``(clean_df, audit_df)``; both are lazy, but for the
+percentiles below.
 
 How a table is cleaned
 ----------------------
@@ -8,10 +9,10 @@ Rules run in order and every audit count is over the rows that survived the
 earlier rules.  Instead of one full pass per rule, the runner keeps an
 ``_alive`` flag and one boolean flag column per rule in a single projection;
 the cleaned table is ``filter(_alive)`` and the audit is ONE aggregation of
-the flag columns.  Column statistics a rule needs (medians, p99, "any row
-inconsistent") come from a small aggregate over the alive rows at that point,
-cross-joined back as a one-row broadcast.  Spark reuses the shuffle of the
-shared upstream plan (ReusedExchange), so the stats add no extra shuffle.
+the flag columns.  "Any row inconsistent" is a small aggregate over the alive rows
+at that point, cross-joined back as a one-row broadcast.  Medians and the p99 are
+exact percentiles by radix selection over the alive rows: a few passes over their
+columns, run when the rule is reached, whose results are literals of the plan.
 
 Key checks (store/picker/order must exist) are left joins against the
 distinct keys of the already-cleaned parent; keep-first de-duplication is a
@@ -33,7 +34,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from storepulse.operators.ranking import exact_percentiles
+from storepulse.operators.selection import column_percentiles
 from storepulse.sources.tables import by_month, is_monthly
 from storepulse.functions.exprs import (
     band_left_closed, band_right_closed, exact_round, round_dec, safe_div, title_case,
@@ -79,7 +80,7 @@ class Rule:
     order: list[str] = field(default_factory=list)
     always: bool = False
     audited: bool = True
-    stats_fn: object = None   # alive rows -> one-row DataFrame (distributed statistics)
+    stats_fn: object = None   # alive rows -> {column name: value}, worked out by jobs of its own
 
 
 def _with_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
@@ -151,7 +152,7 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], observe: bool = Fals
         if r.stats:
             df = _with_stats(df, r.stats)
         if r.stats_fn is not None:
-            df = df.crossJoin(F.broadcast(r.stats_fn(df.filter(F.col("_alive")))))   # one row
+            df = df.withColumns({n: F.lit(v).cast("double") for n, v in r.stats_fn(df.filter(F.col("_alive"))).items()})
         fc = f"_f{i}"
         if r.kind == "remove":
             keep = F.coalesce(r.pred, F.lit(False))
@@ -250,6 +251,14 @@ def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: b
 
 # ---------------------------------------------------------------- dimensions
 
+def _percentile(alive: DataFrame, column: str, q: float, persist=None) -> float | None:
+    """An exact percentile of one column, which ``persist`` may store for the passes over it."""
+    lean = alive.select(column)
+    if persist is not None:
+        lean = persist(f"values_of_{column}", lean)
+    return column_percentiles(lean, {column: [q]})[column][0]
+
+
 def clean_stores(raw: DataFrame, as_of: str = AS_OF["stores"], observe: bool = False):
     lat, lon = F.col("latitude"), F.col("longitude")
     bad_coord = ~F.coalesce(lat.between(8.0, 37.0), F.lit(False)) | \
@@ -301,9 +310,7 @@ def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"], observe: bo
         Rule("remove", "Basket size not positive", "Rows removed", basket > 0),
         Rule("repair", "Basket size above the 99th percentile", "Capped at the 99th percentile",
              basket > F.col("_p99"),
-             # money has an open-ended value domain: distributed exact percentile
-             stats_fn=lambda alive: exact_percentiles(alive, "avg_basket_size_inr", [0.99])
-             .select(F.col("p0").alias("_p99")),
+             stats_fn=lambda alive: {"_p99": _percentile(alive, "avg_basket_size_inr", 0.99, persist)},
              updates={"avg_basket_size_inr": F.when(basket > F.col("_p99"), round_dec(F.col("_p99")))
                       .otherwise(basket)}),
         Rule("repair", "Negative lifetime orders", "Set to 0", F.col("lifetime_orders") < 0,
@@ -322,7 +329,7 @@ def clean_customers(raw: DataFrame, as_of: str = AS_OF["customers"], observe: bo
 
 
 def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
-                  as_of: str = AS_OF["pickers"], observe: bool = False):
+                  as_of: str = AS_OF["pickers"], observe: bool = False, persist=None):
     sal = F.col("monthly_salary_inr")
     asof = F.lit(as_of).cast("date")
     bad_sal = ~F.coalesce(sal.between(10000, 35000), F.lit(False))
@@ -330,8 +337,7 @@ def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
     rules = [
         Rule("remove", "Join date in the future", "Rows removed", F.col("join_date") <= asof),
         Rule("repair", "Salary out of range", "Replaced with median salary", bad_sal,
-             stats_fn=lambda alive: exact_percentiles(alive, "monthly_salary_inr", [0.5])
-             .select(F.col("p0").alias("_med")),
+             stats_fn=lambda alive: {"_med": _percentile(alive, "monthly_salary_inr", 0.5, persist)},
              updates={"monthly_salary_inr": F.when(bad_sal, exact_round(F.col("_med"), 0).cast("bigint"))
                       .otherwise(sal)}),
         Rule("remove", "Store not found", "Rows removed", F.col("_store_ok")),
@@ -350,11 +356,9 @@ def clean_pickers(raw: DataFrame, stores_clean: DataFrame,
 TIME_COLS = ["pick_time_mins", "pack_time_mins", "dispatch_time_mins", "travel_time_mins"]
 
 
-def _medians(alive: DataFrame) -> DataFrame:
-    """One row with the exact median of each time component, which is independent of the others' repair."""
-    long = alive.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in TIME_COLS])))
-    return exact_percentiles(long, "_x", [0.5], ["_c"]).agg(
-        *[F.max(F.when(F.col("_c") == c, F.col("p0"))).alias(f"_med_{c}") for c in TIME_COLS])
+def _medians(alive: DataFrame) -> dict[str, float | None]:
+    """The exact median of each time component, which is independent of the others' repair."""
+    return {f"_med_{c}": m for c, (m,) in column_percentiles(alive, {c: [0.5] for c in TIME_COLS}).items()}
 
 
 def clean_orders(raw: DataFrame, stores_clean: DataFrame,
@@ -484,7 +488,7 @@ def clean_and_write(raw: dict[str, DataFrame], write_and_read,
     audits: dict[str, list[tuple]] = {}
 
     def step(name, fn, *parents):
-        kw = {"persist": stage} if stage is not None and fn in (clean_customers, clean_orders) else {}
+        kw = {"persist": stage} if stage is not None and fn in (clean_customers, clean_pickers, clean_orders) else {}
         clean, audit = fn(raw[name], *[out[p] for p in parents], observe=True, **kw)
         written = write_and_read(name, clean)
         return name, written, audit.rows()

@@ -7,12 +7,14 @@ per-column jobs.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storepulse.functions.exprs import exact_mean, exact_round
-from storepulse.operators.ranking import exact_percentiles
+from storepulse.operators.selection import column_percentiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -50,15 +52,20 @@ def _scale(dt) -> int:
     return dt.scale if isinstance(dt, T.DecimalType) else 0
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def describe_numeric(df: DataFrame, table: str, accuracy: int | None = None) -> DataFrame:
     """D3/G10: count, mean, std, min, quartiles (exact, linear), max of every
     numeric column, rounded to 2 dp, one row per column.
 
-    ``accuracy`` opts into ``percentile_approx`` quartiles (one pass, bounded
-    sketch per column) instead of the distributed exact ones.
+    Quartiles come from radix selection over all columns at once, before the plan is returned;
+    all else is one aggregate.  ``accuracy`` opts into ``percentile_approx`` quartiles in that
+    aggregate instead.
     """
     fields = [f for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
-    aggs = []
+    exact = column_percentiles(df, {f.name: QUARTILES for f in fields}) if accuracy is None and fields else {}
+    aggs, rows = [], []
     for i, f in enumerate(fields):
         c = F.col(f.name)
         x = c.cast("double")
@@ -67,26 +74,16 @@ def describe_numeric(df: DataFrame, table: str, accuracy: int | None = None) ->
         aggs += [F.count(c).alias(f"_n{i}"), exact_round(mean, 2).alias(f"_m{i}"),
                  exact_round(F.stddev_samp(x), 2).alias(f"_s{i}"), F.min(x).alias(f"_lo{i}"),
                  F.max(x).alias(f"_hi{i}")]
-    a = df.agg(*aggs)
-    rows = F.array(*[F.struct(
-        F.lit(f.name).alias("column_name"), F.col(f"_n{i}").alias("count"), F.col(f"_m{i}").alias("mean"),
-        F.col(f"_s{i}").alias("std"), exact_round(F.col(f"_lo{i}"), 2).alias("min"),
-        exact_round(F.col(f"_hi{i}"), 2).alias("max"))
-        for i, f in enumerate(fields)])
-    stats = a.select(F.inline(rows))
-    # exact quartiles without a per-column value map in one task: unpivot to
-    # (column, value) and take distributed exact percentiles per column
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"),
-                                                 F.col(f.name).cast("double").alias("_x")) for f in fields])))
-    if accuracy is None:
-        q = exact_percentiles(long, "_x", [0.25, 0.5, 0.75], ["column_name"])
-    else:
-        q = long.groupBy("column_name").agg(F.percentile_approx("_x", [0.25, 0.5, 0.75], accuracy).alias("_q")) \
-            .select("column_name", *[F.col("_q")[i].alias(f"p{i}") for i in range(3)])
-    q = q.select("column_name", *[exact_round(F.col(f"p{i}"), 2).alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
-    out = stats.join(F.broadcast(q), "column_name", "left")       # one row per numeric column
-    return out.select(F.lit(table).alias("table_name"), "column_name", "count", "mean", "std", "min",
-                      "p25", "p50", "p75", "max")
+        if accuracy is not None:
+            aggs.append(F.percentile_approx(x, QUARTILES, accuracy).alias(f"_q{i}"))
+        quartiles = [F.lit(v).cast("double") for v in exact[f.name]] if exact else [F.col(f"_q{i}")[k] for k in range(3)]
+        rows.append(F.struct(
+            F.lit(f.name).alias("column_name"), F.col(f"_n{i}").alias("count"), F.col(f"_m{i}").alias("mean"),
+            F.col(f"_s{i}").alias("std"), exact_round(F.col(f"_lo{i}"), 2).alias("min"),
+            *[exact_round(q, 2).alias(n) for q, n in zip(quartiles, ["p25", "p50", "p75"])],
+            exact_round(F.col(f"_hi{i}"), 2).alias("max")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows))).select(
+        F.lit(table).alias("table_name"), "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def table_shape(df: DataFrame, table: str) -> DataFrame:
@@ -104,4 +101,6 @@ def duplicate_key_count(df: DataFrame, table: str, key: list[str]) -> DataFrame:
 
 
 def profile_tables(tables: dict[str, DataFrame], fn, **kw) -> DataFrame:
-    return _union([fn(df, name, **kw) for name, df in tables.items()])
+    """One profile of several tables.  Jobs that a profile runs itself are submitted together."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return _union(list(pool.map(lambda t: fn(t[1], t[0], **kw), tables.items())))

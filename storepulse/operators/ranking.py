@@ -1,39 +1,37 @@
-"""Exact order statistics over large data without a single-partition window.
+"""Exact ranks over large data without a single-partition window.
 
 ``Window.orderBy(...)`` with no partition (or a partition that grows with
-the data) moves every row of that partition into one task, and the exact
-``percentile`` aggregate merges one value→count map per group in one task.
-The operators here compute the same numbers distributedly from
-``cumulative_counts``, by one path at every size:
+the data) moves every row of that partition into one task.  The operators here
+compute the same numbers distributedly from ``cumulative_counts``, by one path
+at every size:
 
 1. collapse equal values: ``groupBy(partition, value).count()`` (partial
    aggregation: a value shared by a third of all rows is one row here);
-2. cut each partition's distinct values into ``width²`` ranges with
-   ``percentile_approx`` (one aggregate with a bounded sketch; exactness never
-   depends on the boundaries, as equal values always share a range); a value
-   finds its range in two steps of ``width`` comparisons;
+2. deal the distinct values out by Spark's range partitioner and store them
+   with the number of the range that they went to, so that everything after
+   sees the same ranges, whatever is run again;
 3. per range: total count → exclusive running total over the ranges (a window
-   over at most ``width²`` rows per partition);
+   over at most as many rows per partition as there are ranges);
 4. inside a range: running count of the values before it (window
    partitioned by partition × range).
 
 Every distinct value then knows ``_before`` = number of rows strictly before
 it.  ``exact_rank`` = 1 + ``_before``; ``exact_percentiles`` picks the values
-whose row span covers the interpolation positions.  A null partition value is
-a partition like any other: every join is null-safe.  Nothing is collected
-and no job runs while the plan is built.  Values are numbers, dates or
-timestamps.
+whose row span covers the interpolation positions of each group (for whole
+columns see ``operators.selection``).  A null partition value is a partition
+like any other: every join is null-safe.  Nothing is collected.  The input is
+read once for step 2, which runs when the function is called, and once where
+ranks are joined back.  Values are numbers, dates or timestamps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Comparisons in each of the two steps; a partition is cut into the square of it.
-WIDTH = 64
+from storepulse.sources.tables import staged
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -45,25 +43,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(right, cond, how).drop(*[f"_on_{c}" for c in on])
 
 
-def _range_of(key: Column, bounds: Column, width: int) -> Column:
-    """Number of the ascending bounds below the key: first by block, then within the block."""
-    heads = F.filter(bounds, lambda _, i: i % width == 0)
-    block = F.greatest(F.size(F.filter(heads, lambda b: b < key)) - 1, F.lit(0))
-    inside = F.filter(F.slice(bounds, block * width + 1, F.lit(width)), lambda b: b < key)
-    return block * width + F.size(inside)
-
-
 def cumulative_counts(df: DataFrame, value_col: str, partition_cols: Sequence[str] = (), desc: bool = False,
-                      width: int = WIDTH) -> DataFrame:
+                      width: int | None = None) -> DataFrame:
     """Distinct non-null (partition, value) rows with ``_n`` (multiplicity),
     ``_before`` (rows of the partition strictly before the value in order) and
-    ``_total`` (rows of the partition)."""
+    ``_total`` (rows of the partition).  ``width`` is the number of ranges, by
+    default that of shuffle partitions."""
     P = list(partition_cols)
     v = F.col(value_col)
+    width = width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vals = df.filter(v.isNotNull()).groupBy(*P, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    qs = [i / width**2 for i in range(1, width**2)]
-    bounds = vals.groupBy(*P).agg(F.percentile_approx(v, qs, 10000).alias("_bounds"))
-    ranged = join_null_safe(vals, bounds, P).withColumn("_range", _range_of(v, F.col("_bounds"), width)).drop("_bounds")
+    ranged = staged(vals.repartitionByRange(width, *P, value_col).withColumn("_range", F.spark_partition_id()), "ranges")
     per_range = ranged.groupBy(*P, "_range").agg(F.sum("_n").alias("_rows"))
     whole = Window.partitionBy(*P)
     earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +67,7 @@ def cumulative_counts(df: DataFrame, value_col: str, partition_cols: Sequence[st
             .drop("_off", "_range"))
 
 
-def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True, width: int = WIDTH,
+def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = True, width: int | None = None,
                partition_cols: Sequence[str] = ()) -> DataFrame:
     """RANK() OVER (PARTITION BY partition_cols ORDER BY value [DESC] NULLS LAST).
 
@@ -93,7 +83,7 @@ def exact_rank(df: DataFrame, value_col: str, out: str = "rank", desc: bool = Tr
 
 
 def exact_percentiles(df: DataFrame, value_col: str, qs: Sequence[float], partition_cols: Sequence[str] = (),
-                      width: int = WIDTH, prefix: str = "p") -> DataFrame:
+                      width: int | None = None, prefix: str = "p") -> DataFrame:
     """Exact linear-interpolation percentiles per partition, one column per q
     (named ``{prefix}{i}``) — the same numbers as ``percentile(value, q)``:
     position = q·(n−1); result = (hi−pos)·v[lo] + (pos−lo)·v[hi].  A partition

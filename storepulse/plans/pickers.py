@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from storepulse.functions.exprs import exact_mean, exact_round, safe_div
 from storepulse.operators.ranking import exact_rank
 from storepulse.plans.common import store_dim
+from storepulse.sources.tables import staged
 
 # fixed values: performance thresholds relative to the store / network mean
 HIGH_FACTOR, LOW_FACTOR = 1.1, 0.9
@@ -38,7 +39,7 @@ def picker_productivity(T: dict[str, DataFrame], with_rank: bool = True) -> Data
         # ranked on identifiers and rates alone, among the rows that the joins below keep
         per = (per.join(T["dim_pickers"].select("picker_id"), "picker_id", "left_semi")
                .join(store_dim(T), "store_id", "left_semi"))
-        per = exact_rank(per, "_rate", "productivity_rank")
+        per = exact_rank(staged(per, "picker_rates"), "_rate", "productivity_rank")
     p = (per
          .join(T["dim_pickers"].select("picker_id", "picker_name", "skill_level", "shift"), "picker_id")
          .join(store_dim(T, "store_name"), "store_id"))
@@ -146,6 +147,7 @@ def picker_concentration(T: dict[str, DataFrame], top_fraction: float = 0.10) ->
     A picker is "top" when RANK() by picks (descending) ≤ ceil(fraction × pickers).
     """
     picks = T["fact_picker_activity"].groupBy("picker_id").agg(F.count(F.lit(1)).alias("picks"))
+    picks = staged(picks, "picks")
     ranked = exact_rank(picks, "picks", "_rk")
     n = picks.agg(F.count(F.lit(1)).alias("n_pickers"), F.sum("picks").alias("total_picks"))
     j = ranked.crossJoin(F.broadcast(n))

@@ -38,7 +38,7 @@ LAYOUT_VERSION = "v2"
 _MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
-_CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "operators/ranking.py", "operators/sampling.py",
+_CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "operators/ranking.py", "operators/selection.py", "operators/sampling.py",
          "operators/mutations.py", "functions/exprs.py", "sources/tables.py", "plans/tableset.py"]
 
 

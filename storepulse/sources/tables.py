@@ -8,9 +8,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storepulse.session import store_dir
 from storepulse.sources.schemas import AUDIT, RAW_SCHEMAS, clean_schema
 
 
@@ -59,6 +62,18 @@ def write_table(df: DataFrame, path: str, name: str, fmt: str = "parquet", mode:
         df.write.mode(mode).parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared store, read back; deleted when the application ends.
+
+    For what several parts of a plan must see alike or should not compute again."""
+    spark = df.sparkSession
+    path = f"{store_dir(spark)}/storepulse/stage/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def register_views(tables: dict[str, DataFrame], prefix: str = "") -> None:
     """Expose a table set to ``spark.sql`` as temp views (IO4/IO5)."""
     for name, df in tables.items():
