@@ -550,3 +550,8 @@ def _sliced_pickers(condition: str) -> str:
 
 SQL["slice_skill"] = _sliced_pickers("skill_level = 'Expert'")
 SQL["slice_shift"] = _sliced_pickers("shift = 'Morning'")
+
+SQL["slice_months"] = SQL["delivery_percentiles"].replace(
+    DLV, f"(SELECT * FROM {DLV} WHERE order_date >= DATE '1995-04-01' AND order_date <= DATE '1996-09-30')")
+SQL["slice_hours"] = SQL["hourly_peak_bands"].replace(
+    DLV, f"(SELECT * FROM {DLV} WHERE store_id IN (SELECT store_id FROM cl_stores WHERE city = 'Asia'))")

@@ -12,10 +12,13 @@ from storepulse.functions.exprs import exact_mean, exact_round, month_start, rat
 from storepulse.operators import features as X
 from storepulse.operators import mutations as M
 from storepulse.operators import profiling as D
+from storepulse.operators.distinct import distinct_counts
+from storepulse.operators.ranking import join_null_safe
 from storepulse.operators.cleaning import _keep_first
 from storepulse.plans.common import delivered, rank_desc, store_dim
 from storepulse.plans import sla
 from storepulse.plans.sla import time_band
+from storepulse.plans.summaries import summary
 from storepulse.sources import tables as IO
 from storepulse.plans.tableset import clean_tables, published, raw_table_set as raw_tables, table_sets, updated_tables
 from storepulse.sources.schemas import TABLE_NAMES
@@ -136,10 +139,13 @@ def agg_conditional_rate(T):
 
 
 def agg_count_distinct(T):
-    return T["fact_orders"].groupBy("store_id").agg(
-        F.countDistinct("customer_id").alias("distinct_customers"),
-        F.countDistinct("order_date").alias("distinct_days"),
-        F.countDistinct("payment_method").alias("distinct_payment_methods"))
+    """Exact distinct counts: customers from stored bitmaps, days and payment methods from their own combinations."""
+    by = ["store_id"]
+    days = T["fact_orders"].groupBy("store_id", "order_date", "payment_method").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.groupBy("store_id").agg(F.countDistinct("order_date").alias("distinct_days"),
+                                        F.countDistinct("payment_method").alias("distinct_payment_methods"))
+    customers = distinct_counts(summary(T, "customer_bitmaps"), by, "distinct_customers")
+    return join_null_safe(days, customers, by, "left").withColumn("distinct_customers", F.coalesce("distinct_customers", F.lit(0).cast("long")))
 
 
 def agg_two_level(T):

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import exact_mean, exact_round, safe_div
+from storepulse.operators.distinct import distinct_counts
 from storepulse.operators.ranking import join_null_safe
 from storepulse.plans.common import store_dim
+from storepulse.plans.summaries import summary
 
 # fixed values: category margin colour thresholds (percent)
 MARGIN_GREEN, MARGIN_RED = 25.0, 18.0
@@ -49,11 +51,19 @@ def top_skus(T: dict[str, DataFrame], k: int = 20) -> DataFrame:
         F.rank().over(w).cast("bigint").alias("revenue_rank"))
 
 
+def _with_orders(per: DataFrame, orders: DataFrame, by: list[str]) -> DataFrame:
+    """``per`` with the count in ``orders``; a group whose rows name no order has none."""
+    count = orders.columns[-1]
+    return join_null_safe(per, orders, by, "left").withColumn(count, F.coalesce(count, F.lit(0).cast("long")))
+
+
 def category_by_store(T: dict[str, DataFrame]) -> DataFrame:
-    per = T["fact_order_items"].groupBy("store_id", "category").agg(
-        F.countDistinct("order_id").alias("orders"),
+    by = ["store_id", "category"]
+    per = T["fact_order_items"].groupBy(*by).agg(
         F.sum("quantity").cast("bigint").alias("total_qty"),
         F.sum("item_total_inr").alias("_rev"))
+    # a row for each store and category on both sides
+    per = _with_orders(per, distinct_counts(summary(T, "order_bitmaps"), by, "orders"), by)
     # share of the store's revenue: a window over the aggregate, one row per
     # category in each store partition (bounded by the category count)
     per = per.withColumn("_store_rev", F.sum("_rev").over(Window.partitionBy("store_id")))
@@ -79,8 +89,8 @@ def category_summary(T: dict[str, DataFrame]) -> DataFrame:
     """Revenue, weighted margin %, share of total and relative volume per category."""
     per = T["fact_order_items"].groupBy("category").agg(
         F.sum("item_total_inr").alias("_rev"), F.sum("item_margin_inr").alias("_m"),
-        F.sum("quantity").cast("bigint").alias("total_qty"),
-        F.countDistinct("order_id").alias("order_count"))
+        F.sum("quantity").cast("bigint").alias("total_qty"))
+    per = _with_orders(per, distinct_counts(summary(T, "order_bitmaps"), ["category"], "order_count"), ["category"])
     # category-sized result: totals over it are a one-row aggregate, broadcast
     tot = per.agg(F.sum("_rev").alias("_tot"), F.max("total_qty").alias("_maxq"))
     j = per.crossJoin(F.broadcast(tot))

@@ -16,6 +16,7 @@ from storepulse.plans.pnl import store_pnl_summary, store_scorecard
 from storepulse.plans.pickers import picker_productivity
 from storepulse.plans.products import category_performance
 from storepulse.plans.substitutions import substitution_bands
+from storepulse.plans.summaries import sliced, summary
 
 # fixed values: KPI and band thresholds
 KPI_SLA_GREEN = 85.0
@@ -91,10 +92,11 @@ def sla_bands(T: dict[str, DataFrame]) -> DataFrame:
 
 
 def _hourly(T: dict[str, DataFrame]) -> DataFrame:
-    return delivered(T["fact_orders"]).groupBy("order_hour").agg(
-        F.count("order_id").alias("total_orders"),
-        exact_round(exact_mean("total_delivery_mins")).alias("avg_delivery_mins"),
-        exact_round(rate_pct(F.col("sla_met"))).alias("sla_pct"))
+    """Delivered orders by hour, from the stored counts."""
+    return summary(T, "hour_counts").groupBy("order_hour").agg(
+        F.sum("orders").cast("bigint").alias("total_orders"),
+        exact_round(safe_div(F.sum("minutes"), F.sum("timed"))).alias("avg_delivery_mins"),
+        exact_round(safe_div(F.sum("met") * 100, F.sum("rows"))).alias("sla_pct"))
 
 
 def hourly_peak_bands(T: dict[str, DataFrame]) -> DataFrame:
@@ -185,6 +187,7 @@ def apply_slicers(T: dict[str, DataFrame], city: str | None = None, store: str |
     """
     out = dict(T)
     stores = T["dim_stores"]
+    some_stores = city is not None or store is not None
     if city is not None:
         stores = stores.filter(F.col("city") == city)
     if store is not None:
@@ -193,7 +196,7 @@ def apply_slicers(T: dict[str, DataFrame], city: str | None = None, store: str |
     keep = F.broadcast(stores.select("store_id"))
     for t in ("fact_orders", "fact_order_items", "fact_picker_activity", "fact_substitutions"):
         df = T[t]
-        if city is not None or store is not None:
+        if some_stores:
             df = df.join(keep, "store_id", "left_semi")
         for limit, beyond in ((date_from, "__ge__"), (date_to, "__le__")):
             if limit is not None:
@@ -210,4 +213,4 @@ def apply_slicers(T: dict[str, DataFrame], city: str | None = None, store: str |
         out["dim_pickers"] = pickers
         out["fact_picker_activity"] = out["fact_picker_activity"].join(pickers.select("picker_id"), "picker_id",
                                                                        "left_semi")
-    return out
+    return sliced(T, out, keep if some_stores else None, date_from, date_to)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storepulse.functions.exprs import exact_mean, exact_round, rate_pct
+from storepulse.functions.exprs import exact_mean, exact_round, rate_pct, safe_div
 from storepulse.plans.common import delivered, store_dim
+from storepulse.plans.summaries import summary
 
 DAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -48,15 +49,17 @@ def sla_by_hour(T: dict[str, DataFrame]) -> DataFrame:
 def delivery_percentiles(T: dict[str, DataFrame], accuracy: int | None = None) -> DataFrame:
     """p50/p75/p90/p95 of delivery minutes per store (linear interpolation).
 
-    Exact percentiles keep a value→count map per group; minutes have two
-    decimals and a bounded range, so the map is bounded even for a store with
-    a third of all orders.  ``accuracy`` switches to ``percentile_approx``.
+    Exact percentiles come from the stored counts of minutes, which are bounded even for a store
+    with a third of all orders.  ``accuracy`` switches to ``percentile_approx`` over the orders.
     """
     qs = [0.5, 0.75, 0.9, 0.95]
     x = F.col("total_delivery_mins").cast("double")
-    p = F.percentile(x, qs) if accuracy is None else F.percentile_approx(x, qs, accuracy)
-    agg = delivered(T["fact_orders"]).groupBy("store_id").agg(
-        p.alias("_p"), F.count("order_id").alias("total_orders"))
+    if accuracy is None:
+        agg = summary(T, "minute_counts").groupBy("store_id").agg(
+            F.percentile(x, qs, F.col("rows")).alias("_p"), F.sum("orders").cast("bigint").alias("total_orders"))
+    else:
+        agg = delivered(T["fact_orders"]).groupBy("store_id").agg(
+            F.percentile_approx(x, qs, accuracy).alias("_p"), F.count("order_id").alias("total_orders"))
     cols = [exact_round(F.col("_p")[i]).alias(n) for i, n in
             enumerate(["p50_delivery", "p75_delivery", "p90_delivery", "p95_delivery"])]
     return (agg.select("store_id", *cols, "total_orders")
@@ -145,12 +148,14 @@ def sla_flag_counts(T: dict[str, DataFrame]) -> DataFrame:
 
 
 def delivery_summary(T: dict[str, DataFrame]) -> DataFrame:
-    t = F.col("total_delivery_mins")
-    return delivered(T["fact_orders"]).agg(
-        exact_round(exact_mean(t)).alias("avg_delivery"),
+    """Mean, extremes and median of the minutes of Delivered orders, from the stored counts of minutes."""
+    t, n = F.col("total_delivery_mins"), F.col("rows")
+    total = F.sum((t.cast("decimal(18,2)") * n).cast("decimal(28,2)"))
+    return summary(T, "minute_counts").agg(
+        exact_round(safe_div(total, F.sum(F.when(t.isNotNull(), n)))).alias("avg_delivery"),
         F.min(t).cast("double").alias("min_delivery"),
         F.max(t).cast("double").alias("max_delivery"),
-        exact_round(F.percentile(t.cast("double"), 0.5), 4).alias("median_delivery"),
+        exact_round(F.percentile(t.cast("double"), 0.5, n), 4).alias("median_delivery"),
     )
 
 

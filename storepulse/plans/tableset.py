@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storepulse.operators.cleaning import clean_all, clean_and_write
 from storepulse.operators.mutations import update_script
+from storepulse.plans.summaries import BUILDERS, TableSet
 from storepulse.session import store_dir
 from storepulse.sources.fixtures import TPCH_TABLES, raw_tables
 from storepulse.sources.schemas import AUDIT, TABLE_NAMES
@@ -39,7 +40,7 @@ _MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 _CODE = ["sources/fixtures.py", "sources/schemas.py", "operators/cleaning.py", "operators/ranking.py", "operators/selection.py", "operators/sampling.py",
-         "operators/mutations.py", "functions/exprs.py", "sources/tables.py", "plans/tableset.py"]
+         "operators/mutations.py", "operators/distinct.py", "functions/exprs.py", "sources/tables.py", "plans/summaries.py", "plans/tableset.py"]
 
 
 def _code_version() -> str:
@@ -179,6 +180,18 @@ def _materialize_updated(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
     return {**clean, "fact_orders": read_table(spark, f"{path}/fact_orders", "fact_orders", "parquet", clean=True, month=True)}
 
 
+def _stored_summaries(spark: SparkSession, sf_dir: str, kind: str, tables: dict[str, DataFrame]):
+    """The summaries of a stored set by name, each written when it is first asked for."""
+    found: dict[str, DataFrame] = {}
+
+    def stored(name: str) -> DataFrame:
+        if name not in found:
+            path = published(spark, sf_dir, f"{kind}_{name}", lambda base: BUILDERS[name](tables).write.parquet(f"{base}/{name}"))
+            found[name] = spark.read.parquet(f"{path}/{name}")
+        return found[name]
+    return stored
+
+
 def _use_materialized(materialize: bool | None) -> bool:
     if materialize is not None:
         return materialize
@@ -197,8 +210,9 @@ def clean_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = No
         return clean
     key = _memo_key(spark, sf_dir, "clean")
     if key not in _MEMO:
-        _MEMO[key] = _materialize_clean(spark, sf_dir)
-    return dict(_MEMO[key])
+        tables = _materialize_clean(spark, sf_dir)
+        _MEMO[key] = TableSet(tables, _stored_summaries(spark, sf_dir, "clean", tables))
+    return TableSet(_MEMO[key], _MEMO[key].stored)
 
 
 def raw_table_set(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> dict[str, DataFrame]:
@@ -215,8 +229,9 @@ def updated_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The cleaned tables after the update script (materialized on first use)."""
     key = _memo_key(spark, sf_dir, "updated")
     if key not in _MEMO:
-        _MEMO[key] = _materialize_updated(spark, sf_dir)
-    return dict(_MEMO[key])
+        tables = _materialize_updated(spark, sf_dir)
+        _MEMO[key] = TableSet(tables, _stored_summaries(spark, sf_dir, "updated", tables))
+    return TableSet(_MEMO[key], _MEMO[key].stored)
 
 
 def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None):
