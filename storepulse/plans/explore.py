@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import exact_mean, exact_round, rate_pct, month_start, safe_div, weekday_name
+from storepulse.plans.summaries import mean_of, month_date, summary
 from storepulse.plans.common import delivered, store_dim
 from storepulse.plans.sla import day_number
 
@@ -49,12 +50,11 @@ def monthly_trend(T: dict[str, DataFrame]) -> DataFrame:
 
 
 def _store_sla(T: dict[str, DataFrame]) -> DataFrame:
-    return T["fact_orders"].groupBy("store_id").agg(
-        F.count("order_id").alias("total_orders"),
-        rate_pct(F.col("sla_met")).alias("_met"),
-        exact_mean("total_delivery_mins").alias("_d"),
-        exact_mean("pick_time_mins").alias("_p"),
-        exact_mean("travel_time_mins").alias("_t"))
+    """All orders by store, from the stored sums."""
+    return summary(T, "store_months").groupBy("store_id").agg(
+        F.sum("orders").cast("bigint").alias("total_orders"),
+        safe_div(F.sum("met") * 100, F.sum("rows")).alias("_met"),
+        mean_of("minutes").alias("_d"), mean_of("pick").alias("_p"), mean_of("travel").alias("_t"))
 
 
 def store_sla_bands(T: dict[str, DataFrame]) -> DataFrame:
@@ -85,8 +85,7 @@ def demand_heatmap(T: dict[str, DataFrame]) -> DataFrame:
 
 
 def _store_month_revenue(T: dict[str, DataFrame]) -> DataFrame:
-    return delivered(T["fact_orders"]).groupBy("store_id", month_start("order_date").alias("month")).agg(
-        F.sum("net_order_value_inr").alias("_mrev"))
+    return delivered(summary(T, "store_months")).select("store_id", month_date().alias("month"), F.col("revenue").alias("_mrev"))
 
 
 def _pnl_estimate(T: dict[str, DataFrame]) -> DataFrame:

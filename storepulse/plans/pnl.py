@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.exprs import exact_mean, exact_round, rate_pct, month_start, safe_div
+from storepulse.plans.summaries import month_date, summary
 from storepulse.plans.common import delivered, rank_desc, store_dim
 
 # fixed values: P&L status thresholds, customer frequency cut-offs
@@ -43,10 +44,9 @@ def monthly_store_pnl(T: dict[str, DataFrame]) -> DataFrame:
 
 
 def _monthly(T: dict[str, DataFrame]) -> DataFrame:
-    """Store-month revenue and profit (gross profit − fixed cost)."""
-    m = delivered(T["fact_orders"]).groupBy("store_id", month_start("order_date").alias("month")).agg(
-        F.sum("net_order_value_inr").alias("monthly_revenue"),
-        F.sum("gross_profit_inr").alias("_gp"))
+    """Store-month revenue and profit (gross profit − fixed cost), from the stored sums."""
+    m = delivered(summary(T, "store_months")).select("store_id", month_date().alias("month"), F.col("revenue").alias("monthly_revenue"),
+                                                     F.col("profit").alias("_gp"))
     return (m.join(store_dim(T, "monthly_fixed_cost_inr"), "store_id")
             .withColumn("monthly_profit", (F.col("_gp") - F.col("monthly_fixed_cost_inr"))
                         .cast("decimal(20,2)")))

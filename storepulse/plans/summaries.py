@@ -4,6 +4,8 @@
   and are capped, so a month of a store has a bounded number of rows, whatever its orders; exact
   percentiles, means and extremes of any stores and whole months come from adding them up.
 * ``hour_counts``: Delivered orders by month, store and hour: orders, sum of minutes, orders in time.
+* ``store_months``: all orders by month, store and status: counts and exact sums of money and minutes, from
+  which store and month reports and the findings come.
 * ``order_bitmaps``: the orders of each store and category as mergeable bitmaps (``operators.distinct``).
 * ``customer_bitmaps``: the customers of each store, likewise.
 
@@ -18,31 +20,50 @@ import calendar
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storepulse.functions.exprs import safe_div
 from storepulse.operators.distinct import bucket_count, member_bitmaps
 from storepulse.plans.common import delivered
 from storepulse.sources.tables import month_of
 
 MINUTES = "total_delivery_mins"
+#: What ``store_months`` adds up, by name.
+SUMS = {"revenue": "net_order_value_inr", "profit": "gross_profit_inr", "minutes": MINUTES, "pick": "pick_time_mins", "travel": "travel_time_mins"}
 
 
-def _months(T: dict[str, DataFrame]) -> DataFrame:
-    orders = delivered(T["fact_orders"])
+def _by_month(orders: DataFrame) -> DataFrame:
     return orders if "order_month" in orders.columns else orders.withColumn("order_month", month_of())
 
 
 def minute_counts(T: dict[str, DataFrame]) -> DataFrame:
-    return _months(T).groupBy("order_month", "store_id", MINUTES).agg(F.count("order_id").alias("orders"), F.count(F.lit(1)).alias("rows"))
+    return _by_month(delivered(T["fact_orders"])).groupBy("order_month", "store_id", MINUTES).agg(F.count("order_id").alias("orders"), F.count(F.lit(1)).alias("rows"))
 
 
 def hour_counts(T: dict[str, DataFrame]) -> DataFrame:
-    return _months(T).groupBy("order_month", "store_id", "order_hour").agg(
+    return _by_month(delivered(T["fact_orders"])).groupBy("order_month", "store_id", "order_hour").agg(
         F.count("order_id").alias("orders"), F.count(F.lit(1)).alias("rows"), F.sum(MINUTES).alias("minutes"),
         F.count(MINUTES).alias("timed"), F.sum(F.when(F.col("sla_met"), 1).otherwise(0)).cast("bigint").alias("met"))
 
 
+def store_months(T: dict[str, DataFrame]) -> DataFrame:
+    sums = [F.sum(c).alias(name) for name, c in SUMS.items()] + [F.count(c).alias(f"n_{name}") for name, c in SUMS.items()]
+    return _by_month(T["fact_orders"]).groupBy("order_month", "store_id", "order_status").agg(
+        F.count("order_id").alias("orders"), F.count(F.lit(1)).alias("rows"),
+        F.sum(F.when(F.col("sla_met"), 1).otherwise(0)).cast("bigint").alias("met"), *sums)
+
+
+def month_date() -> Column:
+    """The first day of a summary's month."""
+    return F.to_date(F.concat("order_month", F.lit("-01")))
+
+
+def mean_of(name: str) -> Column:
+    """The mean of a summed column of ``store_months``, in an aggregate of it."""
+    return safe_div(F.sum(name), F.sum(f"n_{name}"))
+
+
 def order_bitmaps(T: dict[str, DataFrame]) -> DataFrame:
     items = T["fact_order_items"]
     return member_bitmaps(items, ["store_id", "category"], "order_id", "store_id", bucket_count(items, "order_id", "store_id"))
@@ -54,9 +75,9 @@ def customer_bitmaps(T: dict[str, DataFrame]) -> DataFrame:
 
 
 BUILDERS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
-    f.__name__: f for f in (minute_counts, hour_counts, order_bitmaps, customer_bitmaps)}
+    f.__name__: f for f in (minute_counts, hour_counts, store_months, order_bitmaps, customer_bitmaps)}
 #: Summaries that are kept by month, so that whole months can be cut out of them.
-MONTHLY = ("minute_counts", "hour_counts")
+MONTHLY = ("minute_counts", "hour_counts", "store_months")
 
 
 class TableSet(dict):

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from storepulse.operators.distinct import bucket_count, distinct_counts, member_bitmaps
-from storepulse.plans import products, reports, sla
+from storepulse.plans import explore, pnl, products, reports, sla
 from storepulse.plans.operator_queries import agg_count_distinct
 from storepulse.plans.summaries import BUILDERS, TableSet, summary, whole_months
 from storepulse.plans.tableset import clean_tables
+from storepulse.sources.tables import write_table
 
 
 def plan(df) -> str:
@@ -65,12 +66,36 @@ def test_distinct_counts_exchange_no_orders(spark):
 def test_stored_summaries_equal_those_of_the_facts(spark):
     T = clean_tables(spark, SMALL)
     assert isinstance(T, TableSet)
-    for name in ("minute_counts", "hour_counts"):
+    for name in ("minute_counts", "hour_counts", "store_months"):
         assert rows(summary(T, name)) == rows(BUILDERS[name](dict(T)).select(*summary(T, name).columns))
     for fn in (sla.delivery_percentiles, sla.delivery_summary, reports.hourly_peak_bands, products.category_by_store, agg_count_distinct):
         assert rows(fn(T)) == rows(fn(dict(T)))
 
 
+def test_findings_read_no_orders(spark):
+    T = clean_tables(spark, SMALL)
+    for fn in (reports.key_findings, explore.eda_findings, pnl.store_pnl_summary, reports.sla_bands, explore.store_pnl_estimate):
+        assert not any("/fact_orders" in f for f in fn(T).inputFiles())
+    assert rows(explore.eda_findings(T)) == rows(explore.eda_findings(dict(T)))
+
+
+def test_a_store_slice_skips_rows_of_its_months(spark, tmp_path):
+    """One month of many stores: files are sorted by store, so a reader of one store skips most pages."""
+    df = spark.range(0, 300_000, 1, 4).select(
+        F.format_string("STR_%03d", F.col("id") * 7919 % 25).alias("store_id"), F.col("id").cast("string").alias("order_id"),
+        F.lit("1997-05-05").cast("date").alias("order_date"), F.md5(F.col("id").cast("string")).alias("note"))
+    write_table(df, str(tmp_path / "t"), "fact_test")
+    back = spark.read.parquet(str(tmp_path / "t")).where("store_id = 'STR_003'").select("order_id", "store_id")
+    read = back.collect()
+    assert len(read) == 12_000
+    node = back._jdf.queryExecution().executedPlan()
+    node = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+    leaf = node.collectLeaves().head()
+    assert leaf.metrics().apply("numOutputRows").value() < 100_000
+    cells = {r.order_month for r in spark.read.parquet(str(tmp_path / "t")).select("order_month").distinct().collect()}
+    assert cells == {"1997-05"}
+
+
 def test_a_slice_of_whole_months_reads_no_facts(spark):
     T = clean_tables(spark, SMALL)
     cut = reports.apply_slicers(T, city="Asia", date_from="1995-04-01", date_to="1996-09-30")
