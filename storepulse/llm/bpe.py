@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from storepulse.llm.common import map_batches, slices, text_or_empty
 
-#: Distinct pre-tokens kept in a worker; beyond it the store starts anew.
+#: Distinct pre-tokens kept in a worker, and the bytes of these and their ids; beyond either the store starts anew.
 CACHE = 400_000
+CACHE_BYTES = 64 << 20
 #: First code point of the characters that stand for bytes.
 BYTE_BASE = 0x100
 
@@ -88,6 +89,7 @@ class Codec:
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self._split = regex.compile(pattern).findall
         self._known: dict[str, bytes] = {}
+        self._held = 0
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -95,11 +97,14 @@ class Codec:
         parts = list(map(known.get, words))
         if None in parts:
             new = list({w for w, part in zip(words, parts) if part is None})
-            if len(known) + len(new) > CACHE:
+            if len(known) + len(new) > CACHE or self._held > CACHE_BYTES:
                 known.clear()
+                self._held = 0
                 new = list(set(words))
             pieces = self._model.encode([as_piece(w.encode()) for w in new], num_threads=1)
-            known.update((w, self._id_of_piece[p].tobytes()) for w, p in zip(new, pieces))
+            ids = [self._id_of_piece[p].tobytes() for p in pieces]
+            known.update(zip(new, ids))
+            self._held += sum(map(len, new)) + sum(map(len, ids))
             parts = map(known.__getitem__, words)
         return b"".join(parts)
 

@@ -28,27 +28,46 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from storepulse.llm.common import map_batches, slices, text_or_empty, utf8_buffer, written
-from storepulse.llm.words import words_of
+from storepulse.llm.words import distinct_words, words_of
 
 WINDOW = 2048
 #: Identifier buckets in which pieces are ranked, so that no task ranks all pieces of a length.
 BUCKETS = 4096
-#: Distinct words kept in a worker, and pre-tokens; beyond it the store starts anew.
-CACHE = 350_000
+#: Bytes of words and ids kept in a worker, and of pre-tokens and ids; beyond it the store starts anew.
+CACHE_BYTES = 48 << 20
+#: What an entry of a store takes besides its bytes, about.
+ENTRY_BYTES = 150
 #: Pre-tokens that are encoded in one text.
 JOINED = 512
 # The tokenizer's own pattern for letters of ASCII and Latin-1, and the words it is certain for.
 _PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 _CERTAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
+
+class Store(dict):
+    """Ids by word.  It counts its bytes and starts anew when they pass ``limit``; what is put in at once stays together."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def make_room(self) -> None:
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+
+    def put(self, key: str | bytes, ids: bytes) -> None:
+        self[key] = ids
+        self.held += len(key) + len(ids) + ENTRY_BYTES
+
 PIECES = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class WordEncoder:
     """Ids of texts by a byte-pair tokenizer that drops white space.
 
-    A slice of texts is cut into words, each distinct word is looked up once, and the ids are
-    gathered in order.  New words are cut into the tokenizer's pre-tokens where that is
+    A slice of texts is cut into words, each distinct word is looked up once by its bytes, and the
+    ids are gathered in order.  New words are cut into the tokenizer's pre-tokens where that is
     certain (ASCII and Latin letters, digits, punctuation), and many pre-tokens are encoded
     in one text: the last id of each stands for a token with the end-of-word mark.
     Other words are encoded one by one.
@@ -62,29 +81,27 @@ class WordEncoder:
         vocabulary = self._tool.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
-        self._words: dict[int, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._words, self._pieces = Store(), Store()
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self._tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add_pieces(self, new: list[str]) -> None:
-        if len(self._pieces) + len(new) > CACHE:
-            self._pieces.clear()
         chunks = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
         for chunk, ids in zip(chunks, self._plain([" ".join(c) for c in chunks])):
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(chunk) and ends[-1] == len(ids):
                 raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self._pieces.update((p, raw[a:b]) for p, a, b in zip(chunk, bounds, bounds[1:]))
+                each = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
             else:
-                self._pieces.update((p, x.tobytes()) for p, x in zip(chunk, self._plain(chunk)))
+                each = [x.tobytes() for x in self._plain(chunk)]
+            for piece, own in zip(chunk, each):
+                self._pieces.put(piece, own)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         cut = [_PRE_TOKEN.findall(w.lower()) if _CERTAIN.fullmatch(w) else None for w in words]
-        distinct = {p for pieces in cut if pieces for p in pieces}
-        new = [p for p in distinct if p not in self._pieces]
-        self._add_pieces(list(distinct) if len(self._pieces) + len(new) > CACHE else new)
+        self._pieces.make_room()
+        self._add_pieces([p for p in {p for pieces in cut if pieces for p in pieces} if p not in self._pieces])
         other = iter(self._plain([w for w, pieces in zip(words, cut) if pieces is None]))
         known = self._pieces
         return [next(other).tobytes() if pieces is None else b"".join([known[p] for p in pieces]) for pieces in cut]
@@ -92,17 +109,16 @@ class WordEncoder:
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's begin)."""
         words = words_of(data, starts)
-        code, first, which = np.unique(words.code, return_index=True, return_inverse=True)
-        code = code.tolist()
-        if len(self._words) > CACHE:
-            self._words.clear()
-        parts = list(map(self._words.get, code))
+        first, which = distinct_words(data, words)
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
+        self._words.make_room()
+        parts = list(map(self._words.get, keys))
         new = [k for k, part in enumerate(parts) if part is None]
         if new:
-            at = first[new]
-            texts = [data[a:b].tobytes().decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
-            for k, ids in zip(new, self._encode_words(texts)):
-                parts[k] = self._words[code[k]] = ids
+            for k, ids in zip(new, self._encode_words([keys[k].decode() for k in new])):
+                parts[k] = ids
+                self._words.put(keys[k], ids)
         size = np.array(list(map(len, parts)), dtype=np.int64) // 4
         flat, begin = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(size) - size
         each = size[which]

@@ -1,11 +1,14 @@
 """Words of many texts at once: numpy views over one UTF-8 buffer.
 
 Words are maximal runs of bytes other than ASCII white space.  Each gets a 64-bit
-fingerprint; A-Z may be folded to lower case in it.
+fingerprint; A-Z may be folded to lower case in it.  That of a word of up to ``LONG`` bytes is a
+polynomial modulo 2**64, under which some longer words collide for certain (a Thue-Morse string
+and its complement); a longer word has its BLAKE2b digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -14,10 +17,9 @@ from storepulse.llm.common import mix64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_CHUNK = 1024
+LONG = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(_CHUNK)], dtype=np.uint64)
-_FAR_POWERS = np.array([pow(_BASE, i * _CHUNK, 1 << 64) for i in range(_CHUNK)], dtype=np.uint64)
+_POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(LONG)], dtype=np.uint64)
 _BYTE_CODES = mix64(np.arange(256, dtype=np.uint64))
 _FOLDED_CODES = _BYTE_CODES.copy()
 _FOLDED_CODES[65:91] = _BYTE_CODES[97:123]
@@ -53,9 +55,35 @@ def words_of(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> Words:
         length = end - start
         bytes_at = np.flatnonzero(inside)
         place = np.arange(len(bytes_at)) - np.repeat(np.cumsum(length) - length, length)
-        weight = _POWERS[place % _CHUNK]
-        if length.max() > _CHUNK:
-            weight *= _FAR_POWERS[place // _CHUNK % _CHUNK] + (place // _CHUNK**2).astype(np.uint64)
+        weight = _POWERS[place % LONG]
         weight *= (_FOLDED_CODES if fold else _BYTE_CODES)[data[bytes_at]]
         code = mix64(np.add.reduceat(weight, np.cumsum(length) - length) + length.astype(np.uint64))
+        for k in np.flatnonzero(length > LONG):
+            word = data[start[k]:end[k]].tobytes()
+            digest = hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest()  # lower() of bytes folds A-Z alone
+            code[k] = np.uint64(int.from_bytes(digest, "little"))
     return Words(start, end, text, code, first)
+
+
+def distinct_words(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(a word of each distinct spelling, which of these each word is).  Bytes decide; fingerprints only group them."""
+    _, first, which = np.unique(words.code, return_index=True, return_inverse=True)
+    if not len(first):
+        return first, which
+    model = first[which]
+    length = words.end - words.start
+    same = length == length[model]
+    begin = np.cumsum(length) - length
+    at = np.repeat(words.start, length) + np.arange(int(length.sum())) - np.repeat(begin, length)
+    # a word as long as its model is compared byte by byte; a shorter model's place stays within the data
+    there = np.minimum(at + np.repeat(words.start[model] - words.start, length), len(data) - 1)
+    same &= np.add.reduceat((data[at] != data[there]).astype(np.int64), begin) == 0
+    others: dict[bytes, int] = {}
+    extra = []
+    for k in np.flatnonzero(~same):
+        word = data[words.start[k]:words.end[k]].tobytes()
+        if word not in others:
+            others[word] = len(first) + len(extra)
+            extra.append(k)
+        which[k] = others[word]
+    return np.concatenate([first, np.array(extra, dtype=first.dtype)]), which

@@ -50,3 +50,12 @@ def test_digests_and_round_trip(spark, reference):
 
 def test_empty_table(spark):
     assert encode(documents(spark, []), PATH, PATTERN).count() == 0
+
+
+def test_store_is_bound_by_bytes(monkeypatch):
+    monkeypatch.setattr("storepulse.llm.bpe.CACHE_BYTES", 2000)
+    tool = Codec(PATH, public_tokenizers.PATTERN)
+    for i in range(30):
+        text = " ".join("x" * (200 + 30 * i + k) for k in range(3))
+        assert tool.decode(np.frombuffer(tool.encode(text), "<u4").tolist()).decode() == text
+        assert tool._held < 2000 + 20_000

@@ -138,3 +138,10 @@ def test_documents_far_from_the_hub(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert jaccard_components(documents(spark, [])).count() == 0
+
+
+def test_long_words_that_a_polynomial_takes_for_the_same_are_not_linked(spark):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    rows = [(10 * k + j, "".join(letters[b] for b in bits[:n])) for k, n in enumerate((1024, 2048, 4096)) for j, letters in enumerate(("ab", "ba", "AB"))]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(documents(spark, rows)).collect()}
+    assert found == {i: i - 2 if i % 10 == 2 else i for i, _ in rows}

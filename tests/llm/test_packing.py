@@ -87,3 +87,33 @@ def test_many_equal_lengths(spark):
 
 def test_empty_table(spark):
     assert pack_documents(documents(spark, []), PATH).count() == 0
+
+
+def thue_morse(n):
+    """A string over a and b and its complement, which polynomials modulo 2**64 take for the same."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    texts = [t for n in (1024, 2048, 4096) for t in thue_morse(n)]
+    for force in (False, True):
+        if force:  # all fingerprints collide
+            from storepulse.llm import packing
+            real = packing.words_of
+            monkeypatch.setattr(packing, "words_of", lambda *a, **k: real(*a, **k)._replace(code=np.zeros(len(real(*a, **k).code), np.uint64)))
+            texts = ["one two", "two three one", "", "thr three", *texts, "onf one"]
+        ids, bounds = WordEncoder(PATH).encode(*utf8_buffer(pa.array(texts)))
+        for a, b, expect in zip(bounds, bounds[1:], reference(texts)):
+            assert ids[a:b].tolist() == expect
+
+
+def test_store_is_bound_by_bytes():
+    rng = random.Random(8)
+    tool = WordEncoder(PATH)
+    tool._words.limit = tool._pieces.limit = 20_000
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcdé9-") for _ in range(rng.choice([3, 400]))) for _ in range(10))]
+        ids, _ = tool.encode(*utf8_buffer(pa.array(texts)))
+        assert ids.tolist() == reference(texts)[0]
+        assert max(tool._words.held, tool._pieces.held) < 20_000 + 100_000  # and what one call puts in
