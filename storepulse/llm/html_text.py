@@ -18,7 +18,9 @@ names (``entry-header``) do so where few pages have it, and less the more there
 below ``THRESHOLD`` are removed from each page; the blocks that stay are the main text.
 
 Contents are counted by grouping, so a host with any share of the pages is spread over
-tasks; what reaches a task for a page is the set of its own paths that are removed.
+tasks.  Pages of a host with the same set of paths have one layout; each layout's paths are
+looked up in the tree once, and what reaches a task for a page is the set of its own paths
+that are removed.
 
 Null and empty pages have an empty text.  A page without a usable host belongs to the host
 ''.  Repeated rows give repeated results.  Only the named columns are read.
@@ -32,7 +34,9 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,6 +193,11 @@ def _code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def layout(paths) -> bytes:
+    """A digest of a set of paths."""
+    return hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def host_of(url_col: str) -> Column:
     """The host of an address in lower case, or the empty string."""
     address = F.lower(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
@@ -278,32 +287,60 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             codes = pa.array([_code(path) for path in batch.column("path").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("host"), codes], names=["host", "code"]).filter(pa.array(drop, pa.bool_()))
 
-    def own_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            codes = [[_code(path) for path in {path for path, _ in blocks(page)[0]}] for page in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(codes, pa.list_(pa.int64()))],
-                                             names=["host", "page", "codes"])
+            numbers, codes = [], []
+            for page in batch.column("text").to_pylist():
+                paths = {path for path, _ in blocks(page)[0]}
+                numbers.append(layout(paths))
+                codes.append([_code(path) for path in paths])
+            # what a batch repeats is told once
+            new = list({key: i for i, key in enumerate(zip(batch.column("host").to_pylist(), numbers))}.values())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(numbers, pa.binary()), pa.array(codes, pa.list_(pa.int64()))],
+                names=["host", "layout", "codes"]).take(pa.array(new, pa.int64()))
 
     text = F.coalesce(F.col(html_col), F.lit(""))
-    # pages of a host with the same text have the same paths
-    page = F.unhex(F.md5(text.cast("binary"))).alias("page")
     dropped = map_batches(tree.select("host", "path", "seen", "importance"), removed_paths, "host string, code long")
-    own = map_batches(pages.select(host_of(url_col).alias("host"), page, text.alias("text")), own_paths,
-                      "host string, page binary, codes array<long>")
-    by_page = written(own.select("host", "page", F.explode("codes").alias("code")).join(dropped, ["host", "code"])
-                      .groupBy("host", "page").agg(F.collect_set("code").alias("dropped")), "dropped")
+    own = map_batches(pages.select(host_of(url_col).alias("host"), text.alias("text")), layouts,
+                      "host string, layout binary, codes array<long>").groupBy("host", "layout").agg(F.first("codes").alias("codes"))
+    by_layout = written(own.select("host", "layout", F.explode("codes").alias("code")).join(dropped, ["host", "code"])
+                        .groupBy("host", "layout").agg(F.collect_set("code").alias("dropped")), "dropped")
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = (pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
-                         host_of(url_col).alias("host"), page, text.alias("text"))
-            .join(by_page, ["host", "page"], "left").select("id", "url", "text", "dropped"))
 
-    def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, 4 << 20):
+            numbers, packed = [], []
+            for page in batch.column("text").to_pylist():
+                found = blocks(page)[0]
+                paths = list(dict.fromkeys(path for path, _ in found))
+                place = {path: i for i, path in enumerate(paths)}
+                numbers.append(layout(paths))
+                # the codes of its paths, and which of them each block has; a block's text has no line break
+                head = np.array([len(paths), len(found), *(place[path] for path, _ in found)], "<u4").tobytes()
+                codes = np.array([_code(path) for path in paths], "<i8").tobytes()
+                packed.append(squeeze(head + codes + "\n".join(text for _, text in found).encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("url"), batch.column("host"), pa.array(numbers, pa.binary()), pa.array(packed, pa.binary())],
+                names=["id", "url", "host", "layout", "packed"])
+
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), text.alias("text"))
+    rows = (map_batches(rows, parsed, f"id {kind}, url string, host string, layout binary, packed binary")
+            .join(by_layout, ["host", "layout"], "left").select("id", "url", "packed", "dropped"))
+
+    def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, 1 << 20, "packed"):
             texts = []
-            for page, out in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
-                out = frozenset(out or ())
-                texts.append("\n\n".join(text for path, text in blocks(page)[0] if _code(path) not in out))
+            for page, out in zip(batch.column("packed").to_pylist(), batch.column("dropped").to_pylist()):
+                page, out = unpack(page), frozenset(out or ())
+                n, held = np.frombuffer(page, "<u4", 2).tolist()
+                of = np.frombuffer(page, "<u4", held, 8).tolist()
+                stays = [code not in out for code in np.frombuffer(page, "<i8", n, 8 + 4 * held).tolist()]
+                found = page[8 + 4 * held + 8 * n:].decode("utf-8", "surrogatepass").split("\n")
+                texts.append("\n\n".join(text for k, text in zip(of, found) if stays[k]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
