@@ -97,14 +97,14 @@ select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256
 
 OP6_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+  select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::hugeint) as x
   from embeddings
   where vec_id is not null and len(embedding) > 0
-    and len(list_filter(embedding, lambda c: c is not null and isfinite(c) and abs(256 * c::double) < 8388608)) = len(embedding)),
+    and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = len(embedding)),
 q as (select vec_id as query_id, unnest(x) as qc, generate_subscripts(x, 1) as d from v where vec_id % 50 = 0),
 c as (select vec_id, unnest(x) as cc, generate_subscripts(x, 1) as d from v),
-s as (select query_id, vec_id, sum(qc * cc)::bigint as score from q join c using (d) where query_id <> vec_id group by all)
-select query_id, rank::int as rank, vec_id, score from (
+s as (select query_id, vec_id, sum(qc * cc) as score from q join c using (d) where query_id <> vec_id group by all)
+select query_id, rank::int as rank, vec_id, try_cast(score as bigint) as score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
 """
 

@@ -55,3 +55,22 @@ def test_all_the_same_vector(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_components_of_any_size(spark):
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    rng = random.Random(6)
+
+    def exact(c):
+        return math.floor(256 * c) if abs(c) < 2**53 else int(c) * 256
+
+    for sizes in ([1.0, 1e6], [1e6], [1.0, 3e7, 1e9, 1e14], [1e-3, 1e20, 3e38], [1.0, 1e200, 1.7e308], [1 / 256, 1.7e308]):
+        rows = [(i, [rng.choice([-1, 1]) * rng.random() * rng.choice(sizes) for _ in range(6)]) for i in range(80)]
+        rows += [(90, rows[0][1]), (91, rows[0][1]), (92, [float("inf")] * 6)]
+        ints = {i: [exact(c) for c in v] for i, v in rows if i != 92}
+        expect = []
+        for q in (i for i in ints if i % 10 == 0):
+            scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), j) for j, v in ints.items() if j != q)[:5]
+            expect += [(q, r + 1, j, -s if -2**63 <= -s < 2**63 else None) for r, (s, j) in enumerate(scored)]
+        df = spark.createDataFrame(rows, schema)
+        assert sorted(map(tuple, exact_top_k(df, df.where("vec_id % 10 = 0"), 5, data_block=30, query_block=4).collect())) == sorted(expect)
