@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storepulse.plans import explore, operator_queries, pickers, pnl, products, reports, sla, substitutions
+from storepulse.plans import explore, operator_queries, pickers, pnl, products, reports, sla, sql_reports, substitutions
 from storepulse.plans.tableset import clean_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,8 @@ ANALYTICS: dict[str, Callable] = {
     "orders_by_city": reports.orders_by_city,
     "order_status_share": reports.order_status_share,
     "revenue_vs_delivery_cost": reports.revenue_vs_delivery_cost,
+    # reports as SQL text over the views
+    **{name: sql_reports.report(name) for name in sql_reports.REPORTS},
 }
 
 
