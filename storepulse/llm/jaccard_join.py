@@ -14,15 +14,18 @@ token in all, one is the same in both sets: if it is not costly, its own signatu
 shared; if it is, both sets index the pair together, and the neighbourhoods meet.  No
 linked pair is missed.
 
-Candidates are verified exactly on their token sets.  Equal sets count once, under their
-smallest identifier.  Of the documents with one signature each is first compared with the
+Candidates are first compared by sketches: the parities of the tokens that fall in each of some
+bins.  Tokens that two sets have in common cancel, so the number of bins that differ is at most
+that of tokens that differ; a pair beyond what a link allows is left out.  The others are verified
+exactly on their token sets.  Equal sets count once, under their smallest identifier.  Of the documents with one signature each is first compared with the
 smallest (in two steps, within a task and then across tasks, so that a signature that very
 many share is small before the shuffle); the links found give components.  Only documents
 that share a signature and are still in different components are looked at further:
 
-* where at most ``COMMON`` documents share it, they are compared with each other;
+* where at most ``COMMON`` documents share it, a task compares their sketches with each other;
+  signatures that the same documents share count once;
 * otherwise its cost is too high, as above: these documents index its pair of segments
-  together with the one-deletion neighbourhood, and again up to ``COMMON`` are compared;
+  together with the one-deletion neighbourhood, and again up to ``COMMON`` are compared so;
 * where more agree even on that, or the signature is that of a pair from the start, they are
   compared with the one among them that shares most (the hub).  Most are near copies of one
   text.  Two of these differ by what their differences from the hub do not have in common,
@@ -54,9 +57,15 @@ from storepulse.llm.words import words_of
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.4
 #: Documents that may share a signature before its segments are indexed in pairs.
-COMMON = 8
+COMMON = 256
+#: Pairs of sketches that a task compares at a time (those of one document with its group at least).
+PAIRS_AT_ONCE = 1 << 17
 #: Signatures that a task sorts at a time.
 SORTED_AT_ONCE = 1 << 20
+#: Bytes of text that a task turns into tokens at a time (one text at least).
+TEXT_AT_ONCE = 4 << 20
+#: Bins of a sketch: a power of two, at least the tokens of the set, between these.
+FEWEST_BINS, MOST_BINS = 64, 1 << 16
 
 _ONE = np.uint64(1)
 
@@ -174,29 +183,77 @@ def signatures(tokens: np.ndarray, first: np.ndarray, scheme: Scheme,
     return np.concatenate(out), np.concatenate(of)
 
 
-def _indexed(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
-    """Each row's identifier, set size, set digest (two numbers) and signatures."""
+def sketches(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the tokens in each bin of every text's sketch, as bytes, and where each text's begin."""
+    size = np.diff(first)
+    bins = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), FEWEST_BINS, MOST_BINS)
+    begin = np.concatenate([[0], np.cumsum(bins)])
+    bin_of = np.repeat(begin[:-1], size) + (tokens & np.repeat(bins - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bin_of, minlength=begin[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little"), begin // 8
+
+
+def least_difference(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For each pair of sketches a number of tokens by which their sets differ at least."""
+    least = np.zeros(len(x), dtype=np.int64)
+    lengths = np.array([[len(a), len(b)] for a, b in zip(x, y)]).reshape(-1, 2)
+    for shape in np.unique(lengths, axis=0):
+        rows = np.flatnonzero((lengths == shape).all(axis=1))
+        sides = [np.frombuffer(b"".join(side[i] for i in rows), np.uint64).reshape(len(rows), -1) for side in (x, y)]
+        words = min(side.shape[1] for side in sides)
+        # bins are low bits of a token, so halves of a longer sketch fall on each other
+        sides = [np.bitwise_xor.reduce(side.reshape(len(rows), -1, words), axis=1) for side in sides]
+        least[rows] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+    return least
+
+
+def _indexed(rows: DataFrame, width: int) -> DataFrame:
+    """Each row's identifier, set size, set digest (two numbers) and sketch."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, TEXT_AT_ONCE):
             tokens, first = token_sets(*utf8_buffer(batch.column("text")), width)
-            codes, of = signatures(tokens, first, scheme)
-            order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes[order].view(np.int64), pa.int64()))
+            parities, begin = sketches(tokens, first)
+            drawn = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(begin), pa.py_buffer(parities)])
             sums = []
             for salt in (0x1234567, 0x7654321):
                 running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens ^ np.uint64(salt)), dtype=np.uint64)])
                 sums.append((running[first[1:]] - running[first[:-1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.diff(first), pa.int64()), *(pa.array(s, pa.int64()) for s in sums), lists],
-                names=["id", "size", "sum1", "sum2", "signatures"])
+                [batch.column("id"), pa.array(np.diff(first), pa.int64()), *(pa.array(s, pa.int64()) for s in sums), drawn.cast(pa.binary())],
+                names=["id", "size", "sum1", "sum2", "sketch"])
+
+    return map_batches(rows, run, f"id {kind}, size long, sum1 long, sum2 long, sketch binary")
+
+
+def _packed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, packed): the named documents' texts, compressed before the shuffle."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches, TEXT_AT_ONCE):
+            packed = [squeeze(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+    # both sides grow with the data, so the join is a shuffled one at every size
+    return map_batches(rows.where("id is not null"), pack, "id long, packed binary").join(nodes.hint("merge"), "id", "left_semi")
 
-    return map_batches(rows, run, f"id {kind}, size long, sum1 long, sum2 long, signatures array<long>")
 
+def _tokens_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Identifiers, tokens and where each text's begin, of packed texts, a few at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        packed = batch.column("packed").to_pylist()
+        ends = np.cumsum([zstandard.frame_content_size(p) for p in packed])
+        at = 0
+        while at < len(packed):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_AT_ONCE, side="right")))
+            texts = pa.array([unpack(p) for p in packed[at:end]], pa.large_binary())
+            yield batch.column("id").slice(at, end - at), *token_sets(*utf8_buffer(texts), width)
+            at = end
 
-def _members(index: DataFrame) -> DataFrame:
+
+def _members(packed: DataFrame, scheme: Scheme, width: int) -> DataFrame:
     """(signature, lead, id): documents that share a signature, as a tree over the smallest of them.
 
     Each task links the ones that it sorts at a time to their smallest; those are linked to the
@@ -217,18 +274,18 @@ def _members(index: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (code, lead, owner)],
                                               names=["signature", "lead", "id"])
 
-        for batch in batches:
-            lists = batch.column("signatures")
-            codes.append(lists.flatten().to_numpy(zero_copy_only=False))
-            ids.append(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
-            held += len(codes[-1])
+        for owners, tokens, first in _tokens_of(batches, width):
+            code, of = signatures(tokens, first, scheme)
+            codes.append(code.view(np.int64))
+            ids.append(owners.to_numpy(zero_copy_only=False)[of])
+            held += len(code)
             if held >= SORTED_AT_ONCE:
                 yield sorted_out()
                 held = 0
         if held:
             yield sorted_out()
 
-    rows = map_batches(index.select("id", "signatures"), run, "signature long, lead long, id long")
+    rows = map_batches(packed, run, "signature long, lead long, id long")
     least = F.min("lead").over(Window.partitionBy("signature").orderBy("lead").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     linked = rows.withColumn("least", least)
     return (linked.select("signature", F.when(F.col("lead") == F.col("id"), F.col("least")).otherwise(F.col("lead")).alias("lead"), "id")
@@ -236,30 +293,47 @@ def _members(index: DataFrame) -> DataFrame:
 
 
 def _token_sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the named documents; their texts are compressed before the shuffle."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, 4 << 20):
-            packed = [squeeze(t.as_buffer()) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+    """(id, tokens) of the named documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owners, tokens, first in _tokens_of(batches, width):
+            sets = [tokens[a:b].tobytes() for a, b in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([owners, pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for packed in batches:
-            for at in range(0, packed.num_rows, 256):
-                some = packed.slice(at, 256)
-                texts = pa.array([unpack(p) for p in some.column("packed").to_pylist()], pa.large_binary())
-                found, first = token_sets(*utf8_buffer(texts), width)
-                sets = [found[a:b].tobytes() for a, b in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.binary())], names=["id", "tokens"])
-
-    packed = map_batches(rows, pack, "id long, packed binary")
-    # both sides grow with the data, so the join is a shuffled one at every size
-    return map_batches(packed.join(nodes.hint("merge"), "id", "left_semi"), tokens, "id long, tokens binary")
+    return map_batches(_packed(rows, nodes), run, "id long, tokens binary")
+
+
+def _possible(x: list[bytes], y: list[bytes], a: np.ndarray, b: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Whether sets of these sketches and sizes may be similar enough."""
+    keep = np.minimum(a, b) * whole >= np.maximum(a, b) * part
+    some = np.flatnonzero(keep)
+    least = least_difference([x[i] for i in some], [y[i] for i in some])
+    keep[some] = least * (whole + part) <= (a[some] + b[some]) * (whole - part)
+    return keep
+
+
+def _near(pairs: DataFrame, index: DataFrame, part: int, whole: int) -> DataFrame:
+    """Those of the pairs (lead, id) that may be linked by their sizes and sketches."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c).to_pylist() for c in ("x", "y"))
+            sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "size2"))
+            yield batch.select(["lead", "id"]).filter(pa.array(_possible(*sides, *sizes, part, whole)))
 
+    own = index.select("id", "size", F.col("sketch").alias("x"))
+    lead = index.select(F.col("id").alias("lead"), F.col("size").alias("size2"), F.col("sketch").alias("y"))
+    both = pairs.join(own, "id").join(lead, "lead").select("lead", "id", "size", "size2", "x", "y")
+    return map_batches(both, compare, "lead long, id long").distinct()
 
-def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("id").union(pairs.select("lead")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, part: int, whole: int) -> DataFrame:
     """Those of the pairs (lead, id) whose sets are similar enough, as links (a, b)."""
+    pairs = written(pairs, "near_pairs")
+    sets = written(_token_sets(rows, _ends(pairs), width), "token_sets")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -295,11 +369,49 @@ def _in_pairs(common: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
                        "signature long, id long, component long")
 
 
-def _pairs_across(rows: DataFrame) -> DataFrame:
-    """(lead, id) of rows that share a signature in different components."""
-    x, y = rows.alias("x"), rows.alias("y")
-    return (x.join(y, "signature").where("x.id < y.id and x.component <> y.component")
-            .select(F.col("x.id").alias("lead"), F.col("y.id").alias("id")).distinct())
+def _pairs_across(rows: DataFrame, index: DataFrame, part: int, whole: int) -> DataFrame:
+    """(lead, id) of rows that share a signature in different components and may be linked.
+
+    At most ``COMMON`` rows share a signature here.  They meet in one task, which compares their sketches."""
+    held = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"),
+                                         F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("xor"))
+    # signatures that the same documents share: one of them
+    kept = held.groupBy("members", "sum", "xor").agg(F.min("signature").alias("signature")).select("signature")
+    drawn = rows.join(kept, "signature", "left_semi").join(index.select("id", "size", "sketch"), "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            code = rest.column("signature").to_numpy(zero_copy_only=False)
+            whole_groups = int(np.searchsorted(code, code[-1])) if len(code) else 0      # the last may go on in the next batch
+            yield from groups(rest.slice(0, whole_groups))
+            rest = rest.slice(whole_groups)
+        if rest is not None:
+            yield from groups(rest)
+
+    def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        code, node, component, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("signature", "id", "component", "size"))
+        sketch = batch.column("sketch").to_pylist()
+        following = np.searchsorted(code, code, side="right") - np.arange(len(code)) - 1
+        total = np.cumsum(following)
+        at = 0
+        while at < len(code):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            count = following[at:end]
+            x = np.repeat(np.arange(at, end), count)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+            across = (component[x] != component[y]) & (node[x] != node[y])
+            x, y = x[across], y[across]
+            keep = _possible([sketch[i] for i in x], [sketch[i] for i in y], size[x], size[y], part, whole)
+            x, y = node[x[keep]], node[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["lead", "id"])
+            at = end
+
+    in_order = drawn.select("signature", "id", "component", "size", "sketch").repartition("signature").sortWithinPartitions("signature")
+    return map_batches(in_order, compare, "lead long, id long").distinct()
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -353,10 +465,10 @@ def _pairs_beside_hubs(edits: DataFrame, part: int, whole: int) -> DataFrame:
     need = F.ceil((e + 1 - F.ceil(e * least / most)) / 2)
     token = edits.select("hub", "id", "size", "linked", "far", e.alias("e"), need.alias("need"), F.explode("tokens").alias("token"))
     often = token.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    # a token that one document alone holds joins nothing, but takes its place in the order
-    held = token.join(often, ["hub", "token"], "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    in_order = Window.partitionBy("hub", "id").orderBy("held", "token")
-    held = held.withColumn("at", F.row_number().over(in_order)).where("held > 1")
+    # a token that one document alone holds joins nothing; such tokens come first in the order
+    of_document = Window.partitionBy("hub", "id")
+    at = F.col("e") - F.count(F.lit(1)).over(of_document) + F.row_number().over(of_document.orderBy("held", "token"))
+    held = token.join(often, ["hub", "token"]).withColumn("at", at)
     x = held.where("not far and at <= e - need + 1").alias("x")
     s = held.where("not far and not linked").alias("s")
     # what the two can still have in common, from this token on, must be enough for their sizes
@@ -365,30 +477,35 @@ def _pairs_beside_hubs(edits: DataFrame, part: int, whole: int) -> DataFrame:
     same = (F.col("x.hub") == F.col("s.hub")) & (F.col("x.token") == F.col("s.token")) & (F.col("x.id") != F.col("s.id"))
     pair = [F.least("x.id", "s.id").alias("lead"), F.greatest("x.id", "s.id").alias("id")]
     near = x.join(s, same & enough).select(*pair)
-    own = held.where(~F.col("far") | (F.col("at") <= F.floor(F.col("size") * least / whole) + 1))
+    spare = lambda side: F.floor(F.col(f"{side}size") * least / whole)  # noqa: E731  tokens of its own that a link may lack
+    own = held.where(~F.col("far") | (F.col("at") <= spare("") + 1))
     sizes = F.least("x.size", "s.size") * whole >= F.greatest("x.size", "s.size") * part
-    far = own.where("far").alias("x").join(own.alias("s"), same & sizes).select(*pair)
+    # from the first token in common on, both must still hold as many as the link of a far document needs
+    left = F.least(F.col("x.e") - F.col("x.at"), F.col("s.e") - F.col("s.at")) + 1
+    holds = (left >= F.col("x.e") - spare("x.")) & (~F.col("s.far") | (left >= F.col("s.e") - spare("s.")))
+    far = own.where("far").alias("x").join(own.alias("s"), same & sizes & holds).select(*pair)
     return near.union(far).distinct()
 
 
-def _links_across(members: DataFrame, found: DataFrame, checked: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+def _links_across(members: DataFrame, found: DataFrame, checked: DataFrame, rows: DataFrame, index: DataFrame,
+                  scheme: Scheme, width: int) -> DataFrame:
     """Links between documents that share a signature, and where it is common the one of a pair of
     segments, but are in different components; ``checked`` pairs are left out."""
     part, whole = scheme.part, scheme.whole
     both = members.select("signature", "id").union(members.select("signature", F.col("lead").alias("id"))).distinct()
     labelled = both.join(found.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"))
-    rows = written(labelled.join(_open(labelled), "signature"), "open_signatures")
-    common = rows.where(F.col("n") > COMMON)
+    open_rows = written(labelled.join(_open(labelled), "signature"), "open_signatures")
+    common = open_rows.where(F.col("n") > COMMON)
+    sets = written(_token_sets(rows, common.select("id").distinct(), width), "common_sets")
     of_one, of_pair = common.where("signature & 1 = 0"), common.where("signature & 1 = 1")
     paired = _in_pairs(of_one, sets, scheme).union(of_pair.select("signature", "id", "component"))
     paired = written(paired.distinct(), "paired_segments")
     paired = written(paired.join(_open(paired), "signature"), "open_pairs")
     edits = written(_from_hubs(paired.where(F.col("n") > COMMON), sets, part, whole), "differences")
-    rest = (_pairs_across(rows.where(F.col("n") <= COMMON))
-            .union(_pairs_across(paired.where(F.col("n") <= COMMON)))
-            .union(_pairs_beside_hubs(edits, part, whole)).distinct()
-            .join(checked, ["lead", "id"], "left_anti"))
-    links = _verified(written(rest, "rest"), sets, part, whole)
+    apart = (_pairs_across(open_rows.where(F.col("n") <= COMMON), index, part, whole)
+             .union(_pairs_across(paired.where(F.col("n") <= COMMON), index, part, whole))
+             .union(_near(_pairs_beside_hubs(edits, part, whole), index, part, whole)))
+    links = _verified(apart.distinct().join(checked, ["lead", "id"], "left_anti"), rows, width, part, whole)
     return links.union(edits.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
 
@@ -400,22 +517,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     scheme = Scheme(part, whole)
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    index = written(_indexed(rows, scheme, width), "signatures")
-    lean = index.select("id", "size", "sum1", "sum2")
-    classes = lean.where("size > 0").groupBy("size", "sum1", "sum2").agg(F.min("id").alias("first"))
+    index = written(_indexed(rows, width), "index")
+    held = index.where("size > 0")
+    classes = held.groupBy("size", "sum1", "sum2").agg(F.min("id").alias("first"))
     classes = written(classes.where("first is not null"), "classes")
 
-    single = index.where("size > 0").join(classes.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi")
-    members = written(_members(single), "members")
+    single = _packed(rows, classes.select(F.col("first").alias("id")))
+    members = written(_members(single, scheme, width), "members")
     pairs = written(members.select("lead", "id").distinct(), "pairs")
-    nodes = pairs.select("id").union(pairs.select("lead")).distinct()
-    sets = written(_token_sets(rows, nodes, width), "token_sets")
-    links = written(_verified(pairs, sets, part, whole), "links")
+    links = written(_verified(_near(pairs, held, part, whole), rows, width, part, whole), "links")
     found = connected_components(links)
-    more = written(_links_across(members, found, pairs, sets, scheme), "more_links")
+    more = written(_links_across(members, found, pairs, rows, held, scheme, width), "more_links")
     found = connected_components(links.union(more)) if more.head(1) else found
     named = (classes.join(found.withColumnRenamed("node", "first"), "first", "left")
              .select("size", "sum1", "sum2", F.coalesce("component", "first").alias("component")))
-    return (lean.join(named, ["size", "sum1", "sum2"], "left")
+    return (index.select("id", "size", "sum1", "sum2").join(named, ["size", "sum1", "sum2"], "left")
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
                     F.coalesce("component", "id").alias("component_id")))
