@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from llm.helpers import awkward, documents, sentence
 from storepulse.llm.common import utf8_buffer
-from storepulse.llm.jaccard_join import Scheme, jaccard_components, signatures, token_sets
+from storepulse.llm.jaccard_join import Scheme, jaccard_components, least_difference, signatures, sketches, token_sets
 
 
 def shingles(text):
@@ -145,3 +145,23 @@ def test_long_words_that_a_polynomial_takes_for_the_same_are_not_linked(spark):
     rows = [(10 * k + j, "".join(letters[b] for b in bits[:n])) for k, n in enumerate((1024, 2048, 4096)) for j, letters in enumerate(("ab", "ba", "AB"))]
     found = {r["doc_id"]: r["component_id"] for r in jaccard_components(documents(spark, rows)).collect()}
     assert found == {i: i - 2 if i % 10 == 2 else i for i, _ in rows}
+
+
+def test_sketches_never_pass_the_true_difference():
+    rng = np.random.default_rng(5)
+    for n, m, shared in [(3, 4, 3), (100, 120, 90), (1000, 700, 650), (5000, 5000, 0), (200000, 150000, 149000)]:
+        common = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, k - shared, dtype=np.uint64)])) for k in (n, m))
+        drawn = [sketches(t, np.array([0, len(t)]))[0].tobytes() for t in (x, y)]
+        true = len(np.setxor1d(x, y))
+        assert least_difference(drawn[:1], drawn[1:])[0] <= true
+        assert least_difference(drawn[:1], drawn[:1])[0] == 0
+    assert least_difference([], []).tolist() == []
+
+
+def test_five_words_and_groups_beyond_the_limit(spark, monkeypatch):
+    rows = near_copies(11, 12)
+    found = [sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(documents(spark, rows), width=5, part=80).collect())]
+    monkeypatch.setattr("storepulse.llm.jaccard_join.COMMON", 1)
+    found.append(sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(documents(spark, rows), width=5, part=80).collect()))
+    assert found[0] == found[1]
