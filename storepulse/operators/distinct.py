@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 #: Positions of one bitmap, fixed by ``bitmap_construct_agg``.
 POSITIONS = 32768
 #: Keys of one home that a bucket holds on average; what goes beyond ``POSITIONS`` starts a further block.
-BUCKET = 24000
+BUCKET = 8000
+#: Partitions for each bucket, so that few buckets share one: a task's rows are bounded whatever the input.
+SPREAD = 4
 
 _BLOCK = ["_home", "_bucket", "_chunk"]
 
@@ -40,7 +42,7 @@ def member_bitmaps(df: DataFrame, groups: Sequence[str], key: str, home: str | N
     cells = df.where(F.col(key).isNotNull()).select(
         *groups, F.col(key).alias("_key"), (F.col(home) if home else F.lit(0)).cast("string").alias("_home"),
         F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"))
-    cells = cells.repartition("_bucket").distinct()     # the one exchange of keys; all windows below keep to it
+    cells = cells.repartition(SPREAD * buckets, "_bucket").distinct()     # the one exchange of keys; all windows below keep to it
     same = Window.partitionBy("_bucket", "_key")
     order = Window.partitionBy("_bucket", "_home").orderBy("_key")
     numbered = (cells.withColumn("_home", F.min("_home").over(same)).withColumn("_number", F.dense_rank().over(order) - 1)
