@@ -170,3 +170,20 @@ def test_activity_rate_cap_and_band(spark, rate, band):
     clean, audit = C.clean_picker_activity(_frame(spark, S.PICKER_ACTIVITY, [row], {}), pickers)
     r = clean.collect()[0]
     assert r.productivity_band == band and r.pick_rate_per_min == min(rate, 20.0)
+
+
+def test_keep_first_with_stored_keys_shuffles_only_repeated_rows(spark, tmp_path):
+    rows = [(None, 3, "a"), (None, 1, "b"), ("x", 2, "c"), ("y", 5, "d"), ("y", 5, "c"), ("z", 1, None), ("z", 1, "q"), ("w", None, None)]
+    df = spark.createDataFrame(rows, "k string, ts int, v string")
+    kept = []
+
+    def store(name, part):
+        kept.append((name, part.columns, part.count()))
+        part.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    got = C._keep_first(df, ["k"], ["ts"], store)
+    ref = C._keep_first(df, ["k"], ["ts"])
+    assert got.schema.simpleString() == ref.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, ref.collect()))
+    assert kept == [("repeated_k", ["_key_k"], 3)]        # null, y and z
