@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,37 +29,137 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from storepulse.llm.common import map_batches, slices, text_or_empty, utf8_buffer, written
-from storepulse.llm.words import distinct_words, words_of
+from storepulse.llm.words import distinct_words, same_bytes, spans, words_of
 
 WINDOW = 2048
 #: Identifier buckets in which pieces are ranked, so that no task ranks all pieces of a length.
 BUCKETS = 4096
-#: Bytes of words and ids kept in a worker, and of pre-tokens and ids; beyond it the store starts anew.
-CACHE_BYTES = 64 << 20
+#: Bytes of words and ids kept in a worker, and of pre-tokens and ids; beyond it a store forgets.
+CACHE_BYTES = 48 << 20
 #: What an entry of a store takes besides its bytes, about.
 ENTRY_BYTES = 150
 #: Pre-tokens that are encoded in one text.
 JOINED = 512
 # The tokenizer's own pattern for letters of ASCII and Latin-1, and the words it is certain for.
-_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+# A line end is a piece of its own.
+_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|\n|[^a-zà-öø-ÿß0-9\n]+")
 _CERTAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_CERTAIN_LINES = re.compile("[!-~À-ÖØ-öø-ÿ\n]+")
+#: Stands for a line end among ids; no vocabulary is that large.
+_NO_ID = 0xFFFFFFFF
+_LINE_END = np.array([_NO_ID], dtype="<u4").tobytes()
 
 
-class Store(dict):
-    """Ids by word.  It counts its bytes and starts anew when they pass ``limit``; what is put in at once stays together."""
+class Store:
+    """Ids by pre-token, in two generations.  When the young one holds half of ``limit`` bytes it becomes the old one,
+    whose entries go; what is found in the old one is young again.  What is put in at once stays together."""
 
     def __init__(self, limit: int = CACHE_BYTES):
-        super().__init__()
-        self.limit, self.held = limit, 0
+        self.limit, self._young, self._old, self._bytes, self._old_bytes = limit, {}, {}, 0, 0
+
+    @property
+    def held(self) -> int:
+        return self._bytes + self._old_bytes
+
+    def make_room(self) -> None:
+        if self._bytes > self.limit // 2:
+            self._old, self._old_bytes, self._young, self._bytes = self._young, self._bytes, {}, 0
+
+    def put(self, entries: dict[str | bytes, bytes]) -> None:
+        self._young.update(entries)
+        self._bytes += sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY_BYTES * len(entries)
+
+    def find(self, keys: list) -> list[bytes | None]:
+        """The ids of each of the keys, which are distinct; None of unknown ones."""
+        found = list(map(self._young.get, keys))
+        if self._old:
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            again = {}
+            for k, ids in zip(missing, map(self._old.get, [keys[k] for k in missing])):
+                if ids is not None:
+                    found[k] = again[keys[k]] = ids
+            self.put(again)
+        return found
+
+
+class Entries(NamedTuple):
+    """Words in the order of their fingerprints, with their ids."""
+
+    code: np.ndarray  # fingerprint, of which there is one word
+    start: np.ndarray  # first byte of each word in ``text``
+    length: np.ndarray  # bytes
+    first: np.ndarray  # first id in ``ids``
+    count: np.ndarray  # ids
+    text: np.ndarray
+    ids: np.ndarray
+
+    @property
+    def held(self) -> int:
+        return sum(x.nbytes for x in self)
+
+    def at(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Where each word of ``data`` is, -1 if it is not there.  Fingerprints find it, bytes decide."""
+        if not len(self.code):
+            return np.full(len(code), -1)
+        place = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        check = np.flatnonzero((self.code[place] == code) & (self.length[place] == length))
+        check = check[same_bytes(data, start[check], self.text, self.start[place[check]], length[check])]
+        out = np.full(len(code), -1)
+        out[check] = place[check]
+        return out
+
+    def ids_of(self, place: np.ndarray) -> np.ndarray:
+        return self.ids[spans(self.first[place], self.count[place])]
+
+    def plus(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray, count: np.ndarray, ids: np.ndarray) -> Entries:
+        """These and words of ``data``; of words with one fingerprint the first stays."""
+        both, which = np.unique(np.concatenate([self.code, code]), return_index=True)
+        new = np.sort(which[which >= len(self.code)]) - len(self.code)
+        first = (np.cumsum(count) - count)[new]
+        start, length, count = start[new], length[new], count[new]
+        # the new ones lie behind the others, as they do in ``which``
+        which = np.where(which < len(self.code), which, len(self.code) + np.searchsorted(new, which - len(self.code)))
+        return Entries(both, np.concatenate([self.start, len(self.text) + np.cumsum(length) - length])[which],
+                       np.concatenate([self.length, length])[which],
+                       np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])[which],
+                       np.concatenate([self.count, count])[which],
+                       np.concatenate([self.text, data[spans(start, length)]]), np.concatenate([self.ids, ids[spans(first, count)]]))
+
+
+_NO_ENTRIES = Entries(np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)), np.empty(0, np.uint8), np.empty(0, "<u4"))
+
+
+class WordStore:
+    """Ids by word, in two generations as in ``Store``."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.limit, self._young, self._old = limit, _NO_ENTRIES, _NO_ENTRIES
+
+    @property
+    def held(self) -> int:
+        return self._young.held + self._old.held
 
     def make_room(self) -> None:
-        if self.held > self.limit:
-            self.clear()
-            self.held = 0
+        if self._young.held > self.limit // 2:
+            self._old, self._young = self._young, _NO_ENTRIES
+
+    def put(self, *words: np.ndarray) -> None:
+        self._young = self._young.plus(*words)
+
+    def find(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray):
+        """(ids of known words, how many each word has, where its own begin, which words are unknown)."""
+        count, begin, unknown, flat = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64), np.arange(len(code)), []
+        for held in (self._young, self._old):
+            place = held.at(data, start[unknown], length[unknown], code[unknown])
+            hit, place = unknown[place >= 0], place[place >= 0]
+            unknown = np.setdiff1d(unknown, hit, assume_unique=True)
+            count[hit] = held.count[place]
+            begin[hit] = sum(map(len, flat)) + np.cumsum(count[hit]) - count[hit]
+            flat.append(held.ids_of(place))
+            if held is self._old and len(hit):
+                self.put(data, start[hit], length[hit], code[hit], count[hit], flat[-1])
+        return np.concatenate(flat), count, begin, unknown
 
-    def put(self, key: str | bytes, ids: bytes) -> None:
-        self[key] = ids
-        self.held += len(key) + len(ids) + ENTRY_BYTES
 
 PIECES = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -81,12 +182,13 @@ class WordEncoder:
         vocabulary = self._tool.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
-        self._words, self._pieces = Store(), Store()
+        self._words, self._pieces = WordStore(), Store()
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self._tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add_pieces(self, new: list[str]) -> None:
+    def _add_pieces(self, new: list[str]) -> dict[str, bytes]:
+        added = {}
         chunks = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
         for chunk, ids in zip(chunks, self._plain([" ".join(c) for c in chunks])):
             ends = np.flatnonzero(self._ends[ids]) + 1
@@ -95,32 +197,49 @@ class WordEncoder:
                 each = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
             else:
                 each = [x.tobytes() for x in self._plain(chunk)]
-            for piece, own in zip(chunk, each):
-                self._pieces.put(piece, own)
+            added.update(zip(chunk, each))
+        self._pieces.put(added)
+        return added
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        cut = [_PRE_TOKEN.findall(w.lower()) if _CERTAIN.fullmatch(w) else None for w in words]
+    def _encode_certain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encode_words`` of words that ``_CERTAIN`` holds for: all are cut at once, with a line end after each."""
+        cut = _PRE_TOKEN.findall(b"\n".join([*words, b""]).decode().lower())
         self._pieces.make_room()
-        self._add_pieces([p for p in {p for pieces in cut if pieces for p in pieces} if p not in self._pieces])
-        other = iter(self._plain([w for w, pieces in zip(words, cut) if pieces is None]))
-        known = self._pieces
-        return [next(other).tobytes() if pieces is None else b"".join([known[p] for p in pieces]) for pieces in cut]
+        distinct = list(set(cut) - {"\n"})
+        known = dict(zip(distinct, self._pieces.find(distinct)))
+        known.update(self._add_pieces([p for p, ids in known.items() if ids is None]))
+        known["\n"] = _LINE_END
+        ids = b"".join([known[p] for p in cut])
+        ids = np.frombuffer(ids, "<u4")
+        lines = ids == _NO_ID
+        return np.diff(np.flatnonzero(lines), prepend=-1) - 1, ids[~lines]
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids."""
+        if _CERTAIN_LINES.fullmatch(b"\n".join(words).decode()):
+            return self._encode_certain(words)
+        certain = np.array([_CERTAIN.fullmatch(w.decode()) is not None for w in words])
+        own_count, own = self._encode_certain([w for w, sure in zip(words, certain) if sure])
+        other = self._plain([w.decode() for w, sure in zip(words, certain) if not sure])
+        order = np.argsort(~certain, kind="stable")      # certain words first
+        held = np.concatenate([own_count, [len(x) for x in other]]).astype(np.int64)
+        count, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        count[order], begin[order] = held, np.cumsum(held) - held
+        return count, np.concatenate([own, *other])[spans(begin, count)]
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's begin)."""
         words = words_of(data, starts)
         first, which = distinct_words(data, words)
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
+        start, length, code = words.start[first], (words.end - words.start)[first], words.code[first]
         self._words.make_room()
-        parts = list(map(self._words.get, keys))
-        new = [k for k, part in enumerate(parts) if part is None]
-        if new:
-            for k, ids in zip(new, self._encode_words([keys[k].decode() for k in new])):
-                parts[k] = ids
-                self._words.put(keys[k], ids)
-        size = np.array(list(map(len, parts)), dtype=np.int64) // 4
-        flat, begin = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(size) - size
+        flat, size, begin, new = self._words.find(data, start, length, code)
+        if len(new):
+            raw = data.tobytes()
+            added, ids = self._encode_words([raw[a:b] for a, b in zip(start[new].tolist(), (start + length)[new].tolist())])
+            self._words.put(data, start[new], length[new], code[new], added, ids)
+            size[new], begin[new] = added, len(flat) + np.cumsum(added) - added
+            flat = np.concatenate([flat, ids])
         each = size[which]
         ends = np.concatenate([[0], np.cumsum(each)])
         ids = flat[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], each)]
@@ -145,7 +264,7 @@ def pieces(df: DataFrame, path: str, end_id: int, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             of, start, length, crc, tokens = [], [], [], [], []
             ids, bounds = tool.encode(*utf8_buffer(batch.column("text")))
             raw, bounds = ids.tobytes(), bounds.tolist()

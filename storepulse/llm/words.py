@@ -53,11 +53,13 @@ def words_of(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> Words:
     code = np.zeros(len(start), dtype=np.uint64)
     if len(start):
         length = end - start
-        bytes_at = np.flatnonzero(inside)
-        place = np.arange(len(bytes_at)) - np.repeat(np.cumsum(length) - length, length)
+        held = data[inside]
+        begin = np.cumsum(length) - length
+        # places and their powers repeat every LONG bytes, so that a byte of each tells them
+        place = np.arange(len(held), dtype=np.uint32).astype(np.uint8) - np.repeat(begin.astype(np.uint32).astype(np.uint8), length)
         weight = _POWERS[place % LONG]
-        weight *= (_FOLDED_CODES if fold else _BYTE_CODES)[data[bytes_at]]
-        code = mix64(np.add.reduceat(weight, np.cumsum(length) - length) + length.astype(np.uint64))
+        weight *= (_FOLDED_CODES if fold else _BYTE_CODES)[held]
+        code = mix64(np.add.reduceat(weight, begin) + length.astype(np.uint64))
         for k in np.flatnonzero(length > LONG):
             word = data[start[k]:end[k]].tobytes()
             digest = hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest()  # lower() of bytes folds A-Z alone
@@ -65,6 +67,30 @@ def words_of(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> Words:
     return Words(start, end, text, code, first)
 
 
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places ``start[i]`` to ``start[i] + length[i] - 1`` of each ``i``, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
+def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the words of ``length`` bytes at ``at_a`` of ``a`` and ``at_b`` of ``b`` are the same."""
+    same = np.ones(len(length), dtype=bool)
+    # eight bytes at a time, from any place on
+    here, there = (np.ndarray(len(x) + 1, "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,)) for x in (a, b))
+    check = np.arange(len(length))
+    for at in range(0, LONG, 8):
+        if not len(check):
+            break
+        unused = np.maximum(8 * (8 - (length[check] - at)), 0).astype(np.uint64)
+        alike = (here[at_a[check] + at] ^ there[at_b[check] + at]) << unused == 0
+        same[check[~alike]] = False
+        check = check[alike & (length[check] > at + 8)]
+    for k in check:
+        same[k] = np.array_equal(a[at_a[k]:at_a[k] + length[k]], b[at_b[k]:at_b[k] + length[k]])
+    return same
+
+
 def distinct_words(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(a word of each distinct spelling, which of these each word is).  Bytes decide; fingerprints only group them."""
     _, first, which = np.unique(words.code, return_index=True, return_inverse=True)
@@ -73,21 +99,8 @@ def distinct_words(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarr
     model = first[which]
     length = words.end - words.start
     same = length == length[model]
-    # eight bytes at a time, from any place on
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     check = np.flatnonzero(same & (model != np.arange(len(model))))
-    here, there = words.start[check], words.start[model[check]]
-    for at in range(0, LONG, 8):
-        if not len(check):
-            break
-        unused = np.maximum(8 * (8 - (length[check] - at)), 0).astype(np.uint64)
-        alike = (eight[here + at] ^ eight[there + at]) << unused == 0
-        same[check[~alike]] = False
-        longer = alike & (length[check] > at + 8)
-        check, here, there = check[longer], here[longer], there[longer]
-    for k, x, y in zip(check, here, there):
-        same[k] = np.array_equal(data[x:x + length[k]], data[y:y + length[k]])
+    same[check] = same_bytes(data, words.start[check], data, words.start[model[check]], length[check])
     others: dict[bytes, int] = {}
     extra = []
     for k in np.flatnonzero(~same):

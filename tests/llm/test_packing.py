@@ -117,3 +117,31 @@ def test_store_is_bound_by_bytes():
         ids, _ = tool.encode(*utf8_buffer(pa.array(texts)))
         assert ids.tolist() == reference(texts)[0]
         assert max(tool._words.held, tool._pieces.held) < 20_000 + 100_000  # and what one call puts in
+
+
+def test_words_in_use_stay_while_others_go():
+    tool = WordEncoder(PATH)
+    tool._words.limit = tool._pieces.limit = 20_000
+    asked, real = [], tool._encode_words
+    tool._encode_words = lambda words: asked.extend(words) or real(words)
+    for i in range(60):
+        rare = [f"rare{i}x{j}" for j in range(40)]
+        text = " ".join(["constant", "Été,", *rare, "中文", "constant"])
+        ids, _ = tool.encode(*utf8_buffer(pa.array([text])))
+        assert ids.tolist() == reference([text])[0]
+    assert len(asked) > 60 * 40 and asked.count(b"constant") == asked.count("中文".encode()) == 1
+
+
+def test_word_store_tells_words_of_one_fingerprint_apart():
+    from storepulse.llm.packing import WordStore
+    data = np.frombuffer(b"onetwosixeleven" + b"y" * 40 + b"z" * 40, np.uint8)
+    start, length = np.array([0, 3, 6, 9, 15, 55]), np.array([3, 3, 3, 6, 40, 40])
+    code = np.array([7, 7, 5, 9, 11, 11], np.uint64)
+    store = WordStore()
+    count = np.arange(1, 7)
+    ids = np.arange(count.sum(), dtype="<u4")
+    store.put(data, start, length, code, count, ids)
+    flat, size, begin, unknown = store.find(data, start, length, code)
+    assert unknown.tolist() == [1, 5]                    # the first word of each fingerprint is held
+    for k in (0, 2, 3, 4):
+        assert flat[begin[k]:begin[k] + size[k]].tolist() == ids[count[:k].sum():count[:k + 1].sum()].tolist()
