@@ -111,3 +111,42 @@ def test_gradients_are_those_of_the_loss():
 
 def test_empty_tables(spark):
     assert classify(documents(spark, []), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_measures_take_little_memory_at_a_time(monkeypatch):
+    import tracemalloc
+    import numpy as np
+    import pyarrow as pa
+    from storepulse.llm import quality
+    rng = np.random.default_rng(5)
+    x, first = rng.normal(size=(40, quality.MEASURES)), np.arange(0, 41, 4)
+    model = quality.fit(x, first, np.array([0.0, 1.0] * 5))
+    batch = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(["some words of a text " * 200] * 2000)})   # 8 MB
+    caught = {}
+    monkeypatch.setattr(quality, "map_batches", lambda df, run, schema: caught.update(run=run))
+
+    class Docs:
+        schema = None
+
+    quality.accepted(Docs, model)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in caught["run"](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows in (0, 2000) and peak < 80 << 20
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    from storepulse.llm import common
+    calls, caught = [], []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(common, "on_workers_path", lambda spark: None)
+
+    class Rows:
+        sparkSession = None
+
+        def mapInArrow(self, run, schema):
+            caught.append(run)
+
+    common.map_batches(Rows(), lambda batches: (2 * b for b in batches), "x long")
+    assert list(caught[0](iter([1, 2]))) == [2, 4] and calls == [1]
