@@ -44,6 +44,33 @@ def test_lines_clean_to_the_same_rows_as_raw_tables(spark):
         assert {r[0] for r in narrow.select("order_month").collect()} == {"1996-03"}
 
 
+def _stored(spark, tmp_path):
+    def stage(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+    return stage
+
+
+def test_order_lines_clean_to_the_same_rows_as_raw_orders(spark, tmp_path):
+    t = _inputs(spark)
+    day = datetime(1996, 3, 4)
+    # 500 arrives twice by rule; 7 is there three times with other values, 97 has a negative time, null keys group together
+    more = [(500, 1, "F", 50.0, day), (7, 1, "F", 30.0, datetime(1996, 5, 6)), (7, 1, "O", 20.0, day), (7, 1, "F", 20.0, day),
+            (97, 1, "P", 80.0, day), (211, 1, "F", 80.0, day), (403, 3, "F", 10.0, day), (None, 1, "F", 2.0, day), (8, 1, "F", 9.0, None)]
+    t["orders"] = t["orders"].unionByName(spark.createDataFrame(more, t["orders"].schema))
+    stores = spark.createDataFrame([("STR_005",)], "store_id string")
+    plain, plain_audit = C.clean_orders(X.raw_orders(t), stores)
+    narrow, audit = C.clean_orders(X.order_lines(t), stores, observe=True, persist=_stored(spark, tmp_path))
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    got = _rows(narrow.select(*plain.columns))
+    assert got == _rows(plain) and len({r.order_id for r in plain.collect()}) >= 6
+    assert sorted(audit.rows()) == sorted(map(tuple, plain_audit.collect()))
+    # columns are worked out above the only shuffle, which carries narrow rows
+    assert plan.index("CUST_") < plan.index("Exchange hashpartitioning(order_month") and plan.count("Exchange hashpartitioning(") == 1
+    assert set(spark.read.parquet(str(tmp_path / "fact_orders__dedup")).columns) == \
+        {*X.order_keys(t).columns, "_store_ok", "_dups"}
+
+
 def test_order_keys_of_items_are_shuffled_once(spark):
     """The join with orders and the check of their key share one shuffle; the month's shuffle carries no ids."""
     orders = spark.createDataFrame([("ORD_00000001",)], "order_id string")
