@@ -11,6 +11,8 @@ node's neighbours with each other: ``joined(v)`` holds the ``degree`` neighbours
 to ``degree`` nodes that have ``v`` as a neighbour; of any two members of which one is new there,
 each is proposed to the other where it beats that one's worst neighbour.  Rounds end when fewer
 than ``settled`` of all entries change.  Rounds are joins by block: a block of rows fetches each node that it names once.
+Requests, codes and proposals travel between a block and a part (``PART`` nodes by a hash) as one
+row for all its nodes.
 Sampling is part of the method: of the reverse neighbours ``degree`` take part in a round, others
 in another one or by other paths; a block proposes to a node as many as its list can hold.
 
@@ -42,12 +44,16 @@ FIRST = 1024
 #: Nodes and queries of a block.  What a block names is fetched once, so large blocks move little; a block of
 #: nodes names 2 * degree each at most, 100 MB of codes of 64 components at the degree of 48.
 BLOCK, QUERY_BLOCK = 16384, 2048
+#: Nodes of a part; what all blocks send to a part in a round is held by one task.
+PART = 2048
 #: Fixed entry nodes of a search; nodes expanded in a round.
 ENTRIES, EXPANDED = 64, 16
 #: Rows of a block that are joined at a time.
 AT_ONCE = 64
 
-_GRAPH = "node long, block long, code binary, ids array<long>, scores array<float>, fresh array<boolean>"
+_GRAPH = "part long, node long, block long, code binary, ids array<long>, scores array<float>, fresh array<boolean>"
+#: What is found for nodes of a part: ``counts`` of ``ids`` and ``scores`` belong to each.
+_FOUND = "part long, nodes array<long>, counts array<int>, ids array<long>, scores array<float>"
 
 
 class _Tables:
@@ -167,55 +173,66 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def _by_node(finish):
-    """``finish`` applied to rows in the order of ``node``, all rows of a node at once."""
+def part_of(nodes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each node."""
+    return (mix64(nodes.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _parted(parts: int):
+    """Prepends ``part``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if left is None else pa.concat_tables([left, table])
-            if not table.num_rows:
-                continue
-            nodes = table.column("node").to_numpy()
-            whole = int(np.searchsorted(nodes, nodes[-1]))       # the last node may go on in the next batch
-            if whole:
-                yield finish(table.slice(0, whole))
-            left = table.slice(whole)
-        if left is not None and left.num_rows:
-            yield finish(left)
-
+            part = pa.array(part_of(batch.column("node").to_numpy(), parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([part, *batch.columns], names=["part", *batch.schema.names])
     return run
 
 
+def _dealt(node: np.ndarray, values: dict[str, tuple[np.ndarray, object]], parts: int) -> pa.Table:
+    """Entries, of which those of a node follow each other, as a row for each part: its ``nodes``, the ``counts`` of
+    their entries, and the values."""
+    heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+    sizes, nodes = np.diff(np.append(heads, len(node))), node[heads]
+    part = part_of(nodes, parts)
+    entries = np.argsort(np.repeat(part, sizes), kind="stable")
+    order = np.argsort(part, kind="stable")
+    at, held = np.unique(part, return_counts=True)
+    total = np.add.reduceat(sizes[order], np.cumsum(held) - held) if len(held) else held
+    return pa.table({"part": pa.array(at, pa.int64()), "nodes": _lists(nodes[order], held, pa.int64()),
+                     "counts": _lists(sizes[order].astype(np.int32), held, pa.int32()),
+                     **{name: _lists(x[entries], total, kind) for name, (x, kind) in values.items()}})
+
+
+def _found(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, parts: int) -> pa.Table:
+    return _dealt(node, {"ids": (ids, pa.int64()), "scores": (scores, pa.float32())}, parts)
+
+
+def _owners(table: pa.Table) -> np.ndarray:
+    """The node of each entry of the rows of a part."""
+    return np.repeat(_flat(table, "nodes"), _flat(table, "counts"))
+
+
 def merger(degree: int):
-    """Rows of one node after another (``base`` marks the graph's own) to the node's best neighbours."""
-    def finish(table: pa.Table) -> pa.RecordBatch:
-        base = table.column("base").to_numpy(zero_copy_only=False)
-        lengths = table.column("ids").combine_chunks().value_lengths().to_numpy()
-        nodes = table.column("node").to_numpy()
-        owner, ids = np.repeat(nodes, lengths), _flat(table, "ids")
+    """A part of the graph and what was found for it: each node's best neighbours."""
+    def run(graph: pa.Table, found: pa.Table) -> pa.Table:
+        graph = graph.sort_by("node")
+        named = graph.column("node").to_numpy()
+        lengths = graph.column("ids").combine_chunks().value_lengths().to_numpy()
+        owner = np.concatenate([np.repeat(named, lengths), _owners(found)])
+        ids, scores = (np.concatenate([_flat(graph, c), _flat(found, c)]) for c in ("ids", "scores"))
+        old = np.arange(len(owner)) < lengths.sum()
         apart = owner != ids
-        owners, counts, ids, scores, old = best_of(owner[apart], ids[apart], _flat(table, "scores")[apart],
-                                                   np.repeat(base, lengths)[apart], degree)
-        own = table.filter(pa.array(base & ~table.column("code").is_null().to_numpy(zero_copy_only=False)))
-        named = own.column("node").to_numpy()            # in order, as the rows are
+        owners, counts, ids, scores, old = best_of(owner[apart], ids[apart], scores[apart], old[apart], degree)
         held = np.zeros(len(named), np.int64)
         held[np.searchsorted(named, owners)] = counts
-        return pa.RecordBatch.from_arrays(
-            [own.column("node").combine_chunks(), own.column("block").combine_chunks(), own.column("code").combine_chunks(),
-             _lists(ids, held, pa.int64()), _lists(scores, held, pa.float32()), _lists(~old, held, pa.bool_())],
-            names=["node", "block", "code", "ids", "scores", "fresh"])
-
-    return _by_node(finish)
+        return pa.table({**{c: graph.column(c) for c in ("part", "node", "block", "code")}, "ids": _lists(ids, held, pa.int64()),
+                         "scores": _lists(scores, held, pa.float32()), "fresh": _lists(~old, held, pa.bool_())})
+    return run
 
 
 def _merged(base: DataFrame, found: DataFrame, degree: int) -> DataFrame:
     """The graph's rows (or new nodes with empty lists) after what was found for them."""
-    rows = base.select("node", "block", "code", "ids", "scores", F.lit(True).alias("base")).unionByName(
-        found.select("node", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("code"), "ids", "scores",
-                     F.lit(False).alias("base")))
-    rows = rows.repartition("node").sortWithinPartitions("node")
-    return map_batches(rows, merger(degree), _GRAPH)
+    base = base.select("part", "node", "block", "code", "ids", "scores")
+    return base.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(merger(degree), _GRAPH)
 
 
 # ------------------------------------------------------------------ the first graph
@@ -242,7 +259,7 @@ def _blocked(nodes: DataFrame, seed: int, count: int, block: int) -> DataFrame:
     return cells.join(sizes, "cell").select("node", "code", F.xxhash64("cell", part).cast("long").alias("block"))
 
 
-def _inside(degree: int):
+def _inside(degree: int, parts: int):
     """The best neighbours of each node of a block among the others of it."""
     def run(table: pa.Table) -> pa.Table:
         nodes, x = table.column("node").to_numpy(), directions(table.column("code"))
@@ -254,9 +271,7 @@ def _inside(degree: int):
             at = np.argpartition(-s, most - 1, axis=1)[:, :most] if most else np.empty((len(s), 0), np.int64)
             ids.append(nodes[at])
             scores.append(np.take_along_axis(s, at, axis=1))
-        counts = np.full(len(nodes), most)
-        return pa.table({"node": table.column("node"), "ids": _lists(np.concatenate(ids).ravel(), counts, pa.int64()),
-                         "scores": _lists(np.concatenate(scores).ravel(), counts, pa.float32())})
+        return _found(np.repeat(nodes, most), np.concatenate(ids).ravel(), np.concatenate(scores).ravel(), parts)
     return run
 
 
@@ -268,8 +283,8 @@ def _priority(node: np.ndarray, member: np.ndarray, fresh: np.ndarray, seed: int
     return mixed.astype(np.int64) + np.where(fresh, 0, 1 << 62)
 
 
-def _turned(most: int, seed: int):
-    """Rows of the graph as they are (``own``), and for the nodes that they name the rows that name them."""
+def _turned(most: int, seed: int, parts: int):
+    """For the nodes that rows of the graph name the rows that name them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -278,65 +293,78 @@ def _turned(most: int, seed: int):
             order = np.lexsort((_priority(node, member, fresh, seed), member))
             node, member, fresh = node[order], member[order], fresh[order]
             starts = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]])) if len(member) else np.empty(0, np.int64)
-            sizes = np.diff(np.append(starts, len(member)))
-            keep = np.arange(len(member)) - np.repeat(starts, sizes) < most
-            held = np.minimum(sizes, most)
-            yield batch.append_column("own", pa.array(np.ones(batch.num_rows, bool)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(member[starts], pa.int64()), pa.nulls(len(starts), pa.int64()), _lists(node[keep], held, pa.int64()),
-                 _lists(fresh[keep], held, pa.bool_()), pa.array(np.zeros(len(starts), bool))], names=[*batch.schema.names, "own"])
+            keep = np.arange(len(member)) - np.repeat(starts, np.diff(np.append(starts, len(member)))) < most
+            yield from _dealt(member[keep], {"ids": (node[keep], pa.int64()), "fresh": (fresh[keep], pa.bool_())}, parts).to_batches()
     return run
 
 
 def _gathered(most: int, seed: int):
-    """Rows of one node after another: its neighbours and up to ``most`` of the nodes that name it."""
-    def finish(table: pa.Table) -> pa.RecordBatch:
-        own = table.column("own").to_numpy(zero_copy_only=False)
-        lengths = table.column("ids").combine_chunks().value_lengths().to_numpy()
-        node, member, fresh = np.repeat(table.column("node").to_numpy(), lengths), _flat(table, "ids"), _flat(table, "fresh")
-        back = ~np.repeat(own, lengths)
+    """A part of the graph: the neighbours of its nodes and up to ``most`` of the nodes that name each."""
+    def run(graph: pa.Table, turned: pa.Table) -> pa.Table:
+        graph = graph.sort_by("node")
+        nodes = graph.column("node").to_numpy()
+        lengths = graph.column("ids").combine_chunks().value_lengths().to_numpy()
+        node = np.concatenate([np.repeat(nodes, lengths), _owners(turned)])
+        member, fresh = (np.concatenate([_flat(graph, c), _flat(turned, c)]) for c in ("ids", "fresh"))
+        back = np.arange(len(node)) >= lengths.sum()
         order = np.lexsort((np.where(back, _priority(member, node, fresh, seed), -1), node))
         node, member, fresh, back = node[order], member[order], fresh[order], back[order]
-        named = table.filter(table.column("own"))
-        nodes = named.column("node").to_numpy()
         at = np.searchsorted(nodes, node)
         before = np.concatenate([[0], np.cumsum(back)])
         first = np.searchsorted(node, nodes)
         keep = ~back | (before[:-1] - before[first[at]] < most)
         counts = np.bincount(at[keep], minlength=len(nodes))
-        return pa.RecordBatch.from_arrays([named.column("node").combine_chunks(), named.column("block").combine_chunks(),
-                                           _lists(member[keep], counts, pa.int64()), _lists(fresh[keep], counts, pa.bool_())],
-                                          names=["node", "block", "members", "fresh"])
-    return _by_node(finish)
+        return pa.table({"node": graph.column("node"), "block": graph.column("block"), "members": _lists(member[keep], counts, pa.int64()),
+                         "fresh": _lists(fresh[keep], counts, pa.bool_())})
+    return run
 
 
-def _around(graph: DataFrame, most: int, seed: int) -> DataFrame:
+def _around(graph: DataFrame, most: int, seed: int, parts: int) -> DataFrame:
     """``node``, ``block``, ``members``, ``fresh``: the neighbours of each node and up to ``most`` nodes that have it as one."""
-    schema = "node long, block long, ids array<long>, fresh array<boolean>"
-    turned = map_batches(graph.select("node", "block", "ids", "fresh"), _turned(most, seed), f"{schema}, own boolean")
-    return map_batches(turned.repartition("node").sortWithinPartitions("node"), _gathered(most, seed),
-                       "node long, block long, members array<long>, fresh array<boolean>")
+    turned = map_batches(graph.select("node", "ids", "fresh"), _turned(most, seed, parts),
+                         "part long, nodes array<long>, counts array<int>, ids array<long>, fresh array<boolean>")
+    return graph.select("part", "node", "block", "ids", "fresh").groupBy("part").cogroup(turned.groupBy("part")).applyInArrow(
+        _gathered(most, seed), "node long, block long, members array<long>, fresh array<boolean>")
+
+
+def _listed(parts: int):
+    """A block's rows as one, without ``part``, and for each part the nodes of it that they name."""
+    def run(table: pa.Table) -> pa.Table:
+        members = _flat(table, "members")
+        asked = _dealt(np.unique(members), {}, parts)
+        counts = table.column("members").combine_chunks().value_lengths().to_numpy()
+        first = lambda values, kind: _lists(values, np.array([len(values)] + [0] * asked.num_rows), kind)
+        return pa.table({"block": pa.array(np.full(asked.num_rows + 1, table.column("block")[0].as_py()), pa.int64()),
+                         "part": pa.array([None, *asked.column("part").to_pylist()], pa.int64()),
+                         "named": _lists(_flat(asked, "nodes"), np.array([0, *asked.column("nodes").combine_chunks().value_lengths().to_pylist()]),
+                                         pa.int64()),
+                         "counts": first(counts, pa.int32()), "members": first(members, pa.int64()), "fresh": first(_flat(table, "fresh"), pa.bool_())})
+    return run
 
 
-def _listed(table: pa.Table) -> pa.Table:
-    """A block's rows as one, with the nodes that they name."""
-    counts = table.column("members").combine_chunks().value_lengths().to_numpy()
-    members, fresh = _flat(table, "members"), _flat(table, "fresh")
-    one = lambda values, kind: _lists(values, np.array([len(values)]), kind)
-    return pa.table({"block": table.column("block")[:1], "counts": one(counts, pa.int32()), "members": one(members, pa.int64()),
-                     "fresh": one(fresh, pa.bool_()), "named": one(np.unique(members), pa.int64())})
+_LISTED = "block long, part long, named array<long>, counts array<int>, members array<long>, fresh array<boolean>"
 
 
-_LISTED = "block long, counts array<int>, members array<long>, fresh array<boolean>, named array<long>"
+def _answered(graph: pa.Table, asked: pa.Table) -> pa.Table:
+    """A part's codes and worst scores, for each block those of the nodes that it named."""
+    graph = graph.sort_by("node")
+    nodes = graph.column("node").to_numpy()
+    at = pa.array(np.searchsorted(nodes, _flat(asked, "named")))
+    counts = asked.column("named").combine_chunks().value_lengths().to_numpy()
+    codes, worst = (graph.column(c).combine_chunks().take(at) for c in ("code", "worst"))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return pa.table({"at": asked.column("block"), "nodes": _lists(_flat(asked, "named"), counts, pa.int64()),
+                     "codes": pa.ListArray.from_arrays(offsets, codes), "worst": pa.ListArray.from_arrays(offsets, worst)})
 
 
-def _joined(proposed: int):
+def _joined(proposed: int, parts: int):
     """A block's rows (``members``, ``fresh``) and the nodes that they name: proposals to each of these."""
     def run(rows: pa.Table, named: pa.Table) -> pa.Table:
-        order = np.argsort(named.column("node").to_numpy())
-        nodes = named.column("node").to_numpy()[order]
-        x, length = _codes(named.column("code").combine_chunks().take(pa.array(order)))
-        worst = named.column("worst").to_numpy()[order].astype(np.float32)
+        nodes = _flat(named, "nodes")
+        order = np.argsort(nodes)
+        nodes = nodes[order]
+        x, length = _codes(named.column("codes").combine_chunks().flatten().take(pa.array(order)))
+        worst = _flat(named, "worst")[order].astype(np.float32)
         lengths = _flat(rows, "counts")
         width = int(lengths.max(initial=0))
         there = np.arange(width) < lengths[:, None]
@@ -369,22 +397,20 @@ def _joined(proposed: int):
                 fold()
                 held = 0
         fold()
-        owners, counts = np.unique(owner, return_counts=True)
-        return pa.table({"node": pa.array(nodes[owners], pa.int64()), "ids": _lists(nodes[ids], counts, pa.int64()),
-                         "scores": _lists(scores, counts, pa.float32())})
+        return _found(nodes[owner], nodes[ids], scores, parts)
     return run
 
 
-def _descend(graph: DataFrame, degree: int, seed: int, tables: _Tables) -> DataFrame:
-    """The graph after one round: neighbours of neighbours are joined, block by block."""
-    around = _around(graph, degree, seed).where(F.exists("fresh", lambda f: f))
-    rows = tables.write("rows", around.groupBy("block").applyInArrow(_listed, _LISTED))
-    named = rows.select(F.col("block").alias("at"), F.explode("named").alias("node"))
+def _proposals(graph: DataFrame, degree: int, seed: int, parts: int, tables: _Tables) -> DataFrame:
+    """What one round finds: neighbours of neighbours are joined, block by block.  A row for each block and part at most."""
+    around = _around(graph, degree, seed, parts).where(F.exists("fresh", lambda f: f))
+    listed = tables.write("rows", around.groupBy("block").applyInArrow(_listed(parts), _LISTED))
     short = F.when(F.size("scores") < degree, F.lit(-2.0)).otherwise(F.element_at("scores", -1)).cast("float")
-    named = named.join(graph.select("node", "code", short.alias("worst")), "node")
-    found = rows.select("block", "counts", "members", "fresh").groupBy("block").cogroup(named.groupBy("at")).applyInArrow(
-        _joined(degree), "node long, ids array<long>, scores array<float>")
-    return _merged(graph, found, degree)
+    asked = listed.where("part is not null").select("part", "block", "named")
+    named = graph.select("part", "node", "code", short.alias("worst")).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
+        _answered, "at long, nodes array<long>, codes array<binary>, worst array<float>")
+    rows = listed.where("part is null").select("block", "counts", "members", "fresh")
+    return rows.groupBy("block").cogroup(named.groupBy("at")).applyInArrow(_joined(degree, parts), _FOUND)
 
 
 class NeighbourGraph:
@@ -396,12 +422,14 @@ class NeighbourGraph:
         self.k, self.degree, self.tables = k, degree, _Tables(df.sparkSession)
         self.nodes = self.tables.write("nodes", nodes_of(usable(df, id_col, vector_col), k))
         self.count = self.nodes.count()
-        home = self.tables.write("home", _blocked(self.nodes, 0, self.count, block))
+        self.parts = max(1, -(-self.count // PART))
+        home = map_batches(_blocked(self.nodes, 0, self.count, block), _parted(self.parts), "part long, node long, code binary, block long")
+        home = self.tables.write("home", home)
         first = [_blocked(self.nodes, seed, self.count, min(block, FIRST)) for seed in (1, 2)]
         parts = max(1, -(-self.count // min(block, FIRST)))
         first += [self.nodes.select("node", "code", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("long").alias("block"))]
-        found = [b.groupBy("block").applyInArrow(_inside(degree), "node long, ids array<long>, scores array<float>") for b in first]
-        empty = home.select("node", "block", "code", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("scores"))
+        found = [b.groupBy("block").applyInArrow(_inside(degree, self.parts), _FOUND) for b in first]
+        empty = home.select("part", "node", "block", "code", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("scores"))
         graph = _merged(empty, found[0].unionByName(found[1]).unionByName(found[2]), degree)
         self.changes: list[int] = []
         for seed in range(rounds):
@@ -410,7 +438,7 @@ class NeighbourGraph:
             self.changes.append(fresh)
             if fresh <= settled * degree * self.count:
                 break
-            graph = _descend(graph, degree, seed, self.tables)
+            graph = _merged(graph, _proposals(graph, degree, seed, self.parts, self.tables), degree)
         self.graph = self.tables.write("graph", graph) if len(self.changes) == rounds and rounds else graph
 
     # -------------------------------------------------------------- search
@@ -427,7 +455,7 @@ class NeighbourGraph:
         state = asked.select(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("long").alias("block"), F.col("id").alias("query"),
                              "vector", "code", "own")
         state = self.tables.write("state", map_batches(state, _started(entries, beam), _STATE))
-        around = self.tables.write("around", _around(self.graph, self.degree, 0).select("node", F.col("members").alias("around")))
+        around = self.tables.write("around", _around(self.graph, self.degree, 0, self.parts).select("node", F.col("members").alias("around")))
         codes = self.nodes.select("node", "code")
         while state.where(F.size("open") > 0).limit(1).count():
             # the open nodes' neighbours, then these neighbours' codes, each once for a block

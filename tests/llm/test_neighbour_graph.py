@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storepulse.llm import neighbour_graph
 from storepulse.llm.neighbour_graph import NeighbourGraph, cosine, nearest
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())),
@@ -62,6 +64,32 @@ def test_every_row_has_a_node_with_its_nearest(spark):
     assert sum(v in lists[q] for q, _, v, _ in expect) >= 0.9 * len(expect)
 
 
+def test_blocks_propose_to_parts(spark, monkeypatch):
+    """Every block names nearly every node, yet sends no row for each of them."""
+    monkeypatch.setattr(neighbour_graph, "PART", 300)
+    for n in (400, 2000):
+        built = NeighbourGraph(table(spark, vectors(n, 24)), degree=16, block=100, rounds=0)
+        blocks = built.graph.select("block").distinct().count()
+        proposed = neighbour_graph._proposals(built.graph, 16, 0, built.parts, built.tables)
+        rows, named, listed = proposed.agg(F.count(F.lit(1)), F.sum(F.size("nodes")), F.sum(F.size("ids"))).first()
+        assert blocks > n // 200 and built.parts == -(-n // 300)
+        assert rows <= blocks * built.parts
+        assert named > 2 * n and listed > named                  # a row each before
+        nodes = {x for r in proposed.select("nodes").collect() for x in r.nodes}
+        assert len(nodes) > 0.9 * n
+
+
+def test_parts_keep_entries_with_their_nodes():
+    node = np.array([7, 7, -3, 12, 12, 12, 5])
+    dealt = neighbour_graph._found(node, np.arange(7), np.arange(7) / 8, 3)
+    assert len(dealt) == len(set(neighbour_graph.part_of(node, 3)))
+    back = zip(neighbour_graph._owners(dealt), neighbour_graph._flat(dealt, "ids"), neighbour_graph._flat(dealt, "scores"))
+    assert sorted(back, key=lambda x: x[1]) == [(n, i, i / 8) for i, n in enumerate(node)]
+    for row in dealt.to_pylist():
+        assert set(neighbour_graph.part_of(np.array(row["nodes"]), 3)) == {row["part"]}
+    assert len(neighbour_graph._found(node[:0], node[:0], np.empty(0), 3)) == 0
+
+
 def test_awkward_rows_equal_brute_force(spark):
     rows = vectors(120, 6)
     rows += [(200, None), (210, []), (220, [None] * 6), (230, [float("nan")] * 6), (240, [float("inf")] + [0.0] * 5), (250, [0.0] * 6),
