@@ -26,7 +26,7 @@ when no other row breaks the rule.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storepulse.operators.selection import column_percentiles
-from storepulse.sources.fixtures import Lines
+from storepulse.sources.fixtures import Lines, bounded
 from storepulse.sources.tables import by_month, is_monthly
 from storepulse.functions.exprs import (
     band_left_closed, band_right_closed, exact_round, round_dec, safe_div, title_case,
@@ -91,12 +91,13 @@ def _keep_first(df: DataFrame, key: list[str], order: list[str], persist=None, d
 
     ``persist(name, df) -> df`` stores the keys that repeat, found by counting keys alone; then
     only rows of these keys are packed, sorted and shuffled whole.  Their join is left to the
-    planner, which knows the stored size.  Columns of ``derived`` are worked out for these rows only, to order them.
+    planner up to a number of keys.  Columns of ``derived`` are worked out for these rows only, to order them.
     """
     cols = [c for c in df.columns if c not in key]
     if persist is not None:
         repeated = persist("repeated_" + "_".join(key), df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
                            .select(*[F.col(c).alias(f"_key_{c}") for c in key]))
+        repeated = bounded(repeated)
         same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in key]
         alone = df.join(repeated, same, "left_anti").select(*key, *cols, F.lit(0).cast("bigint").alias("_dups"))
         rows = df.join(repeated, same, "left_semi")
@@ -259,7 +260,7 @@ def _observe(df: DataFrame, rules: list[Rule], flags: list[tuple[int, str]]):
 
 
 def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: bool = False,
-             unique: bool = False) -> DataFrame:
+             unique: bool = False, stored: bool = False) -> DataFrame:
     """Left join a marker telling whether ``key`` exists in ``parent``.
 
     Keys are de-duplicated first so the join never multiplies rows, except
@@ -267,7 +268,7 @@ def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: b
     cleaned orders, after the keep-first rule) — that skips a full shuffle of
     the parent's keys.  Such a parent grows with the facts: it is merged, never
     broadcast, as its files' size says little of its keys' size in memory.
-    ``broadcast`` only for parents with a proven size bound (stores).
+    ``broadcast`` only for parents with a proven size bound (stores).  A ``stored`` parent is merged beyond a number of rows.
     """
     keys = parent.select(F.col(key).alias(f"_{flag}_k"))
     if not unique:
@@ -275,6 +276,8 @@ def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: b
     keys = keys.withColumn(flag, F.lit(True))
     if unique:
         keys = keys.hint("merge")
+    elif stored:
+        keys = bounded(keys, of=parent)
     if broadcast:
         keys = F.broadcast(keys)
     return df.join(keys, df[key] == keys[f"_{flag}_k"], "left").drop(f"_{flag}_k")
@@ -282,10 +285,10 @@ def _fk_flag(df: DataFrame, parent: DataFrame, key: str, flag: str, broadcast: b
 
 def _checked_lines(raw: DataFrame | Lines, parent: DataFrame, key: str, flag: str, unique: bool = False) -> DataFrame:
     """``_fk_flag`` of a raw fact table.  Of ``Lines`` the narrow rows are checked and dealt out by month,
-    so that no shuffle or sort carries the columns worked out from them."""
+    so that no shuffle or sort carries the columns worked out from them; their parent is stored, so its rows are counted."""
     if isinstance(raw, DataFrame):
         return _fk_flag(raw, parent, key, flag, unique=unique)
-    return raw.dealt(_fk_flag(raw.rows, parent, key, flag, unique=unique).drop(key), flag)
+    return raw.dealt(_fk_flag(raw.rows, parent, key, flag, unique=unique, stored=True).drop(key), flag)
 
 
 # ---------------------------------------------------------------- dimensions
@@ -520,39 +523,35 @@ def clean_all(raw: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFram
     return out, audit
 
 
-def clean_and_write(raw: dict[str, DataFrame], write_and_read,
-                    stage=None) -> tuple[dict[str, DataFrame], list[tuple]]:
-    """Clean in dependency order, writing each table as it is produced.
+#: How each table is cleaned and the cleaned tables that it needs, in the order of the audit.
+STEPS: dict[str, tuple[Callable, tuple[str, ...]]] = {
+    "dim_stores": (clean_stores, ()), "dim_skus": (clean_skus, ()), "dim_customers": (clean_customers, ()),
+    "dim_pickers": (clean_pickers, ("dim_stores",)), "fact_orders": (clean_orders, ("dim_stores",)),
+    "fact_order_items": (clean_order_items, ("fact_orders",)), "fact_picker_activity": (clean_picker_activity, ("dim_pickers",)),
+    "fact_substitutions": (clean_substitutions, ("fact_orders",)),
+}
 
-    ``write_and_read(name, df) -> DataFrame`` persists a cleaned table and
-    returns it re-read, so children check keys against the *written* parent
-    (no recomputation of the parent's cleaning), and lineage is cut at every
-    table.  Audit counts are observed during the writes; returns
-    (tables, audit rows).
+
+def with_parents(names: Iterable[str]) -> list[list[str]]:
+    """The tables that cleaning ``names`` takes, in waves: each needs only tables of earlier ones."""
+    wanted, add = set(), list(names)
+    while add:
+        wanted.add(name := add.pop())
+        add += [p for p in STEPS[name][1] if p not in wanted]
+    waves: list[list[str]] = []
+    while left := wanted.difference(*waves):
+        waves.append([n for n in STEPS if n in left and not left & {*STEPS[n][1]}])
+    return waves
+
+
+def clean_and_write(name: str, raw: DataFrame | Lines, parents: list[DataFrame], write, stage=None) -> list[tuple]:
+    """Clean one table and write it by ``write(df)``; audit counts are observed meanwhile.  Returns the audit rows.
+
+    ``parents`` are the *written* tables that ``STEPS`` names, so that keys are checked without
+    cleaning these again, and lineage is cut at every table.
     """
-    out: dict[str, DataFrame] = {}
-    audits: dict[str, list[tuple]] = {}
-
-    def step(name, fn, *parents):
-        kw = {"persist": stage} if stage is not None and fn in (clean_customers, clean_pickers, clean_orders) else {}
-        clean, audit = fn(raw[name], *[out[p] for p in parents], observe=True, **kw)
-        written = write_and_read(name, clean)
-        return name, written, audit.rows()
-
-    # dependency waves; the tables of one wave are independent Spark jobs
-    # submitted concurrently (fills the cluster when single jobs are small)
-    waves = [
-        [("dim_stores", clean_stores), ("dim_skus", clean_skus), ("dim_customers", clean_customers)],
-        [("dim_pickers", clean_pickers, "dim_stores"), ("fact_orders", clean_orders, "dim_stores")],
-        [("fact_order_items", clean_order_items, "fact_orders"),
-         ("fact_picker_activity", clean_picker_activity, "dim_pickers"),
-         ("fact_substitutions", clean_substitutions, "fact_orders")],
-    ]
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        for wave in waves:
-            for name, written, rows in pool.map(lambda t: step(*t), wave):
-                out[name] = written
-                audits[name] = rows
-    order = ["dim_stores", "dim_skus", "dim_customers", "dim_pickers", "fact_orders", "fact_order_items",
-             "fact_picker_activity", "fact_substitutions"]
-    return out, [r for t in order for r in audits[t]]
+    fn = STEPS[name][0]
+    kw = {"persist": stage} if stage is not None and fn in (clean_customers, clean_pickers, clean_orders) else {}
+    clean, audit = fn(raw, *parents, observe=True, **kw)
+    write(clean)
+    return audit.rows()

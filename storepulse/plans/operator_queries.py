@@ -5,8 +5,6 @@ the derived tables, over whole tables.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +20,12 @@ from storepulse.plans import sla
 from storepulse.plans.sla import time_band
 from storepulse.plans.summaries import summary
 from storepulse.sources import tables as IO
-from storepulse.plans.tableset import clean_tables, published, raw_read_once, raw_table_set as raw_tables, staging, updated_tables
+from storepulse.plans.tableset import clean_set, clean_tables, published, raw_read_once, raw_table_set as raw_tables, submitted, updated_tables
 from storepulse.sources.schemas import TABLE_NAMES
 
 
 def _clean(spark, sf_dir):
-    return clean_tables(spark, sf_dir)
+    return clean_set(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- predicates
@@ -245,10 +243,8 @@ def sink_roundtrip(spark, sf_dir):
 def csv_source(spark, sf_dir):
     """The eight raw tables read from headed CSV files with their explicit schemas."""
     def build(base):
-        raw = raw_read_once(spark, sf_dir, stage=staging(spark, base))
-        # independent jobs, submitted concurrently from driver threads
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            list(pool.map(lambda name: IO.write_table(raw[name], f"{base}/{name}", name, "csv"), TABLE_NAMES))
+        raw = raw_read_once(spark, sf_dir, stage=True)
+        submitted(spark, sf_dir, TABLE_NAMES, lambda name: IO.write_table(raw[name], f"{base}/{name}", name, "csv"))
 
     base = published(spark, sf_dir, "csv_source", build)
     return _all([checksums(IO.read_table(spark, f"{base}/{name}", name, "csv"), "csv", name) for name in TABLE_NAMES])
@@ -279,7 +275,7 @@ def insights(T):
 
 def insights_export(spark, sf_dir):
     """Export the seven insight tables as CSV; checksums of every column read back."""
-    results = insights(clean_tables(spark, sf_dir))
+    results = insights(clean_set(spark, sf_dir))
     base = published(spark, sf_dir, "insights", lambda folder: IO.export_results(results, folder))
     return _all([checksums(spark.read.schema(df.schema).option("header", True).csv(f"{base}/{name}"), "csv", name)
                  for name, df in results.items()])
@@ -355,7 +351,7 @@ QUERIES = {
     "describe_numeric": lambda s, d: D.profile_tables(raw_tables(s, d, numeric=True), D.describe_numeric),
     "window_rank": _c(window_rank),
     "dedup_keep_first": _r(dedup_keep_first, ["fact_orders"]),
-    "table_row_counts": lambda s, d: IO.table_row_counts(_eight(_clean(s, d))),
+    "table_row_counts": lambda s, d: IO.table_row_counts(_eight(clean_tables(s, d))),
     "profile_nulls": lambda s, d: D.profile_tables(raw_tables(s, d), D.profile_nulls),
     "profile_duplicates": lambda s, d: D.profile_tables(raw_tables(s, d), D.profile_duplicates),
     "table_shape": lambda s, d: D.profile_tables(raw_tables(s, d), D.table_shape),
@@ -376,7 +372,7 @@ QUERIES = {
     "delivery_summary_updated": _updated(sla.delivery_summary),
     "sla_pct_by_store_updated": _updated(sla.sla_pct_by_store),
     "cleaning_audit": lambda s, d: _clean(s, d)["cleaning_audit"],
-    "rows_before_after": _rc(rows_before_after),
+    "rows_before_after": lambda s, d: rows_before_after(raw_read_once(s, d), clean_tables(s, d)),
     "sink_roundtrip": sink_roundtrip,
     "csv_source": csv_source,
     "insights_export": insights_export,

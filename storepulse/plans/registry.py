@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from storepulse.plans import explore, operator_queries, pickers, pnl, products, reports, sla, sql_reports, substitutions
-from storepulse.plans.tableset import clean_tables
+from storepulse.plans.tableset import clean_set
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _on_clean(fn, **params) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(clean_tables(spark, sf_dir), **params)
+        return fn(clean_set(spark, sf_dir), **params)
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__
     return run

@@ -10,6 +10,7 @@ A mean is ``safe_div(sum(exact_amount(x)), count(x))``: an exact decimal sum ove
 
 from __future__ import annotations
 
+import re
 from threading import Lock
 
 from pyspark.sql import DataFrame
@@ -25,9 +26,10 @@ def run_sql(T: dict[str, DataFrame], text: str, args: dict | list | None = None)
     """The result of a SQL statement over the tables by their names.
 
     ``args`` are bound to the markers of the text (``:name`` or ``?``), never pasted into it."""
-    spark = next(iter(T.values())).sparkSession
+    named = {n: T[n] for n in T if re.search(rf"\b{re.escape(n)}\b", text, re.IGNORECASE)} or dict(T)      # no other need be built
+    spark = next(iter(named.values())).sparkSession
     with _RESOLVING:
-        register_views(T)
+        register_views(named)
         register_functions(spark)
         return spark.sql(text, args=args)
 

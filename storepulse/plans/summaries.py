@@ -17,7 +17,7 @@ the stored summaries that have these columns, filtered.
 from __future__ import annotations
 
 import calendar
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -81,11 +81,50 @@ MONTHLY = ("minute_counts", "hour_counts", "store_months")
 
 
 class TableSet(dict):
-    """The eight tables and the audit, with the summaries that are stored beside them."""
+    """The eight tables and the audit, with the summaries that are stored beside them.
 
-    def __init__(self, tables: dict[str, DataFrame], stored: Callable[[str], DataFrame | None]):
+    ``opened(names)`` gives tables that are in ``names`` and not there yet, when they are first read: a query that
+    reads one table has no other built but those that its cleaning needs."""
+
+    def __init__(self, tables: dict[str, DataFrame], stored: Callable[[str], DataFrame | None], names: Sequence[str] = (),
+                 opened: Callable[[Sequence[str]], dict[str, DataFrame]] | None = None):
         super().__init__(tables)
-        self.stored = stored
+        self.stored, self.opened = stored, opened
+        self.names = [*names, *(n for n in tables if n not in names)]
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        self.update(self.opened([name]))
+        return self[name]
+
+    def whole(self) -> TableSet:
+        """All tables, those that are missing opened together."""
+        missing = [n for n in self.names if not dict.__contains__(self, n)]
+        if missing:
+            self.update(self.opened(missing))
+        return self
+
+    def __contains__(self, name) -> bool:
+        return name in self.names
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
+    def keys(self):
+        return dict.fromkeys(self.names).keys()
+
+    def items(self):
+        return {n: self.whole()[n] for n in self.names}.items()
+
+    def values(self):
+        return dict(self.items()).values()
 
 
 def summary(T: dict[str, DataFrame], name: str) -> DataFrame:

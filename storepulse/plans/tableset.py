@@ -4,6 +4,12 @@ Pipeline, as in the reference: derive raw tables → clean → (load) → query.
 The raw, cleaned and updated sets are *materialized once* per input
 fingerprint as Parquet in the shared store (``session.store_dir``):
 
+* the tables of the cleaned set are built one by one, when a query first reads
+  them, with those that their cleaning needs (``cleaning.STEPS``); the audit
+  closes the whole set;
+* shuffle files of a build are removed as soon as each of its jobs is done, and
+  the jobs of large inputs run one after another, so that the disk holds the
+  shuffles of one of them;
 * every report query then reads compact cleaned tables instead of
   re-deriving and re-cleaning the inputs (at 100 TB the cleaning job is the
   expensive part and must not run once per report);
@@ -20,21 +26,25 @@ one lazy plan — used to inspect end-to-end plans.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from concurrent.futures import ThreadPoolExecutor
 import os
+import threading
 import uuid
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from storepulse.operators.cleaning import clean_all, clean_and_write
+from storepulse.operators.cleaning import STEPS, clean_all, clean_and_write, with_parents
 from storepulse.operators.mutations import update_script
 from storepulse.operators.profiling import NUMERIC
 from storepulse.plans.summaries import BUILDERS, TableSet
 from storepulse.session import store_dir
 from storepulse.sources.fixtures import TPCH_TABLES, raw_tables
 from storepulse.sources.schemas import AUDIT, RAW_SCHEMAS, TABLE_NAMES
+from storepulse.sources import tables as IO
 from storepulse.sources.tables import read_table, write_table
 
 LAYOUT_VERSION = "v2"
@@ -78,6 +88,9 @@ def _input_stamp(spark: SparkSession, path: str) -> str:
 
 
 _FINGERPRINTS: dict[tuple[str, str], str] = {}
+_BYTES: dict[tuple[str, str], int] = {}
+#: Bytes of input from which a job fills a cluster of some size by itself.
+LARGE = 1 << 30
 
 
 def _fingerprint(sf_dir: str, spark: SparkSession) -> str:
@@ -85,11 +98,49 @@ def _fingerprint(sf_dir: str, spark: SparkSession) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FINGERPRINTS:
         parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, _code_version()]
-        parts += [f"{n}:{_input_stamp(spark, f'{sf_dir}/{n}.parquet')}" for n in TPCH_TABLES]
+        stamps = [_input_stamp(spark, f"{sf_dir}/{n}.parquet") for n in TPCH_TABLES]
+        _BYTES[key] = sum(int(stamp.split(":")[0]) for stamp in stamps)
+        parts += [f"{n}:{stamp}" for n, stamp in zip(TPCH_TABLES, stamps)]
         _FINGERPRINTS[key] = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
     return _FINGERPRINTS[key]
 
 
+def submitted(spark: SparkSession, sf_dir: str, jobs: Iterable, run: Callable, at_once: int = 4) -> list:
+    """``run`` of each of some independent jobs, together from driver threads; one after another where the input is large,
+    as the disk then holds the shuffles of one alone."""
+    _fingerprint(sf_dir, spark)
+    with ThreadPoolExecutor(max_workers=1 if _BYTES[spark.sparkContext.applicationId, sf_dir] >= LARGE else at_once) as pool:
+        return list(pool.map(run, jobs))
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANING = {"depth": 0, "before": None}
+_CLEANING_LOCK = threading.Lock()
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the actions inside are removed when each is done, and not at some collection of the driver's garbage.
+
+    Where a plan of these is run once more, Spark makes the missing stages again.  The setting is put back at the end;
+    of builds in several threads, by the last one."""
+    with _CLEANING_LOCK:
+        if not _CLEANING["depth"]:
+            _CLEANING["before"] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _CLEANING["depth"] += 1
+    try:
+        yield
+    finally:
+        with _CLEANING_LOCK:
+            _CLEANING["depth"] -= 1
+            if not _CLEANING["depth"]:
+                if _CLEANING["before"] is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, _CLEANING["before"])
+
+
 def _namespace() -> str:
     return os.environ.get("STOREPULSE_NAMESPACE", "shared")
 
@@ -116,7 +167,8 @@ def _publish(spark: SparkSession, final: str, build) -> str:
     if there:
         return there
     base = f"{final}-{uuid.uuid4().hex[:12]}"
-    build(base)
+    with shuffles_removed(spark):
+        build(base)
     _drop_stage(spark, base)
     _point(spark, pointer, base)
     return base
@@ -151,21 +203,55 @@ def staging(spark: SparkSession, base: str):
     return stage
 
 
-def _materialize_clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Derive → clean → write the cleaned set (no raw copy is written)."""
+def _shared_keys(spark: SparkSession, sf_dir: str):
+    """``stage`` for ``raw_tables``: orders ⋈ customer, written once for all sets of these inputs."""
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        path = published(spark, sf_dir, f"parts/{name}", lambda base: df.write.option("compression", "zstd").parquet(f"{base}/{name}"))
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    return stage
+
+
+def _built(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict[str, str]:
+    """The folders of cleaned tables and of those that they need; the missing ones are derived, cleaned and written
+    (no raw copy is)."""
+    waves = with_parents(names)
+    folders = {t: _published(spark, f"{_root(spark, sf_dir)}/parts/clean_{t}.current") for wave in waves for t in wave}
+    missing = [t for t, folder in folders.items() if not folder]
+    raw = raw_tables(spark, sf_dir, _shared_keys(spark, sf_dir), lines=True, names=missing) if missing else {}
+
+    def make(t: str) -> str:
+        def build(base: str) -> None:
+            parents = [_clean_table(spark, folders[p], p) for p in STEPS[t][1]]
+            rows = clean_and_write(t, raw[t], parents, lambda df: IO.write_table(df, f"{base}/{t}", t), staging(spark, base))
+            # a few rows of counts observed during the write
+            spark.createDataFrame(rows, AUDIT).coalesce(1).write.parquet(f"{base}/cleaning_audit")
+        return published(spark, sf_dir, f"parts/clean_{t}", build)
+
+    for wave in waves:      # the tables of one wave do not need each other
+        new = [t for t in wave if not folders[t]]
+        folders.update(zip(new, submitted(spark, sf_dir, new, make, at_once=3)))
+    return folders
+
+
+def _clean_table(spark: SparkSession, folder: str, name: str, month: bool = False) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}", name, "parquet", clean=True, month=month)
+
+
+def _clean_audit(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the audit of all tables, which says that the whole set is there."""
     def build(base: str) -> None:
-        def write_and_read(name: str, df: DataFrame) -> DataFrame:
-            write_table(df, f"{base}/{name}", name)
-            return read_table(spark, f"{base}/{name}", name, "parquet", clean=True)
+        folders = _built(spark, sf_dir, TABLE_NAMES)
+        rows = [tuple(r) for t in STEPS for r in _clean_table(spark, folders[t], "cleaning_audit").collect()]
+        spark.createDataFrame(rows, AUDIT).coalesce(1).write.parquet(f"{base}/cleaning_audit")
+    return published(spark, sf_dir, "clean", build)
 
-        stage = staging(spark, base)
-        raw = raw_tables(spark, sf_dir, stage, lines=True)      # lazy; orders ⋈ customer staged once
-        _, rows = clean_and_write(raw, write_and_read, stage)
-        # the audit is a few dozen rows of counts observed during the writes
-        spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("overwrite").parquet(f"{base}/cleaning_audit")
 
-    path = published(spark, sf_dir, "clean", build)
-    return {t: read_table(spark, f"{path}/{t}", t, "parquet", clean=True, month=True) for t in TABLE_NAMES + ["cleaning_audit"]}
+def _materialize_clean(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Cleaned tables, each derived, cleaned and written when a query first needs it, and the audit."""
+    whole = {*names} >= {"cleaning_audit"} or {*names} >= {*TABLE_NAMES}
+    audit = {"cleaning_audit": _clean_audit(spark, sf_dir)} if whole else {}
+    folders = _built(spark, sf_dir, [t for t in names if t in STEPS]) | audit
+    return {t: _clean_table(spark, folders[t], t, month=True) for t in names}
 
 
 def _numeric(df: DataFrame) -> DataFrame:
@@ -189,16 +275,14 @@ def _materialize_raw(spark: SparkSession, sf_dir: str, names, numeric: bool = Fa
     if missing:
         base = f"{root}/{kind}-{uuid.uuid4().hex[:12]}"
         both = {"fact_orders", "fact_order_items"} <= set(missing)        # they share orders ⋈ customer
-        raw = raw_tables(spark, sf_dir, staging(spark, base) if both else None)
+        raw = raw_tables(spark, sf_dir, _shared_keys(spark, sf_dir) if both else None, names=missing)
 
         def write(t: str) -> None:
             df = _numeric(raw[t]) if numeric else raw[t]
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{t}")
 
-        # independent jobs, submitted concurrently from driver threads
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            list(pool.map(write, missing))
-        _drop_stage(spark, base)
+        with shuffles_removed(spark):
+            submitted(spark, sf_dir, missing, write)
         for t in missing:
             _point(spark, f"{root}/{kind}_{t}.current", base)
             folders[t] = base
@@ -207,28 +291,24 @@ def _materialize_raw(spark: SparkSession, sf_dir: str, names, numeric: bool = Fa
     return {t: read_table(spark, f"{folders[t]}/{t}", t, "parquet") for t in names}
 
 
-def _materialize_updated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The cleaned set with the orders as the update script leaves them."""
-    clean = clean_tables(spark, sf_dir)
-
+def _materialize_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned orders as the update script leaves them."""
     def build(base: str) -> None:
         # no row changes its month, so the orders stay where the cleaned set has them: no shuffle deals them out anew
-        updated = update_script(clean["fact_orders"], stage=staging(spark, base))
+        updated = update_script(clean_set(spark, sf_dir)["fact_orders"], stage=staging(spark, base))
         write_table(updated.sortWithinPartitions("order_month", "store_id"), f"{base}/fact_orders", "fact_orders")
 
-    path = published(spark, sf_dir, "updated", build)
-    return {**clean, "fact_orders": read_table(spark, f"{path}/fact_orders", "fact_orders", "parquet", clean=True, month=True)}
+    return _clean_table(spark, published(spark, sf_dir, "updated", build), "fact_orders", month=True)
 
 
-def _stored_summaries(spark: SparkSession, sf_dir: str, kind: str, tables: dict[str, DataFrame]):
+def _summaries(spark: SparkSession, sf_dir: str, kind: str, tables: Callable[[], dict[str, DataFrame]]):
     """The summaries of a stored set by name, each written when it is first asked for."""
-    found: dict[str, DataFrame] = {}
-
     def stored(name: str) -> DataFrame:
-        if name not in found:
-            path = published(spark, sf_dir, f"{kind}_{name}", lambda base: BUILDERS[name](tables).write.parquet(f"{base}/{name}"))
-            found[name] = spark.read.parquet(f"{path}/{name}")
-        return found[name]
+        key = _memo_key(spark, sf_dir, f"{kind}_{name}")
+        if key not in _MEMO:
+            path = published(spark, sf_dir, f"{kind}_{name}", lambda base: BUILDERS[name](tables()).write.parquet(f"{base}/{name}"))
+            _MEMO[key] = spark.read.parquet(f"{path}/{name}")
+        return _MEMO[key]
     return stored
 
 
@@ -242,24 +322,36 @@ def _memo_key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str]:
     return spark.sparkContext.applicationId, f"{_namespace()}/{_fingerprint(sf_dir, spark)}/{kind}"
 
 
+def clean_set(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Cleaned eight tables (+ ``cleaning_audit``), each materialized when it is first read."""
+    if not _use_materialized(None):
+        return clean_tables(spark, sf_dir)
+    names = [*TABLE_NAMES, "cleaning_audit"]
+
+    def opened(wanted: Sequence[str]) -> dict[str, DataFrame]:
+        keys = {t: _memo_key(spark, sf_dir, f"clean_{t}") for t in wanted}
+        new = [t for t in wanted if keys[t] not in _MEMO]
+        if new:
+            _MEMO.update({keys[t]: df for t, df in _materialize_clean(spark, sf_dir, new).items()})
+        return {t: _MEMO[key] for t, key in keys.items()}
+
+    return TableSet({}, _summaries(spark, sf_dir, "clean", lambda: clean_set(spark, sf_dir)), names, opened)
+
+
 def clean_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> dict[str, DataFrame]:
-    """Cleaned eight tables (+ ``cleaning_audit``)."""
+    """Cleaned eight tables (+ ``cleaning_audit``), all of them there."""
     if not _use_materialized(materialize):
         clean, audit = clean_all(raw_tables(spark, sf_dir))
         clean["cleaning_audit"] = audit
         return clean
-    key = _memo_key(spark, sf_dir, "clean")
-    if key not in _MEMO:
-        tables = _materialize_clean(spark, sf_dir)
-        _MEMO[key] = TableSet(tables, _stored_summaries(spark, sf_dir, "clean", tables))
-    return TableSet(_MEMO[key], _MEMO[key].stored)
+    return clean_set(spark, sf_dir).whole()
 
 
 def raw_table_set(spark: SparkSession, sf_dir: str, materialize: bool | None = None, names=tuple(TABLE_NAMES),
                   numeric: bool = False) -> dict[str, DataFrame]:
     """The eight raw tables, or those of ``names`` (materialized on first use); ``numeric``: only their numeric columns."""
     if not _use_materialized(materialize):
-        raw = raw_tables(spark, sf_dir)
+        raw = raw_tables(spark, sf_dir, names=names)
         return {t: _numeric(raw[t]) if numeric else raw[t] for t in names}
     whole = {t: _memo_key(spark, sf_dir, f"raw_{t}") for t in names}
     if numeric and all(_raw_folders(spark, sf_dir, "raw", names).values()):
@@ -272,22 +364,25 @@ def raw_table_set(spark: SparkSession, sf_dir: str, materialize: bool | None = N
     return {t: _MEMO[key] for t, key in whole.items()}
 
 
-def raw_read_once(spark: SparkSession, sf_dir: str, names=tuple(TABLE_NAMES), stage=None) -> dict[str, DataFrame]:
+def raw_read_once(spark: SparkSession, sf_dir: str, names=tuple(TABLE_NAMES), stage: bool = False) -> dict[str, DataFrame]:
     """Raw tables for a query that reads each of them once: the stored ones if all of them are there, else derived as they
-    are read, so that what the query does not use is neither worked out nor written."""
+    are read, so that what the query does not use is neither worked out nor written.  ``stage``: orders ⋈ customer is written once."""
     if _use_materialized(None) and all(_raw_folders(spark, sf_dir, "raw", names).values()):
         return raw_table_set(spark, sf_dir, names=names)
-    raw = raw_tables(spark, sf_dir, stage)
-    return {t: raw[t] for t in names}
+    return raw_tables(spark, sf_dir, _shared_keys(spark, sf_dir) if stage else None, names=names)
 
 
 def updated_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The cleaned tables after the update script (materialized on first use)."""
-    key = _memo_key(spark, sf_dir, "updated")
-    if key not in _MEMO:
-        tables = _materialize_updated(spark, sf_dir)
-        _MEMO[key] = TableSet(tables, _stored_summaries(spark, sf_dir, "updated", tables))
-    return TableSet(_MEMO[key], _MEMO[key].stored)
+    """The cleaned tables after the update script (materialized when they are first read)."""
+    clean = clean_set(spark, sf_dir)
+
+    def opened(wanted: Sequence[str]) -> dict[str, DataFrame]:
+        key = _memo_key(spark, sf_dir, "updated_fact_orders")
+        if "fact_orders" in wanted and key not in _MEMO:
+            _MEMO[key] = _materialize_updated(spark, sf_dir)
+        return {t: _MEMO[key] if t == "fact_orders" else clean[t] for t in wanted}
+
+    return TableSet({}, _summaries(spark, sf_dir, "updated", lambda: updated_tables(spark, sf_dir)), [*clean], opened)
 
 
 def table_sets(spark: SparkSession, sf_dir: str, materialize: bool | None = None):

@@ -11,14 +11,16 @@ Scale notes
 * ``dim_stores`` comes from ``nation`` (25 rows in TPC-H at every scale
   factor), so it is the only dimension we hint as broadcast.
 * SKUs (``part``), customers and pickers (``supplier``) grow with the scale
-  factor; their joins are left to the planner/AQE, which broadcasts them only
-  when the runtime size is under ``spark.sql.autoBroadcastJoinThreshold``.
+  factor; their joins are left to the planner up to ``BROADCAST_ROWS`` rows
+  and merged beyond (``bounded``), as the planner goes by the size of their
+  compressed files.
 * Money and minutes are rounded through ``round_dec`` (decimal(28,10) first)
   so fixtures are bit-identical across engines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -31,6 +33,18 @@ from storepulse.sources.tables import month_of
 TPCH_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
+#: Rows of a table up to which the planner may broadcast it.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(side: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``side`` of a join, which is merged where it (or ``of``, with as many rows at least) has more than ``BROADCAST_ROWS`` rows.
+
+    The planner estimates by compressed files: a column or two of millions of rows would be broadcast through the driver.
+    The rows of a Parquet table are counted by its footers."""
+    return side if (side if of is None else of).count() <= BROADCAST_ROWS else side.hint("merge")
+
+
 def read_tpch(spark: SparkSession, sf_dir: str, names=TPCH_TABLES) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
@@ -182,7 +196,7 @@ def raw_pickers(t: dict[str, DataFrame]) -> DataFrame:
 def order_keys(t: dict[str, DataFrame]) -> DataFrame:
     """orders ⋈ customer: every order with its customer's nation (the store)."""
     cust = t["customer"].select("c_custkey", "c_nationkey")
-    return t["orders"].join(cust, F.col("o_custkey") == F.col("c_custkey")) \
+    return t["orders"].join(bounded(cust), F.col("o_custkey") == F.col("c_custkey")) \
         .select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "c_nationkey")
 
 
@@ -267,7 +281,7 @@ def order_item_lines(t: dict[str, DataFrame]) -> Lines:
     ords = _order_keys(t).select(
         _id_of("ORD_", "o_orderkey", 8).alias("_order_id"), F.col("c_nationkey").alias("_nation"),
         F.col("o_orderdate").cast("date").alias("order_date"))
-    j = li.join(parts, F.col("l_partkey") == F.col("p_partkey")) \
+    j = li.join(bounded(parts), F.col("l_partkey") == F.col("p_partkey")) \
         .withColumn("order_id", _id_of("ORD_", "l_orderkey", 8)) \
         .join(ords.hint("merge"), F.col("order_id") == F.col("_order_id"))
     rows = j.select("order_id", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
@@ -325,7 +339,7 @@ def picker_activity_lines(t: dict[str, DataFrame]) -> Lines:
         _id_of("PKR_", "s_suppkey", 4).alias("_picker_id"), F.col("s_nationkey").alias("_nation"),
         F.when(bal > 6500, "Expert").when(bal > 2500, "Intermediate").otherwise("Beginner")
         .alias("skill_level"))
-    j = li.withColumn("picker_id", _id_of("PKR_", "l_suppkey", 4)).join(sup, F.col("picker_id") == F.col("_picker_id"))
+    j = li.withColumn("picker_id", _id_of("PKR_", "l_suppkey", 4)).join(bounded(sup), F.col("picker_id") == F.col("_picker_id"))
     rows = j.select("picker_id", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate", "_nation", "skill_level")
     k = F.col("l_orderkey")
     hour = ((k * 7) % 24).cast("int")
@@ -363,6 +377,7 @@ SUB_REASONS = ["Out of Stock", "Damaged", "Expired"]
 def substitution_lines(t: dict[str, DataFrame]) -> Lines:
     li = t["lineitem"].filter(F.col("l_returnflag") == "R") \
         .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    big = t["part"].count() > BROADCAST_ROWS
     n_parts = t["part"].agg(F.count(F.lit(1)).alias("_n_parts"))   # one row
     p = _sku_prices(t["part"]).select("p_partkey", "p_type", "unit_price_inr")
     p1 = p.select(F.col("p_partkey").alias("_p1"), F.col("p_type").alias("original_category"),
@@ -373,9 +388,9 @@ def substitution_lines(t: dict[str, DataFrame]) -> Lines:
     # the narrowest first: each join adds columns that the next one shuffles
     j = (li.crossJoin(F.broadcast(n_parts))
          .withColumn("_sub_key", (F.col("l_partkey") + F.col("l_suppkey")) % F.col("_n_parts"))
-         .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
-         .join(p1, F.col("l_partkey") == F.col("_p1"))
-         .join(p2, F.col("_sub_key") == F.col("_p2")))
+         .join(bounded(sup), F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(p1.hint("merge") if big else p1, F.col("l_partkey") == F.col("_p1"))
+         .join(p2.hint("merge") if big else p2, F.col("_sub_key") == F.col("_p2")))
     rows = j.select(fmt_id("ORD_", F.col("l_orderkey"), 8).alias("order_id"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                     "_sub_key", "s_nationkey", "original_category", "substitute_category", "_price1", "_price2", "l_shipdate")
     same = F.col("original_category") == F.col("substitute_category")
@@ -401,21 +416,19 @@ def raw_substitutions(t: dict[str, DataFrame]) -> DataFrame:
     return substitution_lines(t).df
 
 
-def raw_tables(spark: SparkSession, sf_dir: str, stage=None, lines: bool = False) -> dict[str, DataFrame | Lines]:
-    """All eight raw tables as lazy DataFrames over ``sf_dir``; with ``lines``, the facts as ``Lines``.
+def raw_tables(spark: SparkSession, sf_dir: str, stage=None, lines: bool = False, names: Sequence[str] | None = None) -> dict[str, DataFrame | Lines]:
+    """All eight raw tables, or those of ``names``, as lazy DataFrames over ``sf_dir``; with ``lines``, the facts as ``Lines``.
 
+    Only the rows of dimensions are counted at once (``bounded``).
     ``stage(name, df) -> df`` (optional) persists shared intermediates — the
     orders ⋈ customer join feeds both orders and items.
     """
     t = read_tpch(spark, sf_dir)
-    if stage is not None:
+    makers = {"dim_stores": raw_stores, "dim_skus": raw_skus, "dim_customers": raw_customers, "dim_pickers": raw_pickers,
+              "fact_orders": order_lines if lines else raw_orders, "fact_order_items": order_item_lines if lines else raw_order_items,
+              "fact_picker_activity": picker_activity_lines if lines else raw_picker_activity,
+              "fact_substitutions": substitution_lines if lines else raw_substitutions}
+    wanted = [n for n in makers if names is None or n in names]
+    if stage is not None and {"fact_orders", "fact_order_items"} & {*wanted}:
         t["order_keys"] = stage("order_keys", order_keys(t))
-    facts = {"fact_orders": order_lines(t), "fact_order_items": order_item_lines(t), "fact_picker_activity": picker_activity_lines(t),
-             "fact_substitutions": substitution_lines(t)}
-    return {
-        "dim_stores": raw_stores(t),
-        "dim_skus": raw_skus(t),
-        "dim_customers": raw_customers(t),
-        "dim_pickers": raw_pickers(t),
-        **(facts if lines else {"fact_orders": raw_orders(t), **{name: fact.df for name, fact in facts.items() if name != "fact_orders"}}),
-    }
+    return {n: makers[n](t) for n in wanted}
