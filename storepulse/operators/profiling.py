@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from storepulse.functions.exprs import exact_mean, exact_round
 from storepulse.operators.selection import column_percentiles
+from storepulse.sources.fixtures import bounded
+from storepulse.sources.tables import staged
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -51,16 +53,20 @@ def profile_duplicates(df: DataFrame, table: str) -> DataFrame:
 
     Rows are counted by a 128-bit digest, so what is shuffled for them does not grow with their
     width.  A row whose digest is its own equals no other; those whose digest repeats are compared
-    in full, so that a collision does not change the result."""
+    in full, so that a collision does not change the result.  The digests that repeat are stored
+    before the plan is returned: up to a number of them no other row is shuffled."""
     rows = df.toDF(*[f"_{i}" for i in range(len(df.columns))])       # no name that clashes with those below
     digested = rows.select("*", *_row_digest(rows.columns))
     digests = digested.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"))
-    single = digests.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"), F.count_if(F.col("n") == 1).alias("single"))
-    repeated = (digested.join(digests.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
-                .groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("repeated")))
-    return single.crossJoin(F.broadcast(repeated)).select(
-        F.lit(table).alias("table_name"), "rows", (F.col("single") + F.col("repeated")).alias("distinct_rows"),
-        (F.col("rows") - F.col("single") - F.col("repeated")).alias("duplicate_rows"))
+    again = staged(digests.where("n > 1").select("d1", "d2"), f"repeated_{table}")
+    # rows of a digest lie together where they were shuffled to meet it
+    compared = (digested.join(bounded(again), ["d1", "d2"], "left_semi")
+                .groupBy("d1", "d2", *rows.columns).agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+                .agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n", "different")]))
+    return rows.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(compared)).select(
+        F.lit(table).alias("table_name"), "rows", (F.col("rows") - F.col("n") + F.col("different")).alias("distinct_rows"),
+        (F.col("n") - F.col("different")).alias("duplicate_rows"))
 
 
 def _scale(dt) -> int:

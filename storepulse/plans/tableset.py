@@ -26,11 +26,9 @@ one lazy plan — used to inspect end-to-end plans.
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 from concurrent.futures import ThreadPoolExecutor
 import os
-import threading
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
@@ -45,7 +43,7 @@ from storepulse.session import store_dir
 from storepulse.sources.fixtures import TPCH_TABLES, raw_tables
 from storepulse.sources.schemas import AUDIT, RAW_SCHEMAS, TABLE_NAMES
 from storepulse.sources import tables as IO
-from storepulse.sources.tables import read_table, write_table
+from storepulse.sources.tables import read_table, shuffles_removed, write_table
 
 LAYOUT_VERSION = "v2"
 _MEMO: dict[tuple[str, str], dict[str, DataFrame]] = {}
@@ -113,34 +111,6 @@ def submitted(spark: SparkSession, sf_dir: str, jobs: Iterable, run: Callable, a
         return list(pool.map(run, jobs))
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_CLEANING = {"depth": 0, "before": None}
-_CLEANING_LOCK = threading.Lock()
-
-
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Shuffle files of the actions inside are removed when each is done, and not at some collection of the driver's garbage.
-
-    Where a plan of these is run once more, Spark makes the missing stages again.  The setting is put back at the end;
-    of builds in several threads, by the last one."""
-    with _CLEANING_LOCK:
-        if not _CLEANING["depth"]:
-            _CLEANING["before"] = spark.conf.get(_CLEANUP, None)
-            spark.conf.set(_CLEANUP, "true")
-        _CLEANING["depth"] += 1
-    try:
-        yield
-    finally:
-        with _CLEANING_LOCK:
-            _CLEANING["depth"] -= 1
-            if not _CLEANING["depth"]:
-                if _CLEANING["before"] is None:
-                    spark.conf.unset(_CLEANUP)
-                else:
-                    spark.conf.set(_CLEANUP, _CLEANING["before"])
-
-
 def _namespace() -> str:
     return os.environ.get("STOREPULSE_NAMESPACE", "shared")
 

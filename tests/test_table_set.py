@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SMALL
 from storepulse.operators import cleaning as C
+from storepulse.operators.profiling import profile_duplicates
 from storepulse.plans import tableset as S
 from storepulse.plans.summaries import TableSet
 from storepulse.sources import fixtures as X
+from storepulse.sources import tables as IO
 from storepulse.sources.schemas import TABLE_NAMES
 from test_lines import _inputs, _rows
 
@@ -62,7 +64,7 @@ def test_a_table_set_is_a_dict_of_all_its_tables():
 
 
 def test_shuffle_files_of_a_build_are_removed_with_each_action(spark, tmp_path):
-    key, seen = S._CLEANUP, []
+    key, seen = IO._CLEANUP, []
     before = spark.conf.get(key, None)
 
     def files():
@@ -113,3 +115,24 @@ def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
         assert _rows(fn(t)) == want[fn]
     df = C.clean_picker_activity(X.picker_activity_lines(t), parents["picker_id"])[0]
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and _rows(df) == checked
+
+
+def test_duplicates_shuffle_digests_and_repeated_rows_alone(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", None) for i in range(50)] + [(1, "text 1", None), (1, "text 1", None), (2, "text 2", None), (None, None, None)]
+    spark.createDataFrame(rows, "a int, b string, c date").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for most, join in ((X.BROADCAST_ROWS, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(X, "BROADCAST_ROWS", most)
+        out = profile_duplicates(df, "t")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # few rows pass the broadcast digests before any shuffle; where they were shuffled to meet these, groups need none of their own
+        assert join in plan and plan.count("Exchange hashpartitioning(") == 2
+        assert [tuple(r) for r in out.collect()] == [("t", 54, 51, 3)]
+
+
+def test_raw_csv_is_compressed(spark, monkeypatch, request):
+    monkeypatch.setenv("STOREPULSE_NAMESPACE", f"test-{request.node.name}-{os.getpid()}")
+    out = _rows(E.queries()["csv_source"](spark, SMALL))
+    base = S._published(spark, f"{S._root(spark, SMALL)}/csv_source.current")
+    files = [n for _, _, names in os.walk(base.removeprefix("file:")) for n in names if n.startswith("part-")]
+    assert out and files and all(n.endswith(".csv.gz") for n in files)
