@@ -241,10 +241,10 @@ def sink_roundtrip(spark, sf_dir):
 
 
 def csv_source(spark, sf_dir):
-    """The eight raw tables read from headed CSV files with their explicit schemas."""
+    """The eight raw tables read from headed CSV files (gzip) with their explicit schemas."""
     def build(base):
         raw = raw_read_once(spark, sf_dir, stage=True)
-        submitted(spark, sf_dir, TABLE_NAMES, lambda name: IO.write_table(raw[name], f"{base}/{name}", name, "csv"))
+        submitted(spark, sf_dir, TABLE_NAMES, lambda name: IO.write_table(raw[name], f"{base}/{name}", name, "csv", compression="gzip"))
 
     base = published(spark, sf_dir, "csv_source", build)
     return _all([checksums(IO.read_table(spark, f"{base}/{name}", name, "csv"), "csv", name) for name in TABLE_NAMES])
