@@ -8,7 +8,8 @@ no bound left can reach the kth exact score.  Results are therefore exact.
 
 Queries are cut into blocks and meet every data block; each pair of blocks returns k rows
 for each query, and the best k of those are ranked.  A task holds one pair of blocks, so
-its memory is bounded whatever the number of queries and vectors.
+its memory is bounded whatever the number of queries and vectors.  Data blocks are dealt to
+parts, and a block of queries travels once to each part; neither side is ever broadcast.
 
 Whether scores of a pair of blocks fit into 64 bits follows from its real width and largest
 components; where they may not, that pair is computed in Python's integers.  A score beyond
@@ -35,6 +36,8 @@ SCALE = 256
 CELLS = 16
 DATA_BLOCK = 4096
 QUERY_BLOCK = 256
+#: Parts that data blocks are dealt to, where there are as many; beyond ``PARTS`` blocks a part there are more.
+PARTS = 64
 #: Up to this size a component times ``SCALE`` has its floor within 64 bits; larger doubles are whole numbers.
 WHOLE = 2.0**53
 LARGEST = float(np.finfo(np.float64).max)
@@ -167,12 +170,13 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     on_workers_path(df.sparkSession)
     data = written(_packed(blocked(usable_vectors(df, id_col, vector_col), data_block, "data")), "data_blocks")
     asked = usable_vectors(queries, id_col, vector_col).dropDuplicates(["id", "vector"])
-    # every block of queries meets every block of data
-    last = data.agg(F.max("block")).first()[0]
+    # every block of queries meets every block of data; merged, as the planner sees the queries before they are multiplied
+    blocks = (data.agg(F.max("block")).first()[0] or 0) + 1
+    parts = min(blocks, max(PARTS, -(-blocks // PARTS)))
     pairs = (_packed(blocked(asked, query_block, "queries"))
              .select(*[F.col(c).alias(f"q_{c}") for c in ("wide", "ids", "lengths", "data")],
-                     F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("block"))
-             .join(data, "block"))
+                     F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+             .join(data.withColumn("part", F.col("block") % parts).hint("merge"), "part"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

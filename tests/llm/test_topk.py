@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import types as T
 
 from storepulse.llm.topk import exact_top_k
@@ -74,3 +76,25 @@ def test_components_of_any_size(spark):
             expect += [(q, r + 1, j, -s if -2**63 <= -s < 2**63 else None) for r, (s, j) in enumerate(scored)]
         df = spark.createDataFrame(rows, schema)
         assert sorted(map(tuple, exact_top_k(df, df.where("vec_id % 10 = 0"), 5, data_block=30, query_block=4).collect())) == sorted(expect)
+
+
+def test_blocks_of_queries_are_not_multiplied_in_a_broadcast(spark, monkeypatch):
+    """The planner sees the queries before each block of them is sent to every part of the data."""
+    from storepulse.llm import topk
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)], "vec_id long, embedding array<double>")
+    asked, seen, real = df.where("vec_id % 20 = 0"), [], topk.map_batches
+    monkeypatch.setattr(topk, "map_batches", lambda pairs, *a: (seen.append(pairs), real(pairs, *a))[1])
+    want = sorted(map(tuple, topk.exact_top_k(df, asked, k=3).collect()))
+    for most in (topk.PARTS, 2):
+        monkeypatch.setattr(topk, "PARTS", most)
+        out = topk.exact_top_k(df, asked, k=3, data_block=10, query_block=4)      # 30 blocks of data
+        assert sorted(map(tuple, out.collect())) == want
+        pairs = seen[-1]
+        pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        blocks, parts = (30, 30) if most > 30 else (30, 15)
+        assert pairs.select("part").distinct().count() <= parts
+        queries = pairs.select("q_ids").distinct().count()
+        assert pairs.count() == queries * pairs.select("block").distinct().count()
