@@ -43,6 +43,7 @@ identifier and the text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storepulse.llm.common import map_batches, mix64, slices, text_or_empty, utf8_buffer, written
+from storepulse.llm.common import discarded, map_batches, mix64, slices, text_or_empty, utf8_buffer, written
 from storepulse.llm.components import connected_components
 from storepulse.llm.words import words_of
 
@@ -60,6 +61,8 @@ BAND = 1.4
 COMMON = 256
 #: Pairs of sketches that a task compares at a time (those of one document with its group at least).
 PAIRS_AT_ONCE = 1 << 17
+#: Slices of all signatures, and the documents that differ from which on there are several.
+SLICES, SLICED_FROM = 2, 20_000
 #: Signatures that a task sorts at a time.
 SORTED_AT_ONCE = 1 << 20
 #: Bytes of text that a task turns into tokens at a time (one text at least).
@@ -253,9 +256,10 @@ def _tokens_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[
             at = end
 
 
-def _members(packed: DataFrame, scheme: Scheme, width: int) -> DataFrame:
+def _members(packed: DataFrame, scheme: Scheme, width: int, shares: int = 1, own: int = 0) -> DataFrame:
     """(signature, lead, id): documents that share a signature, as a tree over the smallest of them.
 
+    Of several ``shares`` of all signatures, those of one.
     Each task links the ones that it sorts at a time to their smallest; those are linked to the
     smallest of all after the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +280,9 @@ def _members(packed: DataFrame, scheme: Scheme, width: int) -> DataFrame:
 
         for owners, tokens, first in _tokens_of(batches, width):
             code, of = signatures(tokens, first, scheme)
+            if shares > 1:
+                here = (code.view(np.uint64) >> np.uint64(33)) % np.uint64(shares) == own
+                code, of = code[here], of[here]
             codes.append(code.view(np.int64))
             ids.append(owners.to_numpy(zero_copy_only=False)[of])
             held += len(code)
@@ -523,7 +530,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = written(classes.where("first is not null"), "classes")
 
     single = _packed(rows, classes.select(F.col("first").alias("id")))
-    members = written(_members(single, scheme, width), "members")
+    # signatures are shuffled slice by slice, so that the disk holds one slice of them at a time
+    shares = SLICES if classes.count() > SLICED_FROM else 1
+    if shares > 1:
+        single = written(single, "packed")
+    members = reduce(DataFrame.union, [written(_members(single, scheme, width, shares, own), "members") for own in range(shares)])
+    if shares > 1:
+        discarded(single)
     pairs = written(members.select("lead", "id").distinct(), "pairs")
     links = written(_verified(_near(pairs, held, part, whole), rows, width, part, whole), "links")
     found = connected_components(links)

@@ -165,3 +165,14 @@ def test_five_words_and_groups_beyond_the_limit(spark, monkeypatch):
     monkeypatch.setattr("storepulse.llm.jaccard_join.COMMON", 1)
     found.append(sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(documents(spark, rows), width=5, part=80).collect()))
     assert found[0] == found[1]
+
+
+def test_signatures_in_slices_find_the_same_components(spark, monkeypatch):
+    from storepulse.llm import jaccard_join as J
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[i % 7:40 + i % 7]) + (f" own{i}" if i % 3 else "") for i in range(40)] + ["", None, "a b", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, made, real = sorted(map(tuple, J.jaccard_components(df).collect())), [], J._members
+    monkeypatch.setattr(J, "SLICED_FROM", 0)
+    monkeypatch.setattr(J, "_members", lambda *a: made.append(real(*a)) or made[-1])
+    assert sorted(map(tuple, J.jaccard_components(df).collect())) == want and len(made) == J.SLICES
